@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash"]
+MODULES = ["minhash", "substring"]
 
 
 def _modules():
