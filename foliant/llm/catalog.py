@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash", "substring"]
+MODULES = ["minhash", "substring", "mixing"]
 
 
 def _modules():
