@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash", "substring", "mixing"]
+MODULES = ["minhash", "substring", "mixing", "decontaminate"]
 
 
 def _modules():
