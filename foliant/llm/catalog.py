@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash", "substring", "mixing", "decontaminate"]
+MODULES = ["minhash", "substring", "mixing", "decontaminate", "html_paths"]
 
 
 def _modules():
