@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash", "substring", "mixing", "decontaminate", "html_paths", "warc_zip"]
+MODULES = ["minhash", "substring", "mixing", "decontaminate", "html_paths", "warc_zip", "topk"]
 
 
 def _modules():
