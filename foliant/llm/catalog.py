@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash", "substring", "mixing", "decontaminate", "html_paths", "warc_zip", "topk"]
+MODULES = ["language_id", "minhash", "substring", "mixing", "decontaminate", "topk", "warc_zip", "html_paths", "pii", "url_filter"]
 
 
 def _modules():
