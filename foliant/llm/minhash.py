@@ -7,13 +7,16 @@
    31 // 16 = 1 position (pigeonhole), so it is enough to enumerate the allowed chunk error:
    each chunk yields 4 keys, one with each position left out. All pairs with D <= 31 share a key.
    For similarity 0.75, D is binomial(64, 1/4); the chance of D > 31 is below 1 in 50,000.
-3. Pairs come from the key table in rounds. In a star round each key names a leader and its
-   members are compared with it, which is linear in a key's members. What is then still in
-   different components below one key is compared pair by pair, in blocks of bounded size that
-   are dealt over tasks, and only pairs within the signature distance leave a block.
-4. Pairs are confirmed on the full shingle sets, and links are joined to components.
-
-No key, class or component is gathered in one task or on the driver.
+3. First each key names its smallest member and the others are compared with it, a star, which
+   is linear in the members. What these links leave apart below one key is compared by
+   signature in blocks of bounded size dealt over tasks; a block yields a spanning forest of the
+   components that lie within the signature distance, never its pairs.
+4. The forests join components to clusters. Inside a cluster, all documents but those of its
+   largest component are compared with all, again in dealt blocks, on the full shingle sets;
+   a block yields a spanning forest of the links it confirmed.
+
+All links are confirmed on full sets, and no link between different components is lost. No key,
+class, cluster or component is gathered in one task or on the driver.
 """
 
 from __future__ import annotations
@@ -22,20 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import words as W
 from foliant.llm.components import components
+from foliant.llm.groups import sorted_groups
 from foliant.llm.storage import cut, table
 
 POSITIONS, BITS, CHUNKS = 64, 16, 16
 WIDTH = POSITIONS // CHUNKS
 #: Largest signature distance that the index guarantees to find: 2 errors in every chunk, less one.
 RADIUS = 2 * CHUNKS - 1
-STAR_ROUNDS = 2
 #: Rows of one side of a block of pairs.
-BLOCK = 512
+BLOCK = 256
 
 _A, _B = W.constants(POSITIONS, 21), W.constants(POSITIONS, 22)
 
@@ -108,53 +111,93 @@ def _near_signatures(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
 
 
-def _block_pairs(batches):
-    """Rows sorted by (key, i, j): side, id, comp, sig. Yields pairs of different components within RADIUS.
+class _Forest:
+    """Union-find over the few labels of a group; ``join`` tells whether two were apart."""
 
-    A group has at most about 2 * BLOCK rows, so what is held is bounded.
-    """
-    held: list[pa.RecordBatch] = []
-
-    def pairs(t: pa.Table):
-        n = t.num_rows
-        i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
-        key = t.column("key").to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        ids, comp, block = (t.column(c).to_numpy() for c in ("id", "comp", "block"))
-        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(n, POSITIONS)
-        got_a, got_b = [], []
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, n]):
-            left = np.flatnonzero(block[lo:hi] == i[lo]) + lo
-            right = np.flatnonzero(block[lo:hi] == j[lo]) + lo
-            for x in left:
-                y = right[right > x] if i[lo] == j[lo] else right
-                y = y[comp[y] != comp[x]]
-                if len(y):
-                    y = y[(sigs[y] != sigs[x]).sum(axis=1) <= RADIUS]
-                    got_a.append(np.full(len(y), ids[x]))
-                    got_b.append(ids[y])
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (got_a, got_b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def same(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
-        return all(x.column(c)[x.num_rows - 1] == y.column(c)[0] for c in ("key", "i", "j"))
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-    for batch in batches:
-        if not batch.num_rows:
+    def root(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _candidate_forest(batches):
+    """Rows of (key, i, j): comp, block, sig. Yields pairs of components that signatures within
+    RADIUS connect, a spanning forest of them for each group."""
+    for g in sorted_groups(batches, ("key", "i", "j")):
+        comp, block, i, j = (g.column(g.schema.get_field_index(c)).to_numpy() for c in ("comp", "block", "i", "j"))
+        if comp.min() == comp.max():
             continue
-        if held and not same(held[-1], batch):
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
-            held = []
-        # keep back the last group, which may go on in the next batch
-        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-        other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
-        split = int(other[-1]) + 1 if len(other) else 0
-        if split:
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, split)]).combine_chunks())
-            held = []
-        held.append(batch.slice(split))
-    if held:
-        yield pairs(pa.Table.from_batches(held).combine_chunks())
+        sigs = np.frombuffer(b"".join(g.column(g.schema.get_field_index("sig")).to_pylist()), "<u2").reshape(-1, POSITIONS)
+        right = np.flatnonzero(block == j[0])
+        forest, got = _Forest(), []
+        for x in np.flatnonzero(block == i[0]):
+            y = right[comp[right] != comp[x]]
+            y = y[(sigs[y] != sigs[x]).sum(axis=1) <= RADIUS]
+            for c in np.unique(comp[y]).tolist():
+                if forest.join(int(comp[x]), c):
+                    got.append((int(comp[x]), c))
+        if got:
+            a, b = zip(*got)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets xs with the sets ys."""
+    if len(xs) * len(ys) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in ys] for x in xs])
+    flat = np.concatenate([*xs, *ys])
+    row = np.repeat(np.arange(len(xs) + len(ys)), [len(s) for s in (*xs, *ys)])
+    values, code = np.unique(flat, return_inverse=True)
+    counts = np.bincount(code, minlength=len(values))
+    code = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[code]
+    row, code = row[code >= 0], code[code >= 0]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    total = int(code[-1]) + 1 if len(code) else 0
+    for lo in range(0, total, 4096):
+        a, b = np.searchsorted(code, [lo, lo + 4096])
+        dense = np.zeros((len(xs) + len(ys), min(4096, total - lo)), dtype=np.float32)
+        dense[row[a:b], code[a:b] - lo] = 1
+        out += dense[: len(xs)] @ dense[len(xs) :].T
+    return out.astype(np.int64)
+
+
+def _exact_links(k: int, percent: int):
+    """Rows of (cluster, i, j): id, comp, side, text. Yields links of different components that
+    hold on the full sets, a spanning forest of them for each group."""
+
+    def run(batches):
+        for g in sorted_groups(batches, ("cluster", "i", "j")):
+            ids, comp, side = (g.column(g.schema.get_field_index(c)).to_numpy() for c in ("id", "comp", "side"))
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
+                continue
+            sets = list(shingle_sets(*W.utf8(g.column(g.schema.get_field_index("text"))), k))
+            size = np.array([len(s) for s in sets])
+            both = overlaps([sets[r] for r in left], [sets[r] for r in right])
+            near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+            near &= comp[left][:, None] != comp[right][None, :]
+            forest, got = _Forest(), []
+            for x, y in zip(*np.nonzero(near)):
+                x, y = left[x], right[y]
+                if forest.join(int(comp[x]), int(comp[y])):
+                    got.append((int(ids[x]), int(ids[y])))
+            if got:
+                a, b = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _confirm(k: int, percent: int):
@@ -175,6 +218,11 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _blocks(rows) -> Column:
+    """Blocks of at most about BLOCK rows each."""
+    return F.ceil((F.col(rows) if isinstance(rows, str) else rows) / BLOCK).cast("int")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """One row a distinct doc_id: doc_id, n_shingles, component_id, kept (see the module).
 
@@ -207,26 +255,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         with_b = with_a.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
         return with_b.select("a", "b", "sig_a", "sig_b").mapInArrow(_near_signatures, "a long, b long")
 
-    links = label = None
-    open_keys = held
-    for turn in range(STAR_ROUNDS):
-        lead = F.min("id") if turn == 0 else F.min_by("id", F.xxhash64("id", F.lit(turn)))
-        leaders = open_keys.groupBy("key").agg(lead.alias("b"))
-        pairs = open_keys.join(leaders, "key").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        found = confirmed(signature_near(pairs))
-        links = cut(found if links is None else links.union(found), "confirmed")
-        label = components(links)
-        marked = held.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-        open_keys = cut(marked.join(mixed.select("key", "members"), "key"), "open-keys")
-
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = open_keys.join(sigs, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = dealt.select("key", "id", "comp", "sig", "block", other.alias("other"))
-    paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "sig", "block")
-    near = paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_pairs, "a long, b long").distinct()
-    links = cut(links.union(confirmed(near)), "confirmed")
+    # a star for each key: its members against its smallest
+    leaders = held.groupBy("key").agg(F.min("id").alias("b"))
+    stars = held.join(leaders, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = cut(confirmed(signature_near(stars)), "confirmed")
+    label = components(links)
+
+    # what is still apart below one key: candidate pairs of components, then clusters of those
+    marked = held.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    dealt = marked.join(mixed.select("key", _blocks("members").alias("blocks")), "key").join(sigs, "id")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "block", "sig")
+    near = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidate_forest, "a long, b long").distinct()
+    cluster = components(near).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+
+    # within a cluster: all documents outside its largest component against all documents
+    inside = busy.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")).join(cluster, "comp")
+    inside = cut(inside, "clustered")
+    sizes = inside.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    placed = inside.join(sizes, "cluster").join(text, "id")
+    placed = placed.withColumn("lefts", _blocks(F.col("n") - F.col("largest"))).withColumn("rights", _blocks("n"))
+    mine = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    as_left = placed.where("comp <> major").select("cluster", mine("lefts").alias("i"), each("rights").alias("j"), "id", "comp", F.lit(0).alias("side"), "text")
+    as_right = placed.select("cluster", each("lefts").alias("i"), mine("rights").alias("j"), "id", "comp", F.lit(1).alias("side"), "text")
+    dealt = as_left.union(as_right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    links = links.union(dealt.mapInArrow(_exact_links(words, percent), "a long, b long"))
     label = components(links)
 
     member = signed.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
