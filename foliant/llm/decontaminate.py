@@ -6,8 +6,8 @@
 3. Index: the postings (term, document, positions) of the probed terms, with a row (null term)
    for each document's length, stored as a table.
 4. Intersection: a posting at p of a probe with offset o stands for a window that starts at p - o.
-   A start that the lists of all probes of a window share is a candidate; proximity matches
-   let the starts of the probes differ by a slack instead.
+   From the rarest probe on, a start that all lists of a window share is a candidate; proximity
+   matches let the starts of the probes differ by a slack instead.
 5. Candidates are compared with the document's words over the window's whole length.
 """
 
@@ -142,8 +142,8 @@ class Index:
         by_rarity = Window.partitionBy("wid").orderBy(F.col("n").asc_nulls_first(), "term")
         ranked = known.withColumn("rank", F.row_number().over(by_rarity)).withColumn("rarest", F.first("n").over(by_rarity))
         probes = ranked.where("rarest is not null").where(F.col("rank") <= rarest)
-        wanted = probes.groupBy("wid").agg(F.count(F.lit(1)).alias("probes"))
-        self.probes = cut(probes.join(wanted, "wid").select("wid", "length", "term", "offset", "rank", "probes"), "probes")
+        self.rarest = rarest
+        self.probes = cut(probes.select("wid", "length", "term", "offset", "rank"), "probes")
         postings = self.texts.mapInArrow(_postings(self._filter(spark, self.probes)), "term long, id long, positions array<int>")
         self.postings = cut(postings, "postings")
 
@@ -152,25 +152,34 @@ class Index:
         terms = places.select("term").distinct().limit(FILTER_TERMS + 1).toArrow().column("term").to_numpy()
         return spark.sparkContext.broadcast(np.sort(terms)) if len(terms) <= FILTER_TERMS else None
 
-    def starts(self) -> DataFrame:
-        """(wid, length, probes, rank, id, start): the offset-adjusted lists of all probes."""
-        lists = self.postings.where("term is not null").join(self.probes, "term")
-        return lists.select("wid", "length", "probes", "rank", "id", (F.explode("positions")).alias("position"), "offset").select(
-            "wid", "length", "probes", "rank", "id", (F.col("position") - F.col("offset")).alias("start")
-        )
+    def starts(self, slack: int = 0) -> DataFrame:
+        """(wid, length, id, start): places where the offset-adjusted lists of all probes meet.
+
+        The lists are intersected from the rarest term on: its postings give the starts, and each
+        further list is looked up only in the documents that are left. With ``slack`` the starts
+        of the other lists may differ from the rarest term's by so many words.
+        """
+        lists = self.postings.where("term is not null").select("term", "id", "positions")
+        lead = self.probes.where("rank = 1").select("term", "wid", "length", "offset")
+        met = lists.join(lead, "term").select("wid", "length", "id", "offset", F.explode("positions").alias("position"))
+        met = met.select("wid", "length", "id", (F.col("position") - F.col("offset")).alias("start"))
+        if not slack:
+            met = met.where("start >= 0")
+        for rank in range(2, self.rarest + 1):
+            probe = self.probes.where(F.col("rank") == rank).select("wid", "term", "offset")
+            both = met.join(probe, "wid", "left").join(lists, ["term", "id"], "left")
+            here = F.exists("positions", lambda p: F.abs(p - F.col("offset") - F.col("start")) <= slack)
+            met = both.where(F.col("term").isNull() | F.coalesce(here, F.lit(False))).select("wid", "length", "id", "start")
+        return met
 
     def phrases(self) -> DataFrame:
         """(id, n_hit, wids): documents with exact occurrences, hit words and their windows."""
-        shared = self.starts().groupBy("wid", "length", "probes", "id", "start").agg(F.count(F.lit(1)).alias("lists")).where("lists = probes and start >= 0")
-        found = shared.groupBy("id").agg(F.collect_list(F.struct("start", "wid", "length")).alias("found"))
+        found = self.starts().groupBy("id").agg(F.collect_list(F.struct("start", "wid", "length")).alias("found"))
         return self.texts.join(found, "id").mapInArrow(_verify, "id long, n_hit long, wids array<long>")
 
     def proximity(self, slack: int) -> DataFrame:
-        """(doc_id, item_id): all probes of a window of the item occur with starts at most ``slack`` apart."""
-        starts = self.starts()
-        lead = starts.where("rank = 1").select("wid", "id", F.col("start").alias("at"), "probes")
-        near = starts.select("wid", "id", "rank", "start").join(lead, ["wid", "id"]).where(F.abs(F.col("start") - F.col("at")) <= slack)
-        near = near.groupBy("wid", "id", "at", "probes").agg(F.count_distinct("rank").alias("met")).where("met = probes")
+        """(doc_id, item_id): all probes of a window of the item occur within ``slack`` words of their places."""
+        near = self.starts(slack).select("wid", "id").distinct()
         return near.join(self.windows.select("wid", "item_id"), "wid").select(F.col("id").alias("doc_id"), "item_id").distinct()
 
 
