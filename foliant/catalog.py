@@ -1,15 +1,397 @@
-"""Registered queries of the engine and their SQL counterparts."""
+"""Registered queries of the engine and their SQL counterparts.
+
+All run over whole tables. Filings come from ``documents`` (see ``plans.filings``); results of
+checks and tools for the rates come from ``labels``, ``documents`` and ``lineitem``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import python as P
+from foliant.functions import taxonomy
+from foliant.functions import text as T
+from foliant.operators import anchors, furniture, measure, segment, view
+from foliant.oracle import chain
+from foliant.plans import segmentation
+from foliant.plans.filings import filings
+from foliant.sources import submissions
+from foliant.sources.staging import stage
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submissions.select_documents(filings(spark, sf_dir))
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    from foliant.operators.judge import gate
+
+    return docs.where(gate().isNull())
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _whole(_docs(spark, sf_dir))
+    marked = segment.notable(segment.lines(docs.select("doc_id", "text")))
+    return stage(segment.candidates(marked, docs.select("doc_id", "period_end")), "candidates"), docs
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> segmentation.Segmented:
+    return segmentation.segment_documents(filings(spark, sf_dir))
+
+
+@query(chain("""SELECT i.doc_id, i.item, part, title, start, "end", status, method, round(confidence, 2) AS confidence FROM scored i"""))
+def segment_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: every filing's items with label, span, status, method and confidence."""
+    return _segmented(spark, sf_dir).scored.select("doc_id", "item", "part", "title", "start", "end", "status", "method", "confidence")
+
+
+@query(chain('SELECT doc_id, line_no::INTEGER AS line_no, start, least(start + length(raw) + 1, norm_chars)::INTEGER AS "end" FROM alllines'))
+def lines_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.lines(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "line_no", "start", "end")
+
+
+@query(chain("SELECT doc_id, form_type, declared AS form_type_declared, sniffed AS form_type_sniffed, period_end, 'txt' AS format_era, CASE WHEN wrapped THEN 2 ELSE 0 END AS n_blocks, norm_chars::INTEGER AS norm_chars, length(raw_text)::INTEGER AS raw_chars FROM docs"))
+def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "form_type", "form_type_declared", "form_type_sniffed", "period_end", "format_era", "n_blocks", "norm_chars", "raw_chars")
+
+
+@query(chain(r"""SELECT doc_id, (b - 1)::INTEGER AS block_no, regexp_extract(blk, '(?m)^<TYPE>(\S+)', 1) AS type, length(regexp_extract(blk, '(?s)<TEXT>(.*?)</TEXT>', 1))::INTEGER AS body_chars,
+  (instr(raw_text, blk) - 1)::INTEGER AS start FROM (SELECT doc_id, raw_text, unnest(regexp_extract_all(raw_text, '(?s)<DOCUMENT>.*?</DOCUMENT>')) AS blk, generate_subscripts(regexp_extract_all(raw_text, '(?s)<DOCUMENT>.*?</DOCUMENT>'), 1) AS b FROM raw)"""))
+def sgml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filings(spark, sf_dir).select("doc_id", F.posexplode(submissions.blocks(F.col("raw_text"))).alias("block_no", "b"))
+    return rows.select("doc_id", "block_no", "b.type", F.length("b.body").alias("body_chars"), "b.start")
+
+
+@query(chain("SELECT doc_id, item, ord FROM expected"))
+def expected_items_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.expected_items(_docs(spark, sf_dir).select("doc_id", "period_end")).select("doc_id", "item", "ord")
+
+
+@query(chain("SELECT doc_id, item, part, title FROM labels_"))
+def item_label_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    due = segment.expected_items(_docs(spark, sf_dir).select("doc_id", "period_end"))
+    label, p = F.broadcast(taxonomy.label_dim(spark).drop("ord")), F.col("period_end")
+    fits = (F.col("item") == F.col("code")) & F.when(p.isNull(), F.col("valid_from").isNull()).otherwise(
+        (F.col("valid_from").isNull() | (p >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (p < F.col("valid_to")))
+    )
+    return due.join(label, fits).select("doc_id", "item", "part", "title")
+
+
+@query(chain("SELECT doc_id, item, start, heading_end, title, similarity, titled, title_on_next_line, upper FROM cands"))
+def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir)[0].drop("heading_text")
+
+
+@query(chain("SELECT doc_id, item, start, run_id::BIGINT AS run_id, n_codes::INTEGER AS n_codes, dense, echo, recurs, contents FROM kept"))
+def toc_runs_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands = _candidates(spark, sf_dir)[0].where(F.col("titled") & (F.col("similarity") >= segment.SIMILARITY_FLOOR))
+    return segment.contents_runs(cands, F.lit(True)).select("doc_id", "item", "start", "run_id", "n_codes", "dense", "echo", "recurs", "contents")
+
+
+@query(chain("SELECT doc_id, array_to_string(manifest, ',') AS manifest FROM manifest"))
+def toc_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.filter_candidates(_candidates(spark, sf_dir)[0])[1].select("doc_id", F.array_join("manifest", ",").alias("manifest"))
+
+
+@query(chain("SELECT doc_id, item, start, 'table-of-contents cluster' AS why FROM kept WHERE contents AND recurs UNION ALL SELECT doc_id, item, start, 'no title on heading line' FROM cands WHERE NOT titled"))
+def rejected_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.filter_candidates(_candidates(spark, sf_dir)[0])[2].select("doc_id", "item", "start", "why")
+
+
+@query(chain("SELECT doc_id, item, start, heading_end FROM accepted"))
+def greedy_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cands, docs = _candidates(spark, sf_dir)
+    survivors = segment.filter_candidates(cands)[0]
+    return segment.assign(survivors, docs.select("doc_id", "period_end")).select("doc_id", "item", "start", "heading_end")
+
+
+@query(chain('SELECT doc_id, item, start, "end", status FROM items'))
+def status_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir).items.select("doc_id", "item", "start", "end", "status")
+
+
+@query(chain("SELECT doc_id, code, item FROM warned"))
+def validator_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir).warnings.select("doc_id", "code", "item")
+
+
+@query(chain("SELECT doc_id, doc_status FROM states"))
+def doc_status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir).status
+
+
+@query(chain("""SELECT d.doc_id, doc_status, count(i.item)::INTEGER AS n_items, (SELECT count(*) FROM warned w WHERE w.doc_id = d.doc_id)::INTEGER AS n_warnings, sha256(any_value(raw_text)) AS input_sha256
+  FROM docs d JOIN states USING (doc_id) LEFT JOIN items i ON i.doc_id = d.doc_id GROUP BY d.doc_id, doc_status"""))
+def envelope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segmentation.envelopes(filings(spark, sf_dir))
+    return rows.select("doc_id", "doc_status", F.size("items").alias("n_items"), F.size("warnings").alias("n_warnings"), F.col("meta.input_sha256").alias("input_sha256"))
+
+
+@query(chain("SELECT i.doc_id, item, status, \"end\" - start AS chars, sha256(substr(text, start + 1, least(\"end\" - start, 40000))) AS shown, \"end\" - start > 40000 AS truncated FROM items i JOIN docs d ON i.doc_id = d.doc_id"))
+def item_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _segmented(spark, sf_dir)
+    return view.item_view(s.items, s.docs).select("doc_id", "item", "status", "chars", F.sha2("text", 256).alias("shown"), "truncated")
+
+
+@query(chain("""SELECT doc_id, count(*) FILTER (status = 'extracted') AS extracted, count(*) FILTER (status = 'incorporated_by_reference') AS incorporated_by_reference,
+  count(*) FILTER (status = 'omitted') AS omitted, count(*) FILTER (status = 'missing') AS missing FROM items GROUP BY doc_id"""))
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.status_counts(_segmented(spark, sf_dir).items)
+
+
+@query(chain('SELECT doc_id, line_no::INTEGER AS line_no, start, "end", kind FROM chrome'))
+def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = furniture.mark(segment.lines(_docs(spark, sf_dir).select("doc_id", "text")))
+    return marked.where("kind is not null").select("doc_id", "line_no", "start", "end", "kind")
+
+
+@query(chain("""SELECT d.doc_id, sha256(coalesce(string_agg(raw, chr(10) ORDER BY a.line_no), '')) AS stripped_sha256 FROM docs d
+  LEFT JOIN (SELECT * FROM alllines a WHERE NOT EXISTS (SELECT 1 FROM chrome c WHERE c.doc_id = a.doc_id AND c.line_no = a.line_no)) a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""))
+def stripped_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = furniture.mark(segment.lines(_docs(spark, sf_dir).select("doc_id", "text")))
+    return furniture.stripped_text(marked).select("doc_id", F.sha2("stripped", 256).alias("stripped_sha256"))
+
+
+_GAP = """SELECT doc_id, round(sum("end" - start) / max(n), 6) AS coverage, round(greatest(coalesce(max(gap), 0), 0) / max(n), 6) AS gap_frac,
+  arg_max(item, (gap, -start)) FILTER (gap > 0) AS gap_before, arg_max(after, (gap, -start)) FILTER (gap > 0) AS gap_after FROM (
+  SELECT i.*, norm_chars AS n, lead(start) OVER (PARTITION BY i.doc_id ORDER BY start) - "end" AS gap, lead(item) OVER (PARTITION BY i.doc_id ORDER BY start) AS after
+  FROM items i JOIN whole USING (doc_id) WHERE start IS NOT NULL) GROUP BY doc_id"""
+
+
+@query(chain(_GAP))
+def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _segmented(spark, sf_dir)
+    return measure.coverage(s.items, s.docs)
+
+
+@query(chain(r"""SELECT doc_id, item, arg_max(start, (runway, -start)) AS located, max(runway) AS runway, count(*)::BIGINT AS hits FROM (
+  SELECT doc_id, regexp_extract(raw, '(?i)^[ \t]*item[ \t]*(\d{1,2})', 1) || upper(regexp_extract(raw, '(?i)^[ \t]*item[ \t]*\d{1,2}[ \t]?([A-D])?(?:[^A-Za-z0-9]|$)', 1)) AS item, start,
+  (coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), norm_chars) - start)::INTEGER AS runway FROM lines WHERE regexp_matches(raw, '(?i)^[ \t]*item[ \t]*\d{1,2}[ \t]?([A-D])?(?:[^A-Za-z0-9]|$)')) GROUP BY doc_id, item"""))
+def runway_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _whole(_docs(spark, sf_dir))
+    return measure.locate_by_runway(segment.notable(segment.lines(docs.select("doc_id", "text"))), docs)
+
+
+@query(chain("SELECT doc_status, count(*) AS items, count(*) FILTER (confidence >= 0.8) AS confident, round(avg(confidence), 6) AS mean_confidence FROM scored JOIN states USING (doc_id) GROUP BY doc_status"))
+def confidence_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _segmented(spark, sf_dir)
+    rows = s.scored.join(s.status, "doc_id")
+    return rows.groupBy("doc_status").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("confidence") >= measure.CONFIDENT).alias("confident"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+_CHECKS = """WITH_CHECKS AS (
+  SELECT i.doc_id, i.item, 'item_present' AS type, status = 'extracted' AS passed FROM items i UNION ALL
+  SELECT i.doc_id, i.item, 'item_absent', status <> 'extracted' FROM items i UNION ALL
+  SELECT i.doc_id, i.item, 'min_chars', coalesce("end" - start >= 150, false) FROM items i UNION ALL
+  SELECT i.doc_id, i.item, 'max_chars', coalesce("end" - start <= 4000, false) FROM items i UNION ALL
+  SELECT i.doc_id, i.item, 'text_contains', coalesce(contains(substr(text, start + 1, "end" - start), 'market'), false) FROM items i JOIN whole USING (doc_id))"""
+
+
+@query(
+    chain("SELECT 1").removesuffix("\nSELECT 1") + ",\n" + _CHECKS + """
+SELECT metric, CASE WHEN metric = 'false_positive' THEN round(1 - round(good / sample, 4), 4) ELSE round(good / sample, 4) END AS value, sample FROM (
+  SELECT 'presence_recall' AS metric, count(*) FILTER (passed) AS good, count(*) AS sample FROM WITH_CHECKS WHERE type = 'item_present' UNION ALL
+  SELECT 'anchor_containment', count(*) FILTER (passed), count(*) FROM WITH_CHECKS WHERE type = 'text_contains' UNION ALL
+  SELECT 'boundary_band', count(*) FILTER (passed), count(*) FROM WITH_CHECKS WHERE type IN ('min_chars', 'max_chars') UNION ALL
+  SELECT 'false_positive', count(*) FILTER (passed), count(*) FROM WITH_CHECKS WHERE type = 'item_absent')"""
+)
+def check_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five checks declared for every item of every filing, judged and rated."""
+    s = _segmented(spark, sf_dir)
+    kinds = [("item_present", None), ("item_absent", None), ("min_chars", "150"), ("max_chars", "4000"), ("text_contains", "market")]
+    declared = F.explode(F.array(*(F.struct(F.lit(t).alias("type"), F.lit(v).cast("string").alias("value")) for t, v in kinds))).alias("c")
+    checks = s.items.select("doc_id", "item", declared).select(F.concat_ws("|", F.col("doc_id").cast("string"), "item", "c.type").alias("check_id"), "doc_id", "item", "c.*")
+    docs = s.docs.select("doc_id", "text").join(s.status, "doc_id")
+    return measure.check_rates(measure.evaluate_checks(checks, s.scored, docs, s.warnings))
+
+
+_RESULTS = """r AS (SELECT d.doc_id, source, round(0.4 + (d.doc_id % 12) * 0.05, 2) AS confidence, CASE WHEN d.doc_id % 7 = 0 THEN 'ambiguous' ELSE 'success' END AS doc_status,
+  l.doc_id IS NOT NULL AS targeted, coalesce(l.quality = 0, false) AS failed, d.doc_id % 5 = 0 AS debt, n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as results of items: labelled ones are targeted by a check, those of low quality fail it."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    rows = d.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.select(
+        "doc_id", "source", F.round(0.4 + (F.col("doc_id") % 12) * 0.05, 2).alias("confidence"), F.when(F.col("doc_id") % 7 == 0, "ambiguous").otherwise("success").alias("doc_status"),
+        F.col("quality").isNotNull().alias("targeted"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("failed"), (F.col("doc_id") % 5 == 0).alias("debt"), "n_chars",
+    )
+
+
+@query(f"""WITH {_RESULTS} SELECT round(silent / targeted, 4) AS silent_failure_rate, * FROM (SELECT count(*) FILTER (confidence >= 0.8 AND doc_status = 'success' AND targeted) AS targeted,
+  count(*) FILTER (confidence >= 0.8 AND doc_status = 'success' AND targeted AND failed) AS silent, count(*) FILTER (confidence >= 0.8 AND doc_status = 'success' AND NOT targeted) AS unaudited,
+  count(*) FILTER (confidence >= 0.8 AND doc_status <> 'success') AS excluded FROM r)""")
+def silent_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.silent_failures(_results(spark, sf_dir))
+
+
+@query(f"""WITH {_RESULTS} SELECT confidence, count(*) FILTER (NOT debt) AS n_targeted, count(*) FILTER (NOT debt AND failed) AS failed, count(*) FILTER (debt) AS n_debt_targeted,
+  count(*) FILTER (debt AND failed) AS debt_failed FROM r WHERE targeted GROUP BY confidence""")
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.calibration(_results(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT doc_id AS case_id, to_json({'type': lang, 'item': source}) AS check_key FROM documents), f AS (SELECT doc_id AS case_id, quality, toxic FROM labels)
+SELECT k.case_id, coalesce(f.quality = 0, false) OR coalesce(f.toxic = 1, false) AS failed FROM k LEFT JOIN f USING (case_id)""")
+def declared_check_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared checks joined to failures on the canonical JSON of the check."""
+    key = F.to_json(F.struct(F.col("source").alias("item"), F.col("lang").alias("type")))
+    declared = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), key.alias("check_key"))
+    labels = _table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "case_id")
+    failures = declared.join(labels.where("quality = 0"), "case_id", "left_semi")
+    return measure.failed_declarations(declared, failures, labels.where("toxic = 1"))[0].select("case_id", "failed")
+
+
+@query("""WITH s AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT source, max(n_chars) FILTER (i = least(n - 1, floor(n * 0.5))) AS p50, max(n_chars) FILTER (i = least(n - 1, floor(n * 0.95))) AS p95 FROM s GROUP BY source""")
+def percentile_floor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.floor_index(_table(spark, sf_dir, "documents"), "source", "n_chars", {"p50": 0.5, "p95": 0.95})
+
+
+@query("SELECT l_shipmode_ AS linestatus, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90_interpolated FROM (SELECT l_linestatus AS l_shipmode_, l_extendedprice FROM lineitem) GROUP BY 1")
+def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("linestatus"))
+    return rows.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY l_extendedprice)").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))), F.round(F.percentile("l_extendedprice", F.lit(0.9)), 6).alias("p90_interpolated"))
+
+
+@query("""SELECT l_returnflag AS flag, CASE WHEN count(*) >= 3 AND var_pop(l_quantity) > 0 AND var_pop(l_extendedprice) > 0 THEN round(regr_r2(l_extendedprice, l_quantity), 4) END AS r2,
+  round(median(l_extendedprice), 6) AS median, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY l_returnflag""")
+def size_time_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"))
+    return rows.agg(measure.r_squared("l_extendedprice", "l_quantity").alias("r2"), F.round(F.median("l_extendedprice"), 6).alias("median"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS custkey, o_orderkey AS seq, o_totalprice AS v, max(o_totalprice) OVER (PARTITION BY o_custkey) AS peak FROM orders),
+q AS (SELECT *, max(peak - v) OVER (PARTITION BY custkey ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS worst FROM p)
+SELECT custkey, min(seq) AS "from" FROM q WHERE worst <= 50000 GROUP BY custkey""")
+def suffix_plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("v"))
+    return measure.plateau(rows, "custkey", "seq", "v", 50000)
+
+
+@query("""WITH g AS (SELECT source, n_chars AS lo, lead(n_chars) OVER (PARTITION BY source ORDER BY n_chars) AS hi FROM documents)
+SELECT source, max(hi - lo) AS gap, arg_max((lo + hi) / 2, (hi - lo, lo)) AS cut FROM g WHERE hi IS NOT NULL GROUP BY source""")
+def gap_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.widest_cut(_table(spark, sf_dir, "documents"), "source", "n_chars")
+
+
+@query("""WITH a AS (SELECT doc_id, source AS item, n_chars AS chars FROM documents), b AS (SELECT doc_id + 3 AS doc_id, source AS item, n_chars AS chars FROM documents)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.item, b.item) AS item, CASE WHEN a.doc_id IS NULL THEN 'only_theirs' WHEN b.doc_id IS NULL THEN 'only_ours' ELSE 'both' END AS presence,
+  round(least(a.chars, b.chars) / greatest(a.chars, b.chars), 6) * CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN NULL ELSE 1 END AS length_ratio FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.item = b.item""")
+def presence_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("item"), F.col("n_chars").alias("chars"))
+    out = measure.compare_presence(ours, ours.withColumn("doc_id", F.col("doc_id") + 3))
+    return out.withColumn("length_ratio", F.when(F.col("presence") == "both", F.col("length_ratio")))
+
+
+@query(r"""SELECT doc_id, sha256(text) AS sha256, round(length(regexp_replace(text, '[^0-9$%]', '', 'g'))::DOUBLE / greatest(length(text), 1), 9) AS density,
+  length(regexp_replace(text, '\s+', '', 'g')) AS core_chars, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]+', ' ', 'g')) AS norm_head,
+  regexp_matches(lower(text), '\b(risk|adversely|could)\b') AS fingerprint FROM documents""")
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    text = F.col("text")
+    return d.select(
+        "doc_id", F.sha2(text, 256).alias("sha256"), F.round(T.numeric_density(text), 9).alias("density"), F.length(T.core(text)).cast("long").alias("core_chars"),
+        T.norm_title(F.substring(text, 1, 200)).alias("norm_head"), F.lower(text).rlike(r"\b(risk|adversely|could)\b").alias("fingerprint"),
+    )
+
+
+def _sentence_sql() -> str:
+    from foliant.oracle import _sentences
+
+    return rf"SELECT doc_id, len(s)::INTEGER AS n, list_max([length(x) FOR x IN s])::INTEGER AS longest FROM (SELECT doc_id, {_sentences('flat')} AS s FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM documents))"
+
+
+@query(_sentence_sql())
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", T.sentences(T.flat(F.col("text"))).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("n"), F.array_max(F.transform("s", lambda x: F.length(x))).alias("longest"))
+
+
+def _line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_i", "raw"))
+
+
+_INDEX = r"""c AS (SELECT doc_id, i - 1 AS chunk_i, raw, lower(regexp_replace(raw, '\s+', '', 'g')) AS core FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+x AS (SELECT *, coalesce(sum(length(core)) OVER (PARTITION BY doc_id ORDER BY chunk_i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS core_start FROM c WHERE core <> '')"""
+
+
+@query(f"WITH {_INDEX}, t AS (SELECT doc_id, max(core_start + length(core)) AS n FROM x GROUP BY doc_id) SELECT x.doc_id, n // 2 AS core_offset, chunk_i::INTEGER AS chunk_i FROM x JOIN t ON x.doc_id = t.doc_id AND n // 2 >= core_start AND n // 2 < core_start + length(core)")
+def core_index_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the middle of each document's core text lies."""
+    index = stage(anchors.core_index(_line_chunks(spark, sf_dir)), "core-index")
+    middle = index.groupBy("doc_id").agg((F.expr("max(core_end) div 2")).alias("core_offset"))
+    return anchors.locate(middle, index).drop("offset")
+
+
+_ANCHOR_SQL = f"""WITH {_INDEX}, t AS (SELECT doc_id, string_agg(core, '' ORDER BY chunk_i) AS core_text FROM x GROUP BY doc_id),
+h AS (SELECT doc_id, core AS needle FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_i DESC) = 1),
+o AS (SELECT doc_id, needle, core_text, [i FOR i IN range(0, length(core_text) - length(needle) + 1) IF substr(core_text, i + 1, length(needle)) = needle] AS places FROM t JOIN h USING (doc_id))
+SELECT doc_id, len(places)::INTEGER AS hits, (CASE WHEN len(places) = 1 THEN places[1] END)::INTEGER AS anchor FROM o WHERE len(places) = 1"""
+
+
+@query(_ANCHOR_SQL)
+def anchor_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last line of each document as a heading in its core text, where it occurs once."""
+    index = stage(anchors.core_index(_line_chunks(spark, sf_dir)), "core-index")
+    last = index.groupBy("doc_id").agg(F.max_by("raw", "chunk_i").alias("heading_text"))
+    items = last.select("doc_id", F.lit("last").alias("item"), "heading_text", F.col("heading_text").alias("item_text"))
+    return anchors.find_anchors(items, anchors.core_text(index)).where("hits = 1").select("doc_id", "hits", "anchor")
+
+
+@query()
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = T.tidy(P.html_to_text(F.coalesce("html", F.lit(""))))
+    return _table(spark, sf_dir, "pages").select("page_id", text.alias("text")).select("page_id", "text", F.length("text").alias("n_chars"))
+
+
+@query()
+def visible_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(P.visible_chunks("html")).alias("chunk_i", "raw"))
+    return anchors.core_index(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("core_end").alias("core_chars"))
+
+
+@query()
+def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each document's first line to the titles of item 7."""
+    first = T.norm_title(F.substring_index(F.substring_index("text", "\n", 1), ".", 1))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", first.alias("title"))
+    return rows.select("doc_id", F.bround(P.title_ratio("title", F.element_at(taxonomy.aliases(), F.lit("7"))), 3).alias("similarity"))
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(html), '<ix:') THEN 'ixbrl' WHEN regexp_matches(html, '(?i)<(?:html|body|div|font|span|p)[\\s>/]') THEN 'html' ELSE 'txt' END AS format_era FROM pages")
+def format_era(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", T.format_era(F.col("html")).alias("format_era"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

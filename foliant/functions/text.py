@@ -85,13 +85,16 @@ def parse_date(s: Column) -> Column:
     return F.get(F.filter(joined, lambda d: d.isNotNull()), F.lit(0))
 
 
-def period_end(raw: Column, text: Column) -> Column:
+def raw_dates(raw: Column) -> tuple[Column, Column]:
+    """What a raw submission says of its period: the header's digits and the text of the inline fact."""
+    return F.nullif(F.regexp_extract(raw, HEADER_DATE, 1), F.lit("")), F.nullif(F.regexp_extract(raw, INLINE_DATE, 1), F.lit(""))
+
+
+def period_end(header: Column, fact: Column, text: Column) -> Column:
     """Fiscal period end: the header's date, else the inline fact's, else the cover's."""
-    header = F.try_to_date(F.nullif(F.regexp_extract(raw, HEADER_DATE, 1), F.lit("")), "yyyyMMdd")
-    fact = F.regexp_replace(F.regexp_extract(raw, INLINE_DATE, 1), "<[^>]*>", " ")
-    fact = F.regexp_replace(fact, "&(nbsp|#160);", " ")
+    fact = F.regexp_replace(F.regexp_replace(fact, "<[^>]*>", " "), "&(nbsp|#160);", " ")
     cover = F.regexp_extract(F.substring(text, 1, 2 * COVER_CHARS), COVER_DATE, 1)
-    return F.coalesce(header, parse_date(fact), parse_date(cover))
+    return F.coalesce(F.try_to_date(header, "yyyyMMdd"), parse_date(fact), parse_date(cover))
 
 
 def sentences(flattened: Column) -> Column:

@@ -35,12 +35,13 @@ def locate(offsets: DataFrame, index: DataFrame) -> DataFrame:
 def occurrences(text: Column, needle: Column) -> Column:
     """0-based places of the needle, overlapping ones too; none for an empty needle.
 
-    Pieces between occurrences give the places; a needle that can overlap itself is looked for at
-    every place instead.
+    Only a needle that is there twice is looked for at every place.
     """
     n = F.length(needle)
+    first = F.call_function("locate", needle, text)
+    second = F.call_function("locate", needle, text, first + 1)
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substring(text, i + 1, n) == needle)
-    return F.when((n > 0) & F.contains(text, needle), places).otherwise(F.array().cast("array<int>"))
+    return F.when((n == 0) | (first == 0), F.array().cast("array<int>")).when(second == 0, F.array(first - 1)).otherwise(places)
 
 
 def find_anchors(items: DataFrame, texts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.functions.taxonomy import ADDED, ORDER, TITLES
+from foliant.sources.staging import stage
 
 NL = "chr(10)"
 YEAR = "(1993 + doc_id % 33)"
@@ -88,9 +89,9 @@ def submission_expr() -> str:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, raw_text for every document."""
+    """doc_id, raw_text for every document, staged: the expression is long and would be planned again by each reader."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id is not null and text is not null")
-    return docs.selectExpr("doc_id", f"{filing_expr()} AS filing").selectExpr("doc_id", f"{submission_expr()} AS raw_text")
+    return stage(docs.selectExpr("doc_id", f"{filing_expr()} AS filing").selectExpr("doc_id", f"{submission_expr()} AS raw_text"), "filings")
 
 
 def filings_sql() -> str:

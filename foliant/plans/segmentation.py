@@ -68,7 +68,7 @@ def envelopes(raw: DataFrame, exclude_boilerplate: bool = False) -> DataFrame:
     out = s.docs.join(s.status, "doc_id").join(items, "doc_id", "left").join(warnings, "doc_id", "left").join(s.manifest, "doc_id", "left")
     empty = lambda c: F.when(F.col("items").isNotNull(), F.coalesce(c, F.array().cast("array<string>")))
     meta = F.struct(
-        F.lit(__version__).alias("extractor_version"), F.sha2("raw_text", 256).alias("input_sha256"), "form_type", "period_end", "form_type_declared", "form_type_sniffed",
+        F.lit(__version__).alias("extractor_version"), "input_sha256", "form_type", "period_end", "form_type_declared", "form_type_sniffed",
         "format_era", F.when(F.col("modern"), "modern").when(F.col("items").isNotNull(), "legacy").alias("taxonomy_era"), empty(F.col("manifest")).alias("toc_manifest"),
         "document_selected", "n_blocks", "block_types", "raw_chars", "norm_chars",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.functions.python import decode_cp1252, html_to_text
 from foliant.functions.taxonomy import ACCEPTED_FORMS
+from foliant.sources.staging import stage
 
 MAX_UPLOAD_BYTES = 25 << 20
 UPLOAD_SUFFIXES = ("htm", "html", "txt")
@@ -63,35 +64,39 @@ def blocks(raw: Column) -> Column:
 
 
 def select_documents(raw: DataFrame) -> DataFrame:
-    """doc_id, raw_text -> doc_id, raw_text, text (normalized), and the document's facts.
+    """doc_id, raw_text -> doc_id, text (normalized), and the document's facts.
 
-    The accepted block is read, else the whole submission. Only HTML goes through Python.
+    The accepted block is read, else the whole submission. Only HTML goes through Python. The
+    normalized text is staged once; facts are taken from the staged text and from short
+    extracts of the raw text.
     """
     rows = raw.select("doc_id", "raw_text", blocks(F.col("raw_text")).alias("blocks"))
     chosen = F.get(F.filter("blocks", lambda b: b["type"].isin(*ACCEPTED_FORMS)), F.lit(0))
     rows = rows.withColumn("chosen", chosen).withColumn("body", F.coalesce(F.col("chosen.body"), F.col("raw_text")))
-    rows = rows.withColumn("format_era", T.format_era(F.col("body")))
+    declared = F.when(F.col("chosen").isNotNull(), F.col("chosen.type")).otherwise(F.nullif(F.get("blocks", F.lit(0))["type"], F.lit("")))
+    picked = F.when(F.col("chosen").isNotNull(), F.trim(F.concat_ws(" ", "chosen.type", F.concat(F.lit("seq="), "chosen.sequence"), "chosen.filename")))
+    picked = picked.when(F.size("blocks") > 0, "whole file (no 10-K block to select)").otherwise("whole file (no <DOCUMENT> blocks)")
+    header, fact = T.raw_dates(F.col("raw_text"))
+    rows = rows.select(
+        "doc_id", "body", T.format_era(F.col("body")).alias("format_era"), declared.alias("form_type_declared"), picked.alias("document_selected"),
+        F.size("blocks").alias("n_blocks"), F.array_sort(F.array_distinct(F.transform("blocks", lambda b: b["type"]))).alias("block_types"),
+        ((F.size("blocks") > 0) & F.col("chosen").isNull()).alias("fallback"), F.length("raw_text").alias("raw_chars"),
+        F.sha2("raw_text", 256).alias("input_sha256"), header.alias("header_date"), fact.alias("inline_date"),
+    )
     plain = rows.where("format_era = 'txt'").withColumn("text", T.plain_text(F.col("body")))
     markup = rows.where("format_era <> 'txt'").withColumn("text", T.tidy(html_to_text("body")))
-    rows = plain.unionByName(markup)
-    declared = F.when(F.col("chosen").isNotNull(), F.col("chosen.type")).otherwise(F.nullif(F.get("blocks", F.lit(0))["type"], F.lit("")))
-    rows = rows.withColumn("form_type_declared", declared).withColumn("form_type_sniffed", T.sniff_form(F.col("text")))
+    rows = stage(plain.unionByName(markup).drop("body"), "normalized")
+
+    rows = rows.withColumn("form_type_sniffed", T.sniff_form(F.col("text")))
     d, s = F.col("form_type_declared"), F.col("form_type_sniffed")
     family = d.isin(*ACCEPTED_FORMS) & s.isin(*ACCEPTED_FORMS)
     disagree = F.coalesce((F.replace(d, F.lit("-"), F.lit("")) != F.replace(s, F.lit("-"), F.lit(""))) & ~family, F.lit(False))
-    fallback = (F.size("blocks") > 0) & F.col("chosen").isNull()
-    picked = F.when(F.col("chosen").isNotNull(), F.trim(F.concat_ws(" ", "chosen.type", F.concat(F.lit("seq="), "chosen.sequence"), "chosen.filename")))
-    picked = picked.when(F.size("blocks") > 0, "whole file (no 10-K block to select)").otherwise("whole file (no <DOCUMENT> blocks)")
+    warned = F.array(F.when(F.col("fallback"), "whole_submission_fallback"), F.when(disagree, "form_type_disagreement"))
     return rows.select(
-        "doc_id", "raw_text", "text", "format_era", d, s,
-        F.coalesce(d, s).alias("form_type"),
-        T.period_end(F.col("raw_text"), F.col("text")).alias("period_end"),
-        F.size("blocks").alias("n_blocks"),
-        F.array_sort(F.array_distinct(F.transform("blocks", lambda b: b["type"]))).alias("block_types"),
-        picked.alias("document_selected"),
-        F.length("raw_text").alias("raw_chars"),
-        F.length("text").alias("norm_chars"),
-        F.filter(F.array(F.when(fallback, "whole_submission_fallback"), F.when(disagree, "form_type_disagreement")), lambda x: x.isNotNull()).alias("selection_warnings"),
+        "doc_id", "text", "format_era", d, s, F.coalesce(d, s).alias("form_type"),
+        T.period_end(F.col("header_date"), F.col("inline_date"), F.col("text")).alias("period_end"),
+        "n_blocks", "block_types", "document_selected", "raw_chars", F.length("text").alias("norm_chars"), "input_sha256",
+        F.filter(warned, lambda x: x.isNotNull()).alias("selection_warnings"),
     )
 
 
