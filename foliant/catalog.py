@@ -81,7 +81,7 @@ def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(chain(r"""SELECT doc_id, (b - 1)::INTEGER AS block_no, regexp_extract(blk, '(?m)^<TYPE>(\S+)', 1) AS type, length(regexp_extract(blk, '(?s)<TEXT>(.*?)</TEXT>', 1))::INTEGER AS body_chars,
   (instr(raw_text, blk) - 1)::INTEGER AS start FROM (SELECT doc_id, raw_text, unnest(regexp_extract_all(raw_text, '(?s)<DOCUMENT>.*?</DOCUMENT>')) AS blk, generate_subscripts(regexp_extract_all(raw_text, '(?s)<DOCUMENT>.*?</DOCUMENT>'), 1) AS b FROM raw)"""))
 def sgml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = filings(spark, sf_dir).select("doc_id", F.posexplode(submissions.blocks(F.col("raw_text"))).alias("block_no", "b"))
+    rows = submissions.with_blocks(filings(spark, sf_dir)).select("doc_id", F.posexplode("blocks").alias("block_no", "b"))
     return rows.select("doc_id", "block_no", "b.type", F.length("b.body").alias("body_chars"), "b.start")
 
 

@@ -163,17 +163,24 @@ def spans(accepted: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("doc_id", "item", "start", F.least("bound", F.coalesce("clip", "bound")).cast("int").alias("end"), "heading_end", "heading_text", "similarity")
 
 
-def pointer_status(body: Column) -> Column:
-    """Whether a body is its content or points to another document's."""
-    flat = T.flat(body)
-    parts = T.sentences(flat)
-    stop = F.array_position(F.transform(parts, lambda s: T.is_pointer(s)), False).cast("int")
-    lead = F.when(stop > 0, F.slice(parts, 1, stop - 1)).otherwise(parts)
-    joined = F.array_join(lead, " ")
-    rest = F.slice(parts, F.size(lead) + 1, F.greatest(F.size(parts) - F.size(lead), F.lit(0)))
-    prose = F.aggregate(F.filter(rest, lambda s: ~T.is_pointer(s)), F.lit(0), lambda a, s: a + F.length(s))
-    points = joined.rlike(T.BY_REFERENCE) & joined.rlike(T.OTHER_DOCUMENT) & (prose <= REMAINDER_MAX)
-    return F.when(flat.rlike(T.BY_REFERENCE) & points, "incorporated_by_reference").otherwise("extracted")
+def pointer_status(rows: DataFrame) -> DataFrame:
+    """rows (with body) with ``found``: whether a body is its content or points to another document's.
+
+    Only bodies with words of reference are split into sentences; each step is a projection of
+    its own, so no array is built twice.
+    """
+    rows = rows.withColumn("flat", T.flat(F.col("body"))).withColumn("refers", F.col("flat").rlike(T.BY_REFERENCE))
+    plain = rows.where("not refers").withColumn("found", F.lit("extracted"))
+    some = rows.where("refers").withColumn("parts", T.sentences(F.col("flat")))
+    some = some.withColumn("points", F.transform("parts", lambda s: T.is_pointer(s)))
+    stop = F.array_position("points", False).cast("int")
+    some = some.withColumn("n_lead", F.when(stop > 0, stop - 1).otherwise(F.size("parts")))
+    some = some.withColumn("lead", F.array_join(F.slice("parts", F.lit(1), F.col("n_lead")), " "))
+    rest = F.filter("parts", lambda s, i: (i >= F.col("n_lead")) & ~F.get("points", i))
+    prose = F.aggregate(rest, F.lit(0), lambda a, s: a + F.length(s))
+    away = F.col("lead").rlike(T.BY_REFERENCE) & F.col("lead").rlike(T.OTHER_DOCUMENT) & (prose <= REMAINDER_MAX)
+    some = some.withColumn("found", F.when(away, "incorporated_by_reference").otherwise("extracted"))
+    return plain.drop("flat", "refers").unionByName(some.drop("flat", "refers", "parts", "points", "n_lead", "lead"))
 
 
 def items(spanned: DataFrame, docs: DataFrame) -> DataFrame:
@@ -192,7 +199,7 @@ def items(spanned: DataFrame, docs: DataFrame) -> DataFrame:
     rows = expected.join(label, fits).drop("code", "valid_from", "valid_to")
     texts = docs.select("doc_id", "text")
     body = F.substring(F.col("text"), F.col("heading_end") + 1, F.greatest(F.col("end") - F.col("heading_end"), F.lit(0)))
-    judged = spanned.join(texts, "doc_id").withColumn("found", pointer_status(body)).drop("text")
+    judged = pointer_status(spanned.join(texts, "doc_id").withColumn("body", body).drop("text")).drop("body")
     rows = rows.join(judged, ["doc_id", "item"], "left")
     absent = F.when(F.col("item").isin(*taxonomy.MAY_BE_ABSENT), "omitted").otherwise("missing")
     return rows.withColumn("status", F.coalesce("found", absent)).drop("found")

@@ -45,22 +45,28 @@ def refuse_upload(name: Column, length: Column) -> Column:
     return F.when(~suffix.isin(*UPLOAD_SUFFIXES) | (length == 0), "bad_input").when(length > MAX_UPLOAD_BYTES, "too_large")
 
 
-def blocks(raw: Column) -> Column:
-    """Array of (type, sequence, filename, body, start) of a submission's <DOCUMENT> blocks."""
-    whole = F.regexp_extract_all(raw, F.lit(r"(?is)<DOCUMENT>.*?(?:</DOCUMENT>|\z)"), F.lit(0))
-    lead = F.split(raw, r"(?is)<DOCUMENT>.*?(?:</DOCUMENT>|\z)", -1)
+_BLOCK = r"(?is)<DOCUMENT>.*?(?:</DOCUMENT>|\z)"
+
+
+def with_blocks(raw: DataFrame) -> DataFrame:
+    """raw (doc_id, raw_text) with blocks: (type, sequence, filename, body, start) of its <DOCUMENT> blocks."""
+    some = F.col("raw_text").rlike("(?i)<DOCUMENT>")
+    none = F.array().cast("array<string>")
+    rows = raw.withColumn("_whole", F.when(some, F.regexp_extract_all("raw_text", F.lit(_BLOCK), F.lit(0))).otherwise(none))
+    rows = rows.withColumn("_lead", F.when(some, F.split("raw_text", _BLOCK, -1)).otherwise(none))
     field = lambda b, tag: F.regexp_extract(b, rf"(?im)^<{tag}>(\S+)", 1)
+    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
 
     def one(block, i):
-        inner = F.regexp_replace(F.regexp_replace(block, r"(?is)\A<DOCUMENT>", ""), r"(?is)</DOCUMENT>\z", "")
+        inner = F.regexp_replace(block, r"(?is)\A<DOCUMENT>|</DOCUMENT>\z", "")
         body = F.when(inner.rlike("(?i)<TEXT>"), F.regexp_extract(inner, r"(?is)<TEXT>(.*?)(?:</TEXT>|\z)", 1)).otherwise(inner)
-        before = F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(lead, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
+        before = chars(F.slice("_whole", 1, i)) + chars(F.slice("_lead", 1, i + 1))
         return F.struct(
             F.upper(field(inner, "TYPE")).alias("type"), field(inner, "SEQUENCE").alias("sequence"), field(inner, "FILENAME").alias("filename"),
             body.alias("body"), before.alias("start"),
         )
 
-    return F.transform(whole, one)
+    return rows.withColumn("blocks", F.transform("_whole", one)).drop("_whole", "_lead")
 
 
 def select_documents(raw: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def select_documents(raw: DataFrame) -> DataFrame:
     normalized text is staged once; facts are taken from the staged text and from short
     extracts of the raw text.
     """
-    rows = raw.select("doc_id", "raw_text", blocks(F.col("raw_text")).alias("blocks"))
+    rows = with_blocks(raw.select("doc_id", "raw_text"))
     chosen = F.get(F.filter("blocks", lambda b: b["type"].isin(*ACCEPTED_FORMS)), F.lit(0))
     rows = rows.withColumn("chosen", chosen).withColumn("body", F.coalesce(F.col("chosen.body"), F.col("raw_text")))
     declared = F.when(F.col("chosen").isNotNull(), F.col("chosen.type")).otherwise(F.nullif(F.get("blocks", F.lit(0))["type"], F.lit("")))
