@@ -39,13 +39,18 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each trigram, document), without those that hold no letter or cross texts."""
-    b = _FOLD[data]
-    n = max(0, len(b) - 2)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    ok = (doc[:n] == doc[2:]) & ((b[:n] != 32) | (b[1 : n + 1] != 32) | (b[2:] != 32))
-    code = (b[:n] * 31 + b[1 : n + 1]) * 37 + b[2:]
-    return (code * 7919 & (BUCKETS - 1))[ok], doc[:n][ok]
+    """(bucket of each trigram, document of its middle); a space stands before and after each text.
+
+    Trigrams without a letter are left out.
+    """
+    doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
+    at = np.arange(len(data)) + doc + 1
+    b = np.full(len(data) + len(offs), 32, dtype=np.int32)
+    b[at] = _FOLD[data]
+    first, last = b[at - 1], b[at + 1]
+    ok = (first != 32) | (b[at] != 32) | (last != 32)
+    code = (first * 31 + b[at]) * 37 + last
+    return (code * 7919 & (BUCKETS - 1))[ok], doc[ok]
 
 
 def _count(batches):

@@ -51,9 +51,10 @@ def members(f) -> list[Member]:
     f.seek(tail_at)
     tail = f.read(size - tail_at)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and len(tail) - at >= 22 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    # the comment may hold the signature too: the record must end with its comment
+    while at >= 0 and (len(tail) - at < 22 or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)
-    if at < 0 or len(tail) - at < 22:
+    if at < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
     locator = tail_at + at - 20
