@@ -296,4 +296,19 @@ def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
-SQL: dict[str, str] = {}
+#: Exact similarities of all pairs that share a shingle, and their transitive closure: for small tables.
+SQL = {
+    "op2_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[p:p + 4], ' ') FOR p IN range(1, len(w) - 3)]) END AS g FROM d),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT g.doc_id, len(g)::BIGINT AS n_shingles, least(g.doc_id, coalesce(low, g.doc_id)) AS component_id, g.doc_id <= coalesce(low, g.doc_id) AS kept
+FROM g LEFT JOIN m ON g.doc_id = m.a
+""",
+}
