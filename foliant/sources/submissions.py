@@ -27,7 +27,8 @@ def decode(files: DataFrame) -> DataFrame:
     The two kinds are split first, so only invalid rows reach the Python function.
     """
     good = F.is_valid_utf8("content")
-    utf8 = files.where(good).withColumn("raw_text", F.decode("content", "UTF-8"))
+    # guarded as well: a later filter on the text may be evaluated together with the split
+    utf8 = files.where(good).withColumn("raw_text", F.when(good, F.decode("content", "UTF-8")))
     other = files.where(~good).withColumn("raw_text", decode_cp1252("content"))
     return utf8.unionByName(other)
 
