@@ -166,21 +166,21 @@ def spans(accepted: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
 def pointer_status(rows: DataFrame) -> DataFrame:
     """rows (with body) with ``found``: whether a body is its content or points to another document's.
 
-    Only bodies with words of reference are split into sentences; each step is a projection of
-    its own, so no array is built twice.
+    Only bodies with words of reference are flattened and split into sentences; each step is a
+    projection of its own, so no array is built twice.
     """
-    rows = rows.withColumn("flat", T.flat(F.col("body"))).withColumn("refers", F.col("flat").rlike(T.BY_REFERENCE))
+    rows = rows.withColumn("refers", F.col("body").rlike(r"(?iU)by\s+reference|reported\s+on\s+pages|refer\s+to"))
     plain = rows.where("not refers").withColumn("found", F.lit("extracted"))
-    some = rows.where("refers").withColumn("parts", T.sentences(F.col("flat")))
+    some = rows.where("refers").withColumn("flat", T.flat(F.col("body"))).withColumn("parts", T.sentences(F.col("flat")))
     some = some.withColumn("points", F.transform("parts", lambda s: T.is_pointer(s)))
     stop = F.array_position("points", False).cast("int")
     some = some.withColumn("n_lead", F.when(stop > 0, stop - 1).otherwise(F.size("parts")))
     some = some.withColumn("lead", F.array_join(F.slice("parts", F.lit(1), F.col("n_lead")), " "))
     rest = F.filter("parts", lambda s, i: (i >= F.col("n_lead")) & ~F.get("points", i))
     prose = F.aggregate(rest, F.lit(0), lambda a, s: a + F.length(s))
-    away = F.col("lead").rlike(T.BY_REFERENCE) & F.col("lead").rlike(T.OTHER_DOCUMENT) & (prose <= REMAINDER_MAX)
+    away = F.col("flat").rlike(T.BY_REFERENCE) & F.col("lead").rlike(T.BY_REFERENCE) & F.col("lead").rlike(T.OTHER_DOCUMENT) & (prose <= REMAINDER_MAX)
     some = some.withColumn("found", F.when(away, "incorporated_by_reference").otherwise("extracted"))
-    return plain.drop("flat", "refers").unionByName(some.drop("flat", "refers", "parts", "points", "n_lead", "lead"))
+    return plain.drop("refers").unionByName(some.drop("flat", "refers", "parts", "points", "n_lead", "lead"))
 
 
 def items(spanned: DataFrame, docs: DataFrame) -> DataFrame:

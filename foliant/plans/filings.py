@@ -91,6 +91,7 @@ def submission_expr() -> str:
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, raw_text for every document, staged: the expression is long and would be planned again by each reader."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = docs.repartition(spark.sparkContext.defaultParallelism)  # the test tables are single files
     return stage(docs.selectExpr("doc_id", f"{filing_expr()} AS filing").selectExpr("doc_id", f"{submission_expr()} AS raw_text"), "filings")
 
 
