@@ -160,13 +160,14 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     copies = cut(base.join(first, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep"), "copies")
 
     anchors = texts.mapInArrow(_anchors(window), "h long, id long, pos int")
-    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # written first: a join with a table, not with an aggregation, lets Spark split a hot hash
+    shared = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "shared-anchors")
     marks = anchors.join(shared, "h").groupBy("id").agg(F.collect_list("pos").alias("marks"))
     marks = cut(marks.join(copies, "id", "left_anti"), "marks")
     suspects = cut(texts.join(marks, "id"), "suspects")
 
     seeds = suspects.select("id", "text", "marks").mapInArrow(_seeds(window), "h long, id long, pos int")
-    earliest = seeds.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "at")
+    earliest = cut(seeds.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "at"), "first-seeds")
     later = seeds.join(earliest, "h").where((F.col("at.id") < F.col("id")) | ((F.col("at.id") == F.col("id")) & (F.col("at.pos") < F.col("pos"))))
     hits = later.groupBy("id").agg(F.collect_list(F.struct("pos", F.col("at.id").alias("ref_id"), F.col("at.pos").alias("ref_start"))).alias("hits"))
     left = suspects.select("id", "text").join(hits, "id").mapInArrow(_remove(window), f"id long, gone long, sha_left string, factors {_FACTORS}")
