@@ -3,7 +3,7 @@
 For each text and language l the evidence adds up as log probabilities:
 
 * text: a multinomial model of byte trigrams (letters folded, all else one space), trained from a
-  bounded sample of rows with a declared language. Neighbouring trigrams overlap, so the sum is
+  bounded sample of each declared language's rows. Neighbouring trigrams overlap, so the sum is
   divided by three. A background model (trigrams spread evenly) is one more hypothesis: a text
   that it explains better is in none of the known languages.
 * declared markup language: P(declared | l), from a table of counts over all rows, smoothed
@@ -26,10 +26,10 @@ from foliant.llm import words as W
 from foliant.llm.storage import cut, small, table
 
 BUCKETS = 1 << 15
-#: Bound of the labelled rows that the text model is trained from.
+#: Bound of the labelled rows of each language that the text model is trained from.
 MAX_LABELLED = 20_000
-#: Most languages told apart: those with the most labelled rows.
-MAX_LANGUAGES = 64
+#: Texts with a trigram: those with a letter.
+LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 NONE = "und"
 
 _FOLD = np.full(256, 32, dtype=np.int32)
@@ -68,17 +68,23 @@ def _count(batches):
 
 
 class TextModel:
-    """languages, and log P(trigram bucket | language) with the background as the last row."""
+    """languages, and log P(trigram bucket | language) with the background as the last row.
+
+    Languages are all that are declared by a row whose text has a letter, however few declare
+    them. Each is trained from ``max_labelled`` of its rows, chosen by a hash of the text (copies
+    of one text come or stay together), at least those of the text with the smallest hash. The
+    model takes 128 KB a language.
+    """
 
     def __init__(self, rows: DataFrame, max_labelled: int = MAX_LABELLED):
-        labelled = rows.where("_declared is not null and length(_text) > 0")
-        n = labelled.count()
-        share = min(1.0, max_labelled / max(1, n))
-        cell = F.pmod(F.xxhash64("_text"), F.lit(1 << 20))
-        sample = labelled.select("_declared", "_text").where(cell < int(share * (1 << 20)))
-        by_language = labelled.groupBy("_declared").count().orderBy(F.desc("count"), "_declared").limit(MAX_LANGUAGES)
-        self.languages = sorted(r["_declared"] for r in by_language.collect())
-        counts = sample.mapInArrow(_count, "lang string, gram int, n long").where(F.col("lang").isin(self.languages)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        labelled = rows.select("_declared", "_text", F.shiftrightunsigned(F.xxhash64("_text"), 12).alias("_cell"))
+        labelled = labelled.where(F.col("_declared").isNotNull() & F.col("_text").rlike(LETTER))
+        found = labelled.groupBy("_declared").agg(F.count(F.lit(1)).alias("n"), F.min("_cell").alias("low")).collect()
+        self.languages = sorted(r["_declared"] for r in found)
+        upto = [(r["_declared"], max(int(min(1.0, max_labelled / r["n"]) * (1 << 52)), r["low"] + 1)) for r in found]
+        bounds = rows.sparkSession.createDataFrame(upto, "_declared string, _upto long")
+        sample = labelled.join(F.broadcast(bounds), "_declared").where("_cell < _upto").select("_declared", "_text")
+        counts = sample.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         got = counts.toArrow()
         table_ = np.full((len(self.languages) + 1, BUCKETS), 0.0)
         at = {name: i for i, name in enumerate(self.languages)}
@@ -167,13 +173,12 @@ def identify(
     for r in pairs:
         said[names.index(r["_by_text"]), names.index(r["_declared"])] += r["count"]
     said = np.log(np.maximum(said / said.sum(axis=1, keepdims=True), 1e-9))
-    rows_of = F.create_map(*(x for d, name in enumerate(names) for x in (F.lit(name), F.array(*(F.lit(float(v)) for v in said[:, d])))))
-    no_evidence = F.array(*(F.lit(0.0) for _ in names))
-    declared_log = F.coalesce(F.try_element_at(rows_of, F.col("_declared")), no_evidence)
+    rows_of = F.broadcast(docs.sparkSession.createDataFrame([(name, said[:, d].tolist()) for d, name in enumerate(names)], "_declared string, _said array<double>"))
+    declared_log = F.coalesce("_said", F.array_repeat(F.lit(0.0), len(names)))
 
     # hierarchically smoothed priors by grouped aggregation
     added = F.zip_with(F.slice("_loglik", 1, len(names)), declared_log, lambda a, b: a + b)
-    votes = seen.select("_host", host_suffix(F.col("_host")).alias("_suffix"), best(added).alias("_vote"))
+    votes = seen.join(rows_of, "_declared", "left").select("_host", host_suffix(F.col("_host")).alias("_suffix"), best(added).alias("_vote"))
     per_host = cut(votes.groupBy("_host", "_suffix").agg(*(F.count_if(F.col("_vote") == name).alias(f"n{i}") for i, name in enumerate(names))), "host-votes")
     n = [f"n{i}" for i in range(len(names))]
     every = per_host.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in n)).first()
@@ -191,7 +196,7 @@ def identify(
     general = F.array(*(F.lit(float(np.log(p))) for p in overall))
 
     decided = rows.mapInArrow(_score(model), _ddl(rows, ("_text",)) + ", _loglik array<double>, _grams long")
-    joined = decided.join(small(cut(priors, "host-priors")), "_host", "left")
+    joined = decided.join(rows_of, "_declared", "left").join(small(cut(priors, "host-priors")), "_host", "left")
     posterior = F.zip_with(F.zip_with(F.slice("_loglik", 1, len(names)), declared_log, lambda a, b: a + b), F.coalesce("_prior", general), lambda a, b: a + b)
     joined = joined.withColumn("_post", posterior).withColumn("_top", F.array_max("_post"))
     share = 1 / F.aggregate("_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
@@ -216,7 +221,7 @@ def pages_language(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         "page_id",
         F.regexp_replace(body, r"&[a-zA-Z0-9#]+;", " ").alias("text"),
-        F.substring(F.nullif(F.regexp_extract(html, r"""(?i)<html[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", 1), F.lit("")), 1, 2).alias("declared"),
+        F.nullif(F.regexp_extract(html, r"""(?i)<html[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", 1), F.lit("")).alias("declared"),
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*?://([^/?#:]*)", 1).alias("host"),
     )
     return identify(rows, declared="declared", host="host").select("page_id", "language", "confidence", "kept")

@@ -269,6 +269,40 @@ def test_language_priors_decide_short_texts(spark):
     assert (got[500], got[501], got[502]) == ("en", "de", "de")
 
 
+def made_language(seed, letters):
+    """A function that makes texts of an invented language."""
+    vocab = ["".join(random.Random(f"{seed}-{i}").choices(letters, k=5)) for i in range(30)]
+    return lambda r: " ".join(r.choices(vocab, k=20))
+
+
+def test_rare_languages_are_sampled(spark):
+    """A language of a few rows, and one whose rows are copies of one text, beside one of many rows."""
+    r = random.Random(9)
+    much, rare, copied = made_language(1, "aeotnr"), made_language(2, "bdgiulm"), made_language(3, "kyzwup")
+    one = copied(r)
+    rows = [(i, much(r), "aa", None) for i in range(3000)] + [(5000 + i, rare(r), "bb", None) for i in range(6)] + [(6000 + i, one, "cc", None) for i in range(300)]
+    rows += [(9000, rare(r), None, None), (9001, one, None, None), (9002, "qxqj vfqx xjqv qhfx jqvx fqxj", None, None), (9003, "12 34", "dd", None)]
+    got = {x.doc_id: x.language for x in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), max_labelled=40).collect()}
+    assert [got[i] for i in (9000, 9001, 9002, 9003)] == ["bb", "cc", "und", "und"]
+
+
+def test_many_languages(spark):
+    r = random.Random(10)
+    makers = {f"l{i:02}": made_language(i, r.sample("abcdefghijklmnopqrstuvwxyz", 8)) for i in range(70)}
+    rows = [(i, make(r), name, None) for name, make in makers.items() for i in (1, 2, 3)] + [(100 + i, make(r), None, name) for i, (name, make) in enumerate(makers.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, told string")
+    got = language_id.identify(docs, host=None).where("doc_id >= 100").collect()
+    assert sum(x.language == x.told for x in got) == 70
+
+
+def test_whole_language_subtag(spark):
+    r = random.Random(11)
+    first, second = made_language(1, "aeotnr"), made_language(2, "bdgiulm")
+    rows = [(i, f"http://h{i}.x/", f'<html lang="{"fi" if i % 2 else "fil-PH"}"><body>{(first if i % 2 else second)(r)}</body></html>') for i in range(40)]
+    got = language_id.pages_language(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(x.language == ("fi" if x.page_id % 2 else "fil") for x in got)
+
+
 def test_language_of_nothing(spark, spoken):
     assert language_id.identify(spoken.limit(0)).count() == 0
     alone = language_id.identify(spoken.limit(3).withColumn("lang", F.lit(None).cast("string"))).collect()
