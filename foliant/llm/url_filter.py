@@ -2,11 +2,13 @@
 
 All work is DataFrame and ``pyspark.ml`` operations. Features of a url: lengths, depth of the
 path, digit ratios, entropy of host and path, counts of parameters, hyphens and labels, and
-statistics of its suffix (how often the labelled urls of that suffix are blocked, smoothed).
+statistics of its suffix (how often the labelled urls of that suffix are blocked, smoothed),
+taken over all labelled urls. Only the fit of the trees is from a sample, drawn of each kind.
 
-Labelled urls: a labelled table may be given. Without one, a url whose host has a label of the
-seed list counts as blocked and any other as allowed; the trees see no host names, only lexical
-features, and so carry the judgement over to hosts of the same make.
+Labelled urls: a labelled table may be given. Without one, the urls that a rule decides are
+labelled by its verdict; the trees see no host names, only lexical features, and so carry the
+judgement over to urls of the same make. Half of the sampled urls are shown to the trees as if
+their suffix were not known, so that they also learn to judge urls of new suffixes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.storage import cut, table
+from foliant.llm.storage import cut, small, table
 
 # Fixed values: (host, path, verdict) of the rules.
 RULES = (
@@ -27,9 +29,7 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Host labels whose urls are labelled as blocked where no labelled table is given.
-SEEDS = ("spam-farm", "cheap-pills", "casino-win", "ads-track", "free-bets")
-#: Bound of the labelled rows that the trees are trained from.
+#: Bound of the labelled rows that the trees are trained from, half of it for each kind.
 MAX_LABELLED = 20_000
 TREES, DEPTH = 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,7 +74,7 @@ def lexical(pages: DataFrame) -> DataFrame:
     h, p, u, r = (F.col(c) for c in ("host", "path", "_url", "_rest"))
     labels = F.split(h, r"\.")
     return base.select(
-        "page_id", "host", "path", "rule", "_verdict",
+        "page_id", "_url", "host", "path", "rule", "_verdict",
         F.when(h == "", F.lit("")).otherwise(F.concat(F.element_at(labels, -1), F.lit("/"), F.regexp_extract(p, r"^/?([^/]*)", 1))).alias("_suffix"),
         F.length(u).cast("double").alias("url_length"),
         F.length(h).cast("double").alias("host_length"),
@@ -95,8 +95,8 @@ def lexical(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict, score.
 
-    pages has ``page_id`` and ``url``; labelled has ``url`` and ``label`` (1: block). Other
-    columns are not read. A null url, or one without ``://``, has empty host and path and no
+    pages has ``page_id`` and ``url``; labelled has ``url`` and ``label`` (1: block, 0: allow;
+    without it the rules label the pages' own urls). Other columns are not read. A null url, or one without ``://``, has empty host and path and no
     rule. Null page_ids are kept and rows that repeat are judged each. Where the labelled urls
     are none or all of one kind there is nothing to learn: the verdict is then that kind, allow
     where none. score is the trees' probability of block, null where
@@ -105,41 +105,36 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     spark = pages.sparkSession
     rows = lexical(pages)
     if labelled is None:
-        seeds = F.array(*map(F.lit, SEEDS))
-        source = pages.select("url").withColumn("label", F.arrays_overlap(F.split(split_url(F.col("url"))[0], r"\."), seeds).cast("double"))
+        source = rows.drop("page_id").withColumn("label", (F.col("_verdict") == "block").cast("double"))
     else:
-        source = labelled.select("url", F.col("label").cast("double").alias("label"))
-    source = source.where("url is not null and label is not null")
-    share = min(1.0, MAX_LABELLED / max(1, source.count()))
-    sample = source.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    train = cut(_with_label(sample), "labelled")
-    kinds = {r["label"] for r in train.groupBy("label").count().collect()}
+        source = lexical(labelled.where("url is not null").select(F.col("label").cast("double").alias("page_id"), "url")).withColumnRenamed("page_id", "label")
+    source = source.where("label is not null").withColumn("_cell", F.shiftrightunsigned(F.xxhash64("_url"), 12))
+    kinds = {r["label"]: r for r in source.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("_cell").alias("low")).collect()}
     if len(kinds) < 2:
-        only = F.lit("block" if kinds == {1.0} else "allow")
+        only = F.lit("block" if set(kinds) == {1.0} else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_verdict", only).alias("verdict"), F.lit(None).cast("double").alias("score"))
 
-    # at most as many suffixes as labelled rows: bounded
-    overall = train.agg(F.avg("label")).first()[0]
-    suffixes = train.groupBy("_suffix").agg(((F.sum("label") + 10 * overall) / (F.count(F.lit(1)) + 10)).alias("suffix_blocked"), F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_seen"))
-    suffixes = F.broadcast(cut(suffixes, "suffixes"))
+    overall = kinds[1.0]["n"] / (kinds[0.0]["n"] + kinds[1.0]["n"])
+    suffixes = source.groupBy("_suffix").agg(((F.sum("label") + 10 * overall) / (F.count(F.lit(1)) + 10)).alias("suffix_blocked"), F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_seen"))
+    suffixes = small(cut(suffixes, "suffixes"))
+    # of each kind a share by the url's hash, weighted back to the kind's own share of all rows
+    taken = {k: max(int(min(1.0, MAX_LABELLED / 2 / r["n"]) * (1 << 52)), r["low"] + 1) for k, r in kinds.items()}
+    upto = F.when(F.col("label") == 1.0, F.lit(taken[1.0])).otherwise(F.lit(taken[0.0]))
+    train = cut(source.where(F.col("_cell") < upto).withColumn("_weight", F.lit(float(1 << 52)) / upto), "labelled")
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
 
     def featured(df: DataFrame) -> DataFrame:
         return assemble.transform(df.join(suffixes, "_suffix", "left").fillna({"suffix_blocked": overall, "suffix_seen": 0.0}))
 
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5)
-    model = trees.fit(featured(train).select("_features", "label").coalesce(max(1, spark.sparkContext.defaultParallelism // 2)))
+    hidden = F.col("_cell") % 2 == 0
+    shown = train.withColumn("_suffix", F.when(~hidden, F.col("_suffix")))
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5)
+    model = trees.fit(featured(shown).select("_features", "label", "_weight").coalesce(max(1, spark.sparkContext.defaultParallelism // 2)))
     scored = model.transform(featured(rows)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_verdict", verdict).alias("verdict"), F.round("score", 6).alias("score"))
 
 
-def _with_label(sample: DataFrame) -> DataFrame:
-    """Lexical features of labelled urls, with their label."""
-    tagged = sample.withColumn("page_id", F.col("label"))
-    return lexical(tagged).withColumnRenamed("page_id", "label")
-
-
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).drop("score")
 

@@ -82,6 +82,28 @@ def test_trees_on_held_out_hosts(spark):
     assert sum((r.verdict == "block") == (r.page_id % 2 == 0) for r in got) >= 95
 
 
+def test_rules_label_pages_of_any_hosts(spark):
+    """Without a labelled table the trees learn from the rules' verdicts and score the urls without a rule."""
+    r = random.Random(7)
+    name = lambda n: "".join(r.choices("etaoinsh", k=n))
+    urls = [f"http://{name(6)}.com/fr/{name(5)}" for _ in range(60)] + [f"http://x-{name(3)}-{r.randrange(99)}.com/de/{r.randrange(10**7)}?a=1&b={r.randrange(99)}" for _ in range(60)]
+    tests = [f"http://{name(6)}.net/fr/{name(5)}" for _ in range(20)] + [f"http://x-{name(3)}-{r.randrange(99)}.net/de/{r.randrange(10**7)}?a=1&b={r.randrange(99)}" for _ in range(20)]
+    got = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(list(enumerate(urls + tests)), "page_id long, url string")).collect()}
+    assert all(x.score is not None for x in got.values())
+    assert sum((got[120 + i].verdict == "block") == (i >= 20) for i in range(40)) >= 38
+
+
+def test_suffixes_of_all_labelled_urls(spark, monkeypatch):
+    """The trees' sample is small; the suffix statistics and the rare kind are not lost by it."""
+    monkeypatch.setattr(url_filter, "MAX_LABELLED", 60)
+    allowed, blocked = [x + y for x in "qrst" for y in "abcdefghij"], ["za", "zb", "zc"]
+    labelled = [(f"http://m.{allowed[i % 40]}/p?{i:04}", 0) for i in range(4000)] + [(f"http://m.{blocked[i % 3]}/p?{i:04}", 1) for i in range(60)]
+    pages = [(i, f"http://m.{allowed[i % 40]}/p?{i:04}") for i in range(80)] + [(100 + i, f"http://m.{blocked[i % 3]}/p?{i:04}") for i in range(20)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labelled, "url string, label int")).collect()
+    wrong = [(x.page_id, x.score) for x in got if (x.verdict == "block") != (x.page_id >= 100)]
+    assert len(got) == 100 and not wrong, wrong
+
+
 # ---- top-k
 
 
