@@ -9,7 +9,8 @@
    any later block. What is left is dealt as (query block, vector block) pairs of bounded size.
    In a pair, the partial sum over the first coordinates plus the product of the residual
    lengths (Cauchy-Schwarz) bounds each score; only vectors that reach the query's bound are
-   scored in full, in integers.
+   scored in full, in integers: by floats where the lengths show that these are exact, else, of
+   the vectors whose float score may be among the k best, in Python's integers.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from foliant.llm.storage import cut, table
 
 #: Rows of a vector block and of a query block.
 VECTORS, QUERIES_PER_BLOCK = 1024, 1024
-#: Components of larger size count as not finite.
-LIMIT = 1 << 22
 SCALE = 256
+#: From this size on, a double times SCALE is an integer.
+WHOLE = float(1 << 44)
+#: Float sums of integers are exact where the product of the lengths is below this.
+EXACT = float(1 << 52)
+LARGEST = float(np.finfo(float).max)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -43,6 +47,7 @@ def _gram(dim: int):
         total = np.zeros((dim, dim))
         for batch in batches:
             x = _matrix(batch.column(0), dim)
+            x = x[np.abs(x).max(axis=1, initial=0.0) < 1e60]  # the rotation only speeds up, and must be finite
             total += x.T @ x
         i, j = np.divmod(np.arange(dim * dim), dim)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.reshape(-1))], ["i", "j", "v"])
@@ -50,53 +55,102 @@ def _gram(dim: int):
     return run
 
 
+def _integers(row: np.ndarray) -> list[int]:
+    """The integer vector of a row of multiples of 1 / SCALE."""
+    return [int(v) * SCALE if abs(v) >= WHOLE else int(v * SCALE) for v in row.tolist()]
+
+
+def _order_key(score: int) -> str | None:
+    """None for a score of 64 bits; for others text that sorts as the scores do, below (-) or above (.) all of these."""
+    if -(1 << 63) <= score < 1 << 63:
+        return None
+    digits = f"{abs(score):x}"
+    if score > 0:
+        return f".{len(digits):06}{digits}"
+    return f"-{999999 - len(digits):06}" + digits.translate(_FLIP)
+
+
+_FLIP = str.maketrans("0123456789abcdef", "fedcba9876543210")
+
+
 def _search(k: int, dim: int, rotation: np.ndarray, head: int):
+    """Columns of each (query, vector): score (null beyond 64 bits), key (its place then), low (a float not above it)."""
+
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], [], []]
         if queries.num_rows and vectors.num_rows:
             q, x = (_matrix(t.column("v").combine_chunks(), dim) for t in (queries, vectors))
             qid, vid = (t.column("vec_id").to_numpy() for t in (queries, vectors))
             order = np.argsort(vid, kind="stable")
             x, vid = x[order], vid[order]
             bound = queries.column("bound").to_numpy(zero_copy_only=False).astype(float)
-            qr, xr = q @ rotation, x @ rotation
-            rest_q, rest_x = (np.sqrt((m[:, head:] ** 2).sum(axis=1)) for m in (qr, xr))
-            upper = qr[:, :head] @ xr[:, :head].T + rest_q[:, None] * rest_x[None, :]
-            slack = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :] + 1e-6
-            may = (upper + slack >= bound[:, None]) & (vid[None, :] != qid[:, None])
+            unit = float(SCALE) ** 2
+            with np.errstate(over="ignore", invalid="ignore"):
+                qr, xr = q @ rotation, x @ rotation
+                rest_q, rest_x = (np.sqrt((m[:, head:] ** 2).sum(axis=1)) for m in (qr, xr))
+                size = (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]) * unit
+                upper = (qr[:, :head] @ xr[:, :head].T + rest_q[:, None] * rest_x[None, :]) * unit
+                # where floats overflow, nothing is left out
+                may = ~(upper + (1e-9 * size + 1e-6) < bound[:, None]) & (vid[None, :] != qid[:, None])
             for r in np.flatnonzero(may.any(axis=1)):
                 c = np.flatnonzero(may[r])
-                s = x[c] @ q[r]
-                if len(c) > k:
-                    keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                    c, s = c[keep], s[keep]
-                best = np.argsort(-s, kind="stable")[:k]
-                best = best[s[best] >= bound[r]]
-                out[0].append(np.full(len(best), qid[r]))
-                out[1].append(vid[c[best]])
-                out[2].append(s[best].astype(np.int64))
-        return pa.table({n: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), out)})
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s = (x[c] @ q[r]) * unit
+                    off = np.where(size[r, c] < EXACT, 0.0, 1e-9 * size[r, c])
+                    low = np.nan_to_num(s - off, nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
+                    if len(c) > k:
+                        keep = np.flatnonzero(~(s + off < np.partition(low, len(low) - k)[len(low) - k]))
+                        c, s, off = c[keep], s[keep], off[keep]
+                if (off == 0.0).all():
+                    best = np.argsort(-s, kind="stable")[:k]
+                    found = [int(v) for v in s[best]]
+                else:
+                    mine = _integers(q[r])
+                    exact = [sum(a * b for a, b in zip(mine, _integers(x[i]))) for i in c]
+                    best = np.array(sorted(range(len(c)), key=lambda i: (-exact[i], i))[:k], dtype=int)
+                    found = [exact[i] for i in best]
+                keys = [_order_key(v) for v in found]
+                out[0] += [int(qid[r])] * len(best)
+                out[1] += vid[c[best]].tolist()
+                out[2] += [v if key is None else None for v, key in zip(found, keys)]
+                out[3] += keys
+                out[4] += [_below(v) for v in found]
+        types = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.string()), ("low", pa.float64()))
+        return pa.table({n: pa.array(v, t) for (n, t), v in zip(types, out)})
 
     return run
 
 
+def _below(score: int) -> float:
+    """A float not above the score."""
+    if abs(score) < EXACT:
+        return float(score)
+    if score < -LARGEST:
+        return -np.inf
+    near = float(min(score, int(LARGEST)))
+    return float(np.nextafter(near, -np.inf))
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, head: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query.
 
     vectors has ``vec_id`` (long) and ``embedding`` (array of numbers); other columns are not
     read. Queries are the rows whose vec_id is divisible by ``every``; candidates are all others
     but the query's own vec_id. Rows with a null vec_id, a null vector, a null or non-finite
-    component, or one above 2^22 / 256 in size take no part. Shorter vectors count as filled up
+    component take no part; all others do, however large. A score beyond 64 bits has its
+    exact place in the ranks, but is given as null. Shorter vectors count as filled up
     with zeros; an empty one scores 0. Rows that repeat a vec_id count once, with the smallest
     vector. Equal scores go to the smaller vec_id. Fewer than k candidates give all. An empty
     table gives an empty one.
     """
     spark = vectors.sparkSession
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(SCALE) * x.cast("double")))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= LIMIT / SCALE))
+    # components as multiples of 1 / SCALE: exact in doubles, and finite whenever the input is
+    d = lambda x: x.cast("double")
+    whole = F.transform("embedding", lambda x: F.when(F.abs(d(x)) < WHOLE, F.floor(F.lit(SCALE) * d(x)).cast("double") / SCALE).otherwise(d(x)))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(d(x)) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").where(fine)
-    rows = rows.select("vec_id", F.transform(whole, lambda x: x.cast("int")).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    rows = rows.select("vec_id", whole.alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = cut(rows.withColumn("norm", length), "vectors")
     if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
         rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("norm", length), "vectors")
@@ -114,7 +168,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, head: int = 16) -> Da
     query_blocks = -(-max(1, facts["queries"]) // QUERIES_PER_BLOCK)
     asked = dealt.where(F.col("vec_id") % every == 0).select("vec_id", "v", "norm", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("block"))
     search = _search(k, dim, rotation, min(head, dim))
-    result = "query_id long, vec_id long, score long"
+    result = "query_id long, vec_id long, score long, key string, low double"
 
     def pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
         return queries.groupBy("block", "part").cogroup(candidates.groupBy("block", "part")).applyInArrow(search, result)
@@ -122,15 +176,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, head: int = 16) -> Da
     every_block = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block")
     first = asked.withColumn("part", F.lit(top)).withColumn("bound", F.lit(float("-inf")))
     lead = cut(pairs(first, dealt.where(F.col("part") == top).select("part", "vec_id", "v", every_block)), "first-block")
-    bounds = lead.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= k)
-    known = cut(asked.join(bounds.select(F.col("query_id").alias("vec_id"), F.col("low").cast("double").alias("bound")), "vec_id", "left").fillna(float("-inf"), ["bound"]), "bounds")
+    bounds = lead.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low")).where(F.col("n") >= k)
+    known = cut(asked.join(bounds.select(F.col("query_id").alias("vec_id"), F.col("low").alias("bound")), "vec_id", "left").fillna(float("-inf"), ["bound"]), "bounds")
 
     # a query block needs the vector blocks whose greatest length reaches its least demand
-    need = known.groupBy("block").agg(F.min(F.when(F.col("bound") > 0, F.try_divide("bound", "norm")).otherwise(F.lit(0.0))).alias("need"))
+    need = known.groupBy("block").agg(F.min(F.when(F.col("bound") > 0, F.try_divide(F.col("bound") / SCALE**2, F.col("norm"))).otherwise(F.lit(0.0))).alias("need"))
     reach = dealt.where(F.col("part") != top).groupBy("part").agg(F.max("norm").alias("reach"))
-    plan = cut(reach.join(need, F.col("reach") * (1 + 1e-9) + 1e-6 >= F.col("need")).select("part", "block"), "block-pairs")
+    plan = cut(reach.join(need, F.col("reach") * (1 + 1e-9) + 1e-6 / SCALE >= F.col("need")).select("part", "block"), "block-pairs")
     more = pairs(known.join(plan, "block").select("block", "part", "vec_id", "v", "bound"), dealt.join(plan, "part").select("block", "part", "vec_id", "v"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.coalesce(F.substring("key", 1, 1), F.lit(".")).desc(), F.col("key").desc_nulls_last(), F.col("score").desc(), "vec_id")
     return lead.union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

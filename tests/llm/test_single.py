@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zipfile
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -123,6 +124,26 @@ def test_top_k(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("scale", [20000.0, 1e9, 1e30])
+def test_top_k_of_large_vectors(spark, monkeypatch, scale):
+    """Large components among small ones, in several blocks, with scores that differ in the last digits only."""
+    monkeypatch.setattr(topk, "VECTORS", 64)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    x[::7] *= scale
+    x[50], x[200] = x[0], x[0] * (1 + 1e-15)
+    x[100] = -x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1e308] * 6), (1001, [-1e308, 3.0]), (1002, [1e308] * 5)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=25).collect()
+    ints = {i: [math.floor(256 * Fraction(c)) for c in v] for i, v in rows}
+    want = set()
+    for q in ints:
+        if q % 25 == 0:
+            best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:5]
+            want |= {(q, k + 1, c, -s if abs(s) < 1 << 63 else None) for k, (s, c) in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_top_k_of_few(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     two = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
