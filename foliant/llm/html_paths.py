@@ -9,7 +9,11 @@
    container where the page has no such path or no host.
 
 Menus, headers outside an article, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles are left out by tag, role and class wherever they stand.
+scripts and styles are left out by tag, role and class wherever they stand. A class or id counts
+by a whole token or by its first or last word. An element left out by class or id alone is kept
+after all if it holds the article, or (named by part of a token) most of the page's text without
+links, or if nothing else is left. A container is widened to its article or main element, or to
+the parents (short of body) whose other blocks are not mainly links.
 """
 
 from __future__ import annotations
@@ -44,16 +48,22 @@ _SKIP_WORD = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = frozenset("ul ol dl table article section div main body".split())
+_NOT = frozenset("no not has have with without is long".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "name", "parent", "skip", "link", "container", "own")
+    __slots__ = ("tag", "name", "parent", "skip", "link", "container", "own", "part", "named", "article", "text", "body")
 
-    def __init__(self, tag, name, parent, skip, link):
+    def __init__(self, tag, name, parent, skip, link, by_name=0):
         self.tag, self.name, self.parent, self.skip, self.link = tag, name, parent, skip, link
         self.container = tag in _CONTAINER
         self.own = 0.0
+        # by_name: 1 left out by part of a class token, 2 by a whole one; named: nearest such element, itself included
+        self.part = by_name == 1
+        self.named = self if by_name and tag not in ("body", "html", "article", "main") else parent.named if parent else None
+        self.article = self if tag in ("article", "main") and not by_name else parent.article if parent else None
+        self.text = self.body = 0.0
 
     def path(self) -> str:
         parts: list[str] = []
@@ -65,23 +75,65 @@ class _Node:
         return ">".join(reversed(parts))
 
 
-def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
-    """(generalised name, whether the element is no part of an article)."""
+def _by_name(value: str) -> int:
+    """Whether a class or id names no part of an article: 2 by a whole token, 1 by the first or last word of one, else 0."""
+    most = 0
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if len(words) == 1 and words[0] in _SKIP_WORD:
+            return 2
+        if len(words) > 1 and not _NOT.intersection(words) and (words[0] in _SKIP_WORD or words[-1] in _SKIP_WORD):
+            most = 1
+    return most
+
+
+def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, int]:
+    """(generalised name, whether the element is no part of an article by tag or role, whether by class or id)."""
     skip = tag in _SKIP_TAG or (tag == "header" and not in_article)
-    name = tag
+    name, by_name = tag, 0
     if attrs and "=" in attrs or "hidden" in attrs:
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                if tag not in ("body", "html", "article", "main"):
-                    skip = skip or any(w.lower() in _SKIP_WORD for w in _WORDS.findall(value))
+                by_name = max(by_name, _by_name(value))
                 if key == "class" and value:
                     name = tag + "." + ".".join(sorted({re.sub(r"\d+", "0", x.lower()) for x in value.split()}))
             elif key == "role":
                 skip = skip or value.lower() in _SKIP_ROLE
             elif key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
                 skip = True
-    return name, skip
+    return name, skip, by_name
+
+
+def _left(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks that are not in elements left out by class or id."""
+    if all(node.named is None for node, _, _ in found):
+        return found
+    total = outside = 0.0
+    for node, text, linked in found:
+        gain = len(text) - 2.0 * linked
+        total += len(text) - linked
+        up = node.named
+        while up is not None:
+            up.text += len(text) - linked
+            up = up.parent.named
+        if node.article is not None:
+            up = node.article.named
+            if up is None:
+                outside += gain
+            while up is not None:
+                up.body += gain
+                up = up.parent.named
+
+    def out(named: _Node | None) -> bool:
+        while named is not None:
+            most = 2 * named.text > total
+            if not (named.body > max(0.0, outside) and (named.part or most) or named.part and most):
+                return True
+            named = named.parent.named
+        return False
+
+    return [f for f in found if not out(f[0].named)] or found
 
 
 def blocks(page: str) -> list[tuple[_Node, str, int]]:
@@ -137,7 +189,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             while target.parent is not None and target.tag != tag and not (inline and target.container):
                 target = target.parent
             if target.parent is not None and target.tag == tag:
-                if not inline:
+                if not inline or node.named is not target.parent.named:
                     flush()
                 pop_to(target)
             elif tag == "p":
@@ -156,17 +208,15 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
                 target = target.parent
             if target.tag in closes or target.tag == "p":
                 pop_to(target)
-        name, skip = _describe(tag, m["attrs"] or "", articles > 0)
-        if skip and not node.skip and not pieces:
-            pass
-        elif skip:
+        name, skip, by_name = _describe(tag, m["attrs"] or "", articles > 0)
+        if skip or by_name:
             flush()
-        node = _Node(tag, name, node, node.skip or skip, node.link or tag == "a")
+        node = _Node(tag, name, node, node.skip or skip, node.link or tag == "a", by_name)
         articles += tag in ("article", "main")
     if at < len(page) and not re.match(r"<[a-zA-Z/!?]", page[at:]):
         text_at(page[at:])
     flush()
-    return out
+    return _left(out)
 
 
 def scores(found: list[tuple[_Node, str, int]]) -> list[_Node]:
@@ -183,8 +233,34 @@ def scores(found: list[tuple[_Node, str, int]]) -> list[_Node]:
     return list(seen.values())
 
 
-def _best(nodes: list[_Node]) -> _Node | None:
-    return max(nodes, key=lambda n: n.own, default=None)
+def _best(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> _Node | None:
+    """The container of the highest score, widened to its article or to parents with more text."""
+    best = max(nodes, key=lambda n: n.own, default=None)
+    if best is None:
+        return None
+    chain, up = [], best
+    while up is not None and up.tag not in ("body", "html", "#root"):
+        if up.tag in ("article", "main"):
+            return up
+        chain.append(up)
+        up = up.parent
+    at = {id(n): i for i, n in enumerate(chain)}
+    gains = [0.0] * len(chain)
+    for node, text, linked in found:
+        up = node
+        while up is not None and id(up) not in at:
+            up = up.parent
+        if up is not None:
+            gains[at[id(up)]] += len(text) - 2 * linked
+    others = 0.0
+    for node, gain in zip(chain[1:], gains[1:]):
+        others += gain
+        if node.container:
+            if others < 0:
+                break
+            if others > 0:
+                best, others = node, 0.0
+    return best
 
 
 def main_text(page: str, path: str | None) -> str:
@@ -193,7 +269,7 @@ def main_text(page: str, path: str | None) -> str:
     nodes = scores(found)
     chosen = {id(n) for n in nodes if path and n.path() == path}
     if not chosen:
-        best = _best(nodes)
+        best = _best(nodes, found)
         if best is None:
             return " ".join(text for _, text, _ in found)
         chosen = {id(best)}
@@ -211,13 +287,16 @@ def _votes(batches):
     for batch in batches:
         host, path, score, first = [], [], [], []
         for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            nodes = scores(blocks(page))
-            best = _best(nodes)
+            found = blocks(page)
+            nodes = scores(found)
+            best = _best(nodes, found)
             by_path: dict[str, float] = {}
             for n in nodes:
                 p = n.path()
                 by_path[p] = by_path.get(p, 0.0) + n.own
             top = best.path() if best is not None else None
+            if top is not None:
+                by_path.setdefault(top, best.own)
             for p, s in by_path.items():
                 host.append(h)
                 path.append(p)

@@ -284,6 +284,25 @@ def test_hosts_agree_on_a_path(spark):
     assert got[99] == "short text"
 
 
+def test_wrappers_named_after_what_they_lack_or_hold():
+    text = "A sentence of the article that is long enough to count. " * 4
+    for name in ("content no-sidebar", "has-sidebar", "layout-with-sidebar", "container sidebar-right", "content-side-left", "has-comments", "long-form", "search-result-article", "social-policy"):
+        for inner in (f"<p>{text}</p>", f"<article><p>{text}</p></article>"):
+            page = f'<body><div class="{name}">{inner}<div class="related-posts"><p>other things</p></div></div><div class="site-footer">foot</div></body>'
+            assert html_paths.main_text(page, None) == text.strip(), name
+    assert html_paths.main_text('<body><div class="sidebar"><p>all there is</p></div></body>', None) == "all there is"
+    comments = f'<body><div class="post"><p>{text}</p></div><div class="comments"><article class="comment"><p>{text * 3}</p></article></div></body>'
+    assert html_paths.main_text(comments, None) == text.strip()
+
+
+def test_lead_and_heading_belong_to_the_text(spark):
+    lead, body = "lead " * 4, "body text " * 8
+    page = lambda tag: f"<body><{tag} class=x><h1>Head</h1><div class=lead>{lead}</div><div class=body>{body}</div></{tag}><div class=other><a href=x>more</a></div></body>"
+    want = f"Head {lead}{body}".strip()
+    rows = [(i, f"http://h{i // 5}/{i}", page("article" if i < 5 else "div")) for i in range(10)]
+    assert {r.text for r in html_paths.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {want}
+
+
 # ---- language
 
 
