@@ -9,6 +9,8 @@
 3. Ranks: the k-th slot of a source takes the k-th block of its shuffled token stream.
 4. Blocks: a source's documents in the order of an md5 of their id form a stream, read up to
    three times over and cut into blocks of equal tokens. Slots join blocks on (source, rank).
+5. Remainder: a source's last slot is cut at its target, and ranks that the schedule did not
+   reach are added after its end, so small sources are neither lost nor rounded to whole slots.
 
 Ranks and stream offsets are running sums. They are taken in two levels, within buckets and
 over the buckets of a source, with about the square root of the rows on each level, so no task
@@ -76,49 +78,114 @@ def slot_schedule(sources: DataFrame, total: int, slots: int) -> DataFrame:
     return _running(drawn, "sid", "_bucket", ["slot"], "_one", "rank").select("sid", "slot", "rank")
 
 
-def mix(docs: DataFrame, block: int | None = None, seed: str = "mix") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken (words, repeats counted).
+def _plan(rows: DataFrame, block: int | None, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(stream, pieces) of rows (key, doc_id, source, size).
 
-    docs has ``doc_id``, ``text`` and ``source``; other columns, whatever their names, are not
-    read. block: words of a slot; by default the corpus has about 32,768 slots or one for every
-    eight documents, whichever is more. Null text has size 0, a null source is a source of its
-    own, a null doc_id takes part. Rows that repeat a doc_id are documents of their own. A
-    document of size 0 takes 0, none takes more than 3 times its size. Ties in the shuffle are
-    broken by doc_id, then size. An empty table gives an empty one.
+    stream has a row a document, with sid, source_size, target and its place in the source's
+    stream; pieces has a row for each stretch of a document that a slot takes: sid, place, slot,
+    rank, start (word of the document), words.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = cut(docs.select("doc_id", "source", size.alias("size"), order.alias("_order")), "sized")
+    sized = cut(rows.select("key", "doc_id", "source", "size", order.alias("_order")), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = cut(source_targets(sources), "sources")
-    rows, total = sized.count(), sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = block or max(1, total // max(1 << 15, rows // 8))
-    schedule = slot_schedule(sources, total, -(-total // block))
+    sources = source_targets(sources).withColumn("goal", F.round("target").cast("long"))
+    sources = cut(sources, "sources")
+    count, total = sized.count(), sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    block = block or max(1, total // max(1 << 15, count // 8))
+    slots = -(-total // block)
+    schedule = exact_slots(slot_schedule(sources, total, slots), sources, slots, block)
 
     # documents -> their stretch of the source's shuffled stream -> pieces of equal-token blocks
     named = sources.withColumnRenamed("source", "_source")
     stream = sized.join(named, sized["source"].eqNullSafe(named["_source"])).drop("_source")
-    bucket = F.expr(f"cast(conv(substring(_order, 1, 7), 16, 10) as bigint) * {max(1, int(rows**0.5))} div {1 << 28}")
-    stream = cut(_running(stream.withColumn("_bucket", bucket), "sid", "_bucket", ["_order", "doc_id", "size"], "size", "_from"), "stream")
-    pieces = stream.where("size > 0").select("sid", "_from", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
-    pieces = pieces.select("sid", "_from", "size", (F.col("epoch") * F.col("source_size") + F.col("_from")).alias("at"))
-    pieces = pieces.withColumn("rank", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
-    part = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)
-    taken = pieces.withColumn("part", part).join(schedule, ["sid", "rank"]).groupBy("sid", "_from").agg(F.sum("part").alias("_taken"))
-    out = stream.join(taken, ["sid", "_from"], "left")
-    amount = F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", amount.alias("taken"))
+    bucket = F.expr(f"cast(conv(substring(_order, 1, 7), 16, 10) as bigint) * {max(1, int(count**0.5))} div {1 << 28}")
+    stream = cut(_running(stream.withColumn("_bucket", bucket), "sid", "_bucket", ["_order", "doc_id", "size", "key"], "size", "place"), "stream")
+    pieces = stream.where("size > 0").select("sid", "place", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
+    pieces = pieces.select("sid", "place", "size", (F.col("epoch") * F.col("source_size") + F.col("place")).alias("at"))
+    pieces = pieces.withColumn("rank", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})"))).join(schedule, ["sid", "rank"])
+    first = F.greatest(F.col("at"), F.col("rank") * block)
+    last = F.least(F.col("at") + F.col("size"), F.col("rank") * block + F.col("length"))
+    pieces = pieces.select("sid", "place", "slot", "rank", (first - F.col("at")).alias("start"), (last - first).alias("words")).where("words > 0")
+    return stream, pieces
+
+
+def exact_slots(schedule: DataFrame, sources: DataFrame, slots: int, block: int) -> DataFrame:
+    """(sid, rank, slot, length): the schedule with each source brought to its target in words.
+
+    A source needs goal / block slots, the last of them in part. What the schedule drew beyond
+    that goes; ranks that it did not reach (of a source below one slot, say) follow after its end.
+    """
+    need = sources.where("goal > 0").select("sid", "goal", F.expr(f"(goal + {block} - 1) div {block}").alias("need"))
+    drawn = schedule.groupBy("sid").agg(F.count(F.lit(1)).alias("drawn"))
+    late = need.join(drawn, "sid", "left").fillna(0, ["drawn"]).where("drawn < need")
+    late = late.select("sid", F.explode(F.expr("sequence(drawn, need - 1)")).alias("rank"), "drawn").select("sid", (F.lit(slots) + F.col("rank") - F.col("drawn")).alias("slot"), "rank")
+    rows = schedule.select("sid", "slot", "rank").union(late).join(need, "sid").where("rank < need")
+    return rows.select("sid", "rank", "slot", F.least(F.lit(block), F.col("goal") - F.col("rank") * block).alias("length"))
+
+
+def _sized(docs: DataFrame, key) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    return docs.select(key.alias("key"), "doc_id", "source", size.alias("size"))
+
+
+def _totals(stream: DataFrame, pieces: DataFrame) -> DataFrame:
+    taken = pieces.groupBy("sid", "place").agg(F.sum("words").alias("_taken"), F.min("slot").alias("_slot"))
+    # documents of size 0 share their place with the next one
+    amount = F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return stream.join(taken, ["sid", "place"], "left").withColumn("taken", amount).withColumn("first_slot", F.when(F.col("taken") > 0, F.col("_slot")))
+
+
+def mix(docs: DataFrame, block: int | None = None, seed: str = "mix") -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken (words, repeats counted), first_slot.
+
+    docs has ``doc_id``, ``text`` and ``source``; other columns, whatever their names, are not
+    read. block: words of a slot; by default the corpus has about 32,768 slots or one for every
+    eight documents, whichever is more. Null text has size 0, a null source is a source of its
+    own, a null doc_id takes part. Rows that repeat a doc_id are documents of their own. A
+    document of size 0 takes 0, none takes more than 3 times its size; each source takes its
+    target, rounded to a word. Ties in the shuffle are broken by doc_id, then size. first_slot is
+    the document's place in the mix, null if nothing is taken. An empty table gives an empty one.
+    """
+    stream, pieces = _plan(_sized(docs, F.lit(0)), block, seed)
+    return _totals(stream, pieces).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+
+
+def mix_documents(docs: DataFrame, block: int | None = None, seed: str = "mix") -> DataFrame:
+    """docs with size, source_size, target, taken and first_slot in place of any columns of these names (see ``mix``).
+
+    The rows are written once with a key of their own, so that rows without a doc_id and rows
+    that repeat one are each joined with what the mix takes of them.
+    """
+    new = ["size", "source_size", "target", "taken", "first_slot"]
+    held = [c for c in docs.columns if c not in new]
+    keyed = cut(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(F.col(f"`{c}`") for c in held)).alias("row")), "keyed")
+    stream, pieces = _plan(_sized(keyed.select("key", "row.doc_id", "row.text", "row.source"), F.col("key")), block, seed)
+    return keyed.join(_totals(stream, pieces).select("key", *new), "key").select("row.*", *new)
+
+
+def mixed_blocks(docs: DataFrame, block: int | None = None, seed: str = "mix") -> DataFrame:
+    """The mix itself: slot, source, rank, doc_id, start, words, text, a row for each stretch of a document that a slot takes.
+
+    Ordered by (slot, source, rank, start of the stream) the rows read as the mixed corpus; a
+    slot that crosses documents has several rows. text holds the stretch's words joined by one
+    space. Nulls, ties and repeated rows as in ``mix``.
+    """
+    keyed = cut(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "source"), "keyed")
+    stream, pieces = _plan(_sized(keyed, F.col("key")), block, seed)
+    placed = pieces.join(stream.where("size > 0").select("sid", "place", "key"), ["sid", "place"]).join(keyed, "key")
+    stretch = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), (F.col("start") + 1).cast("int"), F.col("words").cast("int")), " ")
+    return placed.select("slot", "source", "rank", "doc_id", "start", "words", stretch.alias("text"))
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "first_slot")
 
 
 QUERIES = {"op4_source_mixing": op4_source_mixing}
-#: The same schedule and stream order; a source's slots are counted and its documents' shares taken in closed form.
+#: The schedule decides the order of the mix only; what a document gives follows from its place in the stream.
 SQL = {
     "op4_source_mixing": r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o,
+WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
 s AS (SELECT source, s, row_number() OVER (ORDER BY source NULLS LAST) AS sid,
@@ -128,14 +195,9 @@ t AS (SELECT *, row_number() OVER (ORDER BY (3 * s) / w, sid) AS turn,
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY (3 * s) / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM s),
 lv AS (SELECT arg_min(level, turn) AS level FROM t WHERE level * w <= 3 * s),
 g AS (SELECT source, sid, s, least((3 * s)::DOUBLE, coalesce((SELECT level FROM lv) * w, (3 * s)::DOUBLE)) AS target FROM t),
-tot AS (SELECT sum(size)::BIGINT AS total, greatest(1, sum(size)::BIGINT // greatest(32768, count(*) // 8)) AS block FROM d),
-sh AS (SELECT sid, least(ceil(sum(target) OVER (ORDER BY sid) / (SELECT total FROM tot) * 4294967296)::BIGINT, 4294967296) AS hi FROM g),
-sh2 AS (SELECT sid, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, hi FROM sh),
-pts AS (SELECT unnest(range(0, ((total + block - 1) // block)::BIGINT)) * 2654435769 % 4294967296 AS u FROM tot),
-n AS (SELECT sid, count(*)::BIGINT AS n FROM pts JOIN sh2 ON u >= lo AND u < hi GROUP BY sid),
-r AS (SELECT doc_id, size, g.s AS source_size, target, coalesce(n, 0) * (SELECT block FROM tot) AS upto,
+r AS (SELECT doc_id, size, g.s AS source_size, target, round(target)::BIGINT AS upto,
     coalesce(sum(size) OVER (PARTITION BY g.sid ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f
-    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN n ON g.sid = n.sid)
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(f + size, upto) - f) + greatest(0, least(source_size + f + size, upto) - source_size - f)
    + greatest(0, least(2 * source_size + f + size, upto) - 2 * source_size - f))::BIGINT AS taken FROM r
