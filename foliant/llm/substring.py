@@ -8,20 +8,23 @@ order. Parsing goes in four steps, each a join or an aggregation.
    anchor that occurs twice. The index holds (anchor hash, doc, position) of all blocks, about
    one entry in seven words; entries whose hash occurs once cannot start a factor and go.
 2. Seeds. Where an anchor occurs elsewhere, the 20-word seeds around it are looked up in the
-   table of each seed's first occurrence in the corpus.
-3. Factors. A document is parsed greedily from left to right: from a seed whose first occurrence
-   lies earlier, the factor goes on as long as the next seed's first occurrence is the next
-   position of the same reference block. At a factor's boundary the next seed is looked up anew,
-   so a run that crosses a boundary is not missed.
+   table of each seed's first occurrence in the corpus. Seeds are compared by 128 bits.
+3. Factors. A document is parsed greedily from left to right: from a seed that occurs earlier,
+   the factor is followed in the block of the seed's first occurrence as far as it goes. At a
+   factor's boundary the next seed is looked up anew among all blocks, so a run that crosses a
+   boundary is not missed.
 4. Spans. The words of all factors (20 at least) are duplicates. What is left is joined.
 
+The spans do not depend on which block a factor is followed in: each 20 words of the longest
+factor in any block are a seed that occurs earlier, so following first occurrences covers the
+same words as the longest factors do, in at most as many more factors as first occurrences jump.
+
 A document that equals an earlier one, word for word, is one factor from its start to its end;
 such copies are found by a fingerprint of the whole sequence and are not parsed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
@@ -33,7 +36,7 @@ from foliant.llm import words as W
 from foliant.llm.storage import cut, table
 
 ANCHOR_WORDS = 8
-_EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+_OTHER = W.constants(1, 33)[0]
 
 
 def _anchor_positions(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,9 +68,7 @@ def _scan(batches):
     for batch, data, offs in W.chunks(batches, "text"):
         w = W.Words(data, offs, W.EXACT)
         f1, f2 = _whole(w)
-        raw = data.tobytes()
-        sha = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(w.first)), W.longs(f1), W.longs(f2), pa.array(sha)], ["id", "n", "f1", "f2", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(w.first)), W.longs(f1), W.longs(f2)], ["id", "n", "f1", "f2"])
 
 
 def _anchors(window: int):
@@ -92,9 +93,9 @@ def _seeds(window: int):
             marked = np.zeros(len(w.hash) + 1, dtype=bool)
             marked[w.first[rows] + marks.flatten().to_numpy()] = True
             starts = starts[marked[at]]
-            s = W.grams(w.hash, window)[starts]
             d = w.doc[starts]
-            yield pa.RecordBatch.from_arrays([W.longs(s), batch.column(0).take(pa.array(d)), pa.array((starts - w.first[d]).astype(np.int32))], ["h", "id", "pos"])
+            h, g = (W.longs(W.grams(x, window, seed)[starts]) for x, seed in ((w.hash, 1), (W.mix(w.hash ^ _OTHER), 2)))
+            yield pa.RecordBatch.from_arrays([h, g, batch.column(0).take(pa.array(d)), pa.array((starts - w.first[d]).astype(np.int32))], ["h", "g", "id", "pos"])
 
     return run
 
@@ -116,76 +117,101 @@ _FACTORS = "array<struct<start:int,words:int,ref_id:long,ref_start:int>>"
 _FACTORS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_id", pa.int64()), ("ref_start", pa.int32())]))
 
 
-def _remove(window: int):
+def _parse(window: int):
+    """Rows (id, hits) -> (id, factors)."""
+
     def run(batches):
         for batch in batches:
-            ids, gone, sha, factors = [], [], [], []
-            texts = batch.column(batch.schema.get_field_index("text"))
+            ids, factors = batch.column(0), []
             hits = batch.column(batch.schema.get_field_index("hits"))
             for r in range(batch.num_rows):
                 h = hits[r].values
                 pos, ref, ref_pos = (h.field(c).to_numpy() for c in ("pos", "ref_id", "ref_start"))
                 order = np.argsort(pos)
-                found = parse(pos[order], ref[order], ref_pos[order], window)
-                words = texts[r].as_py().encode().split()
-                keep = np.ones(len(words), dtype=bool)
-                for f in found:
-                    keep[f["start"] : f["start"] + f["words"]] = False
-                ids.append(batch.column(0)[r].as_py())
-                gone.append(len(words) - int(keep.sum()))
-                sha.append(hashlib.sha256(b" ".join(compress(words, keep))).hexdigest())
-                factors.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(factors, _FACTORS_ARROW)], ["id", "gone", "sha_left", "factors"])
+                factors.append(parse(pos[order], ref[order], ref_pos[order], window))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(factors, _FACTORS_ARROW)], ["id", "factors"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """One row a distinct doc_id: doc_id, n_words, n_removed, kept_sha256, copy_of, factors.
-
-    copy_of: the earlier document that this one equals word for word (else null; then factors
-    lists the parsed duplicate spans in words). docs has ``doc_id`` (long) and ``text``; other
-    columns are not read. Null text is empty text. Rows with a null doc_id have no place in the
-    order and are left out. Rows that repeat a doc_id count as one document with the first text
-    in text order. A text of fewer than ``window`` words loses nothing. An empty table gives an
-    empty one. ``window`` is at least 9 (the anchors' words and one).
+def _with_kept(batches):
+    """Rows (id, text, factors) -> (id, n_words, n_removed, kept_text, factors)."""
+    for batch in batches:
+        total, gone, kept = [], [], []
+        texts = batch.column(batch.schema.get_field_index("text"))
+        factors = batch.column(batch.schema.get_field_index("factors"))
+        for r in range(batch.num_rows):
+            words = texts[r].as_py().encode().split()
+            left = words
+            if factors[r].is_valid:
+                f = factors[r].values
+                keep = np.ones(len(words), dtype=bool)
+                for start, n in zip(f.field("start").to_pylist(), f.field("words").to_pylist()):
+                    keep[start : start + n] = False
+                left = list(compress(words, keep))
+            total.append(len(words))
+            gone.append(len(words) - len(left))
+            kept.append(b" ".join(left).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), factors], ["id", "n_words", "n_removed", "kept_text", "factors"])
+
+
+def repeated_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, facts, factors): id, text; id, n, rep; id, factors of the documents that hold repeats.
+
+    ``rep`` is the earlier document that one equals word for word (else null). factors are spans
+    in words with the place of the reference that they repeat; a whole copy has one.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
-    scan_schema = "id long, n long, f1 long, f2 long, sha string"
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    scan_schema = "id long, n long, f1 long, f2 long"
     base = cut(texts.mapInArrow(_scan, scan_schema), "scan")
-    if not base.groupBy("id").count().where("count > 1").isEmpty():
-        texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")), "one-text")
+    if not base.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        one = texts.where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+        texts = cut(one.union(texts.where("id is null").select("id", "text")), "one-text")
         base = cut(texts.mapInArrow(_scan, scan_schema), "scan")
-    first = base.where(F.col("n") >= window).groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = cut(base.join(first, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep"), "copies")
+    first = base.where(F.col("id").isNotNull() & (F.col("n") >= window)).groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # written first: a join with a table, not with an aggregation, lets Spark split a hot key
+    first = cut(first.drop("copies"), "first-copies")
+    copies = cut(base.join(first, ["f1", "f2", "n"]).where("id <> rep").select("id", "rep", "n"), "copies")
 
-    anchors = texts.mapInArrow(_anchors(window), "h long, id long, pos int")
-    # written first: a join with a table, not with an aggregation, lets Spark split a hot hash
+    placed = texts.where("id is not null")
+    anchors = placed.mapInArrow(_anchors(window), "h long, id long, pos int")
     shared = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "shared-anchors")
     marks = anchors.join(shared, "h").groupBy("id").agg(F.collect_list("pos").alias("marks"))
-    marks = cut(marks.join(copies, "id", "left_anti"), "marks")
-    suspects = cut(texts.join(marks, "id"), "suspects")
+    marks = marks.join(copies, "id", "left_anti")
+    suspects = cut(placed.join(marks, "id"), "suspects")
 
-    seeds = suspects.select("id", "text", "marks").mapInArrow(_seeds(window), "h long, id long, pos int")
-    earliest = cut(seeds.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "at"), "first-seeds")
-    later = seeds.join(earliest, "h").where((F.col("at.id") < F.col("id")) | ((F.col("at.id") == F.col("id")) & (F.col("at.pos") < F.col("pos"))))
+    seeds = suspects.select("id", "text", "marks").mapInArrow(_seeds(window), "h long, g long, id long, pos int")
+    earliest = cut(seeds.groupBy("h", "g").agg(F.min(F.struct("id", "pos")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "g", "at"), "first-seeds")
+    later = seeds.join(earliest, ["h", "g"]).where((F.col("at.id") < F.col("id")) | ((F.col("at.id") == F.col("id")) & (F.col("at.pos") < F.col("pos"))))
     hits = later.groupBy("id").agg(F.collect_list(F.struct("pos", F.col("at.id").alias("ref_id"), F.col("at.pos").alias("ref_start"))).alias("hits"))
-    left = suspects.select("id", "text").join(hits, "id").mapInArrow(_remove(window), f"id long, gone long, sha_left string, factors {_FACTORS}")
+    parsed = hits.mapInArrow(_parse(window), f"id long, factors {_FACTORS}")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("words"), F.col("rep").alias("ref_id"), F.lit(0).alias("ref_start")))
+    factors = cut(parsed.union(copies.select("id", whole.cast(_FACTORS))), "factors")
+    return texts, base.select("id", "n").join(copies.select("id", "rep"), "id", "left"), factors
+
 
-    out = base.join(copies, "id", "left").join(left, "id", "left")
-    copied = F.col("rep").isNotNull()
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_words"),
-        F.when(copied, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(copied, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("sha_left", "sha")).alias("kept_sha256"),
-        F.col("rep").alias("copy_of"),
-        "factors",
-    )
+def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """One row a distinct doc_id: doc_id, n_words, n_removed, kept_text, copy_of, factors.
+
+    kept_text: the words that are left, joined by one space. copy_of: the earlier document that
+    this one equals word for word, else null. factors: the duplicate spans in words and what they
+    repeat, null if there are none. docs has ``doc_id`` (long) and ``text``; other columns are not
+    read. Null text is empty text. Rows with a null doc_id have no place in the order: they lose
+    nothing, and nothing goes because of them. Rows that repeat a doc_id count as one document
+    with the first text in text order. A text of fewer than ``window`` words loses nothing. An
+    empty table gives an empty one. ``window`` is at least 9 (the anchors' words and one).
+    """
+    texts, facts, factors = repeated_spans(docs, window)
+    found = texts.where("id is not null").join(factors, "id", "left").unionByName(texts.where("id is null"), allowMissingColumns=True)
+    left = found.mapInArrow(_with_kept, f"id long, n_words long, n_removed long, kept_text string, factors {_FACTORS}")
+    copies = facts.where("id is not null and rep is not null").select("id", F.col("rep").alias("copy_of"))
+    return left.join(copies, "id", "left").select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_text", "copy_of", "factors")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("copy_of", "factors")
+    """Digests of what ``remove_repeats`` leaves of each document."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 SQL = {

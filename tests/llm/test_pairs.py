@@ -117,10 +117,17 @@ def brute_removed(rows):
 
 def test_remove_repeats(spark):
     rows = list(enumerate(made(2))) + [(500, "a b c d " * 40), (501, None), (502, "long " * 5000), (-4, "a b c d " * 9)]
-    got = substring.remove_repeats(frame(spark, rows + [(None, "x"), (7, rows[7][1])]))
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == brute_removed(rows)
-    for r in got.where("copy_of is null and n_removed > 0").collect():
-        assert all(f.words >= 20 and (f.ref_id, f.ref_start) < (r.doc_id, f.start) for f in r.factors)
+    got = substring.remove_repeats(frame(spark, rows + [(None, rows[0][1]), (7, rows[7][1])])).collect()
+    sha = lambda r: hashlib.sha256(r.kept_text.encode()).hexdigest()
+    assert {r.doc_id: (r.n_words, r.n_removed, sha(r)) for r in got if r.doc_id is not None} == brute_removed(rows) and len(got) == len(rows) + 1
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    for r in got:
+        if r.doc_id is None:
+            assert r.n_removed == 0 and r.kept_text == " ".join(words[0])
+        elif r.n_removed:
+            assert all(f.words >= 20 and (f.ref_id, f.ref_start) < (r.doc_id, f.start) for f in r.factors)
+            assert all(words[r.doc_id][f.start : f.start + f.words] == words[f.ref_id][f.ref_start : f.ref_start + f.words] for f in r.factors)
+            assert r.copy_of is None or (words[r.copy_of] == words[r.doc_id] and len(r.factors) == 1)
 
 
 def test_remove_repeats_of_nothing(spark):
