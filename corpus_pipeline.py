@@ -17,7 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay."""
+    """Documents whose language is known stay.
+
+    A null text, an empty one, or one without letters has no language and goes. Rows that repeat
+    are judged each; a null lang or source is no evidence. An empty table stays empty.
+    """
     return language_id.identify(docs).where("kept").select(*COLUMNS)
 
 
@@ -38,19 +42,42 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null texts have no words and stay. Rows that repeat a doc_id go together if one of them is
+    hit; rows without a doc_id go if one of those is hit that has the same text. An empty table,
+    or an empty benchmark, changes nothing.
+    """
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    named = docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    nameless = docs.where("doc_id is null")
+    if found.where("doc_id is null").isEmpty():
+        return named
+    # their texts take the place of ids
+    texts = nameless.where("text is not null").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    hit = decontaminate.contamination(texts, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hash"))
+    left = nameless.withColumn("_hash", F.xxhash64("text")).join(hit, "_hash", "left_anti").select(*COLUMNS)
+    return named.where("doc_id is not null").union(left)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind; n_chars follows the text.
+
+    All rows stay: null texts stay null (n_chars null), rows that repeat are redacted each. An
+    empty table stays empty.
+    """
     return pii.redact_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mixing.mix(docs)
+    """All documents, with what the mix takes of each and the first slot that it has.
+
+    Columns of ``documents`` and size, source_size, target, taken, first_slot; the documents with
+    taken > 0 in the order of first_slot are the mixed corpus (``mixing.mixed_blocks`` gives its
+    stretches). A null or empty text has size 0 and is taken 0 times; a null source is one of its
+    own; rows that repeat are mixed each. An empty table stays empty.
+    """
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
