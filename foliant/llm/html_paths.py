@@ -9,7 +9,7 @@
    container where the page has no such path or no host.
 
 Menus, headers outside an article, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles are left out by tag, role and class wherever they stand. A class or id counts
+scripts and styles are left out by tag, role and class wherever they stand. Long links count as text. A class or id counts
 by a whole token or by its first or last word. An element left out by class or id alone is kept
 after all if it holds the article, or (named by part of a token) most of the page's text without
 links, or if nothing else is left. A container is widened to its article or main element, or to
@@ -18,28 +18,37 @@ the parents (short of body) whose other blocks are not mainly links.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.storage import cut, small, table
 
+# Attributes as HTML reads them: a quote opens a value only after "=", and one that is never
+# closed is a character like others. Every match goes on to the tag's end or the page's, and
+# nothing is tried twice, so the scan is linear.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?"
+_ATTRS = rf"(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:{_VALUE})?)*+"
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|noembed|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|noembed|noframes|xmp)(?=[\s/>]){_ATTRS}(?:>|\Z).*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?)?")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins del kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
 _CONTAINER = frozenset("article main section div td body center table blockquote".split())
-_SKIP_TAG = frozenset("nav footer aside form menu dialog head select button svg canvas audio video object math".split())
+#: Elements that an implied end tag does not reach through.
+_SCOPE = _CONTAINER | frozenset("ul ol dl".split())
+_SKIP_TAG = frozenset("nav footer aside menu dialog head select button svg canvas audio video object math".split())
 _SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SKIP_WORD = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -47,32 +56,41 @@ _SKIP_WORD = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup popup modal overlay form login search toolbar pagination pager".split()
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_BARRIER = frozenset("ul ol dl table article section div main body".split())
 _NOT = frozenset("no not has have with without is long".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A link of more characters is text, not a way to another page; longer paths are kept by their digest.
+LINK_CHARS, PATH_CHARS = 200, 512
 
 
 class _Node:
-    __slots__ = ("tag", "name", "parent", "skip", "link", "container", "own", "part", "named", "article", "text", "body")
-
-    def __init__(self, tag, name, parent, skip, link, by_name=0):
-        self.tag, self.name, self.parent, self.skip, self.link = tag, name, parent, skip, link
-        self.container = tag in _CONTAINER
-        self.own = 0.0
-        # by_name: 1 left out by part of a class token, 2 by a whole one; named: nearest such element, itself included
+    __slots__ = ("tag", "name", "parent", "up", "skip", "link", "size", "own", "path", "inside", "part", "named", "article", "text", "body", "first", "last")
+
+    def __init__(self, tag, name, parent, skip, number, by_name=0, wanted=None):
+        self.tag, self.name, self.parent, self.skip = tag, name, parent, skip
+        self.first = self.last = number
+        self.own = self.text = self.body = 0.0
+        self.size = 0
+        container = tag in _CONTAINER
+        if parent is None:
+            self.up = self.link = self.named = self.article = None
+            self.path, self.inside = "", False
+        else:
+            self.up = self if container else parent.up
+            self.path = _below(parent.path, name) if container else parent.path
+            self.inside = parent.inside or (container and self.path == wanted)
+            self.link = self if tag == "a" else parent.link
+            # by_name: 1 left out by part of a class token, 2 by a whole one; named: nearest such element, itself included
+            self.named = self if by_name and tag not in ("body", "html", "article", "main") else parent.named
+            self.article = self if tag in ("article", "main") and not by_name else parent.article
         self.part = by_name == 1
-        self.named = self if by_name and tag not in ("body", "html", "article", "main") else parent.named if parent else None
-        self.article = self if tag in ("article", "main") and not by_name else parent.article if parent else None
-        self.text = self.body = 0.0
 
-    def path(self) -> str:
-        parts: list[str] = []
-        node = self
-        while node is not None:
-            if node.container and (not parts or parts[-1] != node.name):
-                parts.append(node.name)
-            node = node.parent
-        return ">".join(reversed(parts))
+
+def _below(path: str, name: str) -> str:
+    """The path of a container below another; a name that follows itself is folded."""
+    if path == name or path.endswith(">" + name):
+        return path
+    path = f"{path}>{name}" if path else name
+    return path if len(path) <= PATH_CHARS else "#" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _by_name(value: str) -> int:
@@ -90,10 +108,14 @@ def _by_name(value: str) -> int:
 def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, int]:
     """(generalised name, whether the element is no part of an article by tag or role, whether by class or id)."""
     skip = tag in _SKIP_TAG or (tag == "header" and not in_article)
-    name, by_name = tag, 0
-    if attrs and "=" in attrs or "hidden" in attrs:
+    # a form may be wrapped round a whole page: it goes like an element named by part of a token
+    name, by_name, seen = tag, int(tag == "form"), set()
+    if attrs and not attrs.isspace():
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
+            if key in seen:
+                continue
+            seen.add(key)
             if key in ("class", "id"):
                 by_name = max(by_name, _by_name(value))
                 if key == "class" and value:
@@ -105,64 +127,98 @@ def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, int]:
     return name, skip, by_name
 
 
-def _left(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+Block = tuple[_Node, str, int]
+
+
+def _left(found: list[Block]) -> list[Block]:
     """The blocks that are not in elements left out by class or id."""
-    if all(node.named is None for node, _, _ in found):
-        return found
     total = outside = 0.0
+    named: dict[int, _Node] = {}
     for node, text, linked in found:
         gain = len(text) - 2.0 * linked
         total += len(text) - linked
-        up = node.named
-        while up is not None:
-            up.text += len(text) - linked
-            up = up.parent.named
+        if node.named is not None:
+            node.named.text += len(text) - linked
+            named[node.named.first] = node.named
         if node.article is not None:
-            up = node.article.named
-            if up is None:
+            holder = node.article.named
+            if holder is None:
                 outside += gain
-            while up is not None:
-                up.body += gain
-                up = up.parent.named
-
-    def out(named: _Node | None) -> bool:
-        while named is not None:
-            most = 2 * named.text > total
-            if not (named.body > max(0.0, outside) and (named.part or most) or named.part and most):
-                return True
-            named = named.parent.named
-        return False
-
-    return [f for f in found if not out(f[0].named)] or found
-
-
-def blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters of link text) of each block outside skipped elements, in page order."""
-    out: list[tuple[_Node, str, int]] = []
-    node = _Node("#root", "#root", None, False, False)
+            else:
+                holder.body += gain
+                named[holder.first] = holder
+    if not named:
+        return found
+    waiting = list(named.values())
+    while waiting:
+        over = waiting.pop().parent.named
+        if over is not None and over.first not in named:
+            named[over.first] = over
+            waiting.append(over)
+    # sums go up from the last named element to the first, decisions down
+    for number in sorted(named, reverse=True):
+        node, over = named[number], named[number].parent.named
+        if over is not None:
+            over.text += node.text
+            over.body += node.body
+    gone: dict[int, bool] = {}
+    for number in sorted(named):
+        node, over = named[number], named[number].parent.named
+        most = 2 * node.text > total
+        stays = node.body > max(0.0, outside) and (node.part or most) or node.part and most
+        gone[number] = not stays or (over is not None and gone[over.first])
+    return [f for f in found if f[0].named is None or not gone[f[0].named.first]] or found
+
+
+def blocks(page: str, wanted: str | None = None) -> list[Block]:
+    """(element, text, characters of link text) of each block outside skipped elements, in page order.
+
+    Elements below a container of the path ``wanted`` are marked as inside. One pass; each
+    element is opened and closed once, so time is linear in the page whatever its markup.
+    """
+    out: list[tuple[_Node, str, list]] = []
+    node = _Node("#root", "#root", None, False, 0)
+    count = articles = 0
     pieces: list[str] = []
-    linked = 0
+    links: list[tuple[_Node, int]] = []
     owner = node
-    articles = 0
+    opened: dict[str, int] = {}
+    # of each open scope the elements that are open in it, by tag, and its own element
+    scopes: list[dict[str, int]] = [{}]
+    roots = [node]
 
     def flush():
-        nonlocal pieces, linked
+        nonlocal pieces, links
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append((owner, text, linked))
-            pieces, linked = [], 0
+                out.append((owner, text, links))
+            pieces, links = [], []
 
-    def pop_to(target: _Node):
+    def close(until: _Node):
         nonlocal node, articles
-        while node is not target:
-            articles -= node.tag in ("article", "main")
-            node = node.parent
-        articles -= target.tag in ("article", "main")
-        node = target.parent
+        while True:
+            done = node
+            done.last = count
+            opened[done.tag] -= 1
+            articles -= done.tag in ("article", "main")
+            if done.tag in _SCOPE:
+                scopes.pop()
+                roots.pop()
+            else:
+                scopes[-1][done.tag] -= 1
+            node = done.parent
+            if done is until:
+                return
+
+    def nearest(tags) -> _Node:
+        target = node
+        while target.tag not in tags:
+            target = target.parent
+        return target
 
     def text_at(raw: str):
-        nonlocal linked, owner
+        nonlocal owner
         if node.skip or not raw:
             return
         value = html.unescape(raw) if "&" in raw else raw
@@ -171,8 +227,9 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
                 return
             owner = node
         pieces.append(value)
-        if node.link:
-            linked += len(value)
+        if node.link is not None:
+            node.link.size += len(value)
+            links.append((node.link, len(value)))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -183,15 +240,13 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         if not tag:
             continue
         tag = tag.lower()
+        inline = tag in _INLINE
         if m["end"]:
-            inline = tag in _INLINE
-            target = node
-            while target.parent is not None and target.tag != tag and not (inline and target.container):
-                target = target.parent
-            if target.parent is not None and target.tag == tag:
+            if (scopes[-1] if inline else opened).get(tag):
+                target = nearest((tag,))
                 if not inline or node.named is not target.parent.named:
                     flush()
-                pop_to(target)
+                close(target)
             elif tag == "p":
                 flush()
             continue
@@ -199,41 +254,50 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             if tag in ("br", "hr"):
                 flush()
             continue
-        inline = tag in _INLINE
         if not inline:
             flush()
             closes = _CLOSES.get(tag, ())
-            target = node
-            while target.parent is not None and target.tag not in closes and target.tag != "p" and target.tag not in _BARRIER:
-                target = target.parent
-            if target.tag in closes or target.tag == "p":
-                pop_to(target)
-        name, skip, by_name = _describe(tag, m["attrs"] or "", articles > 0)
+            scope = scopes[-1]
+            if scope.get("p") or any(scope.get(c) for c in closes):
+                close(nearest({"p", *closes}))
+            elif closes and len(scopes) > 1 and roots[-1].tag in closes:
+                close(roots[-1])
+        name, skip, by_name = _describe(tag, m["attrs"], articles > 0)
         if skip or by_name:
             flush()
-        node = _Node(tag, name, node, node.skip or skip, node.link or tag == "a", by_name)
+        count += 1
+        node = _Node(tag, name, node, node.skip or skip, count, by_name, wanted)
+        opened[tag] = opened.get(tag, 0) + 1
         articles += tag in ("article", "main")
-    if at < len(page) and not re.match(r"<[a-zA-Z/!?]", page[at:]):
+        if tag in _SCOPE:
+            scopes.append({})
+            roots.append(node)
+        else:
+            scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+    if at < len(page):
         text_at(page[at:])
     flush()
-    return _left(out)
+    while node.parent is not None:
+        node.last = count
+        node = node.parent
+    return _left([(n, text, sum(k for link, k in linked if link.size <= LINK_CHARS)) for n, text, linked in out])
 
 
-def scores(found: list[tuple[_Node, str, int]]) -> list[_Node]:
+def scores(found: list[Block]) -> list[_Node]:
     """Containers with their score in ``own``, in page order of first text."""
     seen: dict[int, _Node] = {}
     for node, text, linked in found:
         gain = (len(text) - 2 * linked) * 1.0
-        while node is not None and gain:
-            if node.container:
-                seen.setdefault(id(node), node)
-                node.own += gain * (1.5 if node.tag in ("article", "main") else 1.0)
-                gain = gain / 2 if abs(gain) > 1 else 0
-            node = node.parent
+        up = node.up
+        while up is not None and gain:
+            seen.setdefault(up.first, up)
+            up.own += gain * (1.5 if up.tag in ("article", "main") else 1.0)
+            gain = gain / 2 if abs(gain) > 1 else 0
+            up = up.parent.up
     return list(seen.values())
 
 
-def _best(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> _Node | None:
+def _best(nodes: list[_Node], found: list[Block]) -> _Node | None:
     """The container of the highest score, widened to its article or to parents with more text."""
     best = max(nodes, key=lambda n: n.own, default=None)
     if best is None:
@@ -244,18 +308,18 @@ def _best(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> _Node | No
             return up
         chain.append(up)
         up = up.parent
-    at = {id(n): i for i, n in enumerate(chain)}
+    # the elements of the chain lie in each other: the first whose range reaches a block holds it
     gains = [0.0] * len(chain)
+    starts = [-n.first for n in chain]
+    ends = [n.last for n in chain]
     for node, text, linked in found:
-        up = node
-        while up is not None and id(up) not in at:
-            up = up.parent
-        if up is not None:
-            gains[at[id(up)]] += len(text) - 2 * linked
+        i = max(bisect_left(starts, -node.first), bisect_left(ends, node.first))
+        if i < len(chain):
+            gains[i] += len(text) - 2 * linked
     others = 0.0
     for node, gain in zip(chain[1:], gains[1:]):
         others += gain
-        if node.container:
+        if node.tag in _CONTAINER:
             if others < 0:
                 break
             if others > 0:
@@ -265,22 +329,12 @@ def _best(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> _Node | No
 
 def main_text(page: str, path: str | None) -> str:
     """Text of the blocks below ``path``, or below the page's own best container."""
-    found = blocks(page)
-    nodes = scores(found)
-    chosen = {id(n) for n in nodes if path and n.path() == path}
-    if not chosen:
-        best = _best(nodes, found)
-        if best is None:
-            return " ".join(text for _, text, _ in found)
-        chosen = {id(best)}
-    out = []
-    for node, text, _ in found:
-        up: _Node | None = node
-        while up is not None and id(up) not in chosen:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return " ".join(out)
+    found = blocks(page, path)
+    inside = [text for node, text, _ in found if node.inside]
+    if inside:
+        return " ".join(inside)
+    best = _best(scores(found), found)
+    return " ".join(text for node, text, _ in found if best is None or best.first <= node.first <= best.last)
 
 
 def _votes(batches):
@@ -292,9 +346,8 @@ def _votes(batches):
             best = _best(nodes, found)
             by_path: dict[str, float] = {}
             for n in nodes:
-                p = n.path()
-                by_path[p] = by_path.get(p, 0.0) + n.own
-            top = best.path() if best is not None else None
+                by_path[n.path] = by_path.get(n.path, 0.0) + n.own
+            top = best.path if best is not None else None
             if top is not None:
                 by_path.setdefault(top, best.own)
             for p, s in by_path.items():

@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import time
 import zipfile
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -322,6 +324,185 @@ def test_lead_and_heading_belong_to_the_text(spark):
     assert {r.text for r in html_paths.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {want}
 
 
+ARTICLE = "A sentence of the article that is long enough to count. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="post social-science"><p>{ARTICLE}</p></div>',
+        f'<div id="left-side-content"><p>{ARTICLE}</p></div>',
+        f'<div class="long-form"><p>{ARTICLE}</p></div>',
+        f"<body><form action=x><div><p>{ARTICLE}</p></div></form></body>",
+        f'<div class="content with-sidebar"><p>{ARTICLE}</p></div><div class=x>neighbour</div>',
+        f"<body><article><a href=x>{ARTICLE}</a></article><div>plain other text here</div></body>",
+        f"<p title=don't>{ARTICLE}</p>",
+        f'<p class="x"">{ARTICLE}</p>',
+        f'<div data-x=a"b\'c><p>{ARTICLE}</p><p class=\'open>rest',
+    ],
+)
+def test_articles_are_not_lost(page):
+    assert html_paths.main_text(page, None).startswith(ARTICLE.strip())
+
+
+@pytest.mark.parametrize("page", ['<a x="<a x=\'' * 15000, '<p class="' * 20000, "<div><p>" * 20000, "<span>" * 20000 + "x</b>" * 20000, "<span>" * 20000 + "<li></li>x" * 20000, "<div class=ad>x" * 15000, "<div class=a><div class=b>y" * 7000, "<!--" * 40000, "<" * 200000])
+def test_hostile_markup_takes_linear_time(page):
+    began = time.process_time()
+    html_paths.main_text(page, None)
+    assert time.process_time() - began < 2
+
+
+class Dom(HTMLParser):
+    """A plain tree of well-formed markup: [tag, attributes, children]."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = ["#root", {}, []]
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), []]
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def walked(page, path):
+    """Main text by walking the whole tree for every question."""
+    chains = []  # (ancestors from the root, block text, link characters)
+
+    def walk(node, above):
+        """Texts below a block element, split where a block starts or ends."""
+        run = []
+
+        def flush():
+            text = " ".join("".join(t for t, _, _ in run).split())
+            if text:
+                first = next(c for t, c, _ in run if t.strip())
+                chains.append((first, text, sum(len(t) for t, _, link in run if link)))
+            run.clear()
+
+        def inner(n, up):
+            up = [*up, n]
+            for child in n[2]:
+                if isinstance(child, str):
+                    if run or child.strip():
+                        run.append((child, up, any(x[0] == "a" for x in up)))
+                elif child[0] in ("a", "b"):
+                    inner(child, up)
+                else:
+                    flush()
+                    walk(child, up)
+        inner(node, above)
+        flush()
+
+    walk(Dom(page).root, [])
+    name = lambda n: n[0] + ("." + ".".join(sorted({re.sub(r"\d+", "0", c) for c in n[1]["class"].split()})) if n[1].get("class") else "")
+    boxes = {"article", "main", "section", "div", "td", "body", "center", "table", "blockquote"}
+
+    def dropped(up):
+        for i, n in enumerate(up):
+            inside = any(x[0] in ("article", "main") for x in up[:i])
+            if n[0] in ("nav", "footer", "aside") or (n[0] == "header" and not inside) or n[1].get("role") == "navigation":
+                return True
+        return False
+
+    kept = [c for c in chains if not dropped(c[0])]
+    chrome = lambda n: n[1].get("class") in ("ad", "comments")
+    named = lambda up: [n for n in up if chrome(n) and n[0] != "article"]
+    total = sum(len(t) - k for _, t, k in kept)
+    articles = []  # (named elements round the nearest article, what the block gives)
+    for up, t, k in kept:
+        at = [i for i, n in enumerate(up) if n[0] == "article" and not chrome(n)]
+        if at:
+            articles.append((named(up[: at[-1]]), len(t) - 2 * k))
+    outside = sum(gain for over, gain in articles if not over)
+
+    def stays(n):
+        most = 2 * sum(len(t) - k for up, t, k in kept if any(x is n for x in up)) > total
+        return most and sum(gain for over, gain in articles if any(x is n for x in over)) > max(0, outside)
+
+    kept = [c for c in kept if all(stays(n) for n in named(c[0]))] or kept
+
+    def label(up):
+        out = []
+        for n in up:
+            if n[0] in boxes and (not out or out[-1] != name(n)):
+                out.append(name(n))
+        return ">".join(out)
+
+    if path:
+        chosen = [text for up, text, _ in kept if any(n[0] in boxes and label(up[: i + 1]) == path for i, n in enumerate(up))]
+        if chosen:
+            return " ".join(chosen)
+    score, order = {}, []
+    for up, text, linked in kept:
+        gain = float(len(text) - 2 * linked)
+        for n in reversed(up):
+            if n[0] in boxes and gain:
+                if id(n) not in score:
+                    score[id(n)] = [0.0, n]
+                    order.append(id(n))
+                score[id(n)][0] += gain * (1.5 if n[0] in ("article", "main") else 1)
+                gain = gain / 2 if abs(gain) > 1 else 0
+    if not order:
+        return " ".join(text for _, text, _ in kept)
+    best = score[max(order, key=lambda i: score[i][0])][1]
+    chain = next(up[: i + 1] for up, _, _ in kept for i, n in enumerate(up) if n is best)
+    below = lambda n: sum(len(t) - 2 * k for up, t, k in kept if any(x is n for x in up))
+    outer = best
+    for n in reversed(chain):
+        if n[0] in ("body", "html", "#root"):
+            break
+        if n[0] in ("article", "main"):
+            outer = n
+            break
+        if n[0] in boxes:
+            if below(n) < below(outer):
+                break
+            if below(n) > below(outer):
+                outer = n
+    return " ".join(text for up, text, _ in kept if any(x is outer for x in up))
+
+
+def made_page(r):
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 7)))
+
+    def inline():
+        out = []
+        for _ in range(r.randint(1, 9)):
+            w = word() + r.choice((" ", " ", "&amp; ", "\n", "&#233;"))
+            out.append(r.choice((w, w, w, f"<b>{w}</b>", f"<a href='x'>{w}</a>")))
+        return "".join(out)
+
+    def element(depth):
+        tag = r.choice(("div", "div", "p", "section", "article", "nav", "header", "footer", "aside", "h2"))
+        attrs = r.choice(("", "", ' class="c1"', ' class="c2 c1"', ' class="ad"', ' class="comments"', ' role="navigation"', ' title="a > b"', " data-x='q\"'"))
+        if tag in ("p", "h2") or depth > 3:
+            tag = tag if tag in ("p", "h2") else "p"
+            return f"<{tag}{attrs if 'class' not in attrs else ''}>{inline()}</{tag}>"
+        parts = [element(depth + 1) if r.random() < 0.6 else inline() for _ in range(r.randint(1, 4))]
+        return f"<{tag}{attrs}>{''.join(parts)}</{tag}>"
+
+    return "<html><body>" + "".join(element(0) for _ in range(r.randint(1, 5))) + "</body></html>"
+
+
+def test_main_text_by_walking_the_tree():
+    r = random.Random(12)
+    for _ in range(600):
+        page = made_page(r)
+        assert html_paths.main_text(page, None) == walked(page, None), page
+        for node in html_paths.scores(html_paths.blocks(page)):
+            assert html_paths.main_text(page, node.path) == walked(page, node.path), (page, node.path)
+
+
 # ---- language
 
 
