@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = label.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = label.select(F.col("id").alias("comp"), F.col("comp").alias("over"))
         jumped = cut(lower.join(up, "comp", "left").select("id", "old", F.least("comp", F.coalesce("over", "comp")).alias("comp")), "labels")
+        drop(label)
         label = jumped.select("id", "comp")
         if jumped.where("comp <> old").isEmpty():
+            drop(both)
             return label

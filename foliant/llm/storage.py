@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; only where none is set (tests) a local one is made."""
+    """The session's shared folder. Where none is set, a local session makes one; a cluster must name its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-foliant-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -24,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +36,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(table_: DataFrame) -> None:
+    """Delete a table that ``cut`` wrote and nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
+        _delete(table_.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder, once its results are stored elsewhere."""
+    _delete(spark, f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +64,3 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (shuffle join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-
-def long_col(name: str) -> Column:
-    return F.col(name).cast("long")

@@ -4,8 +4,10 @@ A package is an uncompressed ZIP file (members are stored; ZIP64 where sizes nee
 ``archive/data.warc.gz`` (WARC/1.1 records, one gzip member each) and ``indexes/index.cdx``
 (JSON lines: offset and length of each record within the archive member).
 
-Writing: payload digests are aggregated first (digest -> smallest page_id); pages then join
-that, and each task streams its pages into one package in the shared folder.
+Writing: payload digests are aggregated first (digest -> smallest page_id); the pages whose
+payload occurs again join that, and each task streams its pages into one package in the shared
+folder. The response that others refer to has a record id made from its digest, every other
+record one made from its package and offset, so ids are unique whatever the page_ids are.
 Reading: a package's end-of-central-directory record (also ZIP64's), central directory and
 local headers give the place of each stored member; index entries are grouped into ranges that
 tasks read with seeks. Nothing is unpacked to disk and no package is read as a whole.
@@ -25,7 +27,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.storage import cut, scratch, table
@@ -34,6 +36,8 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of records that are read at once.
 RANGE_BYTES = 4 << 20
+#: Most tasks that the ranges of a read are dealt over.
+MAX_TASKS = 20_000
 
 
 class Member(NamedTuple):
@@ -105,13 +109,17 @@ def member_start(f, member: Member) -> int:
     return member.header + 30 + n + x
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """A WARC response record, or a revisit record without its payload."""
-    kind = "response" if refers_to is None else "revisit"
+def _urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to, name: str) -> bytes:
+    """A WARC response record, or a revisit record without its payload; ``name`` makes the record's id."""
+    kind = "revisit" if revisit else "response"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Record-ID: {_urn(name)}",
         f"WARC-Target-URI: {(url or '').translate({10: None, 13: None})}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -119,14 +127,14 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
         f"X-Page-Id: {'' if page_id is None else page_id}",
         "Content-Type: application/http;msgtype=response",
     ]
-    if refers_to is not None:
+    if revisit:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>",
-            f"X-Refers-To-Page: {refers_to}",
+            f"WARC-Refers-To: {_urn('payload:' + digest)}",
+            f"X-Refers-To-Page: {'' if refers_to is None else refers_to}",
         ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    block = http + (payload if refers_to is None else b"")
+    block = http + (b"" if revisit else payload)
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -150,6 +158,8 @@ def parse(raw: bytes) -> dict:
         "payload_digest": digest,
         "payload_bytes": size,
         "refers_to": int(refers) if refers else None,
+        "record_id": field["warc-record-id"],
+        "refers_to_record": field.get("warc-refers-to"),
         "payload": payload if kind == "response" else None,
     }
 
@@ -191,9 +201,10 @@ def _write(folder: str):
 
                 def put(batch):
                     nonlocal at
-                    for page, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
+                    for page, url, html, digest, refers, again, lead in zip(*(c.to_pylist() for c in batch.columns)):
                         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                        raw = packer.compress(record(page, url, html.encode(), digest, refers)) + packer.flush()
+                        own = f"payload:{digest}" if lead else f"record:{name}:{at}"
+                        raw = packer.compress(record(page, url, html.encode(), digest, again, refers, own)) + packer.flush()
                         out.write(raw)
                         index.append(json.dumps({"offset": at, "length": len(raw)}))
                         at += len(raw)
@@ -208,15 +219,31 @@ def _write(folder: str):
 
 
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes ``page_id, url, html`` as packages into ``folder``; (package, records) of those that count."""
+    """Writes ``page_id, url, html`` as packages into ``folder``; (package, records) of those that count.
+
+    Of the records with equal payloads of at least MIN_REVISIT_BYTES the one with the smallest
+    page_id (null last, then the first url) is the response, all others revisit it.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
+    # short and null payloads share digests, but are all responses: they join nothing
     big = F.octet_length("html") >= MIN_REVISIT_BYTES
-    first = rows.where(big & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = rows.join(first.select("digest", "first"), "digest", "left")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    packed = marked.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_write(folder), "package string, records long")
-    return cut(packed, "packages")
+    large, plain = rows.where(big), rows.where(~big)
+    per_id = large.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = per_id.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "n")).alias("f"), F.sum("n").alias("all"))
+    first = cut(first.where("all > 1").select("digest", F.lit(True).alias("again"), F.col("f.page_id").alias("first"), F.col("f.n").alias("same")), "first-pages")
+    marked = large.join(first, "digest", "left").withColumn("lead", F.col("again") & F.col("page_id").eqNullSafe(F.col("first")))
+    if not first.where("same > 1").isEmpty():
+        # rows that repeat the smallest id: one of them, the first by url, is the response
+        order = Window.partitionBy("digest", "lead").orderBy("url")
+        several = marked.where("lead and same > 1").withColumn("lead", F.row_number().over(order) == 1)
+        marked = marked.where("not coalesce(lead and same > 1, false)").union(several)
+    lead = F.coalesce("lead", F.lit(False))
+    refers = F.when(F.col("again") & ~lead, F.struct(F.col("first").alias("page")))
+    columns = ["page_id", "url", "html", "digest"]
+    packed = marked.select(*columns, refers["page"].alias("refers_to"), refers.isNotNull().alias("revisit"), lead.alias("lead"))
+    packed = packed.union(plain.select(*columns, F.lit(None).cast("long"), F.lit(False), F.lit(False)))
+    return cut(packed.mapInArrow(_write(folder), "package string, records long"), "packages")
 
 
 def _ranges(batches):
@@ -246,7 +273,7 @@ def _ranges(batches):
             )
 
 
-_ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+_ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("payload", pa.binary())])
 
 
 def _read(batches):
@@ -265,18 +292,19 @@ def _read(batches):
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """Every record of the packages named in ``package``, read by ranges over tasks."""
-    ranges = packages.select("package").mapInArrow(_ranges, "package string, start long, lengths array<long>")
-    dealt = ranges.repartition(F.col("package"), F.col("start"))
-    return dealt.mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    ranges = cut(packages.select("package").mapInArrow(_ranges, "package string, start long, lengths array<long>"), "ranges")
+    # the ranges take a few KB, so Spark would merge them into one task: they are dealt by their number
+    dealt = ranges.repartition(min(max(1, ranges.count()), MAX_TASKS), F.col("package"), F.col("start"))
+    return dealt.mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, record_id string, refers_to_record string, payload binary")
 
 
 def op8_warc_zip(spark, sf_dir: str) -> DataFrame:
     """Archives every page and reads the records back.
 
     Null html is an empty payload; a null url is written as an empty target and read as null. A
-    null page_id is archived as a response and read back as null. Rows that repeat a page_id get
-    a record each; those of the smallest page_id among equal payloads are all responses. Other
-    columns are not read. An empty table gives an empty one.
+    null page_id comes after all others and is read back as null. Rows that repeat a page_id get
+    a record each, of which one at most is the response of its payload (if that has 100 bytes).
+    Other columns are not read. An empty table gives an empty one.
     """
     packages = write_packages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -285,11 +313,10 @@ def op8_warc_zip(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"op8_warc_zip": op8_warc_zip}
 SQL = {
     "op8_warc_zip": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-f AS (SELECT h, min(page_id) AS first FROM p WHERE octet_length(encode(h)) >= 100 GROUP BY h)
-SELECT page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes, sha256(p.h) AS payload_digest,
-  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
-FROM p LEFT JOIN f ON p.h = f.h
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+r AS (SELECT *, octet_length(encode(h)) >= 100 AND row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST) > 1 AS again,
+  min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
 """,
 }

@@ -176,14 +176,18 @@ def test_top_k_of_few(spark):
 
 def test_archives(spark):
     big = "é" * 60 + "same"
-    rows = [(3, "http://a/\r\nx", big, 1), (1, "u", big, 1), (2, None, None, 1), (4, "", "", 1), (5, "u", "short", 1), (6, "u", "short", 1), (None, "u", big, 1), (7, "u", "z" * 300000, 1), (1, "u", big, 1)]
+    rows = [(3, "http://a/\r\nx", big, 1), (1, "u", big, 1), (2, None, None, 1), (4, "", "", 1), (5, "u", "short", 1), (6, "u", "short", 1), (None, "u", big, 1), (7, "u", "z" * 300000, 1), (1, "u", big, 1), (None, "a", "n" * 200, 1), (None, "b", "n" * 200, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
     folder = scratch(spark, "warc-test")
     packages = warc_zip.write_packages(pages, folder)
     got = warc_zip.read_packages(packages).collect()
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in got) == sorted(
-        [("3", "revisit", "1", 124), ("1", "response", "None", 124), ("1", "response", "None", 124), ("2", "response", "None", 0), ("4", "response", "None", 0), ("5", "response", "None", 5), ("6", "response", "None", 5), ("None", "response", "None", 124), ("7", "response", "None", 300000)]
+        [("3", "revisit", "1", 124), ("1", "response", "None", 124), ("1", "revisit", "1", 124), ("2", "response", "None", 0), ("4", "response", "None", 0), ("5", "response", "None", 5), ("6", "response", "None", 5), ("None", "revisit", "1", 124), ("7", "response", "None", 300000)]
+        + [("None", "response", "None", 200), ("None", "revisit", "None", 200)]
     )
+    assert len({r.record_id for r in got}) == len(rows)
+    whole = {r.record_id: r.payload_digest for r in got if r.record_type == "response"}
+    assert all(whole[r.refers_to_record] == r.payload_digest for r in got if r.record_type == "revisit")
     for r in got:
         if r.record_type == "response" and r.page_id in (1, 7):
             assert r.payload.decode() == {1: big, 7: "z" * 300000}[r.page_id]
