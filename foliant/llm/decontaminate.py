@@ -29,21 +29,30 @@ def window_hash(hashes: np.ndarray, length: int) -> np.ndarray:
     return W.grams(hashes, length, seed=400 + length)
 
 
+def window_check(hashes: np.ndarray, length: int) -> np.ndarray:
+    """64 bits more of each window, so that windows are compared by 128."""
+    return W.grams(W.mix(hashes ^ _OTHER), length, seed=800 + length)
+
+
+_OTHER = W.constants(1, 34)[0]
+
+
 def _windows(window: int):
     def run(batches):
         for batch, data, offs in W.chunks(batches, "text"):
             w = W.Words(data, offs, W.ALNUM)
-            item, wid, terms = [], [], []
+            item, wid, check, terms = [], [], [], []
             ids = batch.column(0).to_pylist()
             for d, (i, j) in enumerate(zip(w.first[:-1], w.first[1:])):
                 length = min(window, int(j - i))
                 if length:
-                    for s, h in enumerate(window_hash(w.hash[i:j], length)):
+                    for s, (h, g) in enumerate(zip(window_hash(w.hash[i:j], length), window_check(w.hash[i:j], length))):
                         item.append(ids[d])
                         wid.append(h)
+                        check.append(g)
                         terms.append(w.hash[i + s : i + s + length].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(item, pa.int64()), W.longs(np.array(wid, np.uint64)), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "wid", "terms"]
+                [pa.array(item, pa.int64()), W.longs(np.array(wid, np.uint64)), W.longs(np.array(check, np.uint64)), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "wid", "check", "terms"]
             )
 
     return run
@@ -104,15 +113,16 @@ def _verify(batches):
         hit, wids, rows = [], [], []
         for r in range(batch.num_rows):
             f = found[r].values
-            start, wid, length = (f.field(c).to_numpy() for c in ("start", "wid", "length"))
+            start, wid, check, length = (f.field(c).to_numpy() for c in ("start", "wid", "check", "length"))
             i, j = int(w.first[r]), int(w.first[r + 1])
             mark = np.zeros(j - i, dtype=bool)
             real = []
             for n in np.unique(length):
                 own = np.flatnonzero((length == n) & (start >= 0) & (start + n <= j - i))
                 if len(own):
-                    all_windows = window_hash(w.hash[i:j], int(n)).view(np.int64)
-                    own = own[all_windows[start[own]] == wid[own]]
+                    for hashes, want in ((window_hash, wid), (window_check, check)):
+                        there = hashes(w.hash[i:j], int(n)).view(np.int64)
+                        own = own[there[start[own]] == want[own]]
                     for s in start[own]:
                         mark[s : s + n] = True
                     real.append(wid[own])
@@ -133,17 +143,17 @@ class Index:
         spark = docs.sparkSession
         self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-        rows = items.mapInArrow(_windows(window), "item_id long, wid long, terms array<long>").withColumn("length", F.size("terms"))
+        rows = items.mapInArrow(_windows(window), "item_id long, wid long, check long, terms array<long>").withColumn("length", F.size("terms"))
         self.windows = cut(rows, "windows")
-        places = self.windows.dropDuplicates(["wid"]).select("wid", "length", F.posexplode("terms").alias("offset", "term"))
-        places = cut(places.groupBy("wid", "length", "term").agg(F.min("offset").alias("offset")), "places")
+        places = self.windows.dropDuplicates(["wid"]).select("wid", "check", "length", F.posexplode("terms").alias("offset", "term"))
+        places = cut(places.groupBy("wid", "check", "length", "term").agg(F.min("offset").alias("offset")), "places")
         counts = self.texts.mapInArrow(_counts(self._filter(spark, places)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         known = places.join(counts, "term", "left")
         by_rarity = Window.partitionBy("wid").orderBy(F.col("n").asc_nulls_first(), "term")
         ranked = known.withColumn("rank", F.row_number().over(by_rarity)).withColumn("rarest", F.first("n").over(by_rarity))
         probes = ranked.where("rarest is not null").where(F.col("rank") <= rarest)
         self.rarest = rarest
-        self.probes = cut(probes.select("wid", "length", "term", "offset", "rank"), "probes")
+        self.probes = cut(probes.select("wid", "check", "length", "term", "offset", "rank"), "probes")
         postings = self.texts.mapInArrow(_postings(self._filter(spark, self.probes)), "term long, id long, positions array<int>")
         self.postings = cut(postings, "postings")
 
@@ -153,28 +163,28 @@ class Index:
         return spark.sparkContext.broadcast(np.sort(terms)) if len(terms) <= FILTER_TERMS else None
 
     def starts(self, slack: int = 0) -> DataFrame:
-        """(wid, length, id, start): places where the offset-adjusted lists of all probes meet.
+        """(wid, check, length, id, start): places where the offset-adjusted lists of all probes meet.
 
         The lists are intersected from the rarest term on: its postings give the starts, and each
         further list is looked up only in the documents that are left. With ``slack`` the starts
         of the other lists may differ from the rarest term's by so many words.
         """
         lists = self.postings.where("term is not null").select("term", "id", "positions")
-        lead = self.probes.where("rank = 1").select("term", "wid", "length", "offset")
-        met = lists.join(lead, "term").select("wid", "length", "id", "offset", F.explode("positions").alias("position"))
-        met = met.select("wid", "length", "id", (F.col("position") - F.col("offset")).alias("start"))
+        lead = self.probes.where("rank = 1").select("term", "wid", "check", "length", "offset")
+        met = lists.join(lead, "term").select("wid", "check", "length", "id", "offset", F.explode("positions").alias("position"))
+        met = met.select("wid", "check", "length", "id", (F.col("position") - F.col("offset")).alias("start"))
         if not slack:
             met = met.where("start >= 0")
         for rank in range(2, self.rarest + 1):
             probe = self.probes.where(F.col("rank") == rank).select("wid", "term", "offset")
             both = met.join(probe, "wid", "left").join(lists, ["term", "id"], "left")
             here = F.exists("positions", lambda p: F.abs(p - F.col("offset") - F.col("start")) <= slack)
-            met = both.where(F.col("term").isNull() | F.coalesce(here, F.lit(False))).select("wid", "length", "id", "start")
+            met = both.where(F.col("term").isNull() | F.coalesce(here, F.lit(False))).select("wid", "check", "length", "id", "start")
         return met
 
     def phrases(self) -> DataFrame:
         """(id, n_hit, wids): documents with exact occurrences, hit words and their windows."""
-        found = self.starts().groupBy("id").agg(F.collect_list(F.struct("start", "wid", "length")).alias("found"))
+        found = self.starts().groupBy("id").agg(F.collect_list(F.struct("start", "wid", "check", "length")).alias("found"))
         return self.texts.join(found, "id").mapInArrow(_verify, "id long, n_hit long, wids array<long>")
 
     def proximity(self, slack: int) -> DataFrame:
@@ -188,11 +198,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, rares
 
     docs has ``doc_id`` (long) and ``text``, benchmark ``item_id`` (long) and ``text``; other
     columns are not read. Null and empty texts have no words and no windows. Rows with a null
-    id are left out on either side. Rows that repeat a doc_id count as one document with the
-    first text in text order; items that repeat an item_id add up. Empty tables give no hits.
+    doc_id and rows that repeat one are judged each. An item without an item_id cannot be named
+    and is left out; items that repeat an item_id add up. Empty tables give no hits.
     """
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = cut(docs.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "one-text")
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        # rows get keys of their own, in a table that is written before they are read again
+        keyed = cut(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").alias("own"), "text"), "keyed")
+        judged = contamination(keyed.select(F.col("key").alias("doc_id"), "text"), benchmark, window, rarest).withColumnRenamed("doc_id", "key")
+        return keyed.select("key", F.col("own").alias("doc_id")).join(judged, "key").drop("key")
     index = Index(docs, benchmark, window, rarest)
     hits = cut(index.phrases(), "hits")
     named = hits.select("id", F.explode("wids").alias("wid")).join(index.windows.select("wid", "item_id").distinct(), "wid")

@@ -228,11 +228,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
 
     docs has ``doc_id`` (long) and ``text``; other columns, whatever their names, are not read.
     Null text is empty text: n_shingles 0, linked with nothing. Rows with a null doc_id have no
-    identity and are left out. Rows that repeat a doc_id count as one document with the first
+    identity to link by: each is kept, with a null component_id. Rows that repeat a doc_id count as one document with the first
     text in text order. Equal similarity counts as linked (>=). An empty table gives an empty one.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
-    signed = cut(texts.mapInArrow(_sign(words), "id long, n long, f1 long, f2 long, sig binary"), "signatures")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = cut(rows.mapInArrow(_sign(words), "id long, n long, f1 long, f2 long, sig binary"), "signatures")
+    texts, signed, nameless = rows.where("id is not null"), every.where("id is not null"), every.where("id is null")
     if not signed.groupBy("id").count().where("count > 1").isEmpty():
         texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")), "one-text")
         signed = cut(texts.mapInArrow(_sign(words), "id long, n long, f1 long, f2 long, sig binary"), "signatures")
@@ -285,10 +286,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     links = links.union(dealt.mapInArrow(_exact_links(words, percent), "a long, b long"))
     label = components(links)
 
-    member = signed.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
-    out = member.join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("comp", "rep", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    # written before the join, which lets Spark split a class of very many copies
+    member = classes.select("n", "f1", "f2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    member = cut(member.select("n", "f1", "f2", F.coalesce("comp", "rep").alias("component")), "class-components")
+    out = signed.join(member, ["n", "f1", "f2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = out.union(nameless.select("id", "n", F.lit(None).cast("long")))
+    kept = F.coalesce(F.col("component") == F.col("id"), F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

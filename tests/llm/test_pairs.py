@@ -67,7 +67,8 @@ def test_near_duplicates(spark):
     rows = list(enumerate(made(1))) + [(900, None)]
     extra = [(None, "lost"), (5, rows[5][1])]
     got = minhash.near_duplicates(frame(spark, rows + extra)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(rows) and len(got) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == brute_components(rows) and len(got) == len(rows) + 1
+    assert [(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None] == [(1, None, True)]
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -160,8 +161,13 @@ def test_contamination(spark):
     docs += [docs[0].upper().replace(" ", "-- "), "x " + docs[2] + " tail", None, "a " * 25, "é!é?é"]
     rows = list(enumerate(docs))
     bench = spark.createDataFrame([(i, t, 1) for i, t in [*items, (None, "a")]], "item_id long, text string, wid int")
-    got = decontaminate.contamination(frame(spark, rows + [(None, docs[0])]), bench)
-    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == brute_hits(rows, items)
+    shown = lambda r: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+    got = decontaminate.contamination(frame(spark, rows), bench)
+    assert {r.doc_id: shown(r) for r in got.collect()} == brute_hits(rows, items)
+    odd = rows[:5] + [(None, docs[0]), (None, docs[3]), (2, docs[0])]
+    got = decontaminate.contamination(frame(spark, odd), bench).collect()
+    want = brute_hits(list(enumerate(t for _, t in odd)), items)
+    assert sorted((str(r.doc_id), shown(r)) for r in got) == sorted((str(odd[i][0]), v) for i, v in want.items())
 
 
 def test_contamination_without_items(spark):
