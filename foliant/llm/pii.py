@@ -4,8 +4,10 @@ The patterns (e-mail, IPv4, card, phone) give the base spans. The random field a
 written differently: national phone numbers, cards with other separators, spelled-out e-mail
 addresses. It is trained by maximum likelihood (forward-backward, gradient steps) from a small
 labelled table of made-up sentences, on the driver. Tasks decode whole texts by Viterbi in numpy:
-lines are the sequences, longer ones are cut into windows of words with context on both sides,
-and windows of like length are decoded together.
+lines are the sequences, and sequences of like length are decoded together. A long line is cut
+at words that have one and the same tag in the best paths between all tags some words before and
+all tags some words after, and so in the best path of the line; the parts are then decoded side
+by side. The tags are those of the best path over the whole line, however long.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from foliant.llm.storage import table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-FEATURES, TEMPLATES = 1 << 12, 5
-#: Words of a decoded window, and of its context on either side.
-WINDOW, CONTEXT = 96, 16
+FEATURES, TEMPLATES = 1 << 12, 7
+#: Words between places where a long line may be cut, words on either side that decide it, and parts that are decoded together.
+PART, AROUND, TOGETHER = 96, 8, 1024
 
 # Fixed patterns of the base spans.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,7 +87,7 @@ _CLASS_VALUE = W.constants(16, 51)
 
 
 class Shapes:
-    """Words of texts with their shape features; sequences are lines, cut into windows."""
+    """Words of texts with their shape features; sequences are lines."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         w = self.words = W.Words(data, offs, W.EXACT)
@@ -109,24 +111,20 @@ class Shapes:
             new[1:] = (w.doc[1:] != w.doc[:-1]) | (lines[w.start[1:]] != lines[w.start[:-1]])
         self.sequence = np.flatnonzero(new)
         none = np.uint64(1)
-        before, after = np.full(n, none), np.full(n, none)
-        if n:
-            before[1:] = np.where(new[1:], none, shape[:-1])
-            after[:-1] = np.where(new[1:], none, shape[1:])
+
+        def beside(x):
+            """Of the words before and after each."""
+            before, after = np.full(n, none), np.full(n, none)
+            if n:
+                before[1:] = np.where(new[1:], none, x[:-1])
+                after[:-1] = np.where(new[1:], none, x[1:])
+            return before, after
+
         known = w.hash
-        parts = (shape, before, after, size.astype(np.uint64) + np.uint64(7), known)
+        parts = (shape, *beside(shape), size.astype(np.uint64) + np.uint64(7), known, *beside(known))
         salts = W.constants(TEMPLATES, 52)
         self.features = np.stack([(W.mix(x * s) >> np.uint64(52)).astype(np.int32) for x, s in zip(parts, salts)], axis=1) if n else np.empty((0, TEMPLATES), np.int32)
 
-    def windows(self) -> list[tuple[int, int, int, int]]:
-        """(from, to, first kept, end kept) of words, covering every word once."""
-        n = len(self.words.start)
-        out = []
-        for a, b in zip(self.sequence, np.r_[self.sequence[1:], n]):
-            for k in range(int(a), int(b), WINDOW):
-                out.append((max(int(a), k - CONTEXT), min(int(b), k + WINDOW + CONTEXT), k, min(int(b), k + WINDOW)))
-        return out
-
 
 # ---- the random field --------------------------------------------------------------------
 
@@ -140,38 +138,77 @@ class Field:
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return sum(self.weights[t * FEATURES + features[..., t]] for t in range(TEMPLATES))
 
-    def viterbi(self, emission: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags (sequences, steps) of padded emissions (sequences, steps, tags)."""
+    def viterbi(self, emission: np.ndarray, lengths: np.ndarray, start: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Best tags (sequences, steps) of padded emissions (sequences, steps, tags).
+
+        start: scores of the first tags, by sequence; last: the last tags, -1 where they are free.
+        """
         s, steps, k = emission.shape
-        back = np.zeros((s, steps, k), dtype=np.int8)
-        score = self.start + emission[:, 0]
+        back = np.zeros((steps, s, k), dtype=np.int8)
+        score = (self.start if start is None else start) + emission[:, 0]
         for t in range(1, steps):
-            options = score[:, :, None] + self.transitions[None]
-            back[:, t] = options.argmax(axis=1)
-            step = options.max(axis=1) + emission[:, t]
-            score = np.where((t < lengths)[:, None], step, score)
+            best, came = self._after(score[:, None, :])
+            back[t] = came[:, 0]
+            score = np.where((t < lengths)[:, None], best[:, 0] + emission[:, t], score)
         tags = np.zeros((s, steps), dtype=np.int8)
         tag = score.argmax(axis=1)
+        if last is not None:
+            tag = np.where(last >= 0, last, tag)
+        row = np.arange(s)
         for t in range(steps - 1, -1, -1):
             inside = t < lengths
             tags[inside, t] = tag[inside]
             if t:
-                tag = np.where(inside, back[np.arange(s), t, tag], tag)
+                tag = np.where(inside, back[t, row, tag], tag)
         return tags
 
+    def _after(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best score of each next tag, the tag before it) from scores (sequences, rows, tags)."""
+        best = score[:, :, 0, None] + self.transitions[0]
+        came = np.zeros(best.shape, dtype=np.int8)
+        for m in range(1, len(self.start)):
+            other = score[:, :, m, None] + self.transitions[m]
+            came[other > best] = m
+            np.maximum(best, other, out=best)
+        return best, came
+
+    def certain(self, emission: np.ndarray) -> np.ndarray:
+        """Of each row of 2 * AROUND + 1 words the middle word's tag, if all best paths through it agree, else -1."""
+        s, _, k = emission.shape
+        to = np.broadcast_to(self.transitions, (s, k, k)) + emission[:, 0, None, :]
+        for t in range(1, AROUND + 1):
+            to = self._after(to)[0] + emission[:, t, None, :]
+        on = np.broadcast_to(self.transitions, (s, k, k)) + emission[:, 2 * AROUND, None, :]
+        for t in range(2 * AROUND - 1, AROUND, -1):
+            on = np.max(self.transitions[None, :, :, None] + (emission[:, t, :, None] + on)[:, None, :, :], axis=2)
+        tags = (to[:, :, :, None] + on[:, None, :, :]).argmax(axis=2).reshape(s, -1)
+        return np.where((tags == tags[:, :1]).all(axis=1), tags[:, 0], -1)
+
     def decode(self, shapes: Shapes) -> np.ndarray:
         """Tag of every word."""
         out = np.zeros(len(shapes.words.start), dtype=np.int8)
-        windows = sorted(shapes.windows(), key=lambda x: x[1] - x[0])
-        for i in range(0, len(windows), 512):
-            group = windows[i : i + 512]
-            a = np.array([g[0] for g in group])
-            lengths = np.array([g[1] - g[0] for g in group])
-            steps = int(lengths.max())
-            at = np.minimum(a[:, None] + np.arange(steps), len(out) - 1)
-            tags = self.viterbi(self.emissions(shapes.features[at]), lengths)
-            for row, (start, _, lo, hi) in enumerate(group):
-                out[lo:hi] = tags[row, lo - start : hi - start]
+        first = shapes.sequence
+        end = np.r_[first[1:], len(out)]
+        cuts = [np.arange(a + PART, b - AROUND, PART) for a, b in zip(first, end) if b - a > PART + AROUND]
+        cuts = np.concatenate(cuts) if cuts else np.empty(0, np.int64)
+        found = [self.certain(self.emissions(shapes.features[c[:, None] + np.arange(-AROUND, AROUND + 1)])) for c in (cuts[i : i + TOGETHER] for i in range(0, len(cuts), TOGETHER))]
+        tags = np.concatenate(found) if found else np.empty(0, np.int64)
+        cuts, tags = cuts[tags >= 0], tags[tags >= 0]
+        # parts end with the words that are certain
+        at = np.sort(np.r_[first, cuts + 1])
+        n = np.diff(np.r_[at, len(out)])
+        before, last = np.full(len(at), -1), np.full(len(at), -1)
+        begins = np.searchsorted(at, cuts + 1)
+        before[begins] = tags
+        last[begins - 1] = tags
+        order = np.argsort(n, kind="stable")
+        for i in range(0, len(order), TOGETHER):
+            rows = order[i : i + TOGETHER]
+            start = np.where((before[rows] < 0)[:, None], self.start[None], self.transitions[before[rows]])
+            index = np.minimum(at[rows, None] + np.arange(int(n[rows].max())), len(out) - 1)
+            got = self.viterbi(self.emissions(shapes.features[index]), n[rows], start, last[rows])
+            inside = np.arange(got.shape[1])[None] < n[rows, None]
+            out[index[inside]] = got[inside]
         return out
 
 
@@ -180,7 +217,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def train(rows: list[tuple[str, list[str]]], steps: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
+def train(rows: list[tuple[str, list[str]]], steps: int = 90, rate: float = 0.15, decay: float = 1e-3) -> Field:
     """Maximum likelihood from (sentence, tags of its words) by Adam on full gradients."""
     text = "\n".join(s for s, _ in rows)
     data = np.frombuffer(text.encode(), np.uint8)
@@ -226,57 +263,74 @@ def train(rows: list[tuple[str, list[str]]], steps: int = 120, rate: float = 0.1
     return field
 
 
-def labelled_table(rows: int = 400, seed: int = 9) -> list[tuple[str, list[str]]]:
-    """Made-up sentences with tagged words: each holds at most one span among plain words."""
+def labelled_table(rows: int = 900, seed: int = 9) -> list[tuple[str, list[str]]]:
+    """Made-up sentences with tagged words: every second one holds a span among plain words."""
     r = random.Random(seed)
-    syllables = "ba ke li mo nu ra se ti vo za er an on st th".split()
+    syllables = "ba ke li mo nu ra se ti vo za er an on st th sch ung ción é ñ è ü ß ñe éa".split()
+    plain_name = [x for x in syllables if x.isascii()]
 
     def d(n):
         return "".join(r.choice("0123456789") for _ in range(n))
 
     def word():
-        w = "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-        return r.choice((w, w, w, w.capitalize(), w + ",", w + ".", w.upper()))
+        w = "".join(r.choice(syllables) for _ in range(r.choice((1, 2, 2, 3, 3, 4, 5, 7))))
+        return r.choice((w, w, w, w, w.capitalize(), w + ",", w + ".", w.upper(), w + r.choice(("&&&", "***", "###", "$$$", "%%%", "!", "?", ":", ";")), "|", f"({w})", f"[{w}]", f"{w}-{w}", f"{w}/{w}", "at", "dot", "no", "a"))
 
     def name():
-        return "".join(r.choice(syllables) for _ in range(2)) + r.choice(("", d(2), "." + r.choice(syllables)))
+        return "".join(r.choice(plain_name) for _ in range(2)) + r.choice(("", d(2), "." + r.choice(plain_name), "_" + r.choice(plain_name)))
 
+    def checked():
+        body = d(15)
+        return next(body + x for x in "0123456789" if luhn(body + x))
+
+    def fours(sep):
+        c = checked()
+        return sep.join(c[i : i + 4] for i in range(0, 16, 4))
+
+    site = lambda: "".join(r.choice(plain_name) for _ in range(r.choice((1, 2))))
     spans = {
-        "email": (lambda: f"{name()}@{r.choice(syllables)}.example.com", lambda: f"{name()} [at] {r.choice(syllables)}.example.org", lambda: f"{name()} (at) {r.choice(syllables)} (dot) example"),
-        "ip": (lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),),
-        "card": (lambda: d(16), lambda: ".".join(d(4) for _ in range(4)), lambda: "/".join(d(4) for _ in range(4)), lambda: " ".join(d(4) for _ in range(4))),
+        "email": (
+            lambda: f"{name()}@{site()}.example.com", lambda: f"{name()} [at] {site()}.{r.choice(('com', 'net', 'org', 'example.org'))}", lambda: f"{name()} (at) {site()} (dot) example",
+            lambda: f"{name()} [at] {site()} [dot] com", lambda: f"{name()}(at){site()}.net", lambda: f"{name()}[at]{site()}[dot]org",
+        ),
+        "ip": (lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: f"[{'.'.join(str(r.randint(1, 255)) for _ in range(4))}]"),
+        "card": (checked, lambda: fours("."), lambda: fours("/"), lambda: fours(" "), lambda: fours("_")),
         "phone": (
-            lambda: f"+{r.randint(1, 9)} ({d(3)}) {d(3)}-{d(4)}",
-            lambda: f"({d(3)}) {d(3)}-{d(4)}",
-            lambda: f"{d(3)}-{d(3)}-{d(4)}",
-            lambda: f"{d(3)}.{d(3)}.{d(4)}",
+            lambda: f"+{r.randint(1, 9)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}",
+            lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"({d(3)}){d(3)}-{d(4)}", lambda: f"{d(3)}/{d(3)}-{d(4)}",
         ),
-    }
+    }
     plain = (
         lambda: d(r.randint(1, 6)),
         lambda: f"{d(1)}.{d(1)}.{d(1)}",
         lambda: f"20{d(2)}-{d(2)}-{d(2)}",
         lambda: f"${d(2)}.{d(2)}",
+        lambda: f"{d(1)},{d(3)},{d(3)}",
         lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((18, 32, 40)))),
         lambda: "key=" + "".join(r.choice("0123456789ABCDEFGHJK") for _ in range(16)),
         lambda: d(r.choice((9, 11, 12, 20, 24))),
         lambda: f"{r.choice(syllables)}%%%",
         lambda: f"{d(2)}:{d(2)}",
         lambda: f"{d(3)}-{d(4)}",
+        lambda: f"({d(4)})",
+        lambda: f"http://{site()}.example.com/{site()}",
+        lambda: f"{site()}.example.org",
+        lambda: f"@{site()}",
     )
     out = []
     for i in range(rows):
-        words = [word() for _ in range(r.randint(2, 7))]
+        words = [word() for _ in range(r.randint(0, 7))]
         tags = ["O"] * len(words)
         if i % 2 == 0:
             kind = KINDS[i // 2 % 4]
             span = r.choice(spans[kind])().split()
+            span[-1] += r.choice(("", "", "", ".", ",", "%%%", "$$$", ";"))
             words += span
             tags += [f"B-{kind}"] + [f"I-{kind}"] * (len(span) - 1)
         else:
             words.append(r.choice(plain)())
             tags.append("O")
-        more = [word() for _ in range(r.randint(0, 5))]
+        more = [word() for _ in range(r.randint(0, 6))]
         out.append((" ".join(words + more), tags + ["O"] * len(more)))
     return out
 
@@ -286,20 +340,16 @@ def default_field() -> Field:
     return train(labelled_table())
 
 
-_LEAST_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 9}
-_TRIM_LEFT, _TRIM_RIGHT = "\"'<[{,;:", ".,;:!?\"'>]}"
+_TRIM_LEFT, _TRIM_RIGHT = "\"'<[{,;:", ".,;:!?\"'>]}&*#$%"
 
 
-def _plausible(kind: str, span: str) -> bool:
-    digits = len(_digits(span))
-    if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s*[\[(]?\s*(?:@|at)\s*[\])]?\s*[\w.-]+(?:\s*[\[(]?\s*(?:\.|dot)\s*[\])]?\s*[\w-]+)+", span, re.I)) and ("@" in span or "(" in span or "[" in span)
-    if kind == "ip":
-        return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", span)) and all(int(p) <= 255 for p in span.split("."))
-    letters = any(c.isalpha() for c in span)
+def _valid(kind: str, span: str) -> bool:
+    """Arithmetic that a span of the field has to meet: a card's check digit, the parts of an address; none for others."""
     if kind == "card":
-        return not letters and 13 <= digits <= 19 and luhn(_digits(span))
-    return not letters and 10 <= digits <= 15 and bool(re.search(r"[().-]", span)) and not re.fullmatch(r"[0-9.]*\.[0-9]{1,2}", span)
+        return luhn(_digits(span))
+    if kind == "ip":
+        return all(int(p or 256) <= 255 for p in re.sub(r"[^0-9.]", "", span).strip(".").split("."))
+    return True
 
 
 def _find(field: Field, data: np.ndarray, offs: np.ndarray) -> list[tuple[list, list]]:
@@ -327,7 +377,7 @@ def _find(field: Field, data: np.ndarray, offs: np.ndarray) -> list[tuple[list,
             cut_left = len(text) - len(text.lstrip(_TRIM_LEFT))
             body = text[cut_left:].rstrip(_TRIM_RIGHT)
             start = int(point[lo] - point[a]) + cut_left
-            if body and _plausible(KINDS[kind], body) and not any(s < start + len(body) and start < e for _, s, e in base):
+            if body and _valid(KINDS[kind], body) and not any(s < start + len(body) and start < e for _, s, e in base):
                 added.append((KINDS[kind], start, start + len(body)))
             i = j
         out.append((base, added))
@@ -385,11 +435,16 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def redact_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with every span of ``text`` replaced by ``<kind>``; other columns stay, null text stays null."""
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
-    done = rows.mapInArrow(_redact(field or default_field()), ddl)
-    return done.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_text"))).drop("_text")
+    """docs with every span of ``text`` replaced by ``<kind>``.
+
+    Other columns stay, whatever their names; null text stays null. Rows that repeat are
+    redacted each. An empty table gives an empty one.
+    """
+    # the caller's columns travel in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
+    done = rows.mapInArrow(_redact(field or default_field()), f"_row {rows.schema['_row'].dataType.simpleString()}, _text string")
+    shown = [F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
+    return done.select(*shown)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

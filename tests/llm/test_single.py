@@ -266,6 +266,59 @@ def test_viterbi_is_the_best_path():
         assert tuple(got[s, :n]) == best
 
 
+def test_long_lines_have_the_best_path():
+    """Lines cut at certain words get the tags of one pass over the whole line."""
+    r = random.Random(3)
+    sentences = [s for s, _ in pii.labelled_table(900, seed=77)]
+    lines = [" ".join(r.choices(sentences, k=k)) for k in (1, 30, 120, 400)] + ["\u00e9 " * 2000, " ".join("555 123 4567 (555)".split() * 300)]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    field = pii.default_field()
+    shapes = pii.Shapes(data, np.array([0, len(data)]))
+    got, e = field.decode(shapes), field.emissions(shapes.features)
+    for a, b in zip(shapes.sequence, np.r_[shapes.sequence[1:], len(e)]):
+        want = field.viterbi(e[a:b][None], np.array([b - a]))[0]
+        score = lambda tags: field.start[tags[0]] + e[np.arange(a, b), tags].sum() + field.transitions[tags[:-1], tags[1:]].sum()
+        assert (got[a:b] == want).all() or math.isclose(score(got[a:b]), score(want), abs_tol=1e-9)
+
+
+def test_added_spans_on_planted_documents(spark):
+    """Recall and precision of the field's own spans, in documents whose words the training table does not have."""
+    r = random.Random(31)
+    d = lambda n: "".join(r.choices("0123456789", k=n))
+    words = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 300 and 3000").orderBy("doc_id").limit(120).toPandas().text
+    words = [" ".join(w for w in t.split() if not re.search("[0-9@]", w)).split() for t in words]
+
+    def card(sep):
+        body = d(15)
+        c = next(body + x for x in "0123456789" if pii.luhn(body + x))
+        return sep.join(c[i : i + 4] for i in range(0, 16, 4))
+
+    makers = {
+        "phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"],
+        "card": [lambda: card("."), lambda: card("/")],
+        "email": [lambda: f"{r.choice(['joe', 'ann.k', 'max77'])} [at] {r.choice(['mailbox', 'webpost'])}.com", lambda: f"{r.choice(['joe', 'ann', 'max77'])} (at) {r.choice(['mailbox', 'webpost'])} (dot) example"],
+    }
+    rows, want = [], {}
+    for i in range(300):
+        body = list(r.choice(words))
+        if i % 4:
+            kind = ("phone", "card", "email")[i % 3]
+            span = r.choice(makers[kind])()
+            at = r.randrange(len(body))
+            lead = " ".join(body[:at])
+            text = f"{lead} {span} {' '.join(body[at:])}".strip()
+            start = len(lead) + 1 if lead else 0
+            want[i] = f"{kind}:{start}:{start + len(span)}"
+        else:
+            text = " ".join(body)
+        rows.append((i, text))
+    got = {x.doc_id: set(x.spans.split(",")) - {""} for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in makers:
+        mine = [i for i, w in want.items() if w.startswith(kind)]
+        assert sum(want[i] in got[i] for i in mine) >= 0.9 * len(mine), kind
+    assert sum(len(s) for s in got.values()) <= 1.1 * len(want) and not any(got[i] for i in got if i not in want)
+
+
 def test_pii_table(spark):
     rows = [(1, "write bob.1@mail.example.com or (555) 123-4567 now", "x"), (2, None, "x"), (3, "", "x"), (1, "é 10.0.0.1", "x"), (None, "plain words " * 4000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
@@ -278,6 +331,8 @@ def test_pii_table(spark):
     texts = sorted(str(r.text) for r in pii.redact_pii(docs).collect())
     assert "write <email> or <phone> now" in texts and "é <ip>" in texts and "None" in texts and ("plain words " * 4000) in texts
     assert pii.find_pii(docs.limit(0)).count() == 0
+    clash = docs.withColumn("_text", F.lit(5)).withColumn("_row", F.lit(6))
+    assert {(r._text, r._row) for r in pii.redact_pii(clash).collect()} == {(5, 6)} and pii.redact_pii(clash).columns == clash.columns
 
 
 # ---- HTML
