@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import words as W
-from foliant.llm.storage import cut, table
+from foliant.llm.storage import cut, drop, table
 
 ANCHOR_WORDS = 8
 _OTHER = W.constants(1, 33)[0]
@@ -187,6 +187,8 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFr
     parsed = hits.mapInArrow(_parse(window), f"id long, factors {_FACTORS}")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("words"), F.col("rep").alias("ref_id"), F.lit(0).alias("ref_start")))
     factors = cut(parsed.union(copies.select("id", whole.cast(_FACTORS))), "factors")
+    for done in (suspects, earliest, shared, first):
+        drop(done)
     return texts, base.select("id", "n").join(copies.select("id", "rep"), "id", "left"), factors
 
 
