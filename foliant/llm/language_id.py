@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from foliant.llm import words as W
 from foliant.llm.storage import cut, small, table
@@ -71,9 +72,9 @@ class TextModel:
     """languages, and log P(trigram bucket | language) with the background as the last row.
 
     Languages are all that are declared by a row whose text has a letter, however few declare
-    them. Each is trained from ``max_labelled`` of its rows, chosen by a hash of the text (copies
-    of one text come or stay together), at least those of the text with the smallest hash. The
-    model takes 128 KB a language.
+    them. Each is trained from about ``max_labelled`` of its distinct texts at most (the share of
+    the texts' hashes is max_labelled / rows, and copies of a text count once), at least the text
+    with the smallest hash. The model takes 128 KB a language.
     """
 
     def __init__(self, rows: DataFrame, max_labelled: int = MAX_LABELLED):
@@ -83,7 +84,7 @@ class TextModel:
         self.languages = sorted(r["_declared"] for r in found)
         upto = [(r["_declared"], max(int(min(1.0, max_labelled / r["n"]) * (1 << 52)), r["low"] + 1)) for r in found]
         bounds = rows.sparkSession.createDataFrame(upto, "_declared string, _upto long")
-        sample = labelled.join(F.broadcast(bounds), "_declared").where("_cell < _upto").select("_declared", "_text")
+        sample = labelled.join(F.broadcast(bounds), "_declared").where("_cell < _upto").dropDuplicates(["_declared", "_cell"]).select("_declared", "_text")
         counts = sample.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         got = counts.toArrow()
         table_ = np.full((len(self.languages) + 1, BUCKETS), 0.0)
@@ -113,10 +114,6 @@ def _score(model: TextModel):
     return run
 
 
-def _ddl(df: DataFrame, without: tuple[str, ...]) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
-
-
 def host_suffix(host: Column) -> Column:
     """The last label of a host name; of a name without dots, nothing."""
     return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
@@ -142,19 +139,19 @@ def identify(
     name. Where no row declares a language nothing is known and all rows are ``und``. An empty
     table gives an empty one.
     """
-    new = ("language", "confidence", "kept")
-    held = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
-    rows = held.withColumns(
-        {
-            "_text": F.coalesce(F.col(text), F.lit("")),
-            "_declared": F.lower(F.nullif(F.col(declared), F.lit(""))) if declared else F.lit(None).cast("string"),
-            "_host": F.lower(F.nullif(F.col(host), F.lit(""))) if host else F.lit(None).cast("string"),
-        }
+    held = [c for c in docs.columns if c not in ("language", "confidence", "kept")]
+    # the caller's columns travel in a struct, so that no name of theirs can clash
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in held)).alias("_row"),
+        F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        (F.lower(F.nullif(F.col(declared), F.lit(""))) if declared else F.lit(None).cast("string")).alias("_declared"),
+        (F.lower(F.nullif(F.col(host), F.lit(""))) if host else F.lit(None).cast("string")).alias("_host"),
     )
+    shown = [F.col(f"_row.`{c}`") for c in held]
     model = TextModel(rows.select("_text", "_declared"), max_labelled)
     names = model.languages
     if not names:
-        return held.withColumns({"language": F.lit(NONE), "confidence": F.lit(0.0), "kept": F.lit(False)})
+        return rows.select(*shown, F.lit(NONE).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     known = F.array(*map(F.lit, names))
     narrow = rows.select("_text", "_declared", "_host")
     scored = cut(narrow.mapInArrow(_score(model), "_declared string, _host string, _loglik array<double>, _grams long"), "language-scores")
@@ -195,7 +192,8 @@ def identify(
     priors = priors.select("_host", F.array(*(F.log(p) for p in smoothed([F.col(c) for c in n], suffix_prior))).alias("_prior"))
     general = F.array(*(F.lit(float(np.log(p))) for p in overall))
 
-    decided = rows.mapInArrow(_score(model), _ddl(rows, ("_text",)) + ", _loglik array<double>, _grams long")
+    kind = StructType([f for f in rows.schema if f.name != "_text"]).add("_loglik", ArrayType(DoubleType())).add("_grams", LongType())
+    decided = rows.mapInArrow(_score(model), kind)
     joined = decided.join(rows_of, "_declared", "left").join(small(cut(priors, "host-priors")), "_host", "left")
     posterior = F.zip_with(F.zip_with(F.slice("_loglik", 1, len(names)), declared_log, lambda a, b: a + b), F.coalesce("_prior", general), lambda a, b: a + b)
     joined = joined.withColumn("_post", posterior).withColumn("_top", F.array_max("_post"))
@@ -203,40 +201,46 @@ def identify(
     outside = F.element_at("_loglik", -1) > F.array_max(F.slice("_loglik", 1, len(names)))
     kept = (F.col("_grams") > 0) & ~outside & (share >= certainty)
     return joined.select(
-        *(F.col(f"`{c}`") for c in held.columns),
+        *shown,
         F.when(kept, best(F.col("_post"))).otherwise(F.lit(NONE)).alias("language"),
         F.when(F.col("_grams") > 0, share).otherwise(F.lit(0.0)).alias("confidence"),
         kept.alias("kept"),
     )
 
 
-def pages_language(pages: DataFrame) -> DataFrame:
-    """page_id, language, confidence, kept: pages by text, ``<html lang>``, address suffix and host.
+def page_texts(pages: DataFrame) -> DataFrame:
+    """page_id, text, declared, host: pages without markup, their ``<html lang>`` and the host of their address.
 
-    Null html and url count as empty. Markup and the contents of script and style are left out
-    of the text.
+    Null html and url count as empty. The contents of head, script and style are left out.
     """
     html = F.coalesce("html", F.lit(""))
     body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    rows = pages.select(
+    return pages.select(
         "page_id",
         F.regexp_replace(body, r"&[a-zA-Z0-9#]+;", " ").alias("text"),
         F.nullif(F.regexp_extract(html, r"""(?i)<html[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", 1), F.lit("")).alias("declared"),
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*?://([^/?#:]*)", 1).alias("host"),
     )
+
+
+def pages_language(pages: DataFrame) -> DataFrame:
+    """page_id, language, confidence, kept: pages by text, ``<html lang>``, address suffix and host (see ``identify``)."""
+    # written once: the model, the votes and the decision each read the texts
+    rows = cut(page_texts(pages), "page-texts")
     return identify(rows, declared="declared", host="host").select("page_id", "language", "confidence", "kept")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    """Pages: the table that has all the evidence, text, markup language, address suffix and host."""
+    out = pages_language(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "kept")
+
+
+def language_id_documents(spark, sf_dir: str) -> DataFrame:
     """Documents, with ``lang`` as the declared language and ``source`` in the place of the host."""
     out = identify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("lang").alias("declared"), "language", F.round("confidence", 6).alias("confidence"), "kept")
 
 
-def language_id_pages(spark, sf_dir: str) -> DataFrame:
-    out = pages_language(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "language", F.round("confidence", 6).alias("confidence"), "kept")
-
-
-QUERIES = {"op1_language_id": op1_language_id, "language_id_pages": language_id_pages}
+QUERIES = {"op1_language_id": op1_language_id, "language_id_documents": language_id_documents}
 SQL: dict[str, str] = {}

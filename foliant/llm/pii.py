@@ -442,7 +442,7 @@ def redact_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     # the caller's columns travel in a struct, so that no name of theirs can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
-    done = rows.mapInArrow(_redact(field or default_field()), f"_row {rows.schema['_row'].dataType.simpleString()}, _text string")
+    done = rows.mapInArrow(_redact(field or default_field()), rows.schema)
     shown = [F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
     return done.select(*shown)
 

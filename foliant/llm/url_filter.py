@@ -3,7 +3,8 @@
 All work is DataFrame and ``pyspark.ml`` operations. Features of a url: lengths, depth of the
 path, digit ratios, entropy of host and path, counts of parameters, hyphens and labels, and
 statistics of its suffix (how often the labelled urls of that suffix are blocked, smoothed),
-taken over all labelled urls. Only the fit of the trees is from a sample, drawn of each kind.
+taken over all labelled urls; a url that the trees are trained from is left out of its own
+suffix's statistics. Only the fit of the trees is from a sample, of distinct urls of each kind.
 
 Labelled urls: a labelled table may be given. Without one, the urls that a rule decides are
 labelled by its verdict; the trees see no host names, only lexical features, and so carry the
@@ -29,7 +30,7 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Bound of the labelled rows that the trees are trained from, half of it for each kind.
+#: Bound of the labelled urls that the trees are trained from, half of it for each kind.
 MAX_LABELLED = 20_000
 TREES, DEPTH = 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,40 +97,48 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict, score.
 
     pages has ``page_id`` and ``url``; labelled has ``url`` and ``label`` (1: block, 0: allow;
-    without it the rules label the pages' own urls). Other columns are not read. A null url, or one without ``://``, has empty host and path and no
-    rule. Null page_ids are kept and rows that repeat are judged each. Where the labelled urls
-    are none or all of one kind there is nothing to learn: the verdict is then that kind, allow
-    where none. score is the trees' probability of block, null where
-    there were none. An empty table gives an empty one.
+    without it the rules label the pages' own urls). Other columns are not read. A null url, or
+    one without ``://``, has empty host and path and no rule. Null page_ids are kept and rows that
+    repeat are judged each. Where the labelled urls are none or all of one kind there is nothing
+    to learn: the verdict is then that kind, allow where none. score is the trees' probability of
+    block, null where there were none. An empty table gives an empty one.
     """
     spark = pages.sparkSession
     rows = lexical(pages)
     if labelled is None:
-        source = rows.drop("page_id").withColumn("label", (F.col("_verdict") == "block").cast("double"))
+        source = rows.select("_url", "_suffix", (F.col("_verdict") == "block").cast("double").alias("label"))
     else:
-        source = lexical(labelled.where("url is not null").select(F.col("label").cast("double").alias("page_id"), "url")).withColumnRenamed("page_id", "label")
-    source = source.where("label is not null").withColumn("_cell", F.shiftrightunsigned(F.xxhash64("_url"), 12))
-    kinds = {r["label"]: r for r in source.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("_cell").alias("low")).collect()}
+        source = lexical(labelled.where("url is not null").select(F.col("label").cast("double").alias("page_id"), "url")).select("_url", "_suffix", F.col("page_id").alias("label"))
+    source = source.where("label is not null")
+    kinds = {r["label"]: r["n"] for r in source.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         only = F.lit("block" if set(kinds) == {1.0} else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("_verdict", only).alias("verdict"), F.lit(None).cast("double").alias("score"))
 
-    overall = kinds[1.0]["n"] / (kinds[0.0]["n"] + kinds[1.0]["n"])
-    suffixes = source.groupBy("_suffix").agg(((F.sum("label") + 10 * overall) / (F.count(F.lit(1)) + 10)).alias("suffix_blocked"), F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_seen"))
-    suffixes = small(cut(suffixes, "suffixes"))
-    # of each kind a share by the url's hash, weighted back to the kind's own share of all rows
-    taken = {k: max(int(min(1.0, MAX_LABELLED / 2 / r["n"]) * (1 << 52)), r["low"] + 1) for k, r in kinds.items()}
-    upto = F.when(F.col("label") == 1.0, F.lit(taken[1.0])).otherwise(F.lit(taken[0.0]))
-    train = cut(source.where(F.col("_cell") < upto).withColumn("_weight", F.lit(float(1 << 52)) / upto), "labelled")
+    overall = kinds[1.0] / sum(kinds.values())
+    suffixes = small(cut(source.groupBy("_suffix").agg(F.sum("label").alias("_blocked"), F.count(F.lit(1)).cast("double").alias("_seen")), "suffixes"))
+    # of each kind the distinct urls with the smallest hashes; their weights bring back copies and the kind's share of all rows
+    distinct = cut(source.groupBy("_url", "label").agg(F.count(F.lit(1)).cast("double").alias("_copies")).withColumn("_cell", F.xxhash64("_url")), "distinct-urls")
+    taken = [distinct.where(F.col("label") == k).orderBy("_cell", "_url").limit(MAX_LABELLED // 2) for k in (0.0, 1.0)]
+    train = cut(taken[0].union(taken[1]), "labelled")
+    held = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.sum("_copies").alias("n")).collect()}
+    weight = F.col("_copies") * F.when(F.col("label") == 1.0, F.lit(kinds[1.0] / held[1.0])).otherwise(F.lit(kinds[0.0] / held[0.0]))
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
 
     def featured(df: DataFrame) -> DataFrame:
-        return assemble.transform(df.join(suffixes, "_suffix", "left").fillna({"suffix_blocked": overall, "suffix_seen": 0.0}))
-
-    hidden = F.col("_cell") % 2 == 0
-    shown = train.withColumn("_suffix", F.when(~hidden, F.col("_suffix")))
+        """With the suffix's statistics, without the row's own copies (_own urls, _own_blocked of them) where it is labelled."""
+        joined = df.join(suffixes, "_suffix", "left").fillna(0.0, ["_blocked", "_seen"])
+        seen = F.greatest(F.col("_seen") - F.col("_own"), F.lit(0.0))
+        blocked = F.greatest(F.col("_blocked") - F.col("_own_blocked"), F.lit(0.0))
+        return assemble.transform(joined.withColumns({"suffix_blocked": (blocked + 10 * overall) / (seen + 10), "suffix_seen": F.log1p(seen)}))
+
+    shown = lexical(train.select(F.struct("label", weight.alias("weight"), "_copies", "_cell").alias("page_id"), F.col("_url").alias("url")))
+    hidden = F.col("page_id._cell") % 2 == 0
+    own = F.when(hidden, 0.0).otherwise(F.col("page_id._copies"))
+    shown = shown.withColumns({"_suffix": F.when(~hidden, F.col("_suffix")), "label": F.col("page_id.label"), "_weight": F.col("page_id.weight"), "_own": own, "_own_blocked": own * F.col("page_id.label")})
     trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5)
     model = trees.fit(featured(shown).select("_features", "label", "_weight").coalesce(max(1, spark.sparkContext.defaultParallelism // 2)))
+    rows = rows.withColumns({"_own": F.lit(0.0), "_own_blocked": F.lit(0.0)})
     scored = model.transform(featured(rows)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_verdict", verdict).alias("verdict"), F.round("score", 6).alias("score"))

@@ -126,23 +126,40 @@ def test_suffixes_of_all_labelled_urls(spark, monkeypatch):
     assert len(got) == 100 and not wrong, wrong
 
 
+def test_urls_of_odd_tables(spark):
+    """Repeated rows get one verdict, clashing columns are not read, an empty table stays empty."""
+    r = random.Random(14)
+    urls = [f"http://h{i}.com/{'fr' if i % 2 else 'de'}/{r.randrange(999)}" for i in range(40)] + [None, "", "http://h1.net/x"] * 2
+    pages = spark.createDataFrame([(i % 45, u, "x", 1.0, 2) for i, u in enumerate(urls)], "page_id long, url string, host string, label double, _suffix int")
+    got = url_filter.judge(pages).collect()
+    by = {}
+    for x in got:
+        by.setdefault((x.host, x.path), set()).add((x.rule, x.verdict, x.score))
+    assert len(got) == len(urls) and all(len(v) == 1 for v in by.values())
+    assert all(x.verdict == ("block" if "/de/" in x.path else "allow") for x in got if x.rule)
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
 # ---- top-k
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 8)).astype(np.float32)
     x[100:200] = x[7]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     rows += [(1000, None, 0), (1050, [float("nan")] * 8, 0), (1100, [1.0, None] * 4, 0), (1150, [float("inf")] * 8, 0), (None, [1.0] * 8, 0), (1200, [0.5, 0.5], 0), (1250, [], 0), (7, rows[7][1], 0)]
+    rows += [(50, rows[50][1], 0), (50, rows[51][1], 0), (2000, [0.0] * 3000 + [4.0], 0), (2001, [0.1] * 3001, 0)]
+    monkeypatch.setattr(topk, "VECTORS", 100)
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, norm int")).collect()
-    ints = {i: np.floor(256 * np.array(list(v) + [0.0] * (8 - len(v)), dtype=float)) for i, v, _ in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)}
-    want = set()
-    for q in ints:
+    full = lambda v: np.floor(256 * np.array(list(v) + [0.0] * (3001 - len(v)), dtype=float))
+    ints = [(i, full(np.float32(v))) for i, v, _ in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    want = []
+    for n, (q, x) in enumerate(ints):
         if q % 50 == 0:
-            best = sorted(((-int(ints[q] @ ints[c]), c) for c in ints if c != q))[:5]
-            want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+            best = sorted((-int(x @ y), c) for m, (c, y) in enumerate(ints) if m != n)[:5]
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 @pytest.mark.parametrize("scale", [20000.0, 1e9, 1e30])
@@ -624,7 +641,85 @@ def test_whole_language_subtag(spark):
     assert all(x.language == ("fi" if x.page_id % 2 else "fil") for x in got)
 
 
+def brute_language(rows, trust=0.8, mass=20.0, certainty=0.5):
+    """(language, confidence) of rows (text, declared, host) by loops over bytes and dictionaries."""
+    low = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+
+    def grams(text):
+        b = [32, *(low(x) for x in (text or "").encode()), 32]
+        return [((b[i] * 31 + b[i + 1]) * 37 + b[i + 2]) * 7919 % language_id.BUCKETS for i in range(len(b) - 2) if (b[i], b[i + 1], b[i + 2]) != (32, 32, 32)]
+
+    every = [grams(t) for t, _, _ in rows]
+    names = sorted({d.lower() for (t, d, _), g in zip(rows, every) if d and g})
+    model = {}
+    for name in names:
+        seen = {t: g for (t, d, _), g in zip(rows, every) if d and d.lower() == name}
+        count = [0.05] * language_id.BUCKETS
+        for g in seen.values():
+            for x in g:
+                count[x] += 1
+        total = sum(count)
+        model[name] = [math.log(c / total) for c in count]
+    text = [{n: sum(model[n][x] for x in g) / 3 for n in names} for g in every]
+    by_text = [max(names, key=lambda n: (t[n], [-ord(c) for c in n])) for t in text]
+    said = {a: {b: mass * (trust if a == b else (1 - trust) / max(1, len(names) - 1)) for b in names} for a in names}
+    for (t, d, _), g, top in zip(rows, every, by_text):
+        if g and d and d.lower() in names:
+            said[top][d.lower()] += 1
+    for row in said.values():
+        total = sum(row.values())
+        row.update({k: math.log(max(v / total, 1e-9)) for k, v in row.items()})
+    declared = [{n: said[n][d.lower()] if d and d.lower() in names else 0.0 for n in names} for _, d, _ in rows]
+    vote = [max(names, key=lambda n: (t[n] + d[n], [-ord(c) for c in n])) for t, d in zip(text, declared)]
+    counts = lambda keep: {n: sum(v == n for v, g, r in zip(vote, every, rows) if g and keep(r)) for n in names}
+    suffix_of = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    whole = counts(lambda r: True)
+    overall = {n: (whole[n] + 1) / (sum(whole.values()) + len(names)) for n in names}
+    smooth = lambda c, prior: {n: (c[n] + mass * prior[n]) / (sum(c.values()) + mass) for n in names}
+    out = []
+    for (t, d, h), g, like, dec in zip(rows, every, text, declared):
+        prior = overall
+        if h:
+            suffix = suffix_of(h)
+            general = smooth(counts(lambda r: suffix_of(r[2]) == suffix), overall) if suffix else smooth({n: 0 for n in names}, overall)
+            prior = smooth(counts(lambda r: r[2] == h), general)
+        post = {n: like[n] + dec[n] + math.log(prior[n]) for n in names}
+        top = max(post.values())
+        share = 1 / sum(math.exp(v - top) for v in post.values())
+        outside = len(g) * -math.log(language_id.BUCKETS) / 3 > max(like.values())
+        kept = bool(g) and not outside and share >= certainty
+        out.append((max(names, key=lambda n: (post[n], [-ord(c) for c in n])) if kept else "und", share if g else 0.0))
+    return out
+
+
+def test_language_by_loops(spark):
+    """The fused evidence against plain loops: repeated texts, wrong and missing declarations, hosts with and without suffixes."""
+    r = random.Random(13)
+    makers = {"aa": made_language(1, "aeotnr"), "bb": made_language(2, "bdgiul"), "cc": made_language(3, "aeotbd")}
+    rows = []
+    for i in range(150):
+        name = r.choice(list(makers))
+        words = makers[name](r).split()
+        told = name if r.random() < 0.7 else r.choice(["aa", "BB", "zz", None, ""])
+        rows.append((" ".join(words[: r.choice([0, 1, 2, 20])]), told, r.choice([f"x.{name}", f"y{i % 9}.{name}", "plain", None])))
+    rows += [rows[3]] * 5 + [("12 !!", "aa", "x.aa"), (None, None, None), ("qqq xjx qjq", None, None)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: (x.language, x.confidence) for x in language_id.identify(docs).collect()}
+    for i, (name, share) in enumerate(brute_language(rows)):
+        assert got[i][0] == name and math.isclose(got[i][1], share, rel_tol=1e-3, abs_tol=1e-6), (i, rows[i], got[i], name, share)
+
+
+def test_language_keeps_clashing_columns(spark, spoken):
+    rows = spoken.limit(5).withColumns({"_text": F.lit(1), "_host": F.lit(2), "_declared": F.lit(3), "a.b": F.lit(4), "kept": F.lit("x")})
+    got = language_id.identify(rows)
+    assert got.columns == ["doc_id", "text", "lang", "source", "_text", "_host", "_declared", "a.b", "language", "confidence", "kept"]
+    assert {(x[4], x[5], x[6], x[7]) for x in got.collect()} == {(1, 2, 3, 4)}
+
+
 def test_language_of_nothing(spark, spoken):
+    assert language_id.pages_language(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    odd = spark.createDataFrame([(1, None, None), (None, "x", ""), (2, "http://h.de/", "<html lang=de><head><p>x</head><p>ein wort und noch ein wort</p>"), (2, "http://h.de/", "<html lang=de><p>ein wort und noch ein wort</p>")], "page_id long, url string, html string")
+    assert sorted((str(x.page_id), x.language) for x in language_id.pages_language(odd).collect()) == [("1", "und"), ("2", "de"), ("2", "de"), ("None", "und")]
     assert language_id.identify(spoken.limit(0)).count() == 0
     alone = language_id.identify(spoken.limit(3).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert [r.language for r in alone] == ["und"] * 3
