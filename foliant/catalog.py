@@ -54,7 +54,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _whole(_docs(spark, sf_dir))
-    marked = segment.notable(segment.lines(docs.select("doc_id", "text")))
+    marked = segment.notable(docs)
     return stage(segment.candidates(marked, docs.select("doc_id", "period_end")), "candidates"), docs
 
 
@@ -73,7 +73,7 @@ def lines_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.lines(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "line_no", "start", "end")
 
 
-@query(chain("SELECT doc_id, form_type, declared AS form_type_declared, sniffed AS form_type_sniffed, period_end, 'txt' AS format_era, CASE WHEN wrapped THEN 2 ELSE 0 END AS n_blocks, norm_chars::INTEGER AS norm_chars, length(raw_text)::INTEGER AS raw_chars FROM docs"))
+@query(chain("SELECT doc_id, form_type, declared AS form_type_declared, sniffed AS form_type_sniffed, period_end, era AS format_era, CASE WHEN wrapped THEN 2 ELSE 0 END AS n_blocks, norm_chars::INTEGER AS norm_chars, length(raw_text)::INTEGER AS raw_chars FROM docs"))
 def document_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", "form_type", "form_type_declared", "form_type_sniffed", "period_end", "format_era", "n_blocks", "norm_chars", "raw_chars")
 
@@ -116,7 +116,7 @@ def toc_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.filter_candidates(_candidates(spark, sf_dir)[0])[1].select("doc_id", F.array_join("manifest", ",").alias("manifest"))
 
 
-@query(chain("SELECT doc_id, item, start, 'table-of-contents cluster' AS why FROM kept WHERE contents AND recurs UNION ALL SELECT doc_id, item, start, 'no title on heading line' FROM cands WHERE NOT titled"))
+@query(chain("SELECT doc_id, item, start, 'table-of-contents cluster' AS why FROM kept WHERE contents AND recurs UNION ALL SELECT doc_id, item, start, CASE WHEN NOT titled THEN 'no title on heading line' ELSE 'title similarity ' || similarity END FROM cands WHERE NOT titled OR similarity < 0.37"))
 def rejected_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.filter_candidates(_candidates(spark, sf_dir)[0])[2].select("doc_id", "item", "start", "why")
 
@@ -133,9 +133,9 @@ def status_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir).items.select("doc_id", "item", "start", "end", "status")
 
 
-@query(chain("SELECT doc_id, code, item FROM warned"))
+@query(chain("SELECT doc_id, code, item, message FROM warned"))
 def validator_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segmented(spark, sf_dir).warnings.select("doc_id", "code", "item")
+    return _segmented(spark, sf_dir).warnings.select("doc_id", "code", "item", "message")
 
 
 @query(chain("SELECT doc_id, doc_status FROM states"))
@@ -171,8 +171,8 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(chain("""SELECT d.doc_id, sha256(coalesce(string_agg(raw, chr(10) ORDER BY a.line_no), '')) AS stripped_sha256 FROM docs d
   LEFT JOIN (SELECT * FROM alllines a WHERE NOT EXISTS (SELECT 1 FROM chrome c WHERE c.doc_id = a.doc_id AND c.line_no = a.line_no)) a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""))
 def stripped_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = furniture.mark(segment.lines(_docs(spark, sf_dir).select("doc_id", "text")))
-    return furniture.stripped_text(marked).select("doc_id", F.sha2("stripped", 256).alias("stripped_sha256"))
+    docs = _docs(spark, sf_dir)
+    return furniture.stripped_text(furniture.mark(segment.lines(docs)), docs).select("doc_id", F.sha2("stripped", 256).alias("stripped_sha256"))
 
 
 _GAP = """SELECT doc_id, round(sum("end" - start) / max(n), 6) AS coverage, round(greatest(coalesce(max(gap), 0), 0) / max(n), 6) AS gap_frac,
@@ -192,7 +192,7 @@ def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
   (coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), norm_chars) - start)::INTEGER AS runway FROM lines WHERE regexp_matches(raw, '(?i)^[ \t]*item[ \t]*\d{1,2}[ \t]?([A-D])?(?:[^A-Za-z0-9]|$)')) GROUP BY doc_id, item"""))
 def runway_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _whole(_docs(spark, sf_dir))
-    return measure.locate_by_runway(segment.notable(segment.lines(docs.select("doc_id", "text"))), docs)
+    return measure.locate_by_runway(segment.notable(docs), docs)
 
 
 @query(chain("SELECT doc_status, count(*) AS items, count(*) FILTER (confidence >= 0.8) AS confident, round(avg(confidence), 6) AS mean_confidence FROM scored JOIN states USING (doc_id) GROUP BY doc_status"))

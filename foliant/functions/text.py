@@ -90,26 +90,54 @@ def raw_dates(raw: Column) -> tuple[Column, Column]:
     return F.nullif(F.regexp_extract(raw, HEADER_DATE, 1), F.lit("")), F.nullif(F.regexp_extract(raw, INLINE_DATE, 1), F.lit(""))
 
 
+def _decoded(c: Column) -> Column:
+    """Character references decoded as far as a date can hold them; others are blanks."""
+
+    def put(text, ref):
+        hex_ = F.regexp_extract(ref, r"(?i)^&#x([0-9a-f]+);$", 1)
+        number = F.coalesce(F.nullif(F.regexp_extract(ref, r"^&#(\d+);$", 1), F.lit("")), F.when(hex_ != "", F.conv(hex_, 16, 10))).cast("long")
+        # chr knows one byte; what lies beyond it, and a blank that does not break, is no part of a date
+        return F.replace(text, ref, F.when(number.between(33, 126), F.call_function("chr", number)).otherwise(F.lit(" ")))
+
+    refs = F.regexp_extract_all(c, F.lit(r"&#?\w+;"), F.lit(0))
+    return F.aggregate(F.array_distinct(refs), c, put)
+
+
 def period_end(header: Column, fact: Column, text: Column) -> Column:
     """Fiscal period end: the header's date, else the inline fact's, else the cover's."""
-    fact = F.regexp_replace(F.regexp_replace(fact, "<[^>]*>", " "), "&(nbsp|#160);", " ")
+    fact = _decoded(F.regexp_replace(fact, "<[^>]*>", " "))
     cover = F.regexp_extract(F.substring(text, 1, 2 * COVER_CHARS), COVER_DATE, 1)
     return F.coalesce(F.try_to_date(header, "yyyyMMdd"), parse_date(fact), parse_date(cover))
 
 
 def sentences(flattened: Column) -> Column:
     """Sentences of flattened text; a stop after "Item 7." or before the digit of "No. 2" ends none."""
-    parts = F.split(flattened, r"(?<=[.])\s")
-
-    def merge(done, part):
-        last = F.element_at(done, -1)
-        again = (F.size(done) > 0) & (last.rlike(r"(?i)\bitem\s*\d{1,2}[A-D]?\.$") | (last.rlike(r"(?i)\bno\.$") & part.rlike(r"^\d")))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, part)))
-        return F.when(again, grown).otherwise(F.concat(done, F.array(part)))
-
-    first = F.slice(parts, 1, 1)
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first, merge)
+    return F.split(flattened, r"(?i)(?<=[.])(?<!\bitem ?\d{1,2}[A-D]?\.)(?:(?<!\bno\.)|(?!\s\d))\s")
 
 
 def is_pointer(s: Column) -> Column:
     return s.rlike(BY_REFERENCE) | s.rlike(OTHER_DOCUMENT) | s.rlike(OTHER_ITEM)
+
+
+def same_words(c: Column) -> Column:
+    """For comparing two tools' texts: runs of white space, hard blanks too, to one blank."""
+    return flat(F.replace(c, F.lit("\u00a0"), F.lit(" ")))
+
+
+def without_comments(c: Column, language: str) -> Column:
+    """Source text without comments: "py" (lines of #), else markup and script (<!-- -->, /* */, lines of //)."""
+    if language == "py":
+        return F.regexp_replace(c, r"(?m)^[ \t]*#.*$", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"(?s)/\*.*?\*/", "")
+    return F.regexp_replace(c, r"(?m)^[ \t]*//.*$", "")
+
+
+def squashed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s+", "")
+
+
+def plain_markdown(c: Column) -> Column:
+    """Links, code, bold and italic of one line as plain text."""
+    for pattern in (r"\[([^\]]+)\]\([^)]+\)", r"`([^`]+)`", r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"(?<!\w)_([^_]+)_(?!\w)"):
+        c = F.regexp_replace(c, pattern, "$1")
+    return flat(c)

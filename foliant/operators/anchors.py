@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions.python import places_of, solid_at
 
 AGREEMENT_CHARS, AGREEMENT_MIN = 400, 15
 
@@ -27,21 +28,8 @@ def core_text(index: DataFrame) -> DataFrame:
 def locate(offsets: DataFrame, index: DataFrame) -> DataFrame:
     """offsets (doc_id, core_offset) with the chunk that holds each, and the place in its raw text: a range join."""
     hit = offsets.join(index, "doc_id").where("core_offset >= core_start and core_offset < core_end")
-    k = F.col("core_offset") - F.col("core_start")
-    solid = F.filter(F.transform(F.split("raw", ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].rlike(r"(?U)^\S$"))
-    return hit.select("doc_id", "core_offset", "chunk_i", F.get(solid, k.cast("int"))["i"].alias("offset"))
-
-
-def occurrences(text: Column, needle: Column) -> Column:
-    """0-based places of the needle, overlapping ones too; none for an empty needle.
-
-    Only a needle that is there twice is looked for at every place.
-    """
-    n = F.length(needle)
-    first = F.call_function("locate", needle, text)
-    second = F.call_function("locate", needle, text, first + 1)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substring(text, i + 1, n) == needle)
-    return F.when((n == 0) | (first == 0), F.array().cast("array<int>")).when(second == 0, F.array(first - 1)).otherwise(places)
+    k = (F.col("core_offset") - F.col("core_start")).cast("int")
+    return hit.select("doc_id", "core_offset", "chunk_i", solid_at("raw", k).alias("offset"))
 
 
 def find_anchors(items: DataFrame, texts: DataFrame) -> DataFrame:
@@ -53,7 +41,7 @@ def find_anchors(items: DataFrame, texts: DataFrame) -> DataFrame:
     rows = items.select("doc_id", "item", T.core(F.col("heading_text")).alias("needle"), T.core(F.col("item_text")).alias("own")).join(texts, "doc_id")
     n = F.length("needle")
     target = F.when(F.startswith("own", "needle"), F.substring(F.col("own"), n + 1, F.length("own"))).otherwise(F.col("own"))
-    rows = rows.withColumn("target", target).withColumn("places", occurrences(F.col("core_text"), F.col("needle"))).withColumn("hits", F.size("places"))
+    rows = rows.withColumn("target", target).withColumn("places", places_of("core_text", "needle")).withColumn("hits", F.size("places"))
 
     def agreement(place):
         following = F.substring(F.col("core_text"), place + n + 1, F.lit(AGREEMENT_CHARS))

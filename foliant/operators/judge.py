@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.taxonomy import ACCEPTED_FORMS
+from foliant.operators import segment
 
 COLLAPSE_CHARS = 2000
 UNATTRIBUTED_MAX, LAST_ITEM_MAX, MISSING_MAX, SUBSTANTIVE = 0.17, 0.50, 0.25, 5000
@@ -22,57 +23,68 @@ def gate():
     return F.when(F.col("norm_chars") < COLLAPSE_CHARS, "failed").when(~form, "unsupported")
 
 
-def validate(items: DataFrame, docs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(doc_id, seq, code, item): warnings of the battery, in its order.
-
-    items: see ``segment.items``; docs: doc_id, text, norm_chars; manifest: doc_id, manifest.
-    """
-    rows = items.join(docs.select("doc_id", "text", "norm_chars"), "doc_id")
-    n = F.greatest("norm_chars", F.lit(1))
-    out = F.col("status") == "extracted"
-    held = F.col("start").isNotNull()
-    body = F.when(out, F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    head = F.split(F.substring(F.col("text"), F.col("start") + 1, F.lit(60)), "\n")[0]
+def read_bodies(rows: DataFrame) -> DataFrame:
+    """Spans with ``body`` (see ``segment.bodies``) -> their status and what the validators need of the text, without it."""
+    body = F.col("body")
+    title_end = F.col("heading_end") - F.col("start")
+    rows = segment.pointer_status(rows, F.substring(body, F.greatest(title_end, F.lit(0)) + 1, F.length(body)))
+    head = F.split(F.substring(body, 1, 60), "\n")[0]
     named = F.concat(F.regexp_extract(head, T.HEADING, 1), F.upper(F.regexp_extract(head, T.HEADING, 2)))
-    cut = F.when((F.col("heading_end") > F.col("start")) & (F.col("heading_end") < F.col("end")), F.col("heading_end") - F.col("start")).otherwise(
-        F.coalesce(F.nullif(F.locate("\n", body), F.lit(0)), F.lit(0))
-    )
+    inside = (title_end > 0) & (F.col("heading_end") < F.col("end"))
+    cut = F.when(inside, title_end).otherwise(F.coalesce(F.nullif(F.locate("\n", body), F.lit(0)), F.lit(0)))
+    substantive = (F.col("found") == "extracted") & (F.length(body) >= SUBSTANTIVE)
     prose = F.lower(F.substring(body, cut + 1, F.length(body)))
     lacks = F.lit(False)
     for code, words in VOCABULARY.items():
         lacks = F.when(F.col("item") == code, ~prose.rlike(r"\b(" + "|".join(words) + r")\b")).otherwise(lacks)
-    facts = rows.select(
-        "doc_id", "item", "ord", "status", "start", "end", n.alias("n"), out.alias("out"), held.alias("held"),
-        (held & (named != F.col("item"))).alias("unclean"),
-        F.when(out & (F.length(body) >= SUBSTANTIVE), T.numeric_density(body)).alias("density"),
-        (out & (F.length(body) >= SUBSTANTIVE) & lacks).alias("strange"),
+    return rows.select(
+        "doc_id", "item", "start", "end", "heading_end", "heading_text", "similarity", "found", "norm_chars",
+        (named != F.col("item")).alias("unclean"),
+        F.when(substantive & F.col("item").isin("8", "1A"), T.numeric_density(body)).alias("density"),
+        (substantive & lacks).alias("strange"),
     )
-    span = F.when(F.col("out"), F.struct("start", "end", "item"))
-    whole = facts.groupBy("doc_id").agg(
-        F.avg((F.col("status") == "missing").cast("double")).alias("missing"),
-        F.min(F.when(F.col("out"), F.col("start"))).alias("first"),
-        F.max(F.when(F.col("out"), F.col("end"))).alias("end"),
-        F.max(span).alias("last"),
-        F.max("n").alias("n"),
-        F.collect_set(F.when(F.col("held"), F.col("item"))).alias("accepted"),
+
+
+def _percent(share):
+    return F.concat(F.bround(share * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def validate(items: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(doc_id, seq, code, item, message): warnings of the battery, in its order.
+
+    items: see ``segment.items``, of spans read by ``read_bodies``; manifest: doc_id, manifest.
+    """
+    out, held = F.col("status") == "extracted", F.col("start").isNotNull()
+    whole = items.groupBy("doc_id").agg(
+        F.count_if(F.col("status") == "missing").alias("missing"),
+        F.count(F.lit(1)).alias("expected"),
+        F.min(F.when(out, F.col("start"))).alias("first"),
+        F.max(F.when(out, F.col("end"))).alias("end"),
+        F.max(F.when(out, F.struct("start", "end", "item"))).alias("last"),
+        F.greatest(F.max("norm_chars"), F.lit(1)).alias("n"),
+        F.collect_set(F.when(held, F.col("item"))).alias("accepted"),
         F.max(F.when(F.col("item") == "8", F.col("density"))).alias("d8"),
         F.max(F.when(F.col("item") == "1A", F.col("density"))).alias("d1a"),
     )
-    whole = whole.join(manifest, "doc_id", "left")
-    last = F.col("last.item")
+    whole = whole.join(manifest, "doc_id", "left").withColumn("unmet", F.filter("manifest", lambda c: ~F.array_contains("accepted", c)))
+    outside = (F.col("first") + (F.col("n") - F.col("end"))) / F.col("n")
+    last = (F.col("last.end") - F.col("last.start")) / F.col("n")
     nothing = F.lit(None).cast("string")
+    text = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    count = lambda c: F.col(c).cast("string")
     tests = [
-        (1, "toc_manifest_mismatch", F.size(F.array_except("manifest", "accepted")) > 0, nothing),
-        (2, "expected_items_mostly_missing", F.col("missing") > MISSING_MAX, nothing),
-        (3, "unattributed_content", (F.col("first") + (F.col("n") - F.col("end"))) / F.col("n") > UNATTRIBUTED_MAX, nothing),
-        (4, "last_item_dominates", (F.col("last.end") - F.col("last.start")) / F.col("n") > LAST_ITEM_MAX, last),
-        (600, "numeric_density_inversion", F.col("d8") <= F.col("d1a"), F.lit("8")),
+        (1, "toc_manifest_mismatch", F.size("unmet") > 0, nothing, text("listed in the contents, but not found: ", F.array_join("unmet", ", "))),
+        (2, "expected_items_mostly_missing", F.col("missing") / F.col("expected") > MISSING_MAX, nothing, text(count("missing"), " of ", count("expected"), " expected items have no heading")),
+        (3, "unattributed_content", outside > UNATTRIBUTED_MAX, nothing, text(count("first"), " characters before the first item, ", (F.col("n") - F.col("end")).cast("string"), " after the last")),
+        (4, "last_item_dominates", last > LAST_ITEM_MAX, F.col("last.item"), text("item ", F.col("last.item"), " takes ", _percent(last), " of the document")),
+        (600, "numeric_density_inversion", F.col("d8") <= F.col("d1a"), F.lit("8"), text("item 8 has no more figures than item 1A")),
     ]
-    rows_of = [F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(seq).alias("seq"), F.lit(code).alias("code"), item.alias("item"))) for seq, code, t, item in tests]
+    rows_of = [F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(seq).alias("seq"), F.lit(code).alias("code"), item.alias("item"), message.alias("message"))) for seq, code, t, item, message in tests]
     by_doc = whole.select("doc_id", F.explode(F.filter(F.array(*rows_of), lambda x: x.isNotNull())).alias("w")).select("doc_id", "w.*")
-    single = [("unclean", 100, "boundary_hygiene"), ("strange", 700, "keyword_fingerprint")]
-    marks = [F.when(F.col(c), F.struct((F.lit(s) + F.col("ord")).alias("seq"), F.lit(code).alias("code"), F.col("item").alias("item"))) for c, s, code in single]
-    by_item = facts.select("doc_id", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("w")).select("doc_id", "w.*")
+    single = [("unclean", 100, "boundary_hygiene", " does not begin with its heading"), ("strange", 700, "keyword_fingerprint", " has none of its words")]
+    item = F.col("item")
+    marks = [F.when(F.col(c), F.struct((F.lit(s) + F.col("ord")).alias("seq"), F.lit(code).alias("code"), item.alias("item"), text("item ", item, says).alias("message"))) for c, s, code, says in single]
+    by_item = items.select("doc_id", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("w")).select("doc_id", "w.*")
     return by_doc.unionByName(by_item)
 
 
@@ -97,11 +109,27 @@ def score(items: DataFrame, warnings: DataFrame) -> DataFrame:
 
 
 def all_warnings(items: DataFrame, docs: DataFrame, battery: DataFrame) -> DataFrame:
-    """(doc_id, stage, seq, code, item): selection, missing items, unknown period, then the battery."""
-    chosen = docs.select("doc_id", F.lit(0).alias("stage"), F.posexplode("selection_warnings").alias("seq", "code"), F.lit(None).cast("string").alias("item"))
-    missing = items.where("status = 'missing'").select("doc_id", F.lit(1).alias("stage"), F.col("ord").alias("seq"), F.lit("expected_item_missing").alias("code"), "item")
-    unknown = docs.where("period_end is null").select("doc_id", F.lit(2).alias("stage"), F.lit(0).alias("seq"), F.lit("period_end_unknown").alias("code"), F.lit(None).cast("string").alias("item"))
-    return chosen.unionByName(missing).unionByName(unknown).unionByName(battery.select("doc_id", F.lit(3).alias("stage"), "seq", "code", "item"))
+    """(doc_id, stage, seq, code, item, message): refusal and selection, missing items, unknown period, then the battery.
+
+    docs: all documents, with ``gate`` (see ``gate``), selection_warnings, period_end, form_type, raw_chars, norm_chars.
+    """
+    none = F.lit(None).cast("string")
+    columns = ["doc_id", "stage", "seq", "code", "item", "message"]
+    chosen = docs.select("doc_id", F.lit(0).alias("stage"), F.posexplode("selection_warnings").alias("seq", "w")).select("doc_id", "stage", "seq", "w.code", none.alias("item"), "w.message")
+    failed = F.concat(F.col("raw_chars").cast("string"), F.lit(" raw characters left "), F.col("norm_chars").cast("string"))
+    unsupported = F.concat(F.lit("form "), F.coalesce("form_type", F.lit("none")), F.lit(" is not segmented"))
+    refused = docs.where("gate is not null").select(
+        "doc_id", F.lit(0).alias("stage"), F.lit(1000).alias("seq"), F.when(F.col("gate") == "failed", "normalization_collapse").otherwise("unsupported_form").alias("code"),
+        none.alias("item"), F.when(F.col("gate") == "failed", failed).otherwise(unsupported).alias("message"),
+    )
+    missing = items.where("status = 'missing'").select(
+        "doc_id", F.lit(1).alias("stage"), F.col("ord").alias("seq"), F.lit("expected_item_missing").alias("code"), "item", F.concat(F.lit("no heading of item "), "item").alias("message")
+    )
+    unknown = docs.where("gate is null and period_end is null").select(
+        "doc_id", F.lit(2).alias("stage"), F.lit(0).alias("seq"), F.lit("period_end_unknown").alias("code"), none.alias("item"), F.lit("no period of report: the expected items are a guess").alias("message")
+    )
+    rows = chosen.unionByName(refused).unionByName(missing).unionByName(unknown)
+    return rows.unionByName(battery.withColumn("stage", F.lit(3))).select(*columns)
 
 
 def doc_status(scored: DataFrame, warnings: DataFrame, docs: DataFrame) -> DataFrame:

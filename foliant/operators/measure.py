@@ -110,7 +110,7 @@ def floor_index(df: DataFrame, key: str, value: str, shares: dict[str, float]) -
 
 def coverage(items: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, coverage, gap_frac, gap_before, gap_after: covered share and largest gap between spans."""
-    spans = items.where("start is not null and end is not null").join(docs.select("doc_id", "norm_chars"), "doc_id")
+    spans = items.where("start is not null and end is not null").select("doc_id", "item", "start", "end").join(docs.select("doc_id", "norm_chars"), "doc_id")
     order = Window.partitionBy("doc_id").orderBy("start")
     rows = spans.withColumn("gap", F.lead("start").over(order) - F.col("end")).withColumn("after", F.lead("item").over(order))
     n = F.greatest(F.max("norm_chars"), F.lit(1))

@@ -1,7 +1,8 @@
 """From normalized text to items: lines, candidates, contents pages, boundaries, status.
 
-All steps work on tables keyed by doc_id. The table of lines carries the offsets; text is joined
-back once, for the bodies of items.
+All steps work on narrow tables keyed by doc_id: a document's few notable lines are taken out of
+its row together with their offsets, so no table of all lines is made or moved. Text meets the
+spans once, all of a document's at a time, and what its bodies say is read in that pass.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import taxonomy
 from foliant.functions import text as T
-from foliant.functions.python import title_ratio
+from foliant.functions.python import line_starts, title_ratio
 
 SIMILARITY_FLOOR = 0.37
 DENSE_CODES, DENSE_GAP = 5, 400
@@ -21,28 +22,39 @@ REMAINDER_MAX = 300
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, raw, stripped, start, end: lines with 0-based offsets; end takes in the newline."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    size = F.length("raw") + 1
-    start = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    whole = F.sum(size).over(Window.partitionBy("doc_id")) - 1
-    return rows.select(
-        "doc_id", "line_no", "raw", T.strip(F.col("raw")).alias("stripped"), start.alias("start"),
-        F.least(start + size, whole).cast("int").alias("end"),
-    )
+    rows = docs.where("text is not null").select("doc_id", "text", line_starts("text").alias("starts"), F.length("text").alias("whole"))
+    both = F.arrays_zip(F.split("text", "\n", -1).alias("raw"), F.col("starts").alias("start"))
+    rows = rows.select("doc_id", "whole", F.posexplode(both).alias("line_no", "x")).select("doc_id", "line_no", "x.raw", "x.start", "whole")
+    return rows.select("doc_id", "line_no", "raw", T.strip(F.col("raw")).alias("stripped"), "start", F.least(F.col("start") + F.length("raw") + 1, F.col("whole")).cast("int").alias("end"))
 
 
 def _code(line: Column) -> Column:
     return F.concat(F.regexp_extract(line, T.HEADING, 1), F.upper(F.regexp_extract(line, T.HEADING, 2)))
 
 
-def notable(rows: DataFrame) -> DataFrame:
-    """Lines that are headings, executive officers' or closing lines, with the two filled lines after each."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    full = rows.where("stripped <> ''")
-    full = full.select("*", *(F.lead(F.struct("stripped", "raw", "start"), i).over(order).alias(f"next{i}") for i in (1, 2)))
+_MARKED = rf"(?dm)^(?=(?:{T.HEADING})|(?:{T.EXECUTIVE_OFFICERS})|(?:{T.TAIL})).*$"
+#: Parts of a text after a notable line that surely hold the window: each second one is a line of some letters.
+_PARTS = 256
+
+
+def notable(docs: DataFrame) -> DataFrame:
+    """doc_id, raw, stripped, start, after and the flags heading, officers, tail of each notable line of doc_id, text.
+
+    Notable are headings, executive officers' and closing lines. after: the characters that
+    follow within the window. The text is cut at the notable lines, and their offsets are sums
+    over the parts.
+    """
+    rows = docs.where("text is not null").select("doc_id", F.regexp_extract_all("text", F.lit(_MARKED), F.lit(0)).alias("found"), F.split("text", _MARKED, -1).alias("between"))
+    short = lambda c: F.substring(c, 1, NEXT_LINE_WINDOW)
+    parts = F.flatten(F.transform("found", lambda m, i: F.array(m, short(F.get("between", i + 1)))))
+    rows = rows.where(F.size("found") > 0).select("doc_id", "found", F.transform("between", lambda x: F.length(x)).alias("gaps"), parts.alias("parts"))
+    one = F.transform("found", lambda m, i: F.struct(m.alias("raw"), F.get("gaps", i).alias("gap"), short(F.array_join(F.slice("parts", i * 2 + 2, F.lit(_PARTS)), "")).alias("after")))
+    rows = rows.select("doc_id", F.posexplode(one).alias("i", "x")).select("doc_id", "i", "x.*")
+    order = Window.partitionBy("doc_id").orderBy("i")
+    before = F.coalesce(F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("start", (F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) + before).cast("int"))
     kinds = {"heading": T.HEADING, "officers": T.EXECUTIVE_OFFICERS, "tail": T.TAIL}
-    return full.withColumns({k: F.col("raw").rlike(p) for k, p in kinds.items()}).where("heading or officers or tail")
+    return rows.select("doc_id", "raw", T.strip(F.col("raw")).alias("stripped"), "start", "after", *(F.col("raw").rlike(p).alias(k) for k, p in kinds.items()))
 
 
 def candidates(rows: DataFrame, periods: DataFrame) -> DataFrame:
@@ -55,15 +67,12 @@ def candidates(rows: DataFrame, periods: DataFrame) -> DataFrame:
     head = head.join(periods.select("doc_id", taxonomy.expected_codes(F.col("period_end")).alias("expected")), "doc_id")
     head = head.where(F.array_contains("expected", F.col("item")))
     line_end = F.col("start") + F.length("raw")
-
-    def within(i: int) -> Column:
-        """The i-th next line, as far as it lies within the window."""
-        left = line_end + NEXT_LINE_WINDOW - F.col(f"next{i}.start")
-        return F.when(left > 0, T.strip(F.substring(F.col(f"next{i}.raw"), F.lit(1), left))).otherwise(F.lit(""))
-
+    filled = F.filter(F.transform(F.split("after", "\n", -1), T.strip), lambda x: x != "")
+    next_line = lambda i: F.coalesce(F.get("filled", F.lit(i)), F.lit(""))
     names = F.element_at(taxonomy.aliases(), F.col("item"))
     own = T.strip(F.regexp_extract("raw", T.HEADING, 3))
-    head = head.select("*", own.alias("own"), F.coalesce(within(1), F.lit("")).alias("after1"), F.coalesce(within(2), F.lit("")).alias("after2"), names.alias("names"))
+    head = head.select("*", own.alias("own"), filled.alias("filled"), names.alias("names"))
+    head = head.select("*", next_line(0).alias("after1"), next_line(1).alias("after2"))
     # exact titles are settled natively; only the rest goes to the Python function
     shown = F.when(F.col("own") != "", F.col("own")).otherwise(F.col("after1"))
     head = head.withColumn("shown", T.norm_title(shown))
@@ -73,7 +82,8 @@ def candidates(rows: DataFrame, periods: DataFrame) -> DataFrame:
     head = sure.unionByName(fuzzy)
     via = (F.col("own") == "") & (F.col("score") >= SIMILARITY_FLOOR) & ~F.col("after2").rlike(T.HEADING)
     head = head.withColumn("title_on_next_line", via).withColumn("title", F.when(F.col("own") != "", F.col("own")).when(via, F.col("after1")).otherwise(F.lit("")))
-    promoted = F.col("next1.start") + F.length(F.regexp_extract("next1.raw", r"(?U)^\s*", 0)) + F.length("after1")
+    # only blanks stand before the promoted line
+    promoted = line_end + F.call_function("locate", F.col("after1"), F.col("after")) - 1 + F.length("after1")
     return head.select(
         "doc_id", "item", "start",
         F.when(via, promoted).otherwise(line_end).cast("int").alias("heading_end"),
@@ -163,43 +173,49 @@ def spans(accepted: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("doc_id", "item", "start", F.least("bound", F.coalesce("clip", "bound")).cast("int").alias("end"), "heading_end", "heading_text", "similarity")
 
 
-def pointer_status(rows: DataFrame) -> DataFrame:
-    """rows (with body) with ``found``: whether a body is its content or points to another document's.
+def bodies(spanned: DataFrame, docs: DataFrame) -> DataFrame:
+    """spanned with ``body`` (the span's text) and ``norm_chars``; docs: doc_id, text, norm_chars.
+
+    A document's spans meet its text as one row, which is cut into bodies where it stands.
+    """
+    row = ("start", "end", "item", "heading_end", "heading_text", "similarity")
+    nested = spanned.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*row))).alias("spans"))
+    rows = docs.select("doc_id", "text", "norm_chars").join(nested, "doc_id")
+    cut = F.transform("spans", lambda s: F.struct(s.alias("s"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("body")))
+    return rows.select("doc_id", "norm_chars", F.explode(cut).alias("x")).select("doc_id", "norm_chars", "x.s.*", "x.body")
+
+
+def pointer_status(rows: DataFrame, body: Column | None = None) -> DataFrame:
+    """rows with ``found``: whether a body is its content or points to another document's.
 
     Only bodies with words of reference are flattened and split into sentences; each step is a
     projection of its own, so no array is built twice.
     """
-    rows = rows.withColumn("refers", F.col("body").rlike(r"(?iU)by\s+reference|reported\s+on\s+pages|refer\s+to"))
-    plain = rows.where("not refers").withColumn("found", F.lit("extracted"))
-    some = rows.where("refers").withColumn("flat", T.flat(F.col("body"))).withColumn("parts", T.sentences(F.col("flat")))
-    some = some.withColumn("points", F.transform("parts", lambda s: T.is_pointer(s)))
-    stop = F.array_position("points", False).cast("int")
-    some = some.withColumn("n_lead", F.when(stop > 0, stop - 1).otherwise(F.size("parts")))
-    some = some.withColumn("lead", F.array_join(F.slice("parts", F.lit(1), F.col("n_lead")), " "))
-    rest = F.filter("parts", lambda s, i: (i >= F.col("n_lead")) & ~F.get("points", i))
+    rows = rows.withColumn("_own", F.col("body") if body is None else body)
+    refers = F.col("_own").rlike(r"(?iU)by\s+reference|reported\s+on\s+pages|refer\s+to")
+    rows = rows.withColumn("_flat", F.when(refers, T.flat(F.col("_own")))).withColumn("_parts", T.sentences(F.col("_flat")))
+    rows = rows.withColumn("_points", F.transform("_parts", T.is_pointer))
+    stop = F.array_position("_points", False).cast("int")
+    rows = rows.withColumn("_n", F.when(stop > 0, stop - 1).otherwise(F.size("_parts")))
+    rows = rows.withColumn("_lead", F.array_join(F.slice("_parts", F.lit(1), F.greatest(F.col("_n"), F.lit(0))), " "))
+    rest = F.filter("_parts", lambda s, i: (i >= F.col("_n")) & ~F.get("_points", i))
     prose = F.aggregate(rest, F.lit(0), lambda a, s: a + F.length(s))
-    away = F.col("flat").rlike(T.BY_REFERENCE) & F.col("lead").rlike(T.BY_REFERENCE) & F.col("lead").rlike(T.OTHER_DOCUMENT) & (prose <= REMAINDER_MAX)
-    some = some.withColumn("found", F.when(away, "incorporated_by_reference").otherwise("extracted"))
-    return plain.drop("refers").unionByName(some.drop("flat", "refers", "parts", "points", "n_lead", "lead"))
+    away = F.col("_flat").rlike(T.BY_REFERENCE) & F.col("_lead").rlike(T.BY_REFERENCE) & F.col("_lead").rlike(T.OTHER_DOCUMENT) & (prose <= REMAINDER_MAX)
+    found = F.when(F.coalesce(away, F.lit(False)), "incorporated_by_reference").otherwise("extracted")
+    return rows.withColumn("found", found).drop("_own", "_flat", "_parts", "_points", "_n", "_lead")
 
 
-def items(spanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row for each document and expected code: label, span, status.
+def items(judged: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row for each document and expected code: label, span, status, and what its body says.
 
-    docs: doc_id, text, period_end.
+    judged: spans with ``found`` and the body's facts; facts: doc_id, period_end.
     """
-    spark = docs.sparkSession
-    facts = docs.select("doc_id", "period_end")
-    expected = expected_items(facts)
-    label = F.broadcast(taxonomy.label_dim(spark).drop("ord"))
+    label = F.broadcast(taxonomy.label_dim(facts.sparkSession).drop("ord"))
     p = F.col("period_end")
     fits = (F.col("item") == F.col("code")) & F.when(p.isNull(), F.col("valid_from").isNull()).otherwise(
         (F.col("valid_from").isNull() | (p >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (p < F.col("valid_to")))
     )
-    rows = expected.join(label, fits).drop("code", "valid_from", "valid_to")
-    texts = docs.select("doc_id", "text")
-    body = F.substring(F.col("text"), F.col("heading_end") + 1, F.greatest(F.col("end") - F.col("heading_end"), F.lit(0)))
-    judged = pointer_status(spanned.join(texts, "doc_id").withColumn("body", body).drop("text")).drop("body")
+    rows = expected_items(facts).join(label, fits).drop("code", "valid_from", "valid_to")
     rows = rows.join(judged, ["doc_id", "item"], "left")
     absent = F.when(F.col("item").isin(*taxonomy.MAY_BE_ABSENT), "omitted").otherwise("missing")
     return rows.withColumn("status", F.coalesce("found", absent)).drop("found")

@@ -17,10 +17,10 @@ ENVELOPE_ITEM = ("item", "part", "title", "heading_text", "start", "end", "statu
 
 @dataclass
 class Segmented:
-    """Tables of one run; ``refused`` are the documents that are failed or unsupported."""
+    """Tables of one run: documents, their notable lines and candidates, and the items with all that is found of them."""
 
     docs: DataFrame
-    lines: DataFrame
+    notable: DataFrame
     candidates: DataFrame
     survivors: DataFrame
     manifest: DataFrame
@@ -32,28 +32,21 @@ class Segmented:
 
 
 def segment_documents(raw: DataFrame) -> Segmented:
-    """raw: doc_id, raw_text. Refused documents leave before the lines are made."""
-    docs = stage(submissions.select_documents(raw), "docs")
-    whole = docs.where(judge.gate().isNull())
-    texts = whole.select("doc_id", "text", "period_end", "norm_chars", "selection_warnings")
+    """raw: doc_id, raw_text. Refused documents leave before the lines are looked for."""
+    docs = submissions.select_documents(raw).withColumn("gate", judge.gate())
+    texts = docs.where("gate is null").select("doc_id", "text", "period_end", "norm_chars")
     facts = texts.drop("text")
-    rows = segment.lines(texts.select("doc_id", "text"))
-    marked = stage(segment.notable(rows), "notable")
+    marked = stage(segment.notable(texts), "notable")
     cands = stage(segment.candidates(marked, facts), "candidates")
     survivors, manifest, rejected = segment.filter_candidates(cands)
     survivors, manifest = stage(survivors, "survivors"), stage(manifest, "manifest")
     spanned = segment.spans(segment.assign(survivors, facts), marked, facts)
-    items = stage(segment.items(spanned, texts), "items")
-    battery = stage(judge.validate(items, texts, manifest), "battery")
+    items = stage(segment.items(judge.read_bodies(segment.bodies(spanned, texts)), facts), "items")
+    battery = stage(judge.validate(items, manifest), "battery")
     scored = judge.score(items, battery)
-    warnings = judge.all_warnings(items, facts, battery)
-    refusal = docs.where(judge.gate().isNotNull()).select(
-        "doc_id", F.lit(0).alias("stage"), F.lit(1000).alias("seq"), F.when(judge.gate() == "failed", "normalization_collapse").otherwise("unsupported_form").alias("code"), F.lit(None).cast("string").alias("item")
-    )
-    chosen = docs.where(judge.gate().isNotNull()).select("doc_id", F.lit(0).alias("stage"), F.posexplode("selection_warnings").alias("seq", "code"), F.lit(None).cast("string").alias("item"))
-    warnings = warnings.unionByName(refusal).unionByName(chosen)
-    status = judge.doc_status(scored, warnings, docs)
-    return Segmented(docs, rows, cands, survivors, manifest, rejected, items, warnings, scored, status)
+    warnings = judge.all_warnings(items, docs.drop("text"), battery)
+    status = judge.doc_status(scored, warnings, docs.drop("text"))
+    return Segmented(docs, marked, cands, survivors, manifest, rejected, items, warnings, scored, status)
 
 
 def envelopes(raw: DataFrame, exclude_boilerplate: bool = False) -> DataFrame:
@@ -63,7 +56,8 @@ def envelopes(raw: DataFrame, exclude_boilerplate: bool = False) -> DataFrame:
     row = F.struct("ord", *(evidence if c == "evidence" else F.col(c) for c in ENVELOPE_ITEM))
     ordered = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(*(x[c].alias(c) for c in ENVELOPE_ITEM)))
     items = s.scored.groupBy("doc_id").agg(ordered.alias("items"), F.array_contains(F.collect_set("item"), "1A").alias("modern"), F.count_if(F.col("status") == "extracted").alias("n_extracted"))
-    warned = F.transform(F.array_sort(F.collect_list(F.struct("stage", "seq", "code", "item"))), lambda x: F.struct(x["code"].alias("code"), x["item"].alias("item")))
+    shown = lambda x: F.struct(*(x[c].alias(c) for c in ("code", "item", "message")))
+    warned = F.transform(F.array_sort(F.collect_list(F.struct("stage", "seq", "code", "item", "message"))), shown)
     warnings = s.warnings.groupBy("doc_id").agg(warned.alias("warnings"))
     out = s.docs.join(s.status, "doc_id").join(items, "doc_id", "left").join(warnings, "doc_id", "left").join(s.manifest, "doc_id", "left")
     empty = lambda c: F.when(F.col("items").isNotNull(), F.coalesce(c, F.array().cast("array<string>")))
@@ -77,7 +71,12 @@ def envelopes(raw: DataFrame, exclude_boilerplate: bool = False) -> DataFrame:
         F.struct(F.lit("status").alias("layer"), F.to_json(F.struct("n_extracted")).alias("payload")),
     )
     cost = F.struct(F.lit(0).alias("llm_calls"), F.lit(0).alias("tokens"), F.lit(0.0).alias("usd"))
-    out = out.select("doc_id", F.col("text").alias("normalized_text"), "doc_status", F.expr("coalesce(warnings, array())").alias("warnings"), meta.alias("meta"), trace.alias("trace"), cost.alias("cost"), F.expr("coalesce(items, array())").alias("items"))
+    # a batch has no time of its own for one document
+    timings = F.struct(F.lit(None).cast("double").alias("total_ms"))
+    out = out.select(
+        "doc_id", F.col("text").alias("normalized_text"), "doc_status", F.expr("coalesce(warnings, array())").alias("warnings"), meta.alias("meta"), trace.alias("trace"),
+        timings.alias("timings"), cost.alias("cost"), F.expr("coalesce(items, array())").alias("items"),
+    )
     if exclude_boilerplate:
         marked = furniture.mark(segment.lines(s.docs.select("doc_id", "text"))).where("kind is not null")
         found = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("boilerplate"))

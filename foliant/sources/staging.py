@@ -13,15 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; only where the session sets none (tests) a local one is made."""
+    """The session's shared folder. Where none is set, a local session makes one; a cluster must name its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-foliant-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/foliant/{name}-{uuid.uuid4().hex[:12]}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the stage tables of this application, once its results are stored elsewhere."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

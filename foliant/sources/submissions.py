@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -12,6 +12,8 @@ from foliant.sources.staging import stage
 
 MAX_UPLOAD_BYTES = 25 << 20
 UPLOAD_SUFFIXES = ("htm", "html", "txt")
+# Fixed value: where filings may be fetched from.
+ARCHIVE_PREFIX = "https://www.sec.gov/Archives/"
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -46,6 +48,22 @@ def refuse_upload(name: Column, length: Column) -> Column:
     return F.when(~suffix.isin(*UPLOAD_SUFFIXES) | (length == 0), "bad_input").when(length > MAX_UPLOAD_BYTES, "too_large")
 
 
+def refuse_url(url: Column) -> Column:
+    """Why a url is refused as a source; null if it lies in the archive of filings."""
+    return F.when(~F.startswith(F.coalesce(url, F.lit("")), F.lit(ARCHIVE_PREFIX)), "bad_input")
+
+
+def single_file_per_directory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dir, path, length of directories that hold exactly one file; dir, n_files of those that do not). files: path, length.
+
+    Paths that step out of their folder (``..``) are no files of it.
+    """
+    inside = ~F.array_contains(F.split("path", "/"), "..")
+    named = files.where(inside).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    found = named.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"), F.min(F.struct("path", "length")).alias("f"))
+    return found.where("n_files = 1").select("dir", "f.path", "f.length"), found.where("n_files <> 1").select("dir", "n_files")
+
+
 _BLOCK = r"(?is)<DOCUMENT>.*?(?:</DOCUMENT>|\z)"
 
 
@@ -54,28 +72,30 @@ def with_blocks(raw: DataFrame) -> DataFrame:
     some = F.col("raw_text").rlike("(?i)<DOCUMENT>")
     none = F.array().cast("array<string>")
     rows = raw.withColumn("_whole", F.when(some, F.regexp_extract_all("raw_text", F.lit(_BLOCK), F.lit(0))).otherwise(none))
-    rows = rows.withColumn("_lead", F.when(some, F.split("raw_text", _BLOCK, -1)).otherwise(none))
+    rows = rows.withColumn("_lead", F.when(some, F.transform(F.split("raw_text", _BLOCK, -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")))
+    # block i starts after i + 1 leads and i blocks: running sums in one fold
+    steps = F.transform("_whole", lambda b, i: F.struct(F.get("_lead", i).alias("lead"), F.length(b).alias("size")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    walk = lambda s, x: F.struct((s["at"] + x["lead"] + x["size"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["lead"])).alias("starts"))
+    rows = rows.withColumn("_starts", F.aggregate(steps, zero, walk)["starts"])
     field = lambda b, tag: F.regexp_extract(b, rf"(?im)^<{tag}>(\S+)", 1)
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
 
     def one(block, i):
         inner = F.regexp_replace(block, r"(?is)\A<DOCUMENT>|</DOCUMENT>\z", "")
         body = F.when(inner.rlike("(?i)<TEXT>"), F.regexp_extract(inner, r"(?is)<TEXT>(.*?)(?:</TEXT>|\z)", 1)).otherwise(inner)
-        before = chars(F.slice("_whole", 1, i)) + chars(F.slice("_lead", 1, i + 1))
         return F.struct(
             F.upper(field(inner, "TYPE")).alias("type"), field(inner, "SEQUENCE").alias("sequence"), field(inner, "FILENAME").alias("filename"),
-            body.alias("body"), before.alias("start"),
+            body.alias("body"), F.get("_starts", i).alias("start"),
         )
 
-    return rows.withColumn("blocks", F.transform("_whole", one)).drop("_whole", "_lead")
+    return rows.withColumn("blocks", F.transform("_whole", one)).drop("_whole", "_lead", "_starts")
 
 
 def select_documents(raw: DataFrame) -> DataFrame:
     """doc_id, raw_text -> doc_id, text (normalized), and the document's facts.
 
-    The accepted block is read, else the whole submission. Only HTML goes through Python. The
-    normalized text is staged once; facts are taken from the staged text and from short
-    extracts of the raw text.
+    The accepted block is read, else the whole submission. Only HTML goes through Python. Text
+    and facts are staged once; later steps read the columns they need.
     """
     rows = with_blocks(raw.select("doc_id", "raw_text"))
     chosen = F.get(F.filter("blocks", lambda b: b["type"].isin(*ACCEPTED_FORMS)), F.lit(0))
@@ -92,19 +112,23 @@ def select_documents(raw: DataFrame) -> DataFrame:
     )
     plain = rows.where("format_era = 'txt'").withColumn("text", T.plain_text(F.col("body")))
     markup = rows.where("format_era <> 'txt'").withColumn("text", T.tidy(html_to_text("body")))
-    rows = stage(plain.unionByName(markup).drop("body"), "normalized")
-
+    rows = plain.unionByName(markup).drop("body")
     rows = rows.withColumn("form_type_sniffed", T.sniff_form(F.col("text")))
     d, s = F.col("form_type_declared"), F.col("form_type_sniffed")
     family = d.isin(*ACCEPTED_FORMS) & s.isin(*ACCEPTED_FORMS)
     disagree = F.coalesce((F.replace(d, F.lit("-"), F.lit("")) != F.replace(s, F.lit("-"), F.lit(""))) & ~family, F.lit(False))
-    warned = F.array(F.when(F.col("fallback"), "whole_submission_fallback"), F.when(disagree, "form_type_disagreement"))
-    return rows.select(
-        "doc_id", "text", "format_era", d, s, F.coalesce(d, s).alias("form_type"),
+    types = F.array_join(F.transform("block_types", lambda t: F.when(t == "", F.lit("<none>")).otherwise(t)), ", ")
+    whole = F.concat(F.lit("no block declares an annual report ("), types, F.lit("): the whole submission is read, exhibits too"))
+    differ = F.concat(F.lit("the header says "), d, F.lit(", the cover "), s)
+    warn = lambda when, code, message: F.when(when, F.struct(F.lit(code).alias("code"), message.alias("message")))
+    warned = F.array(warn(F.col("fallback"), "whole_submission_fallback", whole), warn(disagree, "form_type_disagreement", differ))
+    rows = rows.select(
+        "doc_id", "text", "format_era", "form_type_declared", "form_type_sniffed", F.coalesce(d, s).alias("form_type"),
         T.period_end(F.col("header_date"), F.col("inline_date"), F.col("text")).alias("period_end"),
         "n_blocks", "block_types", "document_selected", "raw_chars", F.length("text").alias("norm_chars"), "input_sha256",
         F.filter(warned, lambda x: x.isNotNull()).alias("selection_warnings"),
     )
+    return stage(rows, "docs")
 
 
 def read_cases(spark: SparkSession, path: str, suite: str | None = None) -> DataFrame:
@@ -129,25 +153,56 @@ def write_report(results: DataFrame, path: str, suite: str, red: bool, asked: bo
     return wanted
 
 
+def _section(lines: DataFrame, section: str) -> DataFrame:
+    """The lines (file, line_no, raw) below the heading ``section`` of each file, up to the next heading."""
+    order = Window.partitionBy("file").orderBy("line_no")
+    heading = F.when(F.col("raw").rlike(r"^#+\s"), F.trim(F.regexp_replace("raw", r"^#+\s*", "")))
+    rows = lines.withColumn("_section", F.last(heading, ignorenulls=True).over(order))
+    return rows.where((F.col("_section") == section) & ~F.col("raw").rlike(r"^#+\s")).drop("_section")
+
+
 def markdown_table(lines: DataFrame, section: str) -> DataFrame:
-    """First table below a heading: (row_no, cells map by header). lines has line_no, raw.
+    """First table below a heading of each file: file, row_no, cells (map by header). lines: file, line_no, raw.
 
-    Rows with another number of cells than the header are dropped.
+    The rows of one file meet in one task. Rows with another number of cells than the header are
+    dropped; markup in cells is taken off.
     """
-    from pyspark.sql import Window
-
-    order = Window.orderBy("line_no")
-    heading = F.col("raw").rlike(r"^#+\s")
-    rows = lines.withColumn("section", F.last(F.when(heading, F.trim(F.regexp_replace("raw", r"^#+\s*", ""))), ignorenulls=True).over(order)).where(F.col("section") == section)
-    bar = F.trim("raw").startswith("|")
-    rows = rows.withColumn("bar", bar).withColumn("run", F.sum(F.when(~bar, 1).otherwise(0)).over(order)).where("bar")
-    first = rows.agg(F.min("run").alias("run"))
-    rows = rows.join(F.broadcast(first), "run").withColumn("no", F.row_number().over(order))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("raw"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(F.regexp_replace(c, r"[*`]", "")))
-    rows = rows.withColumn("cells", cells)
-    head = rows.where("no = 1").select(F.col("cells").alias("head"))
-    body = rows.where("no > 2").crossJoin(F.broadcast(head)).where(F.size("cells") == F.size("head"))
-    return body.select((F.col("no") - 2).alias("row_no"), F.map_from_arrays("head", "cells").alias("cells"))
+    order = Window.partitionBy("file").orderBy("line_no")
+    rows = _section(lines, section).withColumn("bar", F.trim("raw").startswith("|"))
+    rows = rows.where("bar").withColumn("no", F.row_number().over(order))
+    cells = F.transform(F.split(F.regexp_replace(F.trim("raw"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    rows = rows.withColumn("cells", cells).withColumn("head", F.first("cells").over(order))
+    body = rows.where((F.col("no") > 2) & (F.size("cells") == F.size("head")))
+    plain = F.transform("cells", T.plain_markdown)
+    return body.select("file", (F.col("no") - 2).alias("row_no"), F.map_from_arrays("head", plain).alias("cells"))
+
+
+def markdown_terms(lines: DataFrame, section: str) -> DataFrame:
+    """Bullets below a heading, grouped under the bold line above them: file, group, line_no, term, detail. lines: file, line_no, raw.
+
+    A bullet ``- **Term** detail`` goes on over the lines that follow it up to a blank one. A bold
+    line that has its detail beside it is a group with one entry of its own, which has no term.
+    """
+    order = Window.partitionBy("file").orderBy("line_no")
+    rows = _section(lines, section).withColumn("raw", F.trim("raw"))
+    blank, bullet = F.col("raw") == "", F.startswith("raw", F.lit("- "))
+    opens = F.coalesce(F.lag(blank).over(order), F.lit(True)) & ~blank
+    bold = opens & F.col("raw").rlike(r"^\*\*.+?\*\*")
+    rows = rows.withColumn("entry", F.sum(F.when(bullet | opens | blank, 1).otherwise(0)).over(order)).withColumn("bold", bold).withColumn("bullet", bullet)
+    parts = rows.where("raw <> ''").groupBy("file", "entry").agg(
+        F.min("line_no").alias("line_no"), F.min_by("bold", "line_no").alias("bold"), F.min_by("bullet", "line_no").alias("bullet"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), " ").alias("text"),
+    )
+    lead = r"(?s)^\*\*(.+?)\*\*\s*(.*)$"
+    text = F.regexp_replace("text", r"^- ", "")
+    parts = parts.withColumn("lead", F.trim(F.regexp_extract(text, lead, 1))).withColumn("rest", F.regexp_replace(F.trim(F.regexp_extract(text, lead, 2)), r"^[\u2014\-\u2013:]\s*", ""))
+    group = F.last(F.when(F.col("bold") & ~F.col("bullet"), F.col("lead")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    parts = parts.withColumn("group", group).where("group is not null")
+    own = F.col("bold") & ~F.col("bullet")
+    kept = parts.where(F.col("bullet") | (own & (F.col("rest") != "")))
+    term = F.when(F.col("bullet"), T.plain_markdown(F.when(F.col("lead") != "", F.col("lead")).otherwise(text)))
+    detail = F.when(own, T.plain_markdown(F.col("text"))).when(F.col("lead") != "", T.plain_markdown(F.col("rest"))).otherwise(F.lit(""))
+    return kept.select("file", "group", "line_no", term.alias("term"), detail.alias("detail"))
 
 
 def build_identity(*candidates: Column) -> Column:

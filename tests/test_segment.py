@@ -86,7 +86,8 @@ def test_pointer_status(spark):
 def test_page_numbers_follow_heads(spark):
     body = "x" * 60
     text = "\n".join(f"{body} {i}\nHEAD\n{i}\n\n7" for i in range(1, 13))
-    marked = furniture.mark(segment.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    rows = segment.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    marked = furniture.mark(rows).join(rows.select("line_no", "stripped"), "line_no")
     kinds = {}
     for r in marked.collect():
         kinds.setdefault(r.kind, []).append(r.stripped)
