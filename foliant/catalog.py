@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import python as P
 from foliant.functions import taxonomy
 from foliant.functions import text as T
-from foliant.operators import anchors, furniture, measure, segment, view
+from foliant.operators import anchors, checks, furniture, judge, measure, segment, view
 from foliant.oracle import chain
 from foliant.plans import segmentation
 from foliant.plans.filings import filings
@@ -62,6 +62,17 @@ def _segmented(spark: SparkSession, sf_dir: str) -> segmentation.Segmented:
     return segmentation.segment_documents(filings(spark, sf_dir))
 
 
+def _envelopes(spark: SparkSession, sf_dir: str, exclude_boilerplate: bool = False) -> DataFrame:
+    return stage(segmentation.envelopes(filings(spark, sf_dir), exclude_boilerplate), "envelopes")
+
+
+def _check(check_id: str, type_: str, item=None, field=None, value=None, low=None, high=None, names=None, flag=None):
+    """A declared check as a literal struct."""
+    lit = lambda v, kind: (F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v)).cast(kind)
+    values = (check_id, type_, item, field, value, low, high, names, flag)
+    return F.struct(*(lit(v, kind).alias(name) for v, (name, kind) in zip(values, (x.split() for x in checks.CHECK.split(", ")))))
+
+
 @query(chain("""SELECT i.doc_id, i.item, part, title, start, "end", status, method, round(confidence, 2) AS confidence FROM scored i"""))
 def segment_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every filing's items with label, span, status, method and confidence."""
@@ -220,12 +231,12 @@ SELECT metric, CASE WHEN metric = 'false_positive' THEN round(1 - round(good / s
 )
 def check_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five checks declared for every item of every filing, judged and rated."""
-    s = _segmented(spark, sf_dir)
-    kinds = [("item_present", None), ("item_absent", None), ("min_chars", "150"), ("max_chars", "4000"), ("text_contains", "market")]
-    declared = F.explode(F.array(*(F.struct(F.lit(t).alias("type"), F.lit(v).cast("string").alias("value")) for t, v in kinds))).alias("c")
-    checks = s.items.select("doc_id", "item", declared).select(F.concat_ws("|", F.col("doc_id").cast("string"), "item", "c.type").alias("check_id"), "doc_id", "item", "c.*")
-    docs = s.docs.select("doc_id", "text").join(s.status, "doc_id")
-    return measure.check_rates(measure.evaluate_checks(checks, s.scored, docs, s.warnings))
+    e = _envelopes(spark, sf_dir)
+    kinds = [("item_present", None, None, None), ("item_absent", None, None, None), ("min_chars", None, 150.0, None), ("max_chars", None, None, 4000.0), ("text_contains", "market", None, None)]
+    declared = [_check(t, t, value=v, low=lo, high=hi) for t, v, lo, hi in kinds]
+    rows = e.select("doc_id", F.explode("items.item").alias("of")).withColumn("c", F.explode(F.array(*declared)))
+    rows = rows.select("doc_id", F.concat_ws("|", F.col("doc_id").cast("string"), "of", "c.type").alias("check_id"), "c.type", F.col("of").alias("item"), "c.field", "c.value", "c.low", "c.high", "c.names", "c.flag")
+    return measure.check_rates(checks.evaluate_checks(rows, e))
 
 
 _RESULTS = """r AS (SELECT d.doc_id, source, round(0.4 + (d.doc_id % 12) * 0.05, 2) AS confidence, CASE WHEN d.doc_id % 7 = 0 THEN 'ambiguous' ELSE 'success' END AS doc_status,
@@ -274,15 +285,17 @@ def percentile_floor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_shipmode_ AS linestatus, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90_interpolated FROM (SELECT l_linestatus AS l_shipmode_, l_extendedprice FROM lineitem) GROUP BY 1")
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("linestatus"))
-    return rows.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY l_extendedprice)").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))), F.round(F.percentile("l_extendedprice", F.lit(0.9)), 6).alias("p90_interpolated"))
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("linestatus"), "l_extendedprice")
+    near = measure.nearest_rank(rows, "linestatus", "l_extendedprice", {"p50": 0.5, "p95": 0.95})
+    return near.join(measure.interpolated(rows, "linestatus", "l_extendedprice", {"p90_interpolated": 0.9}), "linestatus")
 
 
 @query("""SELECT l_returnflag AS flag, CASE WHEN count(*) >= 3 AND var_pop(l_quantity) > 0 AND var_pop(l_extendedprice) > 0 THEN round(regr_r2(l_extendedprice, l_quantity), 4) END AS r2,
   round(median(l_extendedprice), 6) AS median, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY l_returnflag""")
 def size_time_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"))
-    return rows.agg(measure.r_squared("l_extendedprice", "l_quantity").alias("r2"), F.round(F.median("l_extendedprice"), 6).alias("median"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    rows = _table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    fit = rows.groupBy("flag").agg(measure.r_squared("l_extendedprice", "l_quantity").alias("r2"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"))
+    return fit.join(measure.interpolated(rows, "flag", "l_extendedprice", {"median": 0.5}), "flag")
 
 
 @query("""WITH p AS (SELECT o_custkey AS custkey, o_orderkey AS seq, o_totalprice AS v, max(o_totalprice) OVER (PARTITION BY o_custkey) AS peak FROM orders),
@@ -309,14 +322,14 @@ def presence_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, sha256(text) AS sha256, round(length(regexp_replace(text, '[^0-9$%]', '', 'g'))::DOUBLE / greatest(length(text), 1), 9) AS density,
-  length(regexp_replace(text, '\s+', '', 'g')) AS core_chars, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]+', ' ', 'g')) AS norm_head,
+  length(regexp_replace(text, '\s+', '', 'g')) AS core_chars, sha256(trim(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'))) AS norm_sha256,
   regexp_matches(lower(text), '\b(risk|adversely|could)\b') AS fingerprint FROM documents""")
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     text = F.col("text")
     return d.select(
         "doc_id", F.sha2(text, 256).alias("sha256"), F.round(T.numeric_density(text), 9).alias("density"), F.length(T.core(text)).cast("long").alias("core_chars"),
-        T.norm_title(F.substring(text, 1, 200)).alias("norm_head"), F.lower(text).rlike(r"\b(risk|adversely|could)\b").alias("fingerprint"),
+        F.sha2(T.norm_title(text), 256).alias("norm_sha256"), F.lower(text).rlike(r"\b(risk|adversely|could)\b").alias("fingerprint"),
     )
 
 
@@ -341,27 +354,46 @@ _INDEX = r"""c AS (SELECT doc_id, i - 1 AS chunk_i, raw, lower(regexp_replace(ra
 x AS (SELECT *, coalesce(sum(length(core)) OVER (PARTITION BY doc_id ORDER BY chunk_i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS core_start FROM c WHERE core <> '')"""
 
 
-@query(f"WITH {_INDEX}, t AS (SELECT doc_id, max(core_start + length(core)) AS n FROM x GROUP BY doc_id) SELECT x.doc_id, n // 2 AS core_offset, chunk_i::INTEGER AS chunk_i FROM x JOIN t ON x.doc_id = t.doc_id AND n // 2 >= core_start AND n // 2 < core_start + length(core)")
+@query(rf"""WITH {_INDEX}, t AS (SELECT doc_id, max(core_start + length(core)) AS n FROM x GROUP BY doc_id), o AS (SELECT DISTINCT doc_id, n * k // 10 AS core_offset FROM t, (SELECT unnest(range(10)) AS k)),
+l AS (SELECT x.doc_id, core_offset, chunk_i, raw, core_offset - core_start AS r FROM x JOIN o ON x.doc_id = o.doc_id AND core_offset >= core_start AND core_offset < core_start + length(core))
+SELECT doc_id, core_offset, chunk_i::INTEGER AS chunk_i, (list_filter(list_transform(string_split(raw, ''), lambda c, i: CASE WHEN regexp_full_match(c, '\s') THEN NULL ELSE i - 1 END), lambda i: i IS NOT NULL))[r + 1]::INTEGER AS "offset" FROM l""")
 def core_index_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the middle of each document's core text lies."""
+    """The raw places of the tenths of each document's core text."""
     index = stage(anchors.core_index(_line_chunks(spark, sf_dir)), "core-index")
-    middle = index.groupBy("doc_id").agg((F.expr("max(core_end) div 2")).alias("core_offset"))
-    return anchors.locate(middle, index).drop("offset")
+    size = index.groupBy("doc_id").agg(F.max("core_end").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return anchors.locate(size.select("doc_id", F.expr("n * k div 10").alias("core_offset")).distinct(), index)
 
 
-_ANCHOR_SQL = f"""WITH {_INDEX}, t AS (SELECT doc_id, string_agg(core, '' ORDER BY chunk_i) AS core_text FROM x GROUP BY doc_id),
-h AS (SELECT doc_id, core AS needle FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_i DESC) = 1),
-o AS (SELECT doc_id, needle, core_text, [i FOR i IN range(0, length(core_text) - length(needle) + 1) IF substr(core_text, i + 1, length(needle)) = needle] AS places FROM t JOIN h USING (doc_id))
-SELECT doc_id, len(places)::INTEGER AS hits, (CASE WHEN len(places) = 1 THEN places[1] END)::INTEGER AS anchor FROM o WHERE len(places) = 1"""
+_REPEATED = rf"""WITH {_INDEX}, t AS (SELECT doc_id, string_agg(core, '' ORDER BY chunk_i) AS core_text FROM x GROUP BY doc_id),
+h AS (SELECT doc_id, core AS needle, max(core_start + length(core)) AS after FROM x GROUP BY doc_id, core QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, core) = 1),
+o AS (SELECT doc_id, needle, core_text, substr(core_text, after + 1) AS target, [i FOR i IN range(0, length(core_text) - length(needle) + 1) IF substr(core_text, i + 1, length(needle)) = needle] AS places FROM t JOIN h USING (doc_id)),
+p AS (SELECT doc_id, target, len(places) AS hits, unnest(places) AS place, needle, core_text FROM o),
+g AS (SELECT *, substr(core_text, place + length(needle) + 1, 400) AS following FROM p),
+"""
 
 
-@query(_ANCHOR_SQL)
+@query(_REPEATED + """s AS (SELECT doc_id, hits, place, length(target) AS n, CASE WHEN hits = 1 THEN 0 ELSE coalesce(list_max([k FOR k IN range(1, least(length(following), length(target)) + 1) IF substr(following, 1, k) = substr(target, 1, k)]), 0) END AS score FROM g)
+SELECT doc_id, hits::INTEGER AS hits, (CASE WHEN hits = 1 THEN min(place) WHEN max(n) > 0 AND max(score) >= least(15, max(n)) THEN arg_max(place, (score, -place)) END)::INTEGER AS anchor FROM s GROUP BY doc_id, hits""")
 def anchor_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last line of each document as a heading in its core text, where it occurs once."""
+    """Each document's most repeated line as a heading, with what follows its last occurrence as the item's text."""
+    index, items = _repeated_lines(spark, sf_dir)
+    return anchors.find_anchors(items, anchors.core_text(index)).select("doc_id", "hits", "anchor")
+
+
+def _repeated_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index = stage(anchors.core_index(_line_chunks(spark, sf_dir)), "core-index")
-    last = index.groupBy("doc_id").agg(F.max_by("raw", "chunk_i").alias("heading_text"))
-    items = last.select("doc_id", F.lit("last").alias("item"), "heading_text", F.col("heading_text").alias("item_text"))
-    return anchors.find_anchors(items, anchors.core_text(index)).where("hits = 1").select("doc_id", "hits", "anchor")
+    lines = index.groupBy("doc_id", "core").agg(F.count(F.lit(1)).alias("n"), F.max("core_end").alias("after"))
+    top = lines.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "core", "after")).alias("top"))
+    items = top.join(anchors.core_text(index), "doc_id").select("doc_id", F.lit("top").alias("item"), F.col("top.core").alias("heading_text"), F.concat("top.core", F.substring(F.col("core_text"), F.col("top.after").cast("int") + 1, F.length("core_text"))).alias("item_text"))
+    return index, items
+
+
+@query(_REPEATED + """z AS (SELECT doc_id, (1 + doc_id % 9) / 10 AS f, place, length(core_text) AS n FROM g) SELECT doc_id, arg_min(place, (round(abs(place / greatest(n, 1) - f), 12), place))::INTEGER AS anchor FROM z GROUP BY doc_id""")
+def nearest_fraction_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The occurrence of each document's most repeated line that is nearest to a share of the text."""
+    index, items = _repeated_lines(spark, sf_dir)
+    rows = items.join(anchors.core_text(index), "doc_id").withColumn("places", P.places_of("core_text", "heading_text"))
+    return rows.select("doc_id", anchors.nearest_fraction(F.col("places"), F.length("core_text"), (1 + F.col("doc_id") % 9) / 10).alias("anchor"))
 
 
 @query()
@@ -378,10 +410,9 @@ def visible_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each document's first line to the titles of item 7."""
-    first = T.norm_title(F.substring_index(F.substring_index("text", "\n", 1), ".", 1))
-    rows = _table(spark, sf_dir, "documents").select("doc_id", first.alias("title"))
-    return rows.select("doc_id", F.bround(P.title_ratio("title", F.element_at(taxonomy.aliases(), F.lit("7"))), 3).alias("similarity"))
+    """Greatest similarity of a document's lines to the titles of item 7."""
+    rows = _line_chunks(spark, sf_dir).select("doc_id", T.norm_title(F.col("raw")).alias("title"))
+    return rows.select("doc_id", F.bround(P.title_ratio("title", F.element_at(taxonomy.aliases(), F.lit("7"))), 3).alias("similarity")).groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
 
 
 @query("SELECT page_id, CASE WHEN contains(lower(html), '<ix:') THEN 'ixbrl' WHEN regexp_matches(html, '(?i)<(?:html|body|div|font|span|p)[\\s>/]') THEN 'html' ELSE 'txt' END AS format_era FROM pages")

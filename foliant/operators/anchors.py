@@ -65,5 +65,5 @@ def find_anchors(items: DataFrame, texts: DataFrame) -> DataFrame:
 
 def nearest_fraction(places: Column, size: Column, fraction: Column) -> Column:
     """The place whose share of the text is nearest to a fraction; the first, if that is null."""
-    scored = F.transform(places, lambda p: F.struct(F.abs(p / F.greatest(size, F.lit(1)) - fraction).alias("d"), p.alias("p")))
+    scored = F.transform(places, lambda p: F.struct(F.round(F.abs(p / F.greatest(size, F.lit(1)) - fraction), 12).alias("d"), p.alias("p")))
     return F.when(fraction.isNull(), F.get(places, F.lit(0))).otherwise(F.array_min(scored)["p"])

@@ -1,10 +1,13 @@
-"""Checks of results, rates, calibration, screens and benchmark statistics."""
+"""Rates over judged checks, calibration, screens, comparison of two tools and benchmark statistics."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+from foliant.functions.python import text_ratio
+
 CONFIDENT = 0.8
 SUCCESS = ("success", "success_with_warning")
 # The groups of checks behind the rates.
@@ -16,50 +19,6 @@ def rate(part: Column, whole: Column) -> Column:
     return F.bround(F.try_divide(part.cast("double"), whole.cast("double")), 4)
 
 
-def evaluate_checks(checks: DataFrame, items: DataFrame, docs: DataFrame, warnings: DataFrame) -> DataFrame:
-    """checks (check_id, doc_id, type, item, value) with passed.
-
-    items: doc_id, item, status, start, end, confidence; docs: doc_id, doc_status, text;
-    warnings: doc_id, code, item. value is a string that each type reads in its own way.
-    """
-    item = items.select("doc_id", "item", "status", "start", "end", "confidence", F.lit(True).alias("there"))
-    rows = checks.join(item, ["doc_id", "item"], "left").join(docs, "doc_id", "left")
-    body = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    chars = F.col("end") - F.col("start")
-    warned = warnings.select("doc_id", F.col("code").alias("value"), F.col("item").alias("at")).distinct()
-    hits = rows.where(F.col("type").isin("warning_present", "warning_absent")).join(warned, ["doc_id", "value"]).where("item is null or item = at")
-    rows = rows.join(hits.select("check_id", F.lit(True).alias("warned")).distinct(), "check_id", "left")
-    spans = items.where("start is not null")
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    cross = spans.withColumn("bad", F.col("start") < F.lag("end").over(order)).groupBy("doc_id").agg(F.bool_or(F.coalesce("bad", F.lit(False))).alias("overlap"))
-    total = items.where("status = 'extracted'").groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("extracted_chars"))
-    rows = rows.join(cross, "doc_id", "left").join(total, "doc_id", "left")
-    v, number = F.col("value"), F.expr("try_cast(value as double)")
-    tests = {
-        "item_present": F.col("status") == F.coalesce(v, F.lit("extracted")),
-        "item_absent": ~(F.coalesce(F.col("status"), F.lit("")) == "extracted"),
-        "text_contains": F.contains(body, v),
-        "text_not_contains": ~F.coalesce(F.contains(body, v), F.lit(False)),
-        "min_chars": chars >= number,
-        "max_chars": chars <= number,
-        "norm_contains": F.contains("text", v),
-        "norm_not_contains": ~F.contains("text", v),
-        "warning_present": F.col("warned"),
-        "warning_absent": F.col("warned").isNull(),
-        "confidence": F.col("confidence") == number,
-        "confidence_min": F.col("confidence") >= number,
-        "confidence_max": F.col("confidence") <= number,
-        "doc_status": F.array_contains(F.split(v, ","), F.col("doc_status")),
-        "no_overlap_ordered": ~F.coalesce("overlap", F.lit(False)),
-        "no_empty_success": (F.col("doc_status") != "success") | (F.coalesce("extracted_chars", F.lit(0)) >= 1000),
-        "verbatim": F.startswith(F.ltrim(body), v),
-    }
-    passed = F.lit(False)
-    for name, test in tests.items():
-        passed = F.when(F.col("type") == name, F.coalesce(test, F.lit(False))).otherwise(passed)
-    return rows.select("check_id", "doc_id", "type", "item", passed.alias("passed"))
-
-
 def check_rates(judged: DataFrame) -> DataFrame:
     """(metric, value, sample) of the rates behind metrics 1 to 5."""
     within = lambda names: F.col("type").isin(*names)
@@ -100,12 +59,55 @@ def calibration(items: DataFrame) -> DataFrame:
     )
 
 
+RANKS = 1024
+
+
+def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, n, before, total: each distinct value of a key, how often it comes, and how many rows are smaller.
+
+    Counts are taken first, then running sums in two levels: over RANKS ranges of each key's
+    values, and over the values of a range. No key's rows meet in one task. Nulls are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    span = counts.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total"))
+    share = F.coalesce(F.try_divide((F.col(value) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
+    rows = counts.join(span, key).withColumn("_range", F.least(F.floor(share * RANKS), F.lit(RANKS - 1)))
+    over = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(key, "_range").agg(F.sum("n").alias("_n"))
+    sums = sums.select(key, "_range", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, [key, "_range"])
+    return rows.select(key, value, "n", (F.col("_before") + F.col("_within")).alias("before"), "total", "_range")
+
+
+def _at(value: str, index: Column) -> Column:
+    """The value at a 0-based index of the sorted rows."""
+    return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col(value)))
+
+
 def floor_index(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Per key the values at index min(n - 1, floor(n * p)) of the sorted values."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    pick = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))), F.col(value)))
-    return ranked.groupBy(key).agg(*(pick(p).alias(name) for name, p in shares.items()))
+    index = lambda p: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(p)))
+    return value_counts(df, key, value).groupBy(key).agg(*(_at(value, index(p)).alias(name) for name, p in shares.items()))
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key the values at index ceil(n * p) - 1 of the sorted values."""
+    index = lambda p: F.least(F.col("total") - 1, F.greatest(F.ceil(F.col("total") * F.lit(p)) - 1, F.lit(0)))
+    return value_counts(df, key, value).groupBy(key).agg(*(_at(value, index(p)).alias(name) for name, p in shares.items()))
+
+
+def interpolated(df: DataFrame, key: str, value: str, shares: dict[str, float], digits: int = 6) -> DataFrame:
+    """Per key the values at place (n - 1) * p, between two rows in proportion."""
+    rows = value_counts(df, key, value)
+
+    def pick(p: float) -> Column:
+        place = F.max((F.col("total") - 1) * F.lit(p))
+        low = _at(value, F.floor((F.col("total") - 1) * F.lit(p)))
+        high = _at(value, F.least(F.floor((F.col("total") - 1) * F.lit(p)) + 1, F.col("total") - 1))
+        return low + (high - low) * (place - F.floor(place))
+
+    return rows.groupBy(key).agg(*(F.round(pick(p), digits).alias(name) for name, p in shares.items()))
 
 
 def coverage(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -127,13 +129,89 @@ def locate_by_runway(notable: DataFrame, docs: DataFrame) -> DataFrame:
 
     A forward as-of join, as a lead over the headings of a document.
     """
-    line = r"(?i)^[ \t ]*item[ \t ]*(\d{1,2})[ \t]?([A-D])?(?![A-Za-z0-9])"
+    line = r"(?i)^[ \t\u00a0]*item[ \t\u00a0]*(\d{1,2})([ \t]?)([A-D])?(?![A-Za-z0-9])"
     rows = notable.where(F.col("raw").rlike(line)).join(docs.select("doc_id", "norm_chars"), "doc_id")
-    code = F.concat(F.regexp_extract("raw", line, 1), F.upper(F.regexp_extract("raw", line, 2)))
+    number, letter = F.regexp_extract("raw", line, 1), F.upper(F.regexp_extract("raw", line, 3))
+    # a letter that stands apart may be the code's or the title's: such a line counts for both
+    apart = (letter != "") & (F.regexp_extract("raw", line, 2) != "")
+    codes = F.when(letter == "", F.array(number)).when(apart, F.array(number, F.concat(number, letter))).otherwise(F.array(F.concat(number, letter)))
     order = Window.partitionBy("doc_id").orderBy("start")
-    rows = rows.select("doc_id", code.alias("item"), "start", (F.coalesce(F.lead("start").over(order), F.col("norm_chars")) - F.col("start")).alias("runway"))
+    rows = rows.select("doc_id", codes.alias("codes"), "start", (F.coalesce(F.lead("start").over(order), F.col("norm_chars")) - F.col("start")).alias("runway"))
     best = F.max(F.struct("runway", (-F.col("start")).alias("at")))
-    return rows.groupBy("doc_id", "item").agg((-best["at"]).alias("located"), best["runway"].alias("runway"), F.count(F.lit(1)).alias("hits"))
+    return rows.select("doc_id", F.explode("codes").alias("item"), "start", "runway").groupBy("doc_id", "item").agg((-best["at"]).alias("located"), best["runway"].alias("runway"), F.count(F.lit(1)).alias("hits"))
+
+
+SHORT_SPAN, LEAST_RUNWAY, LEAST_COVERAGE = 100, 300, 0.42
+
+
+def screen(scored: DataFrame, status: DataFrame, covered: DataFrame, located: DataFrame) -> DataFrame:
+    """doc_id, item, status, confidence, population, findings: each item against measures that no label decides.
+
+    scored: see ``judge.score``; covered: ``coverage``; located: ``locate_by_runway``. population:
+    confident items of documents that are a success. findings: short_span, heading_divergence,
+    missing_but_located, low_span_coverage, large_interior_gap.
+    """
+    rows = scored.select("doc_id", "item", "status", "confidence", "start", "end").join(status, "doc_id")
+    rows = rows.join(covered.select("doc_id", "coverage", "gap_frac"), "doc_id", "left").join(located.select("doc_id", "item", "located", "runway"), ["doc_id", "item"], "left")
+    good, held = F.col("doc_status").isin(*SUCCESS), F.col("start").isNotNull()
+    tests = [
+        ("short_span", good & held & (F.col("end") - F.col("start") < SHORT_SPAN)),
+        ("heading_divergence", held & ~F.col("located").between(F.col("start"), F.col("end") - 1)),
+        ("missing_but_located", ~held & (F.col("runway") >= LEAST_RUNWAY)),
+        ("low_span_coverage", good & (F.col("coverage") < LEAST_COVERAGE)),
+        ("large_interior_gap", good & (F.col("gap_frac") > 0)),
+    ]
+    found = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests)), lambda x: x.isNotNull())
+    return rows.select("doc_id", "item", "status", "confidence", (good & (F.coalesce("confidence", F.lit(0.0)) >= CONFIDENT)).alias("population"), found.alias("findings"))
+
+
+def screened_rate(screened: DataFrame) -> DataFrame:
+    """One row: flagged and confident items, and their rate."""
+    total, flagged = F.count_if("population"), F.count_if(F.col("population") & (F.size("findings") > 0))
+    return screened.agg(flagged.alias("flagged"), total.alias("confident"), rate(flagged, total).alias("screened_rate"))
+
+
+def span_lengths(scored: DataFrame, status: DataFrame) -> DataFrame:
+    """(every, chars) of the spans in documents that are a success."""
+    rows = scored.where("start is not null").join(status.where(F.col("doc_status").isin(*SUCCESS)), "doc_id")
+    return rows.select(F.lit("all").alias("every"), (F.col("end") - F.col("start")).alias("chars"))
+
+
+ABSENT = ("missing", "omitted")
+
+
+def best_sections(sections: DataFrame) -> DataFrame:
+    """One section a document and code (upper-cased) of another tool's (doc_id, item, confidence, ...): the most confident, ties to the first text."""
+    named = sections.where(F.coalesce("item", F.lit("")) != "").withColumn("item", F.upper("item"))
+    best = F.max_by(F.struct("confidence", "text"), F.struct(F.coalesce("confidence", F.lit(0.0)), F.reverse(F.col("text"))))
+    return named.groupBy("doc_id", "item").agg(best.alias("b")).select("doc_id", "item", "b.confidence", "b.text")
+
+
+def compare_tools(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Our items (doc_id, item, status, text) against another tool's sections (doc_id, item, text), by presence and length.
+
+    class: presence (one has it; direction says which), content (both; length_ratio), or
+    agree_absent. Items that only they have are left out: the expected items are ours.
+    """
+    rows = ours.join(theirs.select("doc_id", "item", F.col("text").alias("their_text")), ["doc_id", "item"], "left")
+    mine, other = ~F.col("status").isin(*ABSENT), F.col("their_text").isNotNull()
+    kind = F.when(mine != other, "presence").when(mine & other, "content").otherwise("agree_absent")
+    direction = F.when(mine & ~other, "only_ours").when(~mine & other, "only_theirs")
+    a, b = F.length(T.same_words(F.col("text"))), F.length(T.same_words(F.col("their_text")))
+    ratio = F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(1.0)
+    return rows.select("doc_id", "item", "status", "text", "their_text", kind.alias("class"), direction.alias("direction"), F.when(kind == "content", F.bround(ratio, 4)).alias("length_ratio"))
+
+
+def content_similarity(compared: DataFrame) -> DataFrame:
+    """compared with similarity of the items that both tools have, by matching blocks (quadratic at worst, in tasks)."""
+    both = F.col("class") == "content"
+    return compared.where(both).withColumn("similarity", F.bround(text_ratio(T.same_words(F.col("text")), T.same_words(F.col("their_text"))), 4))
+
+
+def ranked_disagreements(compared: DataFrame, by: str, below: float) -> DataFrame:
+    """Presence first, then content below the cut from the least alike on: rank within each class and document order."""
+    rows = compared.where((F.col("class") == "presence") | ((F.col("class") == "content") & (F.col(by) < below)))
+    return rows.orderBy(F.col("class").desc(), F.col(by).asc_nulls_first(), "doc_id", "item")
 
 
 def compare_presence(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -146,10 +224,14 @@ def compare_presence(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def widest_cut(df: DataFrame, key: str, value: str) -> DataFrame:
     """Per key the middle of the widest gap of the sorted values; ties to the higher gap."""
-    order = Window.partitionBy(key).orderBy(value)
-    rows = df.withColumn("hi", F.lead(value).over(order)).where("hi is not null")
-    best = F.max(F.struct((F.col("hi") - F.col(value)).alias("gap"), F.col(value).alias("lo"), "hi"))
-    return rows.groupBy(key).agg(best.alias("b")).select(key, "b.gap", ((F.col("b.lo") + F.col("b.hi")) / 2).alias("cut"))
+    rows = value_counts(df, key, value)
+    within = Window.partitionBy(key, "_range").orderBy(value)
+    near = rows.select(key, F.col(value).alias("lo"), F.lead(value).over(within).alias("hi")).where("hi is not null")
+    ends = rows.groupBy(key, "_range").agg(F.min(value).alias("least"), F.max(value).alias("lo"))
+    far = ends.select(key, "lo", F.lead("least").over(Window.partitionBy(key).orderBy("_range")).alias("hi")).where("hi is not null")
+    same = rows.where("n > 1").select(key, F.col(value).alias("lo"), F.col(value).alias("hi"))
+    best = F.max(F.struct((F.col("hi") - F.col("lo")).alias("gap"), "lo", "hi"))
+    return near.union(far).union(same).groupBy(key).agg(best.alias("b")).select(key, "b.gap", ((F.col("b.lo") + F.col("b.hi")) / 2).alias("cut"))
 
 
 def r_squared(y: str, x: str) -> Column:
@@ -174,3 +256,126 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 def contrast(a: Column, b: Column) -> Column:
     return (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
+
+
+# ---- runs and their metrics
+
+
+def run_score(results: DataFrame, baseline: DataFrame) -> DataFrame:
+    """suite, passed, total, score, baseline, red, verdict of results (suite, passed); baseline: suite, score.
+
+    The invariant suite has to pass whole; another is a regression where it scores below its baseline.
+    """
+    sums = results.groupBy("suite").agg(F.count_if(F.coalesce("passed", F.lit(False))).alias("passed"), F.count(F.lit(1)).alias("total"))
+    rows = sums.withColumn("score", F.col("passed") / F.col("total")).join(baseline.select("suite", F.col("score").alias("baseline")), "suite", "left")
+    below = F.coalesce(F.col("score") < F.col("baseline"), F.lit(False))
+    broken = (F.col("suite") == "invariant") & (F.col("passed") < F.col("total"))
+    verdict = F.when(broken, "invariant violation").when(below, "regression").otherwise("accepted")
+    return rows.withColumns({"red": (F.col("passed") < F.col("total")) | below, "verdict": verdict})
+
+
+def success_by_kind(results: DataFrame) -> DataFrame:
+    """kind, passed, sample, value of results (kind, passed, doc_status): passed cases of documents that are a success."""
+    good = F.count_if(F.coalesce("passed", F.lit(False)) & F.col("doc_status").isin(*SUCCESS))
+    return results.groupBy("kind").agg(good.alias("passed"), F.count(F.lit(1)).alias("sample"), rate(good, F.count(F.lit(1))).alias("value"))
+
+
+def deterministic_share(scored: DataFrame) -> DataFrame:
+    """One row: the share of extracted items that no fallback found, and their number."""
+    out = F.col("status") == "extracted"
+    plain = F.count_if(out & (F.col("method") != "llm_fallback"))
+    return scored.agg(rate(plain, F.count_if(out)).alias("value"), F.count_if(out).alias("sample"))
+
+
+def metric_table(judged: DataFrame, silent: DataFrame, by_kind: DataFrame, share: DataFrame) -> DataFrame:
+    """(n, metric, value, sample) of the metrics that are one number each."""
+    numbers = F.element_at(F.create_map(*(x for k, v in (("presence_recall", 1), ("anchor_containment", 3), ("boundary_band", 4), ("false_positive", 5)) for x in (F.lit(k), F.lit(v)))), F.col("metric"))
+    rates = check_rates(judged).select(numbers.alias("n"), "metric", "value", "sample")
+    same = rates.where("n = 1").select(F.lit(2).alias("n"), F.lit("status_accuracy").alias("metric"), "value", "sample")
+    six = silent.select(F.lit(6).alias("n"), F.lit("silent_failure").alias("metric"), F.col("silent_failure_rate").alias("value"), F.col("targeted").alias("sample"))
+    seven = by_kind.where("kind = 'golden'").select(F.lit(7).alias("n"), F.lit("golden_success").alias("metric"), "value", "sample")
+    cost = share.select(F.lit(10).alias("n"), F.lit("cost_per_filing").alias("metric"), F.lit(0.0).alias("value"), "sample")
+    eleven = share.select(F.lit(11).alias("n"), F.lit("deterministic_share").alias("metric"), "value", "sample")
+    return rates.union(same).union(six).union(seven).union(cost).union(eleven)
+
+
+# ---- benchmark
+
+MIB, GIB = 1 << 20, 1 << 30
+REFUSED = ("unsupported", "failed")
+RATIO_FLOOR, PLATEAU = 0.001, 0.5
+CHARS_PER_TOKEN = 4
+#: (model, dollars a million input tokens, tokens of its context): a price table to be given by the caller.
+MODELS = (("large", 5.0, 1_000_000), ("small", 1.0, 200_000))
+
+
+def bench_records(timed: DataFrame) -> DataFrame:
+    """One record a fixture of timed runs (fixture, raw_bytes, chars, doc_status, synthetic, repeat, seconds)."""
+    facts = ("raw_bytes", "chars", "doc_status", "synthetic")
+    rows = timed.groupBy("fixture").agg(
+        *(F.max(c).alias(c) for c in facts), F.count(F.lit(1)).alias("repeats"), F.median("seconds").alias("median_s"), F.min("seconds").alias("min_s"),
+        F.min_by("seconds", "repeat").alias("first_s"), F.avg("seconds").alias("mean_s"), F.max("seconds").alias("max_s"),
+    )
+    speed = F.round(F.try_divide(F.col("raw_bytes") / MIB, F.col("median_s")), 4)
+    return rows.withColumn("refused", F.col("doc_status").isin(*REFUSED)).withColumn("mib_per_s", speed)
+
+
+def bench_summary(records: DataFrame) -> DataFrame:
+    """One row: extremes, throughput of processed fixtures, warm-up and spread of those that take long enough to tell."""
+    done = ~F.col("refused")
+    told = (F.col("median_s") >= RATIO_FLOOR) & (F.col("min_s") > 0)
+    size = lambda c: F.struct(c, (-F.col("fixture")).alias("at"))
+    rows = records.withColumns(
+        {
+            "speed": F.when(done, F.col("mib_per_s")),
+            "warmup": F.when(told, F.col("first_s") / F.col("min_s")),
+            "repeat_spread": F.when(told, (F.col("max_s") - F.col("min_s")) / F.col("median_s")),
+            "every": F.lit(1),
+        }
+    )
+    out = rows.groupBy("every").agg(
+        F.count(F.lit(1)).alias("fixtures"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("chars").alias("chars"),
+        F.max_by("fixture", size("median_s")).alias("slowest"), F.max_by("fixture", size("raw_bytes")).alias("largest"),
+        F.round(F.sum("median_s"), 3).alias("sum_of_medians"), F.count_if(done).alias("processed"), F.count_if(~done).alias("refused"),
+        F.min("speed").alias("speed_min"), F.max("speed").alias("speed_max"), F.round(F.try_divide(F.max("speed"), F.min("speed")), 2).alias("speed_spread"),
+        F.count_if(told).alias("told"), F.count_if(~told).alias("untold"), F.round(F.max("warmup"), 4).alias("warmup_max"), F.round(F.max("repeat_spread"), 4).alias("repeat_spread_max"),
+    )
+    for c in ("speed", "warmup", "repeat_spread"):
+        out = out.join(interpolated(rows, "every", c, {f"{c}_median": 0.5}, 4), "every", "left")
+    return out.drop("every")
+
+
+def populations(records: DataFrame, sized: DataFrame, batch_mib_per_s: float) -> DataFrame:
+    """population, n, mean_bytes, mib_per_s, seconds_per_filing, n_1000_seconds, n_1000_gib: what other numbers of filings would take.
+
+    All fixtures at the batch's speed; those that are no copies at their own; and these with others
+    that are only sized (sized: raw_bytes), at the same speed.
+    """
+    real = records.where("not synthetic")
+    own = real.agg(F.try_divide(F.sum("raw_bytes") / MIB, F.sum("median_s")).alias("own"))
+    parts = [("all", records.select("raw_bytes")), ("real", real.select("raw_bytes")), ("real_and_sized", real.select("raw_bytes").union(sized.select("raw_bytes")))]
+    rows = None
+    for name, sizes in parts:
+        one = sizes.agg(F.lit(name).alias("population"), F.count(F.lit(1)).alias("n"), F.avg("raw_bytes").alias("mean"))
+        rows = one if rows is None else rows.union(one)
+    # one row meets three: the speed of the real fixtures
+    rows = rows.withColumn("one", F.lit(1)).join(own.withColumn("one", F.lit(1)), "one")
+    speed = F.when(F.col("population") == "all", F.lit(batch_mib_per_s)).otherwise(F.coalesce("own", F.lit(batch_mib_per_s)))
+    each = F.col("mean") / MIB / speed
+    return rows.select(
+        "population", "n", F.round("mean").alias("mean_bytes"), F.round(speed, 4).alias("mib_per_s"), F.round(each, 6).alias("seconds_per_filing"),
+        F.round(each * 1000, 1).alias("n_1000_seconds"), F.round(F.col("mean") * 1000 / GIB, 4).alias("n_1000_gib"),
+    )
+
+
+def counterfactual_cost(records: DataFrame, models=MODELS) -> DataFrame:
+    """what, model, chars, est_tokens, usd, fits: what a model would cost for the median, the largest and all filings."""
+    rows = records.withColumn("every", F.lit(1))
+    sums = rows.groupBy("every").agg(F.max_by("chars", "raw_bytes").cast("double").alias("largest"), F.sum("chars").cast("double").alias("corpus"))
+    sums = sums.join(interpolated(rows, "every", "chars", {"median": 0.5}), "every")
+    rows = sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("what"), F.col(n).alias("chars")) for n in ("median", "largest", "corpus")))).alias("x")).select("x.*")
+    priced = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(p).alias("price"), F.lit(c).alias("context")) for m, p, c in models)))
+    tokens = F.col("chars") / CHARS_PER_TOKEN
+    return rows.withColumn("m", priced).select(
+        "what", "m.model", F.floor("chars").cast("long").alias("chars"), F.bround(tokens).cast("long").alias("est_tokens"), F.round(tokens / 1e6 * F.col("m.price"), 6).alias("usd"), (tokens <= F.col("m.context")).alias("fits")
+    )
