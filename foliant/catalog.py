@@ -420,9 +420,16 @@ def format_era(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", T.format_era(F.col("html")).alias("format_era"))
 
 
+def _all() -> None:
+    """The queries of the other module register when it is read."""
+    from foliant import harness  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

@@ -314,7 +314,7 @@ def bench_records(timed: DataFrame) -> DataFrame:
     facts = ("raw_bytes", "chars", "doc_status", "synthetic")
     rows = timed.groupBy("fixture").agg(
         *(F.max(c).alias(c) for c in facts), F.count(F.lit(1)).alias("repeats"), F.median("seconds").alias("median_s"), F.min("seconds").alias("min_s"),
-        F.min_by("seconds", "repeat").alias("first_s"), F.avg("seconds").alias("mean_s"), F.max("seconds").alias("max_s"),
+        F.min(F.struct("repeat", "seconds"))["seconds"].alias("first_s"), F.avg("seconds").alias("mean_s"), F.max("seconds").alias("max_s"),
     )
     speed = F.round(F.try_divide(F.col("raw_bytes") / MIB, F.col("median_s")), 4)
     return rows.withColumn("refused", F.col("doc_status").isin(*REFUSED)).withColumn("mib_per_s", speed)
@@ -371,11 +371,11 @@ def populations(records: DataFrame, sized: DataFrame, batch_mib_per_s: float) ->
 def counterfactual_cost(records: DataFrame, models=MODELS) -> DataFrame:
     """what, model, chars, est_tokens, usd, fits: what a model would cost for the median, the largest and all filings."""
     rows = records.withColumn("every", F.lit(1))
-    sums = rows.groupBy("every").agg(F.max_by("chars", "raw_bytes").cast("double").alias("largest"), F.sum("chars").cast("double").alias("corpus"))
+    sums = rows.groupBy("every").agg(F.max_by("chars", F.struct("raw_bytes", "chars")).cast("double").alias("largest"), F.sum("chars").cast("double").alias("corpus"))
     sums = sums.join(interpolated(rows, "every", "chars", {"median": 0.5}), "every")
     rows = sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("what"), F.col(n).alias("chars")) for n in ("median", "largest", "corpus")))).alias("x")).select("x.*")
     priced = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(p).alias("price"), F.lit(c).alias("context")) for m, p, c in models)))
     tokens = F.col("chars") / CHARS_PER_TOKEN
     return rows.withColumn("m", priced).select(
-        "what", "m.model", F.floor("chars").cast("long").alias("chars"), F.bround(tokens).cast("long").alias("est_tokens"), F.round(tokens / 1e6 * F.col("m.price"), 6).alias("usd"), (tokens <= F.col("m.context")).alias("fits")
+        "what", "m.model", F.floor("chars").cast("long").alias("chars"), F.bround(tokens).cast("long").alias("est_tokens"), F.round(tokens / 1e6 * F.col("m.price"), 9).alias("usd"), (tokens <= F.col("m.context")).alias("fits")
     )

@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.furniture import strip
+
 DISPLAY_CHARS, TRACE_ROWS = 40_000, 400
 
 
-def item_view(items: DataFrame, docs: DataFrame, display: int = DISPLAY_CHARS) -> DataFrame:
-    """doc_id, item, status, chars, text (display limit), truncated."""
-    body = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    rows = items.join(docs.select("doc_id", "text"), "doc_id").withColumn("body", body)
-    return rows.select("doc_id", "item", "status", (F.col("end") - F.col("start")).alias("chars"), F.substring("body", 1, display).alias("text"), (F.length("body") > display).alias("truncated"))
+def item_view(items: DataFrame, docs: DataFrame, display: int = DISPLAY_CHARS, runs: DataFrame | None = None) -> DataFrame:
+    """doc_id, item, status, chars, text (display limit), truncated; with runs also shown_chars and display_text.
+
+    items: doc_id, item, status, start, end; docs: doc_id, text. A document's items meet its
+    text as one row. runs (doc_id, runs: array of start, end) are left out of display_text, which
+    is null where it is the text itself; chars are the span's either way.
+    """
+    nested = items.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "item", "status")).alias("spans"))
+    rows = docs.select("doc_id", "text").join(nested, "doc_id")
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    rows = rows.withColumn("runs", empty) if runs is None else rows.join(runs, "doc_id", "left").withColumn("runs", F.coalesce("runs", empty))
+
+    def cut(s):
+        inside = F.filter("runs", lambda r: (r["start"] < s["end"]) & (r["end"] > s["start"]))
+        raw = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+        return F.struct(s.alias("s"), raw.alias("raw"), F.when(F.size(inside) > 0, strip(F.col("text"), inside, s["start"], s["end"])).otherwise(raw).alias("body"))
+
+    rows = rows.select("doc_id", F.explode(F.transform("spans", cut)).alias("x")).select("doc_id", "x.s.*", "x.raw", "x.body")
+    shown = [] if runs is None else [F.length("body").alias("shown_chars"), F.when(F.col("body") != F.col("raw"), F.substring("body", 1, display)).alias("display_text")]
+    return rows.select("doc_id", "item", "status", (F.col("end") - F.col("start")).alias("chars"), F.substring("raw", 1, display).alias("text"), (F.length("body") > display).alias("truncated"), *shown)
 
 
 def status_counts(items: DataFrame) -> DataFrame:

@@ -137,7 +137,18 @@ def read_cases(spark: SparkSession, path: str, suite: str | None = None) -> Data
     case = F.from_json("value", "id string, task string, suites array<string>, input struct<path:string,exclude_boilerplate:boolean>, expect struct<checks:array<string>>")
     rows = raw.select(case.alias("c"), "value").select("c.*", "value")
     rows = rows.withColumn("suites", F.coalesce("suites", F.array(F.lit("fast")))).withColumn("debt", F.array_contains("suites", "debt"))
-    return rows if suite in (None, "all") else rows.where(F.array_contains("suites", suite) | F.col("debt"))
+    return rows if suite is None else rows.where(runs_in(F.col("suites"), F.lit(suite)))
+
+
+def runs_in(suites: Column, asked: Column) -> Column:
+    """Whether a case of these suites runs when one is asked for; debt always does."""
+    return (asked == "all") | F.array_contains(suites, asked) | F.array_contains(suites, "debt")
+
+
+def missing_citations(texts: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, cited: names that texts (doc_id, text) cite by a pattern's first group and files (name) has not."""
+    cited = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("cited"))
+    return cited.join(files.select(F.col("name").alias("cited")), "cited", "left_anti").select("doc_id", "cited")
 
 
 def append_history(runs: DataFrame, path: str) -> None:
