@@ -225,9 +225,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 def pages_language(pages: DataFrame) -> DataFrame:
     """page_id, language, confidence, kept: pages by text, ``<html lang>``, address suffix and host (see ``identify``)."""
-    # written once: the model, the votes and the decision each read the texts
-    rows = cut(page_texts(pages), "page-texts")
-    return identify(rows, declared="declared", host="host").select("page_id", "language", "confidence", "kept")
+    return identify(page_texts(pages), declared="declared", host="host").select("page_id", "language", "confidence", "kept")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
