@@ -133,7 +133,7 @@ def select_documents(raw: DataFrame) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str, suite: str | None = None) -> DataFrame:
     """Evaluation cases (one JSON object a file): id, suites, debt, and the raw case."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
     case = F.from_json("value", "id string, task string, suites array<string>, input struct<path:string,exclude_boilerplate:boolean>, expect struct<checks:array<string>>")
     rows = raw.select(case.alias("c"), "value").select("c.*", "value")
     rows = rows.withColumn("suites", F.coalesce("suites", F.array(F.lit("fast")))).withColumn("debt", F.array_contains("suites", "debt"))

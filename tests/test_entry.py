@@ -32,7 +32,7 @@ def rows(df: pd.DataFrame) -> list:
     return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["toc_runs_islands", "greedy_boundaries", "segment_items", "furniture_lines", "silent_failure", "calibration", "gap_cut", "suffix_plateau", "sgml_blocks", "sentence_split"])
+@pytest.mark.parametrize("name", ["toc_runs_islands", "greedy_boundaries", "segment_items", "furniture_lines", "silent_failure", "calibration", "gap_cut", "suffix_plateau", "sgml_blocks", "sentence_split", "validator_warnings", "metric_table", "bench_summary", "screen_findings", "markdown_terms", "anchor_argmax", "nearest_rank", "stripped_item_view"])
 def test_query_equals_sql(spark, con, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     want = con.sql(catalog.oracle_sql()[name]).df()

@@ -1,5 +1,9 @@
 """Operators on small filings, worked out by hand, and invariants over the made filings."""
 
+import random
+import re
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from foliant.functions import python as P
@@ -52,6 +56,76 @@ def test_html_reading():
     page = "<html><title>t</title><body><p>A &amp; b<br/>c</p><td>1</td><td>2</td><script>x</script><b>d</b>e"
     assert P.read_html(page) == "\n\nA & b\n\nc\n 1 2de"
     assert P.chunks_of("<head><p>no</p></head><body>a<i>b</i><style>s</style></body>") == ["a", "b"]
+    assert P.read_html("<title>t</title>a<ix:header>x<ix:hidden>y</ix:hidden>z</ix:header>b<div/>c") == "ab\n\nc"
+
+
+class Plain(HTMLParser):
+    """What the two readers must give, from the standard library's events."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.text, self.chunks, self.depth, self.deep, self.skip = [], [], 0, None, 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in P.UNREAD:
+            self.depth += 1
+        elif not self.depth:
+            self.text.append("\n" if tag in P.LINE_BREAKS else " " if tag in P.CELLS else "")
+        self.skip += tag in ("script", "style")
+        self.deep = 1 if tag == "body" else self.deep + 1 if self.deep else self.deep
+
+    def handle_endtag(self, tag):
+        if tag in P.UNREAD:
+            self.depth = max(0, self.depth - 1)
+        elif not self.depth:
+            self.text.append("\n" if tag in P.LINE_BREAKS else "")
+        self.skip -= tag in ("script", "style")
+        self.deep = self.deep - 1 if self.deep else self.deep
+
+    def handle_data(self, data):
+        if not self.depth:
+            self.text.append(re.sub(r"\s+", " ", data))
+        if self.deep and not self.skip and data:
+            self.chunks.append(data)
+
+
+def test_html_reading_by_the_standard_library():
+    r = random.Random(4)
+    word = lambda: r.choice(["a", "b&amp;c", "d &lt; e", " ", "\n", "é&#233;&nbsp;", "x"])
+
+    def element(depth):
+        tag = r.choice(["p", "div", "span", "b", "td", "ix:hidden", "style", "script", "h1", "tr"])
+        if tag in ("style", "script"):
+            return f"<{tag}>var x = '<p>';</{tag}>"
+        attrs = r.choice(["", ' class="x > y"', " id=z", " data-a='q'"])
+        inner = "".join(element(depth + 1) if r.random() < 0.4 and depth < 4 else word() for _ in range(r.randint(0, 4)))
+        return f"<{tag}{attrs}>{inner}</{tag}>" + r.choice(["", "<!-- <p> -->"])
+
+    for _ in range(400):
+        page = "<html><head><title>t</title></head><body>" + "".join(element(0) for _ in range(3)) + "</body>after</html>"
+        want = Plain(page)
+        assert P.read_html(page) == "".join(want.text), page
+        assert not want.chunks or "".join(P.chunks_of(page)) == "".join(want.chunks), page
+    assert P.chunks_of("plain text") == ["plain text"] and P.chunks_of("") == [] and P.chunks_of("<div><p>a</p> <p>b</p></div>") == ["a", " ", "b"]
+
+
+def test_lines_and_places_of_odd_texts(spark):
+    texts = ["", "\n", "a", "\n\nx\n", "é\nü\n", "a\nb"]
+    rows = segment.lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        mine = sorted((r.line_no, r.raw, r.start, r.end) for r in rows if r.doc_id == i)
+        assert [x[1] for x in mine] == t.split("\n") and "".join(t[a:b] for _, _, a, b in mine) == t
+    got = spark.createDataFrame([("aaa", "aa"), ("abc", "x"), ("abc", ""), (None, "a")], "t string, n string").select(P.places_of("t", "n").alias("p")).collect()
+    assert [r.p for r in got] == [[0, 1], [], [], []]
+
+
+def test_period_of_an_inline_fact(spark):
+    fact = 'name="dei:DocumentPeriodEndDate" x="y">&#68;ecember&#160;31&#x2C;&ensp;20<b>19</b> </ix>'
+    raw = spark.createDataFrame([(1, fact.replace("20<b>19</b>", "2019"))], "id int, raw string")
+    got = raw.select(T.period_end(*T.raw_dates(F.col("raw")), F.lit("")).alias("d")).first().d
+    assert str(got) == "2019-12-31"
 
 
 def test_decode_falls_back(spark):
