@@ -73,13 +73,12 @@ def candidates(rows: DataFrame, periods: DataFrame) -> DataFrame:
     own = T.strip(F.regexp_extract("raw", T.HEADING, 3))
     head = head.select("*", own.alias("own"), filled.alias("filled"), names.alias("names"))
     head = head.select("*", next_line(0).alias("after1"), next_line(1).alias("after2"))
-    # exact titles are settled natively; only the rest goes to the Python function
+    # exact titles are settled natively; only the rest is compared by the Python function
     shown = F.when(F.col("own") != "", F.col("own")).otherwise(F.col("after1"))
     head = head.withColumn("shown", T.norm_title(shown))
     exact = (F.col("shown") == "") | F.array_contains("names", F.col("shown"))
-    sure = head.where(exact).withColumn("score", F.when(F.col("shown") == "", 0.0).otherwise(1.0))
-    fuzzy = head.where(~exact).withColumn("score", title_ratio("shown", "names"))
-    head = sure.unionByName(fuzzy)
+    head = head.withColumn("ratio", title_ratio(F.when(~exact, F.col("shown")), F.col("names")))
+    head = head.withColumn("score", F.when(F.col("shown") == "", 0.0).when(exact, 1.0).otherwise(F.col("ratio")))
     via = (F.col("own") == "") & (F.col("score") >= SIMILARITY_FLOOR) & ~F.col("after2").rlike(T.HEADING)
     head = head.withColumn("title_on_next_line", via).withColumn("title", F.when(F.col("own") != "", F.col("own")).when(via, F.col("after1")).otherwise(F.lit("")))
     # only blanks stand before the promoted line
@@ -103,7 +102,8 @@ def contents_runs(cands: DataFrame, member: Column) -> DataFrame:
     code comes again later, not in an echo; a dense run is a contents page where half its codes
     recur. Occurrences are looked for among all rows.
     """
-    rows = cands.withColumn("member", member)
+    # one exchange serves all windows, which are each within a document
+    rows = cands.withColumn("member", member).repartition("doc_id")
     by_start = Window.partitionBy("doc_id", "member").orderBy("start")
     rows = rows.withColumn("gap", F.when(F.col("start") - F.lag("start").over(by_start) > DENSE_GAP, 1).otherwise(0))
     rows = rows.withColumn("run_id", F.sum("gap").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
@@ -163,14 +163,12 @@ def spans(accepted: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
     out = accepted.join(sizes.select("doc_id", "norm_chars"), "doc_id")
     out = out.withColumn("next", F.lead("start").over(order)).withColumn("last", F.col("next").isNull())
     out = out.withColumn("bound", F.coalesce("next", "norm_chars"))
-    marks = rows.where("officers or tail").select("doc_id", F.col("start").alias("at"), "officers", "tail")
-    keys = ["doc_id", "item"]
-    clip = out.select(*keys, "heading_end", "bound", "last").join(marks, "doc_id").where("at >= heading_end")
-    officers = F.min(F.when(F.col("officers") & (F.col("item") != "10") & (F.col("at") < F.col("bound")), F.col("at")))
-    tail = F.min(F.when(F.col("tail") & F.col("last"), F.col("at")))
-    clip = clip.groupBy(*keys).agg(F.least(officers, tail).alias("clip"))
-    out = out.join(clip, keys, "left")
-    return out.select("doc_id", "item", "start", F.least("bound", F.coalesce("clip", "bound")).cast("int").alias("end"), "heading_end", "heading_text", "similarity")
+    marks = rows.where("officers or tail").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("at"), "officers", "tail")).alias("marks"))
+    out = out.join(marks, "doc_id", "left")
+    first = lambda test: F.array_min(F.transform(F.filter("marks", lambda m: (m["at"] >= F.col("heading_end")) & test(m)), lambda m: m["at"]))
+    officers = F.when(F.col("item") != "10", first(lambda m: m["officers"] & (m["at"] < F.col("bound"))))
+    tail = F.when(F.col("last"), first(lambda m: m["tail"]))
+    return out.select("doc_id", "item", "start", F.least("bound", officers, tail).cast("int").alias("end"), "heading_end", "heading_text", "similarity")
 
 
 def bodies(spanned: DataFrame, docs: DataFrame) -> DataFrame:
