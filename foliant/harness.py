@@ -113,6 +113,12 @@ def document_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", "meta.format_era", "meta.taxonomy_era", "meta.document_selected", F.array_join(F.coalesce("meta.toc_manifest", F.array().cast("array<string>")), ",").alias("manifest"))
 
 
+@query(chain("SELECT doc_id, to_json({'form_type': form_type, 'period_end': period_end, 'norm_chars': norm_chars}) AS meta FROM docs"))
+def meta_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each document as JSON: dates become text, nulls stay."""
+    return _docs(spark, sf_dir).select("doc_id", view.json_safe("form_type", "period_end", "norm_chars").alias("meta"))
+
+
 @query(chain("SELECT d.doc_id, true AS same, len(coalesce(list(c.start) FILTER (c.start IS NOT NULL), []))::INTEGER AS runs FROM docs d LEFT JOIN chrome c ON c.doc_id = d.doc_id GROUP BY d.doc_id"))
 def exclusion_changes_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether asking for boilerplate leaves all else of each envelope as it is."""

@@ -39,3 +39,8 @@ def status_counts(items: DataFrame) -> DataFrame:
 def scrub_trace(trace):
     """The first rows of a trace, paths cut to their last part."""
     return F.transform(F.slice(trace, 1, TRACE_ROWS), lambda t: F.struct(t["layer"].alias("layer"), F.regexp_replace(t["payload"], r'"(?:[^"/]*/)+([^"/]*)"', '"$1"').alias("payload")))
+
+
+def json_safe(*columns: str):
+    """The columns as one JSON object: dates and times become text, nulls stay as nulls."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss"})

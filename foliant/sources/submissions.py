@@ -164,6 +164,12 @@ def write_report(results: DataFrame, path: str, suite: str, red: bool, asked: bo
     return wanted
 
 
+def write_artifact(rows: DataFrame, path: str, kind: str, sha: Column | None = None) -> None:
+    """Records, screens or metrics as JSON lines below ``path``, each with what it is and the build it comes from."""
+    stamped = rows.select(F.lit(kind).alias("kind"), build_identity(sha if sha is not None else F.lit(None).cast("string")).alias("git_sha"), "*")
+    stamped.write.mode("overwrite").json(path)
+
+
 def _section(lines: DataFrame, section: str) -> DataFrame:
     """The lines (file, line_no, raw) below the heading ``section`` of each file, up to the next heading."""
     order = Window.partitionBy("file").orderBy("line_no")

@@ -112,3 +112,28 @@ def test_uploads(spark, length, name, why):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(submissions.refuse_upload(F.lit(name), F.lit(length)).alias("w")).first().w == why
+
+
+def test_artifacts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    submissions.write_artifact(spark.createDataFrame([Row(fixture="a", median_s=0.5)]), str(tmp_path / "bench"), "bench", F.lit("0123456789abcdef"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "bench")).select("kind", "git_sha", "fixture", "median_s").collect()] == [("bench", "0123456789ab", "a", 0.5)]
+
+
+def test_two_tools(spark):
+    import difflib
+
+    from foliant.operators import measure
+
+    ours = [(1, "1", "extracted", "We sell  tools\u00a0here. " * 9), (1, "2", "missing", None), (1, "3", "extracted", "only ours"), (1, "16", "omitted", None)]
+    theirs = [(1, "1", 0.9, "We sold tools here. " * 9), (1, "1", 0.4, "worse"), (1, "2", None, "theirs"), (1, None, 0.9, "no code"), (1, "77", 0.9, "unknown")]
+    best = measure.best_sections(spark.createDataFrame(theirs, "doc_id long, item string, confidence double, text string"))
+    rows = measure.compare_tools(spark.createDataFrame(ours, "doc_id long, item string, status string, text string"), best)
+    got = {r.item: (r["class"], r.direction) for r in rows.collect()}
+    assert got == {"1": ("content", None), "2": ("presence", "only_theirs"), "3": ("presence", "only_ours"), "16": ("agree_absent", None)}
+    alike = measure.content_similarity(rows)
+    a, b = ("We sell tools here. " * 9).strip(), ("We sold tools here. " * 9).strip()
+    assert [r.similarity for r in alike.collect()] == [round(difflib.SequenceMatcher(None, a, b).ratio(), 4)]
+    full = rows.join(alike.select("doc_id", "item", "similarity"), ["doc_id", "item"], "left")
+    assert [r.item for r in measure.ranked_disagreements(full, "similarity", 1.0).collect()] == ["2", "3", "1"]
