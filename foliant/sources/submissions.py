@@ -64,6 +64,7 @@ def single_file_per_directory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("n_files = 1").select("dir", "f.path", "f.length"), found.where("n_files <> 1").select("dir", "n_files")
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLOCK = r"(?is)<DOCUMENT>.*?(?:</DOCUMENT>|\z)"
 
 
@@ -78,23 +79,29 @@ def with_blocks(raw: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     walk = lambda s, x: F.struct((s["at"] + x["lead"] + x["size"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["lead"])).alias("starts"))
     rows = rows.withColumn("_starts", F.aggregate(steps, zero, walk)["starts"])
-    field = lambda b, tag: F.regexp_extract(b, rf"(?im)^<{tag}>(\S+)", 1)
+    # tags are looked for in a copy with small letters, so that only blocks that have one are searched by pattern
+    rows = rows.withColumn("_low", F.transform("_whole", lambda b: F.translate(b, UPPER, UPPER.lower())))
 
     def one(block, i):
-        inner = F.regexp_replace(block, r"(?is)\A<DOCUMENT>|</DOCUMENT>\z", "")
-        body = F.when(inner.rlike("(?i)<TEXT>"), F.regexp_extract(inner, r"(?is)<TEXT>(.*?)(?:</TEXT>|\z)", 1)).otherwise(inner)
+        low = F.get("_low", i)
+        field = lambda tag: F.when(F.contains(low, F.lit(f"<{tag.lower()}>")), F.regexp_extract(block, rf"(?im)^(?:<DOCUMENT>)?<{tag}>(\S+)", 1)).otherwise(F.lit(""))
+        whole = F.length(block) - F.when(F.endswith(low, F.lit("</document>")), len("</DOCUMENT>")).otherwise(0)
+        opens = F.call_function("locate", F.lit("<text>"), low)
+        first = F.when(opens > 0, opens + len("<TEXT>")).otherwise(len("<DOCUMENT>") + 1)
+        closes = F.when(opens > 0, F.call_function("locate", F.lit("</text>"), low, first)).otherwise(0)
+        last = F.when(closes > 0, closes - 1).otherwise(whole)
         return F.struct(
-            F.upper(field(inner, "TYPE")).alias("type"), field(inner, "SEQUENCE").alias("sequence"), field(inner, "FILENAME").alias("filename"),
-            body.alias("body"), F.get("_starts", i).alias("start"),
+            F.upper(field("TYPE")).alias("type"), field("SEQUENCE").alias("sequence"), field("FILENAME").alias("filename"),
+            F.substring(block, first, F.greatest(last - first + 1, F.lit(0))).alias("body"), F.get("_starts", i).alias("start"),
         )
 
-    return rows.withColumn("blocks", F.transform("_whole", one)).drop("_whole", "_lead", "_starts")
+    return rows.withColumn("blocks", F.transform("_whole", one)).drop("_whole", "_lead", "_starts", "_low")
 
 
 def select_documents(raw: DataFrame) -> DataFrame:
     """doc_id, raw_text -> doc_id, text (normalized), and the document's facts.
 
-    The accepted block is read, else the whole submission. Only HTML goes through Python. Text
+    The accepted block is read, else the whole submission. Only HTML is read by Python. Text
     and facts are staged once; later steps read the columns they need.
     """
     rows = with_blocks(raw.select("doc_id", "raw_text"))
@@ -110,9 +117,10 @@ def select_documents(raw: DataFrame) -> DataFrame:
         ((F.size("blocks") > 0) & F.col("chosen").isNull()).alias("fallback"), F.length("raw_text").alias("raw_chars"),
         F.sha2("raw_text", 256).alias("input_sha256"), header.alias("header_date"), fact.alias("inline_date"),
     )
-    plain = rows.where("format_era = 'txt'").withColumn("text", T.plain_text(F.col("body")))
-    markup = rows.where("format_era <> 'txt'").withColumn("text", T.tidy(html_to_text("body")))
-    rows = plain.unionByName(markup).drop("body")
+    # the Python function sees nulls in the place of plain texts
+    plain = F.col("format_era") == "txt"
+    rows = rows.withColumn("_read", html_to_text(F.when(~plain, F.col("body"))))
+    rows = rows.withColumn("text", F.when(plain, T.plain_text(F.col("body"))).otherwise(T.tidy(F.col("_read")))).drop("body", "_read")
     rows = rows.withColumn("form_type_sniffed", T.sniff_form(F.col("text")))
     d, s = F.col("form_type_declared"), F.col("form_type_sniffed")
     family = d.isin(*ACCEPTED_FORMS) & s.isin(*ACCEPTED_FORMS)
