@@ -63,7 +63,9 @@ def numeric_density(c: Column) -> Column:
 
 def format_era(body: Column) -> Column:
     html = body.rlike(r"(?i)<(?:html|body|div|font|span|p)[\s>/]")
-    return F.when(F.contains(F.lower(body), F.lit("<ix:")), "ixbrl").when(html, "html").otherwise("txt")
+    # most plain texts have no tag at all, and are not searched further
+    tags = F.contains(body, F.lit("<"))
+    return F.when(tags & F.contains(F.lower(body), F.lit("<ix:")), "ixbrl").when(tags & html, "html").otherwise("txt")
 
 
 def sniff_form(text: Column) -> Column:

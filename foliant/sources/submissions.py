@@ -80,7 +80,9 @@ def with_blocks(raw: DataFrame) -> DataFrame:
     walk = lambda s, x: F.struct((s["at"] + x["lead"] + x["size"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["lead"])).alias("starts"))
     rows = rows.withColumn("_starts", F.aggregate(steps, zero, walk)["starts"])
     # tags are looked for in a copy with small letters, so that only blocks that have one are searched by pattern
-    rows = rows.withColumn("_low", F.transform("_whole", lambda b: F.translate(b, UPPER, UPPER.lower())))
+    # (where that keeps all places; it does but for a few letters that have no single small form)
+    low = lambda b: F.when(F.length(F.lower(b)) == F.length(b), F.lower(b)).otherwise(F.translate(b, UPPER, UPPER.lower()))
+    rows = rows.withColumn("_low", F.transform("_whole", low))
 
     def one(block, i):
         low = F.get("_low", i)
