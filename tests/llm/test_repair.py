@@ -5,11 +5,13 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliant.llm import fim
+from foliant.llm import fim, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +87,89 @@ def test_inverse_permutation_restores(text, form, data):
     moved = fim.arranged(memoryview(raw), form, a, b, marks)
     assert fim.restored(moved.text(), form, marks).text() == raw
     assert moved.sha256() == hashlib.sha256(moved.text()).hexdigest()
+
+
+# ---- simhash
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, radius=2):
+    """Smallest doc_id reachable for each row (doc_id, fingerprint)."""
+    least = [i for i, _ in prints]
+    near = [[y for y, (j, q) in enumerate(prints) if j is not None and (p ^ q).bit_count() <= radius] for _, p in prints]
+    seen = {}
+    for start in range(len(prints)):
+        if start in seen or least[start] is None:
+            continue
+        group, todo = {start}, [start]
+        while todo:
+            todo += [y for y in near[todo.pop()] if y not in group and not group.add(y)]
+        for x in group:
+            seen[x] = min(least[y] for y in group)
+    return [seen.get(x) for x in range(len(prints))]
+
+
+def edited(r, text):
+    words = text.split()
+    for _ in range(r.randint(0, 2)):
+        words[r.randrange(len(words))] = r.choice("abcdef")
+    return " ".join(words)
+
+
+def test_simhash(spark):
+    r = random.Random(5)
+    bases = [" ".join(r.choices([f"w{i}" for i in range(200)], k=r.choice([1, 2, 3, 40, 200, 400]))) for _ in range(20)]
+    texts = [edited(r, r.choice(bases)) for _ in range(300)] + ["", None, " \t\n", "A b", "a\x0bB", "é É", "x " * 30000, "a b c d " * 200]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "another text here"), (3, texts[3]), (None, texts[5]), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, "q", 2) for i, t in rows], "doc_id long, text string, fp int, component_id string, shard int")
+    prints = [(i, brute_fingerprint(t)) for i, t in rows]
+    want = [(i, f"{p:016x}", c) for (i, p), c in zip(prints, brute_components(prints))]
+    got = [(x.doc_id, x.fingerprint, x.component_id) for x in simhash.near_duplicates(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("trees", [0, 512])
+def test_split_shards_give_the_same_components(spark, monkeypatch, trees):
+    """Dense and sparse fingerprints, with trees of few nodes, broadcast or dealt to pairs."""
+    monkeypatch.setattr(simhash, "TREE", 16)
+    monkeypatch.setattr(simhash, "SHARD", 24)
+    monkeypatch.setattr(simhash, "BROADCAST_TREES", trees)
+    r = random.Random(6)
+    fps = {0, (1 << 64) - 1}
+    for base in [r.getrandbits(64) for _ in range(12)]:
+        for _ in range(40):
+            fps.add(base ^ sum(1 << b for b in {r.randrange(64) for _ in range(r.randint(0, 3))}))
+    fps = sorted(fps)
+    signed = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    label = {x["id"]: x["comp"] for x in simhash.components(simhash.links(signed)).collect()}
+    want = brute_components([(f - (1 << 64) if f >> 63 else f, f) for f in fps])
+    assert [label.get(i, i) for i in (f - (1 << 64) if f >> 63 else f for f in fps)] == want
+
+
+def test_tree_is_that_of_insertions_and_finds_all():
+    r = np.random.default_rng(3)
+    fps = np.unique(np.r_[r.integers(0, 1 << 63, 300, np.uint64), r.integers(0, 1 << 12, 300, np.uint64)])
+    r.shuffle(fps)
+    kids = {}  # one by one: parent -> distance -> child
+
+    for f in fps.tolist():
+        at = int(fps[0])
+        while f != at:
+            d = (f ^ at).bit_count()
+            nxt = kids.setdefault(at, {}).setdefault(d, f)
+            at = nxt
+    tree = simhash.Tree.from_bytes(simhash.plant(fps).to_bytes())
+    for i, f in enumerate(tree.fp.tolist()):
+        mine = range(tree.first[i], tree.first[i] + tree.kids[i])
+        assert {int(tree.edge[c]): int(tree.fp[c]) for c in mine} == kids.get(f, {})
+    queries = np.r_[fps[:50], fps[:50] ^ np.uint64(5), r.integers(0, 1 << 63, 20, np.uint64)]
+    for radius in (0, 2, 9):
+        got = {(int(q), int(n)) for qs, ns in simhash.search(tree, queries, radius) for q, n in zip(qs, ns)}
+        assert got == {(i, j) for i, q in enumerate(queries.tolist()) for j, f in enumerate(tree.fp.tolist()) if (q ^ f).bit_count() <= radius}
