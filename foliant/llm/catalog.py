@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["language_id", "minhash", "substring", "mixing", "decontaminate", "topk", "warc_zip", "html_paths", "pii", "url_filter", "fim", "simhash"]
+MODULES = ["language_id", "minhash", "substring", "mixing", "decontaminate", "topk", "warc_zip", "html_paths", "pii", "url_filter", "fim", "simhash", "conversations"]
 
 
 def _modules():
