@@ -396,13 +396,28 @@ def nearest_fraction_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", anchors.nearest_fraction(F.col("places"), F.length("core_text"), (1 + F.col("doc_id") % 9) / 10).alias("anchor"))
 
 
-@query()
+_HTML_SQL = r"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages)"""
+_DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(
+    rf"""{_HTML_SQL},
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '\s+', ' ', 'g'), '(?i)</?({"|".join(sorted(P.LINE_BREAKS))})([\s/][^>]*)?>', chr(10), 'g'), '(?i)<t[dh]([\s/][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM b),
+n AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_DECODED.format("t")}, '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM t)
+SELECT page_id, text, length(text) AS n_chars FROM n"""
+)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = T.tidy(P.html_to_text(F.coalesce("html", F.lit(""))))
     return _table(spark, sf_dir, "pages").select("page_id", text.alias("text")).select("page_id", "text", F.length("text").alias("n_chars"))
 
 
-@query()
+@query(
+    rf"""{_HTML_SQL},
+c AS (SELECT page_id, unnest(regexp_split_to_array(regexp_replace(regexp_extract(h, '(?is)<body[^>]*>(.*)$', 1), '<[^>]*$', ''), '<[^>]*>')) AS c FROM b),
+k AS (SELECT page_id, length(regexp_replace({_DECODED.format("c")}, '\s', '', 'g')) AS n FROM c WHERE c <> '')
+SELECT page_id AS doc_id, count(*) FILTER (n > 0) AS chunks, sum(n)::BIGINT AS core_chars FROM k GROUP BY page_id"""
+)
 def visible_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(P.visible_chunks("html")).alias("chunk_i", "raw"))
     return anchors.core_index(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("core_end").alias("core_chars"))

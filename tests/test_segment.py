@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import python as P
@@ -111,6 +113,77 @@ def test_html_reading_by_the_standard_library():
     assert P.chunks_of("plain text") == ["plain text"] and P.chunks_of("") == [] and P.chunks_of("<div><p>a</p> <p>b</p></div>") == ["a", " ", "b"]
 
 
+ODD = [
+    "<", ">", "/", "=", "'", '"', " ", "\n", "&", ";", "!", "-", "--", "?", "[", "]", "]]>", "]>", "a", "b", "é", "x1", ":", "\x00", "\x0b", "\u00a0", "&amp;", "&nbsp;", "&lt;", "&amp;lt;", "&#160;", "&#65;", "&#x41", "&lt", "&ampx",
+    "<p", "<p>", "</p>", "</ p >", "</p x>", "</>", "</1>", "<br/>", "<br / >", "<td>", "<div title=don't>", '<p class="x"">', "<a b='", '<a b="', "<a b= ", "<a b==", "<script>", "<script x=\"", "</script>", "</SCRIPT >",
+    "<script/>", "<style>", "</style>", "<!--", "-->", "-- >", "<!-->", "<!doctype html>", "<!", "<!x>", "<![CDATA[", "<![if x]>", "<?pi", "<?pi?>", "<body>", "</body>", "<body a=1>", "<title>", "</title>", "<ix:hidden>", "</ix:hidden>", "<a\x00b>", "<a/b/c='d'/>", "<a =b>", '<a"b c>',
+]
+
+
+class Chunks(HTMLParser):
+    """Text below body, read to where the standard library waits for more of the page."""
+
+    def __init__(self, page, inside):
+        super().__init__(convert_charrefs=True)
+        self.chunks, self.inside, self.deep, self.skip = [], inside, 0, 0
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self.inside, self.deep = True, 1
+            return
+        self.deep += self.inside
+        self.skip += tag in ("script", "style")
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style") and self.skip > 0
+        if self.inside:
+            self.deep -= 1
+            self.inside = self.deep > 0
+
+    def handle_data(self, data):
+        if self.inside and not self.skip and data:
+            self.chunks.append(data)
+
+
+def test_odd_markup_as_the_standard_library_reads_it():
+    r, read = random.Random(12), 0
+    for i in range(14000):
+        page = "".join(r.choices(ODD, k=r.randint(1, 14)))
+        page = f"<body>{page}" if i % 3 == 0 else page
+        try:
+            want, chunks = Plain(page), Chunks(page, False).chunks or Chunks(page, True).chunks
+        except AssertionError:  # a section of unknown name, which the standard library refuses
+            P.read_html(page), P.chunks_of(page)
+            continue
+        read += 1
+        assert P.read_html(page) == "".join(want.text), page
+        assert P.chunks_of(page) == (chunks if re.search("<[a-zA-Z!/]", page) else [page]), page
+    assert read > 10000
+
+
+def test_stray_quotes_lose_no_text():
+    assert P.read_html("<p title=don't>Hello world</p><p>It's fine</p><p>tail</p>") == "\nHello world\n\nIt's fine\n\ntail\n"
+    assert P.read_html('<p class="x"">Hello</p>') == "\nHello\n"
+    assert P.read_html("a<![odd[b]]>c") == "ac" and P.read_html("&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;x") == "\ufffdAx"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<", "<a ", '<script x="', "<script ", '<p "', "<p '\"", '<a x="><b "y="><b ', "<a x='>\"<b", "<!--", "<!-- -", "<![CDATA[", "<![if", "</", "</a", "<?", "<!", "<a/x=<a", "<a\x00", "<a x==", "<a x= \"", "&", "&#", "--", "<a<", "<a<\x00", '<a ="', "a='<b \"<c =", "</ ", "<script>", "<style></ "],
+)
+@pytest.mark.parametrize("end", ["", ">", '"', "'>", '">', "\x00"])
+def test_odd_markup_takes_linear_time(piece, end):
+    page = "<body>" + piece * (1_000_000 // len(piece)) + end
+    began = time.process_time()
+    P.read_html(page)
+    P.chunks_of(page)
+    assert time.process_time() - began < 5, (piece, end)
+
+
 def test_lines_and_places_of_odd_texts(spark):
     texts = ["", "\n", "a", "\n\nx\n", "é\nü\n", "a\nb"]
     rows = segment.lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")).collect()
