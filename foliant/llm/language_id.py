@@ -12,7 +12,8 @@ For each text and language l the evidence adds up as log probabilities:
   towards P(l); all three are grouped aggregations over all rows of the language that text and
   declaration give. The row's own share of a host is small by the smoothing mass.
 
-Texts are read by two scans (aggregation, decision) and never shuffled.
+Texts are read by two scans (aggregation, decision). They are shuffled only where they are among the
+columns to keep and the hosts are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
+from foliant.functions.python import html_to_text
 from foliant.llm import words as W
 from foliant.llm.storage import cut, small, table
 
@@ -128,8 +130,9 @@ def identify(
     mass: float = 20.0,
     certainty: float = 0.5,
     max_labelled: int = MAX_LABELLED,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """docs with ``language``, ``confidence`` and ``kept`` in place of any columns of these names.
+    """docs (of which the columns ``keep``, if given) with ``language``, ``confidence`` and ``kept`` in place of any columns of these names.
 
     declared and host name the columns with the markup's language and with the address's host
     (None: no such evidence). kept is false where the text has no letters, where the background
@@ -139,7 +142,7 @@ def identify(
     name. Where no row declares a language nothing is known and all rows are ``und``. An empty
     table gives an empty one.
     """
-    held = [c for c in docs.columns if c not in ("language", "confidence", "kept")]
+    held = [c for c in (docs.columns if keep is None else keep) if c not in ("language", "confidence", "kept")]
     # the caller's columns travel in a struct, so that no name of theirs can clash
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in held)).alias("_row"),
@@ -211,21 +214,24 @@ def identify(
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, text, declared, host: pages without markup, their ``<html lang>`` and the host of their address.
 
-    Null html and url count as empty. The contents of head, script and style are left out.
+    Null html and url count as empty. The contents of title, script and style are left out; tags
+    are read as a browser reads odd ones, in linear time. The declared language is that of the
+    page's first html tag.
     """
     html = F.coalesce("html", F.lit(""))
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    begins = F.locate("<html", F.lower(html))
+    tag = F.substring_index(F.substr(html, begins), ">", 1)
     return pages.select(
         "page_id",
-        F.regexp_replace(body, r"&[a-zA-Z0-9#]+;", " ").alias("text"),
-        F.nullif(F.regexp_extract(html, r"""(?i)<html[^>]*?\blang\s*=\s*["']?([a-zA-Z]+)""", 1), F.lit("")).alias("declared"),
+        html_to_text(html).alias("text"),
+        F.when(begins > 0, F.nullif(F.regexp_extract(tag, r"""(?i)\blang\s*+=\s*+["']?([a-zA-Z]+)""", 1), F.lit(""))).alias("declared"),
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*?://([^/?#:]*)", 1).alias("host"),
     )
 
 
 def pages_language(pages: DataFrame) -> DataFrame:
     """page_id, language, confidence, kept: pages by text, ``<html lang>``, address suffix and host (see ``identify``)."""
-    return identify(page_texts(pages), declared="declared", host="host").select("page_id", "language", "confidence", "kept")
+    return identify(page_texts(pages), declared="declared", host="host", keep=["page_id"])
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -716,6 +716,14 @@ def test_language_keeps_clashing_columns(spark, spoken):
     assert {(x[4], x[5], x[6], x[7]) for x in got.collect()} == {(1, 2, 3, 4)}
 
 
+@pytest.mark.parametrize("piece", ["<", "<script ", "<html ", '<script x="', "<html lang = "])
+def test_odd_pages_are_read_in_linear_time(spark, piece):
+    page = f"<p>caf&eacute;</p>{piece * (400_000 // len(piece))}"
+    began = time.time()
+    row = language_id.page_texts(spark.createDataFrame([(1, "http://a.de/x", page), (2, None, "<html\nLANG='de-AT'><p>x")], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert "café" in row[0].text and row[0].host == "a.de" and row[1].declared == "de" and time.time() - began < 20
+
+
 def test_language_of_nothing(spark, spoken):
     assert language_id.pages_language(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     odd = spark.createDataFrame([(1, None, None), (None, "x", ""), (2, "http://h.de/", "<html lang=de><head><p>x</head><p>ein wort und noch ein wort</p>"), (2, "http://h.de/", "<html lang=de><p>ein wort und noch ein wort</p>")], "page_id long, url string, html string")
