@@ -12,7 +12,7 @@ For each text and language l the evidence adds up as log probabilities:
   towards P(l); all three are grouped aggregations over all rows of the language that text and
   declaration give. The row's own share of a host is small by the smoothing mass.
 
-Texts are read by two scans (aggregation, decision). They are shuffled only where they are among the
+Texts are read by scans and written nowhere. They are shuffled only where they are among the
 columns to keep and the hosts are too many to broadcast.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from foliant.functions.python import html_to_text
+from foliant.functions.python import read_html
 from foliant.llm import words as W
 from foliant.llm.storage import cut, small, table
 
@@ -156,8 +156,10 @@ def identify(
     if not names:
         return rows.select(*shown, F.lit(NONE).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     known = F.array(*map(F.lit, names))
-    narrow = rows.select("_text", "_declared", "_host")
-    scored = cut(narrow.mapInArrow(_score(model), "_declared string, _host string, _loglik array<double>, _grams long"), "language-scores")
+    # columns that were asked for go along with the scores; a whole row would make the table as large as the corpus
+    narrow = rows.select("_text", "_declared", "_host") if keep is None else rows
+    kind = lambda df: StructType([f for f in df.schema if f.name != "_text"]).add("_loglik", ArrayType(DoubleType())).add("_grams", LongType())
+    scored = cut(narrow.mapInArrow(_score(model), kind(narrow)), "language-scores")
 
     def best(values: Column) -> Column:
         """Name of the greatest value, ties to the smaller name (names are sorted)."""
@@ -195,8 +197,7 @@ def identify(
     priors = priors.select("_host", F.array(*(F.log(p) for p in smoothed([F.col(c) for c in n], suffix_prior))).alias("_prior"))
     general = F.array(*(F.lit(float(np.log(p))) for p in overall))
 
-    kind = StructType([f for f in rows.schema if f.name != "_text"]).add("_loglik", ArrayType(DoubleType())).add("_grams", LongType())
-    decided = rows.mapInArrow(_score(model), kind)
+    decided = rows.mapInArrow(_score(model), kind(rows)) if keep is None else scored
     joined = decided.join(rows_of, "_declared", "left").join(small(cut(priors, "host-priors")), "_host", "left")
     posterior = F.zip_with(F.zip_with(F.slice("_loglik", 1, len(names)), declared_log, lambda a, b: a + b), F.coalesce("_prior", general), lambda a, b: a + b)
     joined = joined.withColumn("_post", posterior).withColumn("_top", F.array_max("_post"))
@@ -211,6 +212,12 @@ def identify(
     )
 
 
+def _read(batches):
+    for batch in batches:
+        texts = pa.array(map(read_html, batch.column(1).to_pylist()), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], batch.schema.names)
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, text, declared, host: pages without markup, their ``<html lang>`` and the host of their address.
 
@@ -221,12 +228,13 @@ def page_texts(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     begins = F.locate("<html", F.lower(html))
     tag = F.substring_index(F.substr(html, begins), ">", 1)
-    return pages.select(
+    rows = pages.select(
         "page_id",
-        html_to_text(html).alias("text"),
+        html.alias("text"),
         F.when(begins > 0, F.nullif(F.regexp_extract(tag, r"""(?i)\blang\s*+=\s*+["']?([a-zA-Z]+)""", 1), F.lit(""))).alias("declared"),
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*?://([^/?#:]*)", 1).alias("host"),
     )
+    return rows.mapInArrow(_read, rows.schema)
 
 
 def pages_language(pages: DataFrame) -> DataFrame:
