@@ -18,8 +18,8 @@ from foliant.operators import anchors, checks, furniture, judge, measure, segmen
 from foliant.oracle import chain
 from foliant.plans import segmentation
 from foliant.plans.filings import filings
-from foliant.sources import submissions
-from foliant.sources.staging import stage
+from foliant.sources import large, submissions
+from foliant.sources.staging import scratch, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +96,18 @@ def sgml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "block_no", "b.type", F.length("b.body").alias("body_chars"), "b.start")
 
 
+@query(chain(r"""SELECT doc_id % 16 AS submission, before + instr(raw_text, blk) - 1 AS start, regexp_extract(blk, '(?m)^<TYPE>(\S+)', 1) AS type,
+  md5(regexp_extract(blk, '(?s)<TEXT>(.*?)</TEXT>', 1)) AS body_md5 FROM (SELECT doc_id, raw_text, before, unnest(regexp_extract_all(raw_text, '(?s)<DOCUMENT>.*?</DOCUMENT>')) AS blk
+  FROM (SELECT *, coalesce(sum(length(raw_text) + 1) OVER (PARTITION BY doc_id % 16 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM raw))"""))
+def large_submission_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filings as 16 long submissions, a file each, whose blocks are read by byte ranges."""
+    folder = scratch(spark, "submissions")
+    rows = filings(spark, sf_dir).select((F.col("doc_id") % 16).alias("submission"), "doc_id", "raw_text")
+    rows.repartition(16, "submission").sortWithinPartitions("submission", "doc_id").drop("doc_id").write.partitionBy("submission").text(folder)
+    blocks = large.read_blocks(spark, folder)
+    return blocks.select(F.regexp_extract("doc_id", r"submission=(\d+)", 1).cast("long").alias("submission"), "start", "type", F.md5("body").alias("body_md5"))
+
+
 @query(chain("SELECT doc_id, item, ord FROM expected"))
 def expected_items_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.expected_items(_docs(spark, sf_dir).select("doc_id", "period_end")).select("doc_id", "item", "ord")
