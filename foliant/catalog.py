@@ -392,6 +392,24 @@ def anchor_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.find_anchors(items, anchors.core_text(index)).select("doc_id", "hits", "anchor")
 
 
+@query(
+    chain(
+        r"""SELECT doc_id, item, len(spots)::INTEGER AS hits, (CASE WHEN len(spots) = 1 THEN spots[1] WHEN len(spots) > 1 AND target <> '' AND list_max(score) >= least(15, length(target)) THEN spots[list_position(score, list_max(score))] END)::INTEGER AS anchor
+FROM (SELECT *, [coalesce(list_max([k FOR k IN range(1, least(400, length(target)) + 1) IF substr(c, p + n + 1, k) = substr(target, 1, k)]), 0) FOR p IN spots] AS score
+  FROM (SELECT *, [(list_sum([length(x) FOR x IN parts[1:k]]) + (k - 1) * n)::BIGINT FOR k IN range(1, len(parts))] AS spots, substr(CASE WHEN starts_with(own, needle) THEN substr(own, n + 1) ELSE own END, 1, 400) AS target
+    FROM (SELECT s.doc_id, s.item, lower(regexp_replace(s.heading_text, '\s+', '', 'g')) AS needle, length(needle) AS n, t.c, string_split(t.c, needle) AS parts,
+      lower(regexp_replace(substr(t.text, s.start + 1, s."end" - s.start), '\s+', '', 'g')) AS own
+      FROM scored s JOIN (SELECT doc_id, text, lower(regexp_replace(text, '\s+', '', 'g')) AS c FROM whole) t ON s.doc_id = t.doc_id WHERE s.start IS NOT NULL)))"""
+    )
+)
+def item_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of the filings, found again by heading and body in the filing's core text."""
+    s = _segmented(spark, sf_dir)
+    docs = _whole(s.docs)
+    items = segment.bodies(s.items.where("start is not null"), docs).select("doc_id", "item", "heading_text", F.col("body").alias("item_text"))
+    return anchors.find_anchors(items, docs.select("doc_id", T.core(F.col("text")).alias("core_text")))
+
+
 def _repeated_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index = stage(anchors.core_index(_line_chunks(spark, sf_dir)), "core-index")
     lines = index.groupBy("doc_id", "core").agg(F.count(F.lit(1)).alias("n"), F.max("core_end").alias("after"))

@@ -202,9 +202,12 @@ tool_ AS (SELECT doc_id, item, status, CASE WHEN mine <> other THEN 'presence' W
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _segmented(spark, sf_dir)
     docs = _whole(s.docs)
-    place = measure.locate_by_runway(s.notable, docs).where("runway > 40").join(docs.select("doc_id", "text"), "doc_id")
-    body = F.substring(F.col("text"), F.col("located").cast("int") + 1, F.col("runway").cast("int"))
-    found = place.select("doc_id", F.lower("item").alias("item"), F.lit(0.9).alias("confidence"), body.alias("text"))
+    # a document's places are one row, which meets its text once
+    place = measure.locate_by_runway(s.notable, docs).where("runway > 40")
+    nested = place.groupBy("doc_id").agg(F.collect_list(F.struct("item", "located", "runway")).alias("places"))
+    cut = lambda p: F.struct(F.lower(p["item"]).alias("item"), F.substring(F.col("text"), p["located"].cast("int") + 1, p["runway"].cast("int")).alias("text"))
+    met = docs.select("doc_id", "text").join(nested, "doc_id").select("doc_id", F.explode(F.transform("places", cut)).alias("x"))
+    found = met.select("doc_id", "x.item", F.lit(0.9).alias("confidence"), "x.text")
     # a second, less sure section of every code loses
     theirs = measure.best_sections(found.union(found.withColumn("confidence", F.lit(0.2)).withColumn("text", F.lit("?"))))
     ours = segment.bodies(s.items.where("start is not null"), docs).select("doc_id", "item", F.col("body").alias("text"))
@@ -216,7 +219,24 @@ def tool_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).drop("text", "their_text")
 
 
-@query(_with(_TOOLS, "SELECT * FROM tool_ WHERE class = 'presence' OR (class = 'content' AND length_ratio < 0.9)"))
+@query(
+    """WITH RECURSIVE s AS (SELECT p.p_partkey AS id, p.p_name AS a, q.p_name AS b FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1),
+w AS (SELECT id, a, b FROM s UNION ALL SELECT id, side.a, side.b FROM (
+  SELECT id, unnest([{'a': substr(a, 1, m.i), 'b': substr(b, 1, m.j)}, {'a': substr(a, m.i - m.n + 1), 'b': substr(b, m.j - m.n + 1)}]) AS side FROM (
+    SELECT id, a, b, list_min(flatten([[{'n': -list_max([k FOR k IN range(1, least(length(a) - i, length(b) - j) + 1) IF substr(a, i + 1, k) = substr(b, j + 1, k)]), 'i': i, 'j': j}
+      FOR j IN range(length(b)) IF substr(a, i + 1, 1) = substr(b, j + 1, 1)] FOR i IN range(length(a))])) AS m FROM w) WHERE m IS NOT NULL)),
+z AS (SELECT id, sum(coalesce(list_max(flatten([[list_max([k FOR k IN range(1, least(length(a) - i, length(b) - j) + 1) IF substr(a, i + 1, k) = substr(b, j + 1, k)])
+  FOR j IN range(length(b)) IF substr(a, i + 1, 1) = substr(b, j + 1, 1)] FOR i IN range(length(a))])), 0)) AS m FROM w GROUP BY id)
+SELECT s.id AS doc_id, round_even(2 * m / (length(a) + length(b)), 4) AS similarity FROM s JOIN z ON s.id = z.id"""
+)
+def content_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of parts that follow each other, as two tools' texts of one item."""
+    named = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("name").alias("item"), F.lit("extracted").alias("status"), F.col("p_name").alias("text"))
+    compared = measure.compare_tools(named, named.withColumn("doc_id", F.col("doc_id") - 1))
+    return measure.content_similarity(compared).select("doc_id", "similarity")
+
+
+@query(_with(_TOOLS, "SELECT *, row_number() OVER (PARTITION BY doc_id, class ORDER BY length_ratio NULLS FIRST, item) AS rank FROM tool_ WHERE class = 'presence' OR (class = 'content' AND length_ratio < 0.9)"))
 def ranked_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.ranked_disagreements(_compared(spark, sf_dir), "length_ratio", 0.9).drop("text", "their_text")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.functions.python import places_of, solid_at
+from foliant.functions.python import anchors_in, solid_at
 
 AGREEMENT_CHARS, AGREEMENT_MIN = 400, 15
 
@@ -36,31 +36,18 @@ def find_anchors(items: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, item, hits, anchor): items (doc_id, item, heading_text, item_text) in texts (doc_id, core_text).
 
     A single occurrence is taken; of several the one whose following text agrees longest with the
-    item's own, if it agrees well enough; ties to the first.
+    item's own, if it agrees well enough; ties to the first. A document's items are nested into one
+    row, with no more of their texts than is compared, and meet its text there: one scan finds the
+    places of all headings.
     """
-    rows = items.select("doc_id", "item", T.core(F.col("heading_text")).alias("needle"), T.core(F.col("item_text")).alias("own")).join(texts, "doc_id")
+    rows = items.select("doc_id", "item", T.core(F.col("heading_text")).alias("needle"), T.core(F.col("item_text")).alias("own"))
     n = F.length("needle")
-    target = F.when(F.startswith("own", "needle"), F.substring(F.col("own"), n + 1, F.length("own"))).otherwise(F.col("own"))
-    rows = rows.withColumn("target", target).withColumn("places", places_of("core_text", "needle")).withColumn("hits", F.size("places"))
-
-    def agreement(place):
-        following = F.substring(F.col("core_text"), place + n + 1, F.lit(AGREEMENT_CHARS))
-        most = F.least(F.length(following), F.length("target"))
-        # longest common prefix by bisection: 9 comparisons for up to 400 characters
-        zero = F.struct(F.lit(0).alias("lo"), most.alias("hi"))
-
-        def halve(s, _):
-            mid = F.ceil((s["lo"] + s["hi"]) / 2).cast("int")
-            same = F.substring(following, F.lit(1), mid) == F.substring(F.col("target"), F.lit(1), mid)
-            return F.when(s["lo"] >= s["hi"], s).when(same, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi")))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(10)), zero, halve, lambda s: s["lo"])
-
-    scored = F.transform("places", lambda p: F.struct(agreement(p).alias("score"), (-p).alias("at")))
-    best = F.array_max(scored)
-    enough = best["score"] >= F.least(F.lit(AGREEMENT_MIN), F.length("target"))
-    anchor = F.when(F.col("hits") == 1, F.get("places", F.lit(0))).when((F.col("hits") > 1) & (F.length("target") > 0) & enough, -best["at"])
-    return rows.select("doc_id", "item", "hits", anchor.alias("anchor"))
+    after = F.when(F.startswith("own", "needle"), F.substring(F.col("own"), n + 1, F.lit(AGREEMENT_CHARS))).otherwise(F.substring("own", 1, AGREEMENT_CHARS))
+    rows = rows.select("doc_id", F.struct("item", "needle", after.alias("target")).alias("i"))
+    nested = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    found = anchors_in(AGREEMENT_CHARS, AGREEMENT_MIN)(F.col("core_text"), F.col("items.needle"), F.col("items.target"))
+    met = texts.join(nested, "doc_id").select("doc_id", F.explode(F.arrays_zip(F.col("items.item").alias("item"), found.alias("at"))).alias("x"))
+    return met.select("doc_id", "x.item", "x.at.hits", "x.at.anchor")
 
 
 def nearest_fraction(places: Column, size: Column, fraction: Column) -> Column:

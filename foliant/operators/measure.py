@@ -203,15 +203,21 @@ def compare_tools(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def content_similarity(compared: DataFrame) -> DataFrame:
-    """compared with similarity of the items that both tools have, by matching blocks (quadratic at worst, in tasks)."""
+    """compared with similarity of the items that both tools have, by matching blocks (see ``functions.similarity``)."""
     both = F.col("class") == "content"
     return compared.where(both).withColumn("similarity", F.bround(text_ratio(T.same_words(F.col("text")), T.same_words(F.col("their_text"))), 4))
 
 
 def ranked_disagreements(compared: DataFrame, by: str, below: float) -> DataFrame:
-    """Presence first, then content below the cut from the least alike on: rank within each class and document order."""
+    """Presence, and content below the cut, with a rank within each document and class: the least alike first, ties by item.
+
+    Presence with rank is a document's disagreements in the order of their codes. Ordering the
+    corpus by (class descending, ``by``, doc_id, item) gives one list; it is left to the reader of
+    the table, so that no job sorts what is only filtered.
+    """
     rows = compared.where((F.col("class") == "presence") | ((F.col("class") == "content") & (F.col(by) < below)))
-    return rows.orderBy(F.col("class").desc(), F.col(by).asc_nulls_first(), "doc_id", "item")
+    order = Window.partitionBy("doc_id", "class").orderBy(F.col(by).asc_nulls_first(), "item")
+    return rows.withColumn("rank", F.row_number().over(order))
 
 
 def compare_presence(ours: DataFrame, theirs: DataFrame) -> DataFrame:
