@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.catalog import _GAP, _check, _docs, _envelopes, _segmented, _table, _whole, query
 from foliant.functions import text as T
-from foliant.operators import checks, furniture, measure, segment, view
+from foliant.operators import checks, diff, furniture, measure, segment, view
 from foliant.oracle import chain
 from foliant.plans import segmentation
 from foliant.plans.filings import filings
@@ -241,6 +241,42 @@ def ranked_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.ranked_disagreements(_compared(spark, sf_dir), "length_ratio", 0.9).drop("text", "their_text")
 
 
+# ---- differences of two runs, and figures quoted in texts
+
+_CHANGED = """WITH l AS (SELECT doc_id, item, status, confidence, start, "end" FROM scored),
+r AS (SELECT doc_id, item, status, CASE WHEN status = 'extracted' AND doc_id % 5 = 0 THEN least(confidence, 0.75) ELSE confidence END AS confidence, start, "end" FROM l WHERE NOT (item = '9B' AND doc_id % 3 = 0)),
+f AS (SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, l.item, r.doc_id IS NOT NULL AS kept, unnest([{'f': 'item', 'a': l.item, 'b': r.item}, {'f': 'status', 'a': l.status, 'b': r.status},
+  {'f': 'confidence', 'a': l.confidence::VARCHAR, 'b': r.confidence::VARCHAR}, {'f': 'start', 'a': l.start::VARCHAR, 'b': r.start::VARCHAR}, {'f': 'end', 'a': l."end"::VARCHAR, 'b': r."end"::VARCHAR}]) AS x
+  FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.item = r.item),
+n AS (SELECT l.doc_id, l.n AS a, coalesce(r.n, 0) AS b FROM (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id) r ON l.doc_id = r.doc_id)
+SELECT doc_id, 'items[item=' || item || '].' || x.f AS path, x.a AS "left", x.b AS "right", CASE WHEN kept THEN 'both' ELSE 'left' END AS side FROM f WHERE NOT kept OR x.a IS DISTINCT FROM x.b
+UNION ALL SELECT doc_id, 'n', a::VARCHAR, b::VARCHAR, 'both' FROM n WHERE a <> b"""
+
+
+@query(_with(_CHANGED[5:].rsplit("\nSELECT", 1)[0], "SELECT" + _CHANGED.rsplit("\nSELECT", 1)[1]))
+def run_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of all filings against those of a run that is less sure of some and lacks others, as nested rows."""
+    items = _segmented(spark, sf_dir).scored.select("doc_id", "item", "status", "confidence", "start", "end")
+    less = F.when((F.col("status") == "extracted") & (F.col("doc_id") % 5 == 0), F.least("confidence", F.lit(0.75))).otherwise(F.col("confidence"))
+    other = items.where("not (item = '9B' and doc_id % 3 = 0)").withColumn("confidence", less)
+    nested = lambda df: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item", "status", "confidence", "start", "end"))).alias("items"), F.count(F.lit(1)).alias("n"))
+    return diff.differences(nested(items), nested(other), "doc_id", {"items": "item"})
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_type AS file, p_retailprice AS v, p_size AS z, coalesce(lead(p_partkey) OVER (ORDER BY p_partkey), p_partkey) AS k2 FROM part),
+f AS (SELECT file, k AS line_no, unnest([{'seq': 1, 'k': k, 'figure': printf('%.2f', v)}, {'seq': 2, 'k': k2, 'figure': floor(v)::BIGINT || '.5'}, {'seq': 3, 'k': k2, 'figure': z || '.0'}, {'seq': 4, 'k': k2, 'figure': (z + 1) || '.25'}]) AS x FROM p),
+g AS (SELECT file, line_no, x.seq AS seq, x.k AS k, x.figure AS figure, power(10.0, -length(split_part(x.figure, '.', 2))) / 2 * (1 + 1e-9) AS half FROM f)
+SELECT g.file, line_no, seq, 'part-' || g.k AS name, figure, abs(p.v - figure::DOUBLE) <= half OR abs(p.z - figure::DOUBLE) <= half AS stated FROM g JOIN p ON g.k = p.k""")
+def quoted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines about parts that quote prices and sizes, right and wrong ones, against the parts."""
+    part = _table(spark, sf_dir, "part")
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    parts = [F.lit("| `part-"), F.col("p_partkey"), F.lit("` costs "), F.format_string("%.2f", price), F.lit(" and `part-"), F.col("p_partkey") + 1, F.lit("` "), F.floor(price), F.lit(".5, up 3.5% from $9.99, 1.5x `note` "), size, F.lit(".0, then "), size + 1, F.lit(".25 |")]
+    lines = part.select(F.col("p_type").alias("file"), F.col("p_partkey").alias("line_no"), F.concat(*(x.cast("string") for x in parts)).alias("raw"))
+    records = part.select(F.concat(F.lit("part-"), "p_partkey").alias("name"), F.array(price, size.cast("double")).alias("values"))
+    return diff.quoted_figures(lines, records, reach=500)
+
+
 # ---- runs and metrics: labelled documents as results of cases
 
 _CASES = """cs AS (SELECT d.doc_id, CASE WHEN lang = 'de' THEN 'invariant' ELSE lang END AS suite, quality = 1 AS passed, CASE WHEN d.doc_id % 7 = 0 THEN 'ambiguous' ELSE 'success' END AS doc_status,

@@ -136,4 +136,4 @@ def test_two_tools(spark):
     a, b = ("We sell tools here. " * 9).strip(), ("We sold tools here. " * 9).strip()
     assert [r.similarity for r in alike.collect()] == [round(difflib.SequenceMatcher(None, a, b).ratio(), 4)]
     full = rows.join(alike.select("doc_id", "item", "similarity"), ["doc_id", "item"], "left")
-    assert [r.item for r in measure.ranked_disagreements(full, "similarity", 1.0).orderBy(F.col("class").desc(), "rank").collect()] == ["2", "3", "1"]
+    assert [r.item for r in measure.ranked_disagreements(full, "similarity", 1.0).orderBy("doc_id", measure.F.col("class").desc(), "rank").collect()] == ["2", "3", "1"]

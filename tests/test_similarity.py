@@ -56,3 +56,47 @@ def test_places_by_automaton(text, needles):
             scores = [next((k for k, (x, y) in enumerate(zip(text[p + len(n) : p + len(n) + 6], target)) if x != y), min(len(target), len(text[p + len(n) : p + len(n) + 6]))) for p in places]
             got, score = P.agreeing_place(text, places, len(n), target, 6)
             assert (got, score) == ((places[scores.index(max(scores))], max(scores)) if places else (None, -1))
+
+
+def test_differences_of_nested_rows(spark):
+    from foliant.operators import diff
+
+    kind = "k int, a struct<x:int,y:string>, items array<struct<item:string,v:double>>, tags array<string>, m map<string,int>, only int"
+    left = [(1, (1, "p"), [("1", 0.5), ("7", 0.9), ("7", 0.8)], ["a", "b"], {"q": 1}, 1), (2, (1, None), [], None, None, 2), (3, None, None, [], {}, 3), (5, (0, "s"), [("x", None)], ["t"], {}, 9)]
+    right = [(1, (2, "p"), [("7", 0.9), ("1", 0.6), ("7", 0.7), ("9", None)], ["a"], {"q": 2, "r": 0}), (2, (1, None), [], None, None), (3, (None, None), [("1", 1.0)], [], None), (4, None, [], [], {})]
+    got = diff.differences(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind.rsplit(",", 1)[0]), "k", {"items": "item"})
+    assert sorted(tuple(r) for r in got.where("k in (1, 4, 5)").collect()) == sorted(
+        [
+            (1, "a.x", "1", "2", "both"), (1, "items[item=1].v", "0.5", "0.6", "both"), (1, "items[item=7#2].v", "0.8", "0.7", "both"), (1, "items[item=9].item", None, "9", "right"),
+            (1, "items[item=9].v", None, None, "right"), (1, "tags[1]", "b", None, "left"), (1, "m{q}", '{"v":1}', '{"v":2}', "both"), (1, "m{r}", None, '{"v":0}', "right"),
+            (4, "", None, None, "right"), (5, "", None, None, "left"),
+        ]
+    )
+    assert {r.path for r in got.where("k = 3").collect()} == {"a", "a.x", "a.y", "items", "items[item=1].item", "items[item=1].v", "m"} and got.where("k = 2").count() == 0
+    assert diff.differences(got.limit(0), got.limit(0), "k").count() == 0
+
+
+def test_quoted_figures(spark):
+    import re
+
+    from foliant.operators import diff
+
+    r = random.Random(2)
+    names = {"jpm": [1.25, 40.0], "jpm-2024": [0.5781, 21.2], "xom": [2.675]}
+    lines = []
+    for i in range(300):
+        lines.append((f"f{i % 3}", i, "".join(r.choices(["`jpm`", "`jpm-2024`", "`xom`", "`other`", " 1.25", " 1.3", " 0.58 s", " 0.578", "$2.68", " 2.67", " 2.68", "40.0%", " 21.2x ", " 21.2×", " v1.25.3 ", "x" * 30, " about "], k=r.randint(1, 9)))))
+    lines.append(("f0", 999, None))
+    want = []
+    for file, no, raw in lines:
+        hits = list(re.finditer("`(jpm-2024|jpm|xom)`", raw or ""))
+        for i, m in enumerate(hits):
+            stop = min(m.end() + 60, hits[i + 1].start() if i + 1 < len(hits) else len(raw))
+            for f in re.finditer(r"(?<![\w.])(\d+\.\d+)(?!\d)", raw):
+                if not (m.end() <= f.start() and f.end() <= stop) or raw[f.start() - 1] == "$" or re.match("%|×|x ", raw[f.end() :]):
+                    continue
+                places = len(f[1].split(".")[1])
+                want.append((file, no, m[1], f[1], any(abs(v - float(f[1])) <= 0.5 * 10**-places * (1 + 1e-9) for v in names[m[1]])))
+    records = spark.createDataFrame([(n, [v]) for n, vs in names.items() for v in vs], "name string, values array<double>")
+    got = diff.quoted_figures(spark.createDataFrame(lines, "file string, line_no int, raw string"), records)
+    assert sorted((x.file, x.line_no, x.name, x.figure, x.stated) for x in got.collect()) == sorted(want)
