@@ -13,7 +13,7 @@ from foliant.operators import checks, diff, furniture, measure, segment, view
 from foliant.oracle import chain
 from foliant.plans import segmentation
 from foliant.plans.filings import filings
-from foliant.sources import submissions
+from foliant.sources import baseline, packing, submissions
 from foliant.sources.staging import stage
 
 _LEGACY = ("1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13", "14")
@@ -277,6 +277,37 @@ def quoted_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.quoted_figures(lines, records, reach=500)
 
 
+# ---- runs in time: events as runs of suites, every tenth user's runs as those that became the baseline
+
+
+@query("""WITH h AS (SELECT event_id, ts, event_type AS suite, value AS score, user_id % 10 = 0 AS up FROM events),
+b AS (SELECT *, last_value(CASE WHEN up THEN score END IGNORE NULLS) OVER (PARTITION BY suite ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM h)
+SELECT event_id AS run_id, suite, baseline, CASE WHEN up THEN 'recorded' WHEN score < baseline THEN 'regression' ELSE 'accepted' END AS verdict FROM b""")
+def baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), "ts", F.col("event_type").alias("suite"), F.col("value").alias("score"), (F.col("user_id") % 10 == 0).alias("update"))
+    return baseline.gate(runs).select("run_id", "suite", "baseline", "verdict")
+
+
+#: Tasks that the documents, as files, are dealt to.
+_TASKS = 16
+
+
+@query(f"""WITH f AS (SELECT 'doc-' || doc_id AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS length FROM documents),
+l AS (SELECT list({{'p': path, 'n': length}} ORDER BY length DESC, path) FILTER (length * {_TASKS} * 8 > total) AS big, any_value(total) AS total FROM (SELECT *, (sum(length) OVER ())::BIGINT AS total FROM f)),
+g AS (SELECT big, total, list_reduce(coalesce(big, []), lambda s, x: {{'loads': list_transform(s.loads, lambda y, i: CASE WHEN i = list_position(s.loads, list_min(s.loads)) THEN y + x.n ELSE y END),
+  'placed': s.placed || [(list_position(s.loads, list_min(s.loads)) - 1)::BIGINT]}}, {{'loads': [0::BIGINT FOR i IN range({_TASKS})], 'placed': []::BIGINT[]}}) AS s FROM l),
+v AS (SELECT *, list_min([(total - list_sum(s.loads) + list_sum(list_sort(s.loads)[1:m])) / m FOR m IN range(1, {_TASKS + 1})]) AS top FROM g),
+e AS (SELECT *, [greatest(0.0, top - x) FOR x IN s.loads] AS room FROM v),
+b AS (SELECT *, [list_sum(room[1:m]) FOR m IN range(1, {_TASKS})] AS ends FROM e),
+r AS (SELECT path, length, coalesce(sum(length) OVER (ORDER BY md5(path) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length / 2 AS place FROM f, b WHERE NOT length * {_TASKS} * 8 > total)
+SELECT path, length, len([x FOR x IN ends IF x <= place])::BIGINT AS task FROM r, b
+UNION ALL SELECT x.p, x.n, x.t FROM (SELECT unnest([{{'p': big[i].p, 'n': big[i].n, 't': s.placed[i]}} FOR i IN range(1, len(big) + 1)]) AS x FROM b)""")
+def scan_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a listing of files, dealt to the tasks of a scan."""
+    listing = _table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.octet_length(F.coalesce("text", F.lit(""))).alias("length"))
+    return packing.pack(listing, _TASKS).select("path", "length", F.col("task").cast("long").alias("task"))
+
+
 # ---- runs and metrics: labelled documents as results of cases
 
 _CASES = """cs AS (SELECT d.doc_id, CASE WHEN lang = 'de' THEN 'invariant' ELSE lang END AS suite, quality = 1 AS passed, CASE WHEN d.doc_id % 7 = 0 THEN 'ambiguous' ELSE 'success' END AS doc_status,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.python import text_ratio
+from foliant.sources.staging import small, stage
 
 CONFIDENT = 0.8
 SUCCESS = ("success", "success_with_warning")
@@ -247,11 +248,18 @@ def r_squared(y: str, x: str) -> Column:
 
 
 def plateau(df: DataFrame, key: str, order: str, value: str, within: float) -> DataFrame:
-    """Per key the first place from which all later values stay within a distance of the greatest."""
-    peak = F.max(value).over(Window.partitionBy(key))
-    after = Window.partitionBy(key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    rows = df.withColumn("off", peak - F.col(value)).withColumn("worst", F.max("off").over(after))
-    return rows.where(F.col("worst") <= within).groupBy(key).agg(F.min(order).alias("from"))
+    """Per key the first place from which all later values stay within a distance of the greatest.
+
+    That is the first place behind the last one whose value lies further off. Both are aggregates
+    and tasks combine them first, so a key may hold any number of rows. Rows of one place stand or
+    fall together; null values are within any distance. A key whose last value lies off has none.
+    """
+    same = lambda name: F.col(key).eqNullSafe(F.col(name))
+    peaks = df.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias("_peak"))
+    off = df.join(small(peaks), same("_key")).where(F.col("_peak") - F.col(value) > within)
+    last = stage(off.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last")), "last-off")
+    rows = df.join(small(last), same("_key"), "left").where(F.col("_last").isNull() | (F.col(order) > F.col("_last")))
+    return rows.groupBy(key).agg(F.min(order).alias("from"))
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:
