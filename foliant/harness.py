@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.catalog import _GAP, _check, _docs, _envelopes, _segmented, _table, _whole, query
@@ -99,6 +99,68 @@ def check_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.evaluate_checks(_declared(runs[0], _DECLARED + _RUNS), *runs).select("doc_id", "check_id", "passed")
 
 
+#: What is broken in the envelopes of documents by doc_id % 11, and the checks that are asked of them; all of the sound ones (0).
+_BREAKS = {
+    1: ("verbatim",), 2: ("no_overlap_ordered",), 3: ("known_items_only",), 4: ("no_empty_success", "envelope_shape"), 5: ("envelope_shape",), 6: ("boilerplate_spans_sane",),
+    7: ("boilerplate_stripped", "boilerplate_spans_sane"), 8: ("deterministic",), 9: ("offsets_invariant_under_exclusion",), 10: ("envelope_shape",),
+}
+_BREAKS[0] = tuple(sorted({c for group in _BREAKS.values() for c in group}))
+
+
+def _broken(envelopes: DataFrame, *kinds: int) -> DataFrame:
+    """Envelopes with what the kinds break."""
+    item = lambda x, **new: F.struct(*(new.get(f, x[f]).alias(f) for f in segmentation.ENVELOPE_ITEM))
+    each = lambda **f: F.transform("items", lambda x, i: item(x, **{k: g(x, i) for k, g in f.items()}))
+    moved = each(start=lambda x, i: x["start"] + 1, end=lambda x, i: x["end"] + 1)
+    items = {
+        1: moved, 2: F.reverse("items"), 3: each(item=lambda x, i: F.when(i == 0, F.lit("99")).otherwise(x["item"])), 4: F.filter("items", lambda x: F.lit(False)),
+        9: moved, 10: each(method=lambda x, i: F.lit("guess")),
+    }
+    run = lambda b, by: F.struct((b["start"] + by).alias("start"), (b["end"] + by).alias("end"), b["kind"].alias("kind"))
+    runs = {6: F.transform("boilerplate", lambda b: run(b, 3)), 7: F.concat("boilerplate", "boilerplate")}
+    which = lambda k: F.col("doc_id") % 11 == k
+
+    def chosen(column: str, broken: dict) -> Column:
+        out = F.col(column)
+        for k, new in broken.items():
+            out = F.when(which(k), new).otherwise(out) if k in kinds else out
+        return out
+
+    status = {4: F.lit("success"), 8: F.lit("ambiguous?")}
+    meta = {5: F.col("meta").withField("extractor_version", F.lit(None).cast("string"))}
+    return envelopes.withColumns({"items": chosen("items", items), "boilerplate": chosen("boilerplate", runs), "doc_status": chosen("doc_status", status), "meta": chosen("meta", meta)})
+
+
+_BROKEN_SQL = """facts_ AS (SELECT doc_id, doc_status, doc_id % 11 AS kind, coalesce(n_items, 0) AS n_items, coalesce(n_spans, 0) AS n_spans, coalesce(n_runs, 0) AS n_runs, coalesce(n_warnings, 0) AS n_warnings, coalesce(chars, 0) AS chars
+  FROM states LEFT JOIN (SELECT doc_id, count(*) AS n_items, count(start) AS n_spans, sum("end" - start) FILTER (status = 'extracted') AS chars FROM scored GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n_runs FROM chrome GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_warnings FROM warned GROUP BY doc_id) USING (doc_id))"""
+_BROKEN_CASE = {
+    "verbatim": "kind <> 1 OR n_spans = 0", "no_overlap_ordered": "kind <> 2 OR n_spans < 2", "known_items_only": "kind <> 3 OR n_items = 0",
+    "no_empty_success": "kind <> 4 AND (doc_status NOT IN ('success', 'success_with_warning') OR chars >= 1000)",
+    "envelope_shape": "CASE kind WHEN 4 THEN doc_status NOT IN ('unsupported', 'failed') AND n_warnings = 0 WHEN 5 THEN false WHEN 10 THEN n_items = 0 ELSE true END",
+    "boilerplate_spans_sane": "kind NOT IN (6, 7) OR n_runs = 0", "boilerplate_stripped": "kind <> 7 OR n_runs = 0", "deterministic": "kind <> 8", "offsets_invariant_under_exclusion": "kind <> 9 OR n_spans = 0",
+}
+
+
+@query(_with(_BROKEN_SQL, " UNION ALL ".join(f"SELECT doc_id, '{c}' AS check_id, ({_BROKEN_CASE[c]}) AS passed FROM facts_ WHERE kind IN ({', '.join(str(k) for k in sorted(_BREAKS) if c in _BREAKS[k])})" for c in _BREAKS[0])))
+def broken_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of a whole envelope on envelopes and second runs that are sound or broken in one way each."""
+    sound = _envelopes(spark, sf_dir, True)
+    once = (1, 2, 3, 4, 5, 6, 7, 10)
+    ours, again, excluded = _broken(sound, *once), _broken(sound, *once, 8), _broken(sound, *once, 9)
+    asked = F.create_map(*(x for k, names in _BREAKS.items() for x in (F.lit(k).cast("long"), F.array(*(_check(c, c) for c in names)))))
+    declared = sound.select("doc_id", F.explode(F.element_at(asked, F.col("doc_id") % 11)).alias("c")).select("doc_id", "c.*")
+    return checks.evaluate_checks(declared, ours, again, excluded).select("doc_id", "check_id", "passed")
+
+
+@query(_with(_BROKEN_SQL, "SELECT doc_id, 'doc_status' AS path, doc_status AS \"left\", 'ambiguous?' AS \"right\" FROM facts_ WHERE kind = 8"))
+def run_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two runs of all filings differ that the check of equal runs tells apart: the paths within their envelopes."""
+    sound = _envelopes(spark, sf_dir, True)
+    told = checks.explain_runs(sound, _broken(sound, 8))
+    return told.select("doc_id", "path", "left", "right")
+
+
 @query(_with(_judged_sql(_DECLARED), "SELECT doc_id, bool_and(coalesce(passed, false)) AS passed, count(*) AS n_checks, count(*) FILTER (NOT passed) AS n_failed, count(*) FILTER (passed IS NULL) AS n_errors FROM verdict_ GROUP BY doc_id"))
 def case_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _envelopes(spark, sf_dir, True)

@@ -70,6 +70,10 @@ def _item(code: str, title: str) -> str:
     furniture = f"CASE WHEN {_SHAPE} IN (10, 13) THEN {tag} || '{ORDER.index(code) + 1}' || {NL} ELSE '' END"
     again = f"CASE WHEN {_SHAPE} = 12 AND {_q(code)} IN ('2', '9') THEN {_q(f'Item 1. {TITLES['1'][1][0]}')} || {NL} || 'Repeated matter.' || {NL} ELSE '' END"
     body = f"CASE WHEN {_SHAPE} = 4 AND {_q(code)} <> '7' THEN 'None.' ELSE {_body(code)} END"
+    if code == "4":
+        # officers named before the last item: the rest up to the next heading is nobody's, a little or most of the filing
+        gap = f"{NL} || 'Executive Officers of the Registrant' || {NL} || repeat('Names, ages and offices follow in full. ' || {NL}, CASE WHEN doc_id % 4 = 1 THEN 60 ELSE 60 + CAST(floor(length(text) / 20) AS INTEGER) END)"
+        body = f"{body} || CASE WHEN {_SHAPE} = 0 AND doc_id % 2 = 1 THEN {gap} ELSE '' END"
     return f"CASE WHEN ({_due(code)}) AND NOT {absent} THEN {furniture} || {head} || {NL} || {body} || {NL} || {again} ELSE '' END"
 
 
