@@ -223,20 +223,35 @@ def _blocks(rows) -> Column:
     return F.ceil((F.col(rows) if isinstance(rows, str) else rows) / BLOCK).cast("int")
 
 
+def _repeated_ids(rows: DataFrame) -> bool:
+    return not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+
+
+def _by_row(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows (id, text) of which some repeat an id: each under a key of its own, then named by ids."""
+    keyed = cut(rows.where("id is not null").select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
+    one = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", "key")
+    named = cut(one.join(keyed.select("key", "id"), "key").select("id", "n_shingles", "component_id"), "named")
+    least = cut(named.groupBy("component_id").agg(F.min("id").alias("least")), "least-ids")
+    out = named.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    nameless = near_duplicates(rows.where("id is null").select(F.col("id").alias("doc_id"), "text"), words, percent)
+    return out.union(nameless)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """One row a distinct doc_id: doc_id, n_shingles, component_id, kept (see the module).
+    """One row a row of docs: doc_id, n_shingles, component_id, kept (see the module).
 
     docs has ``doc_id`` (long) and ``text``; other columns, whatever their names, are not read.
     Null text is empty text: n_shingles 0, linked with nothing. Rows with a null doc_id have no
-    identity to link by: each is kept, with a null component_id. Rows that repeat a doc_id count as one document with the first
-    text in text order. Equal similarity counts as linked (>=). An empty table gives an empty one.
+    identity to link by: each is kept, with a null component_id. Rows that repeat a doc_id are
+    documents of their own, each linked by its own text; kept then holds for each of them whose
+    component has no smaller doc_id. Equal similarity counts as linked (>=). An empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    if _repeated_ids(rows):
+        return _by_row(rows, words, percent)
     every = cut(rows.mapInArrow(_sign(words), "id long, n long, f1 long, f2 long, sig binary"), "signatures")
     texts, signed, nameless = rows.where("id is not null"), every.where("id is not null"), every.where("id is null")
-    if not signed.groupBy("id").count().where("count > 1").isEmpty():
-        texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")), "one-text")
-        signed = cut(texts.mapInArrow(_sign(words), "id long, n long, f1 long, f2 long, sig binary"), "signatures")
 
     classes = cut(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keyed = classes.select("rep", "sig").mapInArrow(_keys, "id long, key long")

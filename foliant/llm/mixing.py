@@ -178,11 +178,12 @@ def mixed_blocks(docs: DataFrame, block: int | None = None, seed: str = "mix") -
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source", "first_slot")
+    """What the mix takes of each document, and the slot of the schedule with which it begins to."""
+    return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 QUERIES = {"op4_source_mixing": op4_source_mixing}
-#: The schedule decides the order of the mix only; what a document gives follows from its place in the stream.
+#: The schedule decides when a document comes (first_slot), its place in the source's stream how much of it does.
 SQL = {
     "op4_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o,
@@ -195,11 +196,16 @@ t AS (SELECT *, row_number() OVER (ORDER BY (3 * s) / w, sid) AS turn,
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY (3 * s) / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM s),
 lv AS (SELECT arg_min(level, turn) AS level FROM t WHERE level * w <= 3 * s),
 g AS (SELECT source, sid, s, least((3 * s)::DOUBLE, coalesce((SELECT level FROM lv) * w, (3 * s)::DOUBLE)) AS target FROM t),
-r AS (SELECT doc_id, size, g.s AS source_size, target, round(target)::BIGINT AS upto,
+c AS (SELECT n, greatest(1, total // greatest(32768, n // 8)) AS block, ceil(total / greatest(1, total // greatest(32768, n // 8)))::BIGINT AS slots, total FROM (SELECT count(*) AS n, coalesce(sum(size), 0)::BIGINT AS total FROM d)),
+h AS (SELECT sid, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, hi FROM (SELECT sid, least(ceil(sum(target) OVER (ORDER BY sid) / greatest(total, 1) * 4294967296), 4294967296)::BIGINT AS hi FROM g, c)),
+u AS (SELECT i AS slot, (i::HUGEINT * 2654435769 % 4294967296)::BIGINT AS u FROM (SELECT unnest(range(slots)) AS i FROM c)),
+k AS (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank, count(*) OVER (PARTITION BY sid) AS drawn FROM u JOIN h ON u >= lo AND u < hi),
+r AS (SELECT doc_id, size, g.sid, g.s AS source_size, target, round(target)::BIGINT AS upto,
     coalesce(sum(size) OVER (PARTITION BY g.sid ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f
-    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(f + size, upto) - f) + greatest(0, least(source_size + f + size, upto) - source_size - f)
-   + greatest(0, least(2 * source_size + f + size, upto) - 2 * source_size - f))::BIGINT AS taken FROM r
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+t3 AS (SELECT *, (greatest(0, least(f + size, upto) - f) + greatest(0, least(source_size + f + size, upto) - source_size - f)
+   + greatest(0, least(2 * source_size + f + size, upto) - 2 * source_size - f))::BIGINT AS taken, f // block AS rank FROM r, c)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN coalesce(k.slot, slots + t3.rank - coalesce(x.drawn, 0)) END AS first_slot
+FROM t3 LEFT JOIN k ON k.sid = t3.sid AND k.rank = t3.rank LEFT JOIN (SELECT sid, max(drawn) AS drawn FROM k GROUP BY sid) x ON x.sid = t3.sid
 """,
 }

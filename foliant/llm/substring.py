@@ -159,15 +159,11 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFr
     """(texts, facts, factors): id, text; id, n, rep; id, factors of the documents that hold repeats.
 
     ``rep`` is the earlier document that one equals word for word (else null). factors are spans
-    in words with the place of the reference that they repeat; a whole copy has one.
+    in words with the place of the reference that they repeat; a whole copy has one. No id comes twice.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     scan_schema = "id long, n long, f1 long, f2 long"
     base = cut(texts.mapInArrow(_scan, scan_schema), "scan")
-    if not base.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        one = texts.where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
-        texts = cut(one.union(texts.where("id is null").select("id", "text")), "one-text")
-        base = cut(texts.mapInArrow(_scan, scan_schema), "scan")
     first = base.where(F.col("id").isNotNull() & (F.col("n") >= window)).groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # written first: a join with a table, not with an aggregation, lets Spark split a hot key
     first = cut(first.drop("copies"), "first-copies")
@@ -192,17 +188,36 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFr
     return texts, base.select("id", "n").join(copies.select("id", "rep"), "id", "left"), factors
 
 
+def _by_row(docs: DataFrame, window: int) -> DataFrame:
+    """``remove_repeats`` of rows of which some repeat a doc_id, under keys in the order of (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = rows.where("id is not null").orderBy("id", "text")
+    keyed = cut(named.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
+    ids = keyed.select("key", "id")
+    one = cut(remove_repeats(keyed.select(F.col("key").alias("doc_id"), "text"), window), "by-key")
+    # the keys of what is repeated become doc_ids
+    refs = one.select("doc_id", F.posexplode("factors").alias("at", "f")).join(ids.withColumnRenamed("key", "_ref"), F.col("f.ref_id") == F.col("_ref"))
+    factor = F.struct("at", F.struct(F.col("f.start"), F.col("f.words"), F.col("id").alias("ref_id"), F.col("f.ref_start")).alias("f"))
+    refs = refs.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(factor)), lambda x: x["f"]).cast(_FACTORS).alias("factors"))
+    copies = one.where("copy_of is not null").select("doc_id", F.col("copy_of").alias("_ref")).join(ids.withColumnRenamed("key", "_ref"), "_ref").select("doc_id", F.col("id").alias("copy_of"))
+    out = one.drop("factors", "copy_of").join(refs, "doc_id", "left").join(copies, "doc_id", "left").withColumnRenamed("doc_id", "key").join(ids, "key")
+    nameless = remove_repeats(rows.where("id is null").select(F.col("id").alias("doc_id"), "text"), window)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_text", "copy_of", "factors").union(nameless)
+
+
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """One row a distinct doc_id: doc_id, n_words, n_removed, kept_text, copy_of, factors.
+    """One row a row of docs: doc_id, n_words, n_removed, kept_text, copy_of, factors.
 
     kept_text: the words that are left, joined by one space. copy_of: the earlier document that
     this one equals word for word, else null. factors: the duplicate spans in words and what they
     repeat, null if there are none. docs has ``doc_id`` (long) and ``text``; other columns are not
     read. Null text is empty text. Rows with a null doc_id have no place in the order: they lose
-    nothing, and nothing goes because of them. Rows that repeat a doc_id count as one document
-    with the first text in text order. A text of fewer than ``window`` words loses nothing. An
+    nothing, and nothing goes because of them. Rows that repeat a doc_id are documents of
+    their own, which follow each other in the order of their texts. A text of fewer than ``window`` words loses nothing. An
     empty table gives an empty one. ``window`` is at least 9 (the anchors' words and one).
     """
+    if not docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long")).count().where("count > 1").isEmpty():
+        return _by_row(docs, window)
     texts, facts, factors = repeated_spans(docs, window)
     found = texts.where("id is not null").join(factors, "id", "left").unionByName(texts.where("id is null"), allowMissingColumns=True)
     left = found.mapInArrow(_with_kept, f"id long, n_words long, n_removed long, kept_text string, factors {_FACTORS}")

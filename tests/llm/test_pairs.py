@@ -67,7 +67,7 @@ def test_near_duplicates(spark):
     rows = list(enumerate(made(1))) + [(900, None)]
     extra = [(None, "lost"), (5, rows[5][1])]
     got = minhash.near_duplicates(frame(spark, rows + extra)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == brute_components(rows) and len(got) == len(rows) + 1
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == brute_components(rows) and len(got) == len(rows) + 2
     assert [(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None] == [(1, None, True)]
 
 
@@ -118,7 +118,7 @@ def brute_removed(rows):
 
 def test_remove_repeats(spark):
     rows = list(enumerate(made(2))) + [(500, "a b c d " * 40), (501, None), (502, "long " * 5000), (-4, "a b c d " * 9)]
-    got = substring.remove_repeats(frame(spark, rows + [(None, rows[0][1]), (7, rows[7][1])])).collect()
+    got = substring.remove_repeats(frame(spark, rows + [(None, rows[0][1])])).collect()
     sha = lambda r: hashlib.sha256(r.kept_text.encode()).hexdigest()
     assert {r.doc_id: (r.n_words, r.n_removed, sha(r)) for r in got if r.doc_id is not None} == brute_removed(rows) and len(got) == len(rows) + 1
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
@@ -131,6 +131,24 @@ def test_remove_repeats(spark):
             assert r.copy_of is None or (words[r.copy_of] == words[r.doc_id] and len(r.factors) == 1)
 
 
+def test_rows_that_repeat_an_id_keep_their_texts(spark):
+    """Each is a document of its own, in the order of (doc_id, text)."""
+    r = random.Random(7)
+    a, b = (" ".join(r.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(2))
+    rows = [(2, a + " tail of two"), (1, "other text"), (1, a), (3, b), (1, b), (1, b), (4, a[3:]), (None, a)]
+    keys = {k: i for i, k in enumerate(sorted(range(7), key=lambda k: rows[k]))}
+    want = brute_removed([(keys[k], rows[k][1]) for k in range(7)])
+    got = substring.remove_repeats(frame(spark, rows)).collect()
+    sha = lambda x: hashlib.sha256(x.kept_text.encode()).hexdigest()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, sha(x)) for x in got if x.doc_id) == sorted((rows[k][0], *want[keys[k]]) for k in range(7))
+    assert [x.kept_text for x in got if x.doc_id is None] == [a] and {x.kept_text for x in got if x.doc_id == 1} == {a, b, "other text", ""}
+    assert all(f.ref_id == 1 for x in got for f in x.factors or ()) and {x.copy_of for x in got if x.doc_id in (1, 3)} == {None, 1}
+    near = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(map(str, ((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near))) == sorted(
+        map(str, [(1, 1, 1, True), (1, 56, 1, True), (1, 56, 1, True), (1, 56, 1, True), (2, 59, 1, False), (3, 56, 1, False), (4, 56 if len(shingles(a[3:])) == 56 else 55, 1, False), (None, 56, None, True)])
+    )
+
+
 def test_remove_repeats_of_nothing(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 

@@ -64,6 +64,25 @@ def test_mixing(spark):
     assert {s: n for s, n in taken.items() if n} == by and min(x.slot for x in blocks) == 0
 
 
+def test_another_schedule_changes_the_mix(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), "abc"[i % 3]) for i in range(90)], "doc_id long, text string, source string")
+    slots = lambda: {x.doc_id: x.first_slot for x in mixing.mix(docs, block=4).collect()}
+    golden = slots()
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    assert slots() != golden
+
+
+def test_mixing_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    sf = "/root/testdata/sf0.001"
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(mixing.SQL["op4_source_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
+    got = mixing.op4_source_mixing(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (got["first_slot"].astype("Int64") == want["first_slot"].astype("Int64")).all() and (got["taken"] == want["taken"]).all() and got["first_slot"].nunique() > 50
+
+
 def test_small_sources_reach_their_target(spark):
     """A source of a few words beside one of millions gets its words, not a whole slot or none."""
     rows = [(i, "w " * 20000, "a") for i in range(40)] + [(1000 + i, "v " * 3, f"s{i:02}") for i in range(12)]
