@@ -28,17 +28,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which the row with the first text stays; rows
-    without a doc_id are in no group and stay.
+    Rows that repeat a doc_id are documents of their own; of a group's rows with its smallest
+    doc_id the first stays. Rows without a doc_id are in no group and stay.
     """
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    row = F.struct(F.coalesce("text", F.lit("")).alias("_first"), *COLUMNS)
-    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*").select(*COLUMNS)
-    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).union(one)
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = cut(named.select(F.monotonically_increasing_id().alias("_key"), *COLUMNS), "keyed")
+    found = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    first = cut(found.join(keyed.select("_key", "doc_id"), "_key"), "components")
+    first = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
