@@ -6,34 +6,16 @@ every executor of a cluster can reach, so a lost executor costs a re-read, not a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from foliant.sources.staging import BROADCAST_ROWS, scratch, shared_dir, small, stage
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder. Where none is set, a local session makes one; a cluster must name its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-foliant-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["BROADCAST_ROWS", "cut", "drop", "release", "scratch", "shared_dir", "small", "table"]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, name)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -54,13 +36,3 @@ def release(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: A side is broadcast only when it was counted and has at most this many narrow rows.
-BROADCAST_ROWS = 20_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
