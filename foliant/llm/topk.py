@@ -9,7 +9,7 @@
    before. After a round a query's bound is its k-th best score so far. A block whose greatest
    length times the query's is below that bound cannot matter, nor can any later block: when no
    query block needs the next one, the search ends.
-4. A round is dealt as (query block, vector block) pairs of bounded size. In a pair, the partial
+4. A round is dealt as (query block, piece of a vector block) pairs of bounded size. In a pair, the partial
    sum over the first coordinates plus the product of the residual lengths (Cauchy-Schwarz)
    bounds each score; only vectors that reach the query's bound are scored in full, in integers:
    by floats where the lengths show that these are exact, else, of the vectors whose float score
@@ -30,7 +30,7 @@ from foliant.llm.storage import cut, table
 
 #: Rows of a vector block and of a query block.
 VECTORS, QUERIES_PER_BLOCK = 1024, 2048
-#: Most vector blocks, which the driver lists, and growth of a round.
+#: Most vector blocks, which the driver lists (beyond that many a block is met in pieces), and growth of a round.
 MAX_BLOCKS, GROWTH = 8192, 4
 #: Components that the rotation and the dense blocks cover.
 MAX_DIM = 2048
@@ -192,10 +192,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, head: int = 16) -> Da
     dealt = rows.repartitionByRange(blocks, F.col("norm").desc(), F.col("rid")).withColumn("part", F.spark_partition_id())
     dealt = cut(dealt, "norm-sorted")
     # at most as many rows as blocks; their numbers follow the lengths downwards
-    reach = [(r["part"], r["reach"]) for r in dealt.groupBy("part").agg(F.max("norm").alias("reach")).orderBy("part").collect()]
+    found = dealt.groupBy("part").agg(F.max("norm").alias("reach"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    reach = [(r["part"], r["reach"]) for r in found]
+    # where blocks are as many as they may be, a block is met in pieces of bounded size
+    pieces = max([-(-r["n"] // (2 * VECTORS)) for r in found], default=1)
+    piece = F.pmod(F.xxhash64("rid"), F.lit(pieces)).cast("int").alias("piece")
     query_blocks = max(1, -(-facts["queries"] // QUERIES_PER_BLOCK))
-    asked = dealt.where(F.col("vec_id") % every == 0).select("rid", "vec_id", "v", "norm", F.pmod(F.xxhash64("rid"), F.lit(query_blocks)).cast("int").alias("block"))
-    asked = cut(asked, "queries")
+    # queries of like lengths stand together, so that one with a weak bound holds up few others
+    asked = dealt.where(F.col("vec_id") % every == 0).select("rid", "vec_id", "v", "norm").repartitionByRange(query_blocks, F.col("norm").desc(), F.col("rid"))
+    asked = cut(asked.withColumn("block", F.spark_partition_id()), "queries")
     search = _search(k, dim, rotation, min(head, dim))
     order = Window.partitionBy("query").orderBy(F.coalesce(F.substring("key", 1, 1), F.lit(".")).desc(), F.col("key").desc_nulls_last(), F.col("score").desc(), "vec_id", "rid")
     result = "query long, query_id long, vec_id long, rid long, score long, key string, low double"
@@ -211,9 +216,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, head: int = 16) -> Da
         plan = cut(known.groupBy("block").agg(F.min(demand).alias("need")).select("block", F.explode(met).alias("p")).select("block", "p.part"), "block-pairs")
         if plan.isEmpty():
             break
-        left = known.join(plan, "block").select("block", "part", "rid", "vec_id", "v", "bound")
-        right = dealt.join(plan, "part").select("block", "part", "rid", "vec_id", "v")
-        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(search, result)
+        left = known.join(plan, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).select("block", "part", "piece", "rid", "vec_id", "v", "bound")
+        right = dealt.join(plan, "part").select("block", "part", piece, "rid", "vec_id", "v")
+        found = left.groupBy("block", "part", "piece").cogroup(right.groupBy("block", "part", "piece")).applyInArrow(search, result)
         best = cut(best.drop("rank").union(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
         bounds = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("bound")).where(F.col("n") >= k)
         known = asked.join(bounds.select(F.col("query").alias("rid"), "bound"), "rid", "left").fillna(float("-inf"), ["bound"])

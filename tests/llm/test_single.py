@@ -181,6 +181,29 @@ def test_top_k(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_in_pieces_of_bounded_size(spark, monkeypatch):
+    """With fewer blocks than the vectors fill, blocks are met in pieces, and no pair holds much more than two blocks' rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 5)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, topk.top_k(df).collect()))
+    monkeypatch.setattr(topk, "VECTORS", 16)
+    monkeypatch.setattr(topk, "MAX_BLOCKS", 3)
+    search = topk._search
+
+    def watched(*args):
+        run = search(*args)
+
+        def few(queries, vectors):
+            assert vectors.num_rows <= 4 * 16
+            return run(queries, vectors)
+
+        return few
+
+    monkeypatch.setattr(topk, "_search", watched)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == want
+
+
 @pytest.mark.parametrize("scale", [20000.0, 1e9, 1e30])
 def test_top_k_of_large_vectors(spark, monkeypatch, scale):
     """Large components among small ones, in several blocks, with scores that differ in the last digits only."""
