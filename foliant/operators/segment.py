@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import taxonomy
 from foliant.functions import text as T
+from foliant.functions.places import notable_lines
 from foliant.functions.python import line_starts, title_ratio
 
 SIMILARITY_FLOOR = 0.37
@@ -32,29 +33,17 @@ def _code(line: Column) -> Column:
     return F.concat(F.regexp_extract(line, T.HEADING, 1), F.upper(F.regexp_extract(line, T.HEADING, 2)))
 
 
-_MARKED = rf"(?dm)^(?=(?:{T.HEADING})|(?:{T.EXECUTIVE_OFFICERS})|(?:{T.TAIL})).*$"
-#: Parts of a text after a notable line that surely hold the window: each second one is a line of some letters.
-_PARTS = 256
-
-
 def notable(docs: DataFrame) -> DataFrame:
     """doc_id, raw, stripped, start, after and the flags heading, officers, tail of each notable line of doc_id, text.
 
     Notable are headings, executive officers' and closing lines. after: the characters that
-    follow within the window. The text is cut at the notable lines, and their offsets are sums
-    over the parts.
+    follow within the window. One pass over a text finds the lines that begin like notable ones;
+    the patterns judge those.
     """
-    rows = docs.where("text is not null").select("doc_id", F.regexp_extract_all("text", F.lit(_MARKED), F.lit(0)).alias("found"), F.split("text", _MARKED, -1).alias("between"))
-    short = lambda c: F.substring(c, 1, NEXT_LINE_WINDOW)
-    parts = F.flatten(F.transform("found", lambda m, i: F.array(m, short(F.get("between", i + 1)))))
-    rows = rows.where(F.size("found") > 0).select("doc_id", "found", F.transform("between", lambda x: F.length(x)).alias("gaps"), parts.alias("parts"))
-    one = F.transform("found", lambda m, i: F.struct(m.alias("raw"), F.get("gaps", i).alias("gap"), short(F.array_join(F.slice("parts", i * 2 + 2, F.lit(_PARTS)), "")).alias("after")))
-    rows = rows.select("doc_id", F.posexplode(one).alias("i", "x")).select("doc_id", "i", "x.*")
-    order = Window.partitionBy("doc_id").orderBy("i")
-    before = F.coalesce(F.sum(F.length("raw")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", (F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) + before).cast("int"))
+    rows = docs.where("text is not null").select("doc_id", F.explode(notable_lines(NEXT_LINE_WINDOW)("text")).alias("x")).select("doc_id", "x.*")
     kinds = {"heading": T.HEADING, "officers": T.EXECUTIVE_OFFICERS, "tail": T.TAIL}
-    return rows.select("doc_id", "raw", T.strip(F.col("raw")).alias("stripped"), "start", "after", *(F.col("raw").rlike(p).alias(k) for k, p in kinds.items()))
+    rows = rows.select("doc_id", "raw", T.strip(F.col("raw")).alias("stripped"), "start", "after", *(F.col("raw").rlike(p).alias(k) for k, p in kinds.items()))
+    return rows.where("heading or officers or tail")
 
 
 def candidates(rows: DataFrame, periods: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions.places import block_places, whole_blocks
 from foliant.functions.python import decode_cp1252, html_to_text
 from foliant.functions.taxonomy import ACCEPTED_FORMS
 from foliant.sources.staging import stage
@@ -64,40 +65,9 @@ def single_file_per_directory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("n_files = 1").select("dir", "f.path", "f.length"), found.where("n_files <> 1").select("dir", "n_files")
 
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_BLOCK = r"(?is)<DOCUMENT>.*?(?:</DOCUMENT>|\z)"
-
-
 def with_blocks(raw: DataFrame) -> DataFrame:
     """raw (doc_id, raw_text) with blocks: (type, sequence, filename, body, start) of its <DOCUMENT> blocks."""
-    some = F.col("raw_text").rlike("(?i)<DOCUMENT>")
-    none = F.array().cast("array<string>")
-    rows = raw.withColumn("_whole", F.when(some, F.regexp_extract_all("raw_text", F.lit(_BLOCK), F.lit(0))).otherwise(none))
-    rows = rows.withColumn("_lead", F.when(some, F.transform(F.split("raw_text", _BLOCK, -1), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")))
-    # block i starts after i + 1 leads and i blocks: running sums in one fold
-    steps = F.transform("_whole", lambda b, i: F.struct(F.get("_lead", i).alias("lead"), F.length(b).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    walk = lambda s, x: F.struct((s["at"] + x["lead"] + x["size"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["lead"])).alias("starts"))
-    rows = rows.withColumn("_starts", F.aggregate(steps, zero, walk)["starts"])
-    # tags are looked for in a copy with small letters, so that only blocks that have one are searched by pattern
-    # (where that keeps all places; it does but for a few letters that have no single small form)
-    low = lambda b: F.when(F.length(F.lower(b)) == F.length(b), F.lower(b)).otherwise(F.translate(b, UPPER, UPPER.lower()))
-    rows = rows.withColumn("_low", F.transform("_whole", low))
-
-    def one(block, i):
-        low = F.get("_low", i)
-        field = lambda tag: F.when(F.contains(low, F.lit(f"<{tag.lower()}>")), F.regexp_extract(block, rf"(?im)^(?:<DOCUMENT>)?<{tag}>(\S+)", 1)).otherwise(F.lit(""))
-        whole = F.length(block) - F.when(F.endswith(low, F.lit("</document>")), len("</DOCUMENT>")).otherwise(0)
-        opens = F.call_function("locate", F.lit("<text>"), low)
-        first = F.when(opens > 0, opens + len("<TEXT>")).otherwise(len("<DOCUMENT>") + 1)
-        closes = F.when(opens > 0, F.call_function("locate", F.lit("</text>"), low, first)).otherwise(0)
-        last = F.when(closes > 0, closes - 1).otherwise(whole)
-        return F.struct(
-            F.upper(field("TYPE")).alias("type"), field("SEQUENCE").alias("sequence"), field("FILENAME").alias("filename"),
-            F.substring(block, first, F.greatest(last - first + 1, F.lit(0))).alias("body"), F.get("_starts", i).alias("start"),
-        )
-
-    return rows.withColumn("blocks", F.transform("_whole", one)).drop("_whole", "_lead", "_starts", "_low")
+    return raw.withColumn("blocks", F.coalesce(whole_blocks("raw_text"), F.array()))
 
 
 def select_documents(raw: DataFrame) -> DataFrame:
@@ -106,9 +76,10 @@ def select_documents(raw: DataFrame) -> DataFrame:
     The accepted block is read, else the whole submission. Only HTML is read by Python. Text
     and facts are staged once; later steps read the columns they need.
     """
-    rows = with_blocks(raw.select("doc_id", "raw_text"))
+    rows = raw.select("doc_id", "raw_text", F.coalesce(block_places("raw_text"), F.array()).alias("blocks"))
     chosen = F.get(F.filter("blocks", lambda b: b["type"].isin(*ACCEPTED_FORMS)), F.lit(0))
-    rows = rows.withColumn("chosen", chosen).withColumn("body", F.coalesce(F.col("chosen.body"), F.col("raw_text")))
+    own = F.substring(F.col("raw_text"), F.col("chosen.first") + 1, F.col("chosen.last") - F.col("chosen.first"))
+    rows = rows.withColumn("chosen", chosen).withColumn("body", F.when(F.col("chosen").isNotNull(), own).otherwise(F.col("raw_text")))
     declared = F.when(F.col("chosen").isNotNull(), F.col("chosen.type")).otherwise(F.nullif(F.get("blocks", F.lit(0))["type"], F.lit("")))
     picked = F.when(F.col("chosen").isNotNull(), F.trim(F.concat_ws(" ", "chosen.type", F.concat(F.lit("seq="), "chosen.sequence"), "chosen.filename")))
     picked = picked.when(F.size("blocks") > 0, "whole file (no 10-K block to select)").otherwise("whole file (no <DOCUMENT> blocks)")
