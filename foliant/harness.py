@@ -167,6 +167,32 @@ def case_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.run_cases(checks.evaluate_checks(_declared(e, _DECLARED), e)).drop("failures")
 
 
+#: SQL of what is found where a declared check does not pass, by type; {i}: the item, {v}: the value, {n}: the bound.
+_NOT_HELD = "CASE WHEN own['{i}'] IS NULL THEN 'item {i} is not in the output' WHEN own['{i}'].start IS NULL THEN 'item {i} has no span' ELSE "
+_HAS = "'item {i} has ' || (own['{i}'].\"end\" - own['{i}'].start) || ' characters, "
+_FOUND = {
+    "item_present": "CASE WHEN own['{i}'] IS NULL THEN 'item {i} is not in the output' ELSE 'item {i} is ' || own['{i}'].status || ', not {v}' END",
+    "min_chars": _NOT_HELD.replace("is not in the output", "has 0 characters, fewer than {n}") + _HAS + "fewer than {n}' END",
+    "max_chars": _NOT_HELD + _HAS + "more than {n}' END",
+    "text_contains": _NOT_HELD + "'item {i} lacks ''{v}''' END",
+    "norm_contains": "'the text lacks ''{v}'''",
+    "norm_not_contains": "'the text contains ''{v}'' ' || ((length(d.text) - length(replace(d.text, '{v}', ''))) // length('{v}')) || ' times'",
+}
+_WHY_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS check_id, {_FOUND[c['type_']].format(i=c.get('item'), v=c.get('value', 'extracted'), n=int(c.get('low') or c.get('high') or 0))} AS why FROM facts_ d JOIN verdict_ v USING (doc_id) WHERE v.check_id = '{name}' AND NOT v.passed"
+    for name, c, _ in _named(_DECLARED)
+    if c["type_"] in _FOUND
+)
+
+
+@query(_with(_judged_sql(_DECLARED), _WHY_SQL))
+def check_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found where a declared check of presence, length or content does not pass."""
+    e = _envelopes(spark, sf_dir, True)
+    judged = checks.evaluate_checks(_declared(e, _DECLARED), e)
+    return judged.where(F.col("type").isin(*_FOUND) & ~F.col("passed")).select("doc_id", "check_id", "why")
+
+
 @query(chain("""SELECT d.doc_id, format_era, taxonomy_era, document_selected, array_to_string(coalesce(manifest, []), ',') AS manifest FROM (SELECT doc_id, gate, era AS format_era,
   CASE WHEN gate IS NULL THEN CASE WHEN period_end >= DATE '2005-12-01' THEN 'modern' ELSE 'legacy' END END AS taxonomy_era,
   CASE WHEN chosen THEN '10-K seq=1 main.txt' WHEN wrapped THEN 'whole file (no 10-K block to select)' ELSE 'whole file (no <DOCUMENT> blocks)' END AS document_selected FROM docs) d LEFT JOIN manifest m ON d.doc_id = m.doc_id"""))
