@@ -189,7 +189,7 @@ _WHY_SQL = " UNION ALL ".join(
 def check_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was found where a declared check of presence, length or content does not pass."""
     e = _envelopes(spark, sf_dir, True)
-    judged = checks.evaluate_checks(_declared(e, _DECLARED), e)
+    judged = checks.evaluate_checks(_declared(e, _DECLARED), e, reasons=True)
     return judged.where(F.col("type").isin(*_FOUND) & ~F.col("passed")).select("doc_id", "check_id", "why")
 
 

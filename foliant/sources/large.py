@@ -56,7 +56,8 @@ def read_blocks(spark: SparkSession, path: str, glob: str | None = None) -> Data
         "doc_id", "split", "seq", "size", F.octet_length("bytes").alias("n_bytes"), F.length(F.col("bytes").cast("string")).alias("n_chars"),
         F.is_valid_utf8("bytes").alias("valid"), opened.alias("opened"), closed.alias("closed"),
     )
-    about = about.withColumn("lead", F.when((F.col("split") == 0) & first, 0).otherwise(len(TAG)))
+    # one pass over the bytes; what follows reads narrow rows
+    about = stage(about.withColumn("lead", F.when((F.col("split") == 0) & first, 0).otherwise(len(TAG))), "about-pieces")
     files = about.groupBy("doc_id").agg(F.bool_and("valid").alias("utf8"), (F.first("size") - F.sum(F.col("n_bytes") + F.col("lead"))).alias("missing"))
     # bytes that no record holds: a byte order mark, and a tag at the file's end
     files = files.withColumn("mark", F.when(F.col("missing") % len(TAG) == 3, 3).otherwise(0)).withColumn("tail", F.col("missing") >= len(TAG))

@@ -84,7 +84,7 @@ def test_every_check(spark):
 def test_cases_run(spark):
     rows = spark.createDataFrame([envelope(GOOD), ODD[2]], SCHEMA).drop("boilerplate")
     cases = [(dict(type="item_present", item="1"), 1, None), (dict(type="verbatim"), 1, None), (dict(type="item_present", item="1"), 2, None), (dict(type="envelope_shape"), 2, None), (dict(type="odd"), 2, None)]
-    got = {r.doc_id: r for r in checks.run_cases(checks.evaluate_checks(declare(spark, cases), rows)).collect()}
+    got = {r.doc_id: r for r in checks.run_cases(checks.evaluate_checks(declare(spark, cases), rows, reasons=True)).collect()}
     assert (got[1].passed, got[1].n_checks, got[1].n_failed, got[1].n_errors) == (True, 2, 0, 0)
     assert (got[2].passed, got[2].n_checks, got[2].n_failed, got[2].n_errors, [tuple(f) for f in got[2].failures]) == (False, 3, 1, 1, [("envelope_shape", "envelope_shape does not hold"), ("odd", "no check is named odd")])
 
