@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.catalog import _GAP, _check, _docs, _envelopes, _segmented, _table, _whole, query
+from foliant.catalog import SQL, _GAP, _check, _docs, _envelopes, _segmented, _table, _whole, query
 from foliant.functions import text as T
 from foliant.operators import checks, diff, furniture, measure, segment, view
 from foliant.oracle import chain
@@ -470,6 +470,12 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.metric_table(judged, measure.silent_failures(rows), measure.success_by_kind(kinds), measure.deterministic_share(items))
 
 
+@query("SELECT n, printf('%2d. %-32s %s   (n=%d)', n::INTEGER, metric, coalesce(value::VARCHAR, 'None'), sample::BIGINT) AS line FROM (" + SQL["metric_table"] + ")")
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's metrics as the lines of a report."""
+    return measure.render(metric_table(spark, sf_dir)).select("n", "line")
+
+
 # ---- benchmark: orders as fixtures, their lines as timed repeats
 
 _BENCH = """t AS (SELECT l_orderkey AS fixture, l_partkey * 1000 AS bytes, l_suppkey * 10 AS chars, l_returnflag, l_linenumber AS repeat, (l_quantity - 1) / 1000 AS seconds FROM lineitem),

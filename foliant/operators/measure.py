@@ -301,6 +301,21 @@ def deterministic_share(scored: DataFrame) -> DataFrame:
     return scored.agg(rate(plain, F.count_if(out)).alias("value"), F.count_if(out).alias("sample"))
 
 
+def render(metrics: DataFrame, bands: DataFrame | None = None) -> DataFrame:
+    """(n, seq, line): metrics (n, metric, value, sample) as lines of a report, the calibration's bands (confidence, targeted, failed) under number 8.
+
+    Values without a denominator read ``None``.
+    """
+    value = F.coalesce(F.col("value").cast("string"), F.lit("None"))
+    lines = metrics.select("n", F.lit(0).alias("seq"), F.concat(F.lpad(F.col("n").cast("string"), 2, " "), F.lit(". "), F.rpad("metric", 32, " "), F.lit(" "), value, F.lit("   (n="), F.col("sample").cast("string"), F.lit(")")).alias("line"))
+    if bands is None:
+        return lines
+    seq = F.row_number().over(Window.orderBy("confidence"))  # a row a level of confidence, of which there are few
+    shown = F.concat(F.lit("       conf="), F.rpad(F.col("confidence").cast("string"), 5, " "), F.lit(" targeted="), F.rpad(F.col("targeted").cast("string"), 4, " "), F.lit(" failed="), F.col("failed").cast("string"))
+    head = bands.sparkSession.createDataFrame([(8, 0, " 8. calibration")], "n int, seq int, line string")
+    return lines.union(head).union(bands.select(F.lit(8).alias("n"), seq.alias("seq"), shown.alias("line")))
+
+
 def metric_table(judged: DataFrame, silent: DataFrame, by_kind: DataFrame, share: DataFrame) -> DataFrame:
     """(n, metric, value, sample) of the metrics that are one number each."""
     numbers = F.element_at(F.create_map(*(x for k, v in (("presence_recall", 1), ("anchor_containment", 3), ("boundary_band", 4), ("false_positive", 5)) for x in (F.lit(k), F.lit(v)))), F.col("metric"))

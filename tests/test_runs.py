@@ -68,3 +68,13 @@ def test_plateau_of_one_large_key(spark):
     assert got == plateau_by_loop(rows[3000:], 0.5) | plateau_by_loop(rows[:3000], 0.5)
     plan = measure.plateau(df, "k", "o", "v", 0.5)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_report_lines(spark):
+    metrics = spark.createDataFrame([(1, "presence_recall", 0.9875, 40), (6, "silent_failure", None, 0), (11, "deterministic_share", 1.0, 7)], "n int, metric string, value double, sample long")
+    bands = spark.createDataFrame([(0.95, 12, 1), (0.6, 3, 2)], "confidence double, targeted int, failed int")
+    lines = [r.line for r in measure.render(metrics, bands).orderBy("n", "seq").collect()]
+    assert lines == [
+        f" 1. {'presence_recall':<32} 0.9875   (n=40)", f" 6. {'silent_failure':<32} None   (n=0)", " 8. calibration", "       conf=0.6   targeted=3    failed=2",
+        "       conf=0.95  targeted=12   failed=1", f"11. {'deterministic_share':<32} 1.0   (n=7)",
+    ]
