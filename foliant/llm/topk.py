@@ -199,8 +199,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, head: int = 16) -> Da
     piece = F.pmod(F.xxhash64("rid"), F.lit(pieces)).cast("int").alias("piece")
     query_blocks = max(1, -(-facts["queries"] // QUERIES_PER_BLOCK))
     # queries of like lengths stand together, so that one with a weak bound holds up few others
-    asked = dealt.where(F.col("vec_id") % every == 0).select("rid", "vec_id", "v", "norm").repartitionByRange(query_blocks, F.col("norm").desc(), F.col("rid"))
-    asked = cut(asked.withColumn("block", F.spark_partition_id()), "queries")
+    asked = dealt.where(F.col("vec_id") % every == 0).select("rid", "vec_id", "v", "norm")
+    if query_blocks > 1:
+        asked = asked.repartitionByRange(query_blocks, F.col("norm").desc(), F.col("rid"))
+    # one partition is not an exchange, so its number would be that of the files read
+    asked = cut(asked.withColumn("block", F.spark_partition_id() if query_blocks > 1 else F.lit(0)), "queries")
     search = _search(k, dim, rotation, min(head, dim))
     order = Window.partitionBy("query").orderBy(F.coalesce(F.substring("key", 1, 1), F.lit(".")).desc(), F.col("key").desc_nulls_last(), F.col("score").desc(), "vec_id", "rid")
     result = "query long, query_id long, vec_id long, rid long, score long, key string, low double"
