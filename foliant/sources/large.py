@@ -88,7 +88,7 @@ def read_blocks(spark: SparkSession, path: str, glob: str | None = None) -> Data
     parts = F.array_sort(F.collect_list(F.struct("split", "seq", "raw_text")))
     joined = held.where("_n > 1").groupBy("doc_id", "_unit").agg(F.min("_at").alias("_start"), F.array_join(F.transform(parts, lambda x: x["raw_text"]), "").alias("raw_text"))
     units = alone.union(joined.select("doc_id", "_start", "raw_text"))
-    found = with_blocks(units).select("doc_id", "_start", F.explode("blocks").alias("b"))
+    found = stage(with_blocks(units).drop("raw_text"), "units", texts=True).select("doc_id", "_start", F.explode("blocks").alias("b"))
     return found.select("doc_id", (F.col("_start") + F.col("b.start")).alias("start"), "b.type", "b.sequence", "b.filename", "b.body")
 
 
