@@ -137,3 +137,29 @@ def test_two_tools(spark):
     assert [r.similarity for r in alike.collect()] == [round(difflib.SequenceMatcher(None, a, b).ratio(), 4)]
     full = rows.join(alike.select("doc_id", "item", "similarity"), ["doc_id", "item"], "left")
     assert [r.item for r in measure.ranked_disagreements(full, "similarity", 1.0).orderBy("doc_id", measure.F.col("class").desc(), "rank").collect()] == ["2", "3", "1"]
+
+
+def test_declared_as_a_column_and_many_runs(spark):
+    """Checks as a column judge as those in rows do; a text with thousands of runs is cut once, not once a run."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    long = "Item 1. Business\n" + "words go on é\nACME\n" * n
+    first, step = len("Item 1. Business\nwords go on é\n"), len("words go on é\nACME\n")
+    runs = tuple((first + i * step, first + i * step + 5, "running_head") for i in range(n))
+    odd = ((first - 1, first + 4, "running_head"), *runs[1:])
+    items = [item("1", 0, len(long), heading="Item 1. Business")]
+    rows = spark.createDataFrame([envelope(1, long, items=items, runs=runs), envelope(2, long, items=items, runs=odd)], SCHEMA)
+    cases = [dict(type="boilerplate", value="ACME", low=float(n)), dict(type="boilerplate_spans_sane"), dict(type="boilerplate_stripped", names=["ACME"]), dict(type="verbatim"), dict(type="text_contains", item="1", value="ACME")]
+    declared = declare(spark, [(c, doc, None) for c in cases for doc in (1, 2)])
+    struct = [x.split() for x in checks.CHECK.split(", ")]
+    lit = lambda v, kind: (F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(kind)
+    column = F.array(*(F.struct(*(lit({"check_id": c["type"], **c}.get(n), kind).alias(n) for n, kind in struct)) for c in cases))
+    began = time.time()
+    got = {(r.doc_id, r.type): r.passed for r in checks.evaluate_checks(column, rows).collect()}
+    assert time.time() - began < 60
+    assert got == {(r.doc_id, r.type): r.passed for r in checks.evaluate_checks(declared, rows).collect()}
+    assert [got[1, c["type"]] for c in cases] == [True, True, True, True, True]
+    assert [got[2, c["type"]] for c in cases] == [True, False, True, True, True]  # the newline before a run is white space
