@@ -26,9 +26,13 @@ def _leaves(value: Column, kind: DataType, path: Column, name: str, keys: dict[s
             place = i.cast("string")
             if key is not None:
                 own = F.coalesce(x[key].cast("string"), F.lit(""))
-                before = F.size(F.filter(F.slice(value, F.lit(1), i), lambda y: y[key].eqNullSafe(x[key])))
+                # elements before it are counted only where its key stood earlier, or is null
+                earlier = F.size(F.filter(F.slice(value, F.lit(1), i), lambda y: y[key].eqNullSafe(x[key])))
+                before = F.when(F.array_position(value[key], x[key]) > i, 0).otherwise(earlier)
                 place = F.concat(F.lit(f"{key}="), own, F.when(before > 0, F.concat(F.lit("#"), (before + 1).cast("string"))).otherwise(F.lit("")))
-            return _leaves(x, kind.elementType, F.concat(path, F.lit("["), place, F.lit("]")), name or "[]", keys)
+            # a transform of one element: the path is written once, not for each leaf
+            whole = F.array(F.concat(path, F.lit("["), place, F.lit("]")))
+            return F.get(F.transform(whole, lambda p: _leaves(x, kind.elementType, p, name or "[]", keys)), F.lit(0))
 
         some = F.flatten(F.transform(value, element))
         # an empty array is a leaf of its own, and so is none
@@ -57,7 +61,11 @@ def differences(left: DataFrame, right: DataFrame, key: str, arrays: dict[str, s
     text = lambda c: F.to_json(F.col(c), {"ignoreNullFields": "false"})
     met = met.where(F.col("l").isNull() | F.col("r").isNull() | (text("l") != text("r")))
     gone = F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right")
-    met = met.select(key, gone.alias("gone"), *(F.map_from_entries(F.when(gone.isNull(), x).otherwise(F.array().cast(_LEAVES))).alias(c) for c, x in zip("lr", leaves)))
+    met = met.select(key, gone.alias("gone"), *(F.when(gone.isNull(), x).otherwise(F.array().cast(_LEAVES)).alias(c) for c, x in zip("lr", leaves)))
+    # most leaves have their equal at the same place of the other side: only the rest is looked up by path
+    met = met.withColumn("same", F.zip_with("l", "r", lambda a, b: a.eqNullSafe(b)))
+    rest = lambda c: F.filter(c, lambda x, i: ~F.get("same", i))
+    met = met.select(key, "gone", *(F.map_from_entries(rest(c)).alias(c) for c in "lr"))
     paths = F.array_union(F.map_keys("l"), F.map_keys("r"))
 
     def compared(p: Column) -> Column:
